@@ -24,7 +24,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9D8A6F4C3B21E7F5  # odd, so its powers can be undone modulo 2**64
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_STEP = 0xD6E8FEB86659FD93
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -69,10 +69,9 @@ class Words:
         if len(self.hash) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.row[: len(self.row) - n + 1] == self.row[n - 1 :])
-        total, factor = np.zeros(len(self.hash) - n + 1, np.uint64), np.uint64(1)
+        total = np.zeros(len(self.hash) - n + 1, np.uint64)
         for k in range(n):
-            total += self.hash[k : k + len(total)] * factor
-            factor *= _STEP
+            total += self.hash[k : k + len(total)] * np.uint64(pow(_STEP, k, 1 << 64))
         return at, mix64(total[at])
 
     def whole(self, row: int) -> np.uint64:
