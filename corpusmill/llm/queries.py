@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
+from corpusmill.llm import chat_threads, decontamination, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
 from corpusmill.llm._scratch import new_path
 
 
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -32,6 +36,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_thread_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_threads.thread(_table(spark, sf_dir, "conversations"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,7 +62,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_language_id, op5_quality_classifier, op7_shard, op8_jaccard_join, op9_quality_rules, op10_token_files)}
+    found = (
+        op1_mix_sources, op2_extract_html, op3_decontaminate, op4_language_id, op5_quality_classifier, op6_thread_chats, op7_shard, op8_jaccard_join, op9_quality_rules,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
