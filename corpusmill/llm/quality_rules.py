@@ -45,24 +45,26 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
 
 
-def repeated_window_words(words: Column) -> Column:
-    """Words that stand in a run of three words which occurs twice or more in the array.
+def _repeated_window_words(df: DataFrame) -> DataFrame:
+    """df with _words (an array) replaced by n_words and n_repeat_words: words that stand in a run of three words which
+    occurs twice or more.
 
-    Runs are hashed and sorted with their places; a run is repeated if a neighbour in that order has its hash. The places
-    of repeated runs, in rising order, each cover three words less what the next one covers again.
+    Runs are hashed; a text whose hashes are all different has none repeated. For the others, (hash, place) pairs are sorted
+    and a run is repeated if a neighbour in that order has its hash. The places of repeated runs, in rising order, each cover
+    three words less what the next one covers again. Each step is a column of its own, so that none is computed twice.
     """
-    n = F.size(words)
-    runs = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.struct(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"), i.alias("i")),
-    )
-    ordered = F.sort_array(runs)
-    # One fold over the sorted runs would copy its state; comparing shifted arrays does not.
-    with_next = F.arrays_zip(ordered.alias("a"), F.slice(ordered, 2, n).alias("b"))
-    same = F.filter(with_next, lambda x: x["a"]["h"] == x["b"]["h"])
-    places = F.array_sort(F.array_distinct(F.concat(F.transform(same, lambda x: x["a"]["i"]), F.transform(same, lambda x: x["b"]["i"]))))
-    gaps = F.zip_with(places, F.slice(places, 2, n), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return F.when(n >= 4, F.aggregate(gaps, F.lit(0), lambda total, g: total + g)).otherwise(F.lit(0)).cast("long")
+    keep = [c for c in df.columns if c != "_words"]
+    n = F.col("n_words").cast("int")
+    run = lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2))
+    keep.append("n_words")
+    df = df.withColumn("n_words", F.size("_words").cast("long"))
+    df = df.select(*keep, F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 2), run)).alias("_runs"))
+    pairs = F.sort_array(F.arrays_zip(F.col("_runs").alias("h"), F.sequence(F.lit(1), F.size("_runs")).alias("i")))
+    df = df.select(*keep, F.when(F.size(F.array_distinct("_runs")) < F.size("_runs"), pairs).alias("_sorted"))
+    df = df.select(*keep, F.filter(F.arrays_zip(F.col("_sorted").alias("a"), F.slice("_sorted", 2, n).alias("b")), lambda x: x["a"]["h"] == x["b"]["h"]).alias("_same"))
+    df = df.select(*keep, F.sort_array(F.array_union(F.col("_same.a.i"), F.col("_same.b.i"))).alias("_places"))
+    gaps = F.zip_with("_places", F.slice("_places", 2, n), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    return df.select(*keep, F.coalesce(F.aggregate(gaps, F.lit(0), lambda total, g: total + g), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def figures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -77,11 +79,9 @@ def figures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFra
         lines.alias("_lines"),
     )
     out = out.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_words")).alias("n_repeat_words"),
+        *keep, "word_chars", "n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "_words"
     )
+    out = _repeated_window_words(out)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
