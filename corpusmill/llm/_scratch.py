@@ -31,6 +31,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or name with underscores before it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through Hadoop's file system of that path."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ must fit in a block.
 
 A null or empty text has no words and no hits. Null items and items without a word have no windows. Equal items each count.
 Item ids compare as strings; a null item id is the string "". Rows are judged one by one, so repeated ids are harmless. An
-empty table gives an empty result, an empty benchmark no hits. Added columns replace those of the same name.
+empty table gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm._scratch import fresh
 from corpusmill.llm._words import Words, each_words
 
 NGRAM = 10
 BLOCK_BYTES = 64 << 20
-_HITS = "_hits"
 _HITS_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("items", pa.list_(pa.string()))]))
-_HITS_SQL = T.ArrayType(T.StructType().add("at", T.IntegerType()).add("n", T.IntegerType()).add("items", T.ArrayType(T.StringType())))
+_HITS_SPARK = T.ArrayType(T.StructType().add("at", T.IntegerType()).add("n", T.IntegerType()).add("items", T.ArrayType(T.StringType())))
 
 
 class Windows:
@@ -79,8 +79,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield [(r["id"], r["text"]) for r in part.collect()]  # at most about BLOCK_BYTES
 
 
-def _mark(docs: DataFrame, text_col: str, windows: Broadcast) -> DataFrame:
-    place, has = docs.columns.index(text_col), _HITS in docs.columns
+def _mark(docs: DataFrame, text_col: str, windows: Broadcast, out: str, has: bool) -> DataFrame:
+    """docs with hits in the last column, out; has: it holds those of earlier blocks."""
+    place = docs.columns.index(text_col)
 
     def scan(batches):
         index = windows.value
@@ -92,19 +93,18 @@ def _mark(docs: DataFrame, text_col: str, windows: Broadcast) -> DataFrame:
                     r = int(words.row[at])
                     found[row + r].append({"at": at - int(words.first[r]), "n": n, "items": ids})
             columns = batch.columns[: batch.num_columns - has]
-            names = [c for c in batch.schema.names if c != _HITS]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _HITS_TYPE)], [*names, _HITS])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _HITS_TYPE)], [*batch.schema.names[: len(columns)], out])
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name != _HITS]).add(_HITS, _HITS_SQL)
-    return docs.mapInArrow(scan, schema)
+    fields = docs.schema.fields[: len(docs.columns) - has]
+    return docs.mapInArrow(scan, T.StructType([*fields, T.StructField(out, _HITS_SPARK)]))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs and _hits: word place, length in words and item ids of every occurrence of a benchmark window."""
-    sc, out = docs.sparkSession.sparkContext, docs.drop(_HITS)
-    for block in _blocks(benchmark, item_id, item_text):
-        out = _mark(out, text_col, sc.broadcast(Windows(block, n)))
-    return out
+def with_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "_hits") -> DataFrame:
+    """docs and, last, out: word place, length in words and item ids of every occurrence of a benchmark window."""
+    sc, marked = docs.sparkSession.sparkContext, docs
+    for k, block in enumerate(_blocks(benchmark, item_id, item_text)):
+        marked = _mark(marked, text_col, sc.broadcast(Windows(block, n)), out, k > 0)
+    return marked
 
 
 def _covered(hits: list[dict]) -> list[tuple[int, int]]:
@@ -147,12 +147,13 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id_col: str =
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark window."""
-    return with_hits(docs, benchmark, n, text_col).where(F.size(_HITS) == 0).select(*docs.columns)
+    hits = fresh(docs.columns, "_hits")
+    return with_hits(docs, benchmark, n, text_col, out=hits).where(F.size(hits) == 0).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, text_col: str = "text") -> DataFrame:
     """docs whose texts have lost the words of every hit, each run of them with what stands between."""
-    marked, place = with_hits(docs, benchmark, n, text_col), docs.columns.index(text_col)
+    marked, place = with_hits(docs, benchmark, n, text_col, out=fresh(docs.columns, "_hits")), docs.columns.index(text_col)
 
     def strip(batches):
         for batch in batches:

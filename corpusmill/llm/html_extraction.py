@@ -4,7 +4,7 @@ A page is read as a sequence of tags and words. Each kind of token has a weight:
 inside the content of labelled pages than outside, held above 0 for plain words and below 0 for tags. Words in links, and
 words in elements whose name or class marks them as not content, are kinds of their own. The contiguous run of tokens with
 the highest sum is the content region; it is widened to whole blocks, and what stands in marked elements inside it is left
-out. Weights come from LABELLED, or from any (html, content flags) the caller gives.
+out. A marked element inside an article element is a hole: it counts neither way. Weights come from LABELLED, or from any (html, content flags) the caller gives.
 
 Block elements end a block; white space in a block becomes one space; blocks are joined by a line feed. Text inside scripts,
 styles, titles and the like is never text. Character references are decoded once, after tags are found.
@@ -110,14 +110,14 @@ def tokens(page: str) -> Iterator[Token]:
             name, m = stack.pop()
             marked -= m
             links -= name == "a"
-            articles -= name == "article"
+            articles -= name in ("article", "main")
 
     def text(a: int, b: int) -> Token | None:
         piece = entities.unescape(page[a:b])
         words = len(piece.split())
         if not words and not piece:
             return None
-        kind = "word:marked" if marked else "word:link" if links else "word"
+        kind = "hole" if marked and articles else "word:marked" if marked else "word:link" if links else "word"
         return Token(kind, piece, words, bool(marked))
 
     while at < n:
@@ -156,8 +156,8 @@ def tokens(page: str) -> Iterator[Token]:
                 stack.append((name, flag))
                 marked += flag
                 links += name == "a"
-                articles += name == "article"
-        yield Token(f"tag:{name}", " " if name == "br" else "", 0, bool(marked), name in BLOCKS)
+                articles += name in ("article", "main")
+        yield Token("hole" if marked and articles else f"tag:{name}", " " if name == "br" else "", 0, bool(marked), name in BLOCKS)
     if at < n and (t := text(at, n)):
         yield t
 
@@ -175,6 +175,7 @@ def learn_weights(pages=LABELLED) -> dict[str, float]:
     weights["word:marked"] = min(-0.5, odds.get("word:marked", -0.5))
     weights["word:link"] = min(-0.05, odds.get("word:link", -0.05))
     tags = [v for k, v in weights.items() if k.startswith("tag:")]
+    weights["hole"] = 0.0
     weights["tag"] = min(-0.05, sum(tags) / max(1, len(tags)))
     return weights
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._scratch import cut, fresh
 from corpusmill.llm._words import each_words
 from corpusmill.llm.components import connected_components
 
@@ -285,7 +285,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     classes = cut(near_duplicates(docs, **how).select(F.col(id_col).alias("_id"), "class_id"), "classes")
     kept = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_times"))
     kept = cut(kept, "kept")
-    out = docs.join(kept.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    key = fresh(docs.columns, "_id")
+    out = docs.join(kept.select(F.col("_id").alias(key)), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
     repeated = kept.where("_times > 1 and _id is not null").limit(1).count()
     if not repeated:
         return out
