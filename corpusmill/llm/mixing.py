@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm._order import grouped_before
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._scratch import cut, fresh
 
 MAX_BROADCAST_SOURCES = 100_000
 #: Key ranges into which a source is dealt for its running sums.
@@ -102,7 +102,8 @@ def mix(
         raise ValueError("weights must be above 0")
     text = F.col(text_col)
     w = quality_weight(text) if weight is None else weight
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 12)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 48)  # md5, so that any engine can say the same
     rows = cut(
         docs.select(
             F.col(id_col), F.col(source_col), space_word_count(text).alias("size"),
@@ -136,6 +137,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     id_col = how.get("id_col", "doc_id")
     picked = mix(docs, boundary="nearest", **how).where("copies > 0")
-    picked = picked.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(picked, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    key, times, copy = (fresh(docs.columns, c) for c in ("_id", "_copies", "_copy"))
+    picked = picked.groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
+    out = docs.join(picked, F.col(id_col).eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

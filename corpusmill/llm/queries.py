@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import chat_threads, decontamination, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
 from corpusmill.llm._scratch import new_path
+from corpusmill.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
