@@ -15,12 +15,16 @@ def fold(id_col: str, folds: int) -> Column:
 def sample(labelled: DataFrame, docs: DataFrame, id_col: str, label: str, text_col: str, per_class: int, max_bytes: int) -> list[tuple[str, object]]:
     """(text, label) of up to per_class documents of each label, those with the least hash of their id, in the order of it.
 
-    labelled: (id, label, _bytes) of the rows that may be used. Ids are ranked within labels (each task keeps per_class of
-    them before the shuffle) and texts are fetched for those alone. max_bytes: of text, over all labels; rows beyond it, in
-    hash order, are left out of the sample.
+    labelled: (id, label, _bytes) of the rows that may be used. Labels are counted, and rows whose hash is above about four
+    times the share that is wanted of their label are left out at once, so that what is ranked within a label is bounded
+    however many rows and partitions there are. Texts are fetched for the ranked ids alone. max_bytes: of text, over all
+    labels; rows beyond it, in hash order, are left out of the sample.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(id_col), F.lit(99)), F.col(id_col))
-    ranked = labelled.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(99)), F.lit(1 << 40))
+    counts = labelled.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each label
+    near = labelled.join(counts, F.col(label) == F.col("_l")).where(place.cast("double") * F.col("_n") < F.lit(float((4 * per_class + 100) * (1 << 40))))
+    order = Window.partitionBy(label).orderBy(place, F.col(id_col))
+    ranked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
     picked = sorted(ranked.select(id_col, label, "_rank", "_bytes").collect(), key=lambda r: (r["_rank"], str(r[label])))
     total, ids = 0, {}
     for r in picked:  # per_class rows a label at most
@@ -33,5 +37,6 @@ def sample(labelled: DataFrame, docs: DataFrame, id_col: str, label: str, text_c
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     wanted = spark.createDataFrame([(k, i) for k, (i, _) in ids.items()], T.StructType().add("_id", kind).add("_place", "integer"))
-    rows = docs.join(F.broadcast(wanted), F.col(id_col) == F.col("_id")).select(id_col, "_place", F.col(text_col).alias("_text")).collect()
-    return [(r["_text"], ids[r[id_col]][1]) for r in sorted(rows, key=lambda r: (r["_place"], r["_text"] or ""))]
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(wanted), F.col("_key") == F.col("_id")).select("_key", "_place", "_text").collect()
+    return [(r["_text"], ids[r["_key"]][1]) for r in sorted(rows, key=lambda r: (r["_place"], r["_text"] or ""))]

@@ -35,7 +35,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of an odd base modulo 2**64, and their inverses: hashes of byte runs from running sums."""
     if len(_powers["up"]) < n:
         size = max(n, CHUNK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -112,7 +113,7 @@ def find_words(data: np.ndarray, at: np.ndarray) -> Words:
         last = edges[1:][np.diff(edges) > 0] - 1
         closes[last] = inside[last]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _power_tables(len(raw) + 1)
+    up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     value = (sums[end] - sums[start]) * down[start]

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm._fit import fold, sample
-from corpusmill.llm._words import buffers, chunks, mix64
+from corpusmill.llm._scratch import fresh
+from corpusmill.llm._words import buffers, chunks, mix64, power_tables
 
 WIDTH = 1 << 16
 PER_CLASS = 3000
@@ -32,6 +33,8 @@ SAMPLE_BYTES = 48 << 20
 FOLDS, HELD_OUT_FOLD = 4, 2
 THRESHOLD = 0.7
 SMOOTHING = 1.0
+#: Bytes of text whose features are found at once (about 200 bytes of memory each).
+CHUNK_BYTES = 1 << 18
 COST = 1.0
 EPOCHS = 12
 
@@ -55,7 +58,7 @@ def _slot(codes: np.ndarray, salt: int) -> np.ndarray:
 def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """Feature columns of each text, with repeats, in order of rows."""
     data, at = buffers(column)
-    for row, stop in chunks(at):
+    for row, stop in chunks(at, CHUNK_BYTES):
         raw, edges = data[at[row] : at[stop]], at[row : stop + 1] - at[row]
         kind = _KIND[raw]
         inside = kind > 0
@@ -69,15 +72,13 @@ def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         first = np.searchsorted(start, edges)
         size = end - start
-        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(raw, dtype=np.int64)])
-        squares = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw.astype(np.int64) + 7) * (np.arange(len(raw)) % 65521), dtype=np.int64)])
-        total = sums[end] - sums[start]
-        # A repeat has the length and byte sum of the token before it, and the place-weighted sum shifted by the distance.
-        same = np.zeros(len(start), bool)
+        up, down = power_tables(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        value = (sums[end] - sums[start]) * down[start]
+        same = np.zeros(len(start), bool)  # repeats the token before it
         if len(start) > 1:
-            far = (start[1:] % 65521) - (start[:-1] % 65521)
-            weight = squares[end] - squares[start]
-            same[1:] = (size[1:] == size[:-1]) & (total[1:] == total[:-1]) & (weight[1:] - weight[:-1] == far * (total[1:] + 7 * size[1:]))
+            same[1:] = (size[1:] == size[:-1]) & (value[1:] == value[:-1])
             same[first[:-1][first[:-1] < len(start)]] = False
         second = kind[np.minimum(start + 1, np.maximum(end - 1, 0))] if len(start) else kind[:0]
         shape = ((kind[start] * np.uint64(32) + second) * np.uint64(32) + kind[end - 1]) * np.uint64(16) + _LENGTHS[np.minimum(size, 65)] * np.uint64(2) + same
@@ -114,15 +115,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(column) + self.shift, -700, 700)))
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 5) -> np.ndarray:
-    """Weights (the last is the intercept) of a linear model with squared hinge loss, fitted one dual variable at a time."""
+def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float, epochs: int, seed: int = 5) -> np.ndarray:
+    """Weights (the last is the intercept) of a linear model with squared hinge loss, fitted one dual variable at a time.
+
+    rows: columns whose indicator is 1, each with the value ratio / root of their number; values are made as they are used.
+    """
     w, alpha, rng = np.zeros(WIDTH + 1), np.zeros(len(y)), np.random.default_rng(seed)
-    soft = 1 / (2 * cost)
-    norms = np.array([float(v @ v) + 1 for v in values]) + soft
+    soft, squares = 1 / (2 * cost), ratio * ratio
+    norms = np.array([squares[ids].sum() / max(1, len(ids)) + 1 for ids in rows]) + soft
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            ids, v = rows[i], values[i]
-            slope = y[i] * (w[ids] @ v + w[-1]) - 1 + soft[i] * alpha[i]
+            ids = rows[i]
+            v = ratio[ids] / np.sqrt(max(1, len(ids)))
+            slope = y[i] * (w[ids] @ v + w[-1]) - 1 + soft * alpha[i]
             new = max(alpha[i] - slope / norms[i], 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
@@ -154,7 +159,7 @@ def fit(rows: list[tuple[str, int]], shares: dict[int, int]) -> Model:
     if len(set(y.tolist())) < 2:
         ratio = ratio if len(rows) else 0.5
         return Model(np.zeros(WIDTH), 0.0, 1.0, float(np.log(ratio / (1 - ratio))))
-    found = [np.unique(ids) for ids in feature_rows(pa.array([t for t, _ in rows], pa.string()))]
+    found = [np.unique(ids).astype(np.uint16) for ids in feature_rows(pa.array([t for t, _ in rows], pa.string()))]
     back = np.arange(len(rows)) % 5 == 4
     if len(set(y[back].tolist())) < 2 or len(set(y[~back].tolist())) < 2:
         back[:] = True
@@ -164,9 +169,7 @@ def fit(rows: list[tuple[str, int]], shares: dict[int, int]) -> Model:
         for i in np.flatnonzero(use):
             counts[y[i]][found[i]] += 1
         r = np.log(counts[1.0] / ((y[use] > 0).sum() + 2 * SMOOTHING)) - np.log(counts[-1.0] / ((y[use] < 0).sum() + 2 * SMOOTHING))
-        picked = [found[i] for i in np.flatnonzero(use)]
-        values = [r[ids] / np.sqrt(max(1, len(ids))) for ids in picked]
-        w = dual_descent(picked, values, y[use], np.full(int(use.sum()), COST), EPOCHS)
+        w = dual_descent([found[i] for i in np.flatnonzero(use)], r, y[use], COST, EPOCHS)
         return w[:-1] * r, float(w[-1])
 
     weight, bias = train(~back if not back.all() else back)
@@ -209,4 +212,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs whose score reaches the threshold."""
-    return add_scores(docs, fit_from(docs, labels, id_col, text_col), "_score", text_col).where(F.col("_score") >= threshold).select(*docs.columns)
+    out = fresh(docs.columns, "_score")
+    return add_scores(docs, fit_from(docs, labels, id_col, text_col), out, text_col).where(F.col(out) >= threshold).select(*docs.columns)

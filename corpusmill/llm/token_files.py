@@ -15,9 +15,8 @@ A null text is an empty one and has the end id alone. A null id sorts first. An
 from __future__ import annotations
 
 import re
+import string
 import zlib
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +25,16 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm._order import global_prefix
 from corpusmill.llm._scratch import cut
+from corpusmill.llm._words import buffers, chunks, mix64, power_tables
 
 END_ID = 0
-#: Distinct pieces that a worker remembers, and the longest of them; others are encoded again.
-CACHE_PIECES = 600_000
-CACHE_CHARS = 40
+#: Slots of a worker's table of known pieces (16 bytes each, filled to 60 %), and bytes of text encoded at once.
+SLOTS = 1 << 22
+GROUP_BYTES = 2 << 20
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
-_GROUP_CHARS = 2_000_000
+_MAY_BE_SPACE = np.zeros(256, bool)  # first bytes of white space: ASCII controls and spaces, and lead bytes of wider ones
+_MAY_BE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -44,9 +45,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Encodes texts with a byte-level tokenizer, remembering the ids of pieces."""
+    """Encodes texts with a byte-level tokenizer, remembering the ids of pieces.
 
-    def __init__(self, definition: str):
+    Pieces are found, hashed and looked up for a whole run of texts at once. The memory is an open-addressing table of 64-bit
+    hashes, with the place and number of each piece's ids in a pool; pieces that are not in it are encoded, all in one call.
+    Once it is full, what it holds stays (frequent pieces come early) and other pieces are encoded again in each run.
+    """
+
+    def __init__(self, definition: str, end_id: int = END_ID, slots: int = SLOTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -54,52 +60,154 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True  # tokens that begin with a space
-        self.ids: dict[str, bytes] = {}
+        self.marks: dict[str, np.ndarray] = {}
+        self.key, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.held = 0
+        self.pool, self.used = np.zeros(1 << 20, np.int32), 1
+        self.pool[0] = end_id
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> dict[str, np.ndarray]:
         """Ids of " " + piece, all in one call; the tokens that begin with a space tell where each one's ids begin."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ids = self._whole(" " + " ".join(pieces))
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(pieces):
             return {p: self._whole(" " + p) for p in pieces}
-        raw, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return {p: raw[edges[k] : edges[k + 1]] for k, p in enumerate(pieces)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        plain = [not _SPACE_THEN_SPACE.search(t) for t in texts]
-        pieces = [t.split(" ") if ok else [""] for t, ok in zip(texts, plain, strict=True)]
-        if len(self.ids) > CACHE_PIECES:
-            self.ids.clear()
-        wanted = [p for p in set(chain.from_iterable(x[1:] for x in pieces)).difference(self.ids)]
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(wanted), 2000):
-            extra |= self._learn(wanted[k : k + 2000])
-        self.ids.update((p, v) for p, v in extra.items() if len(p) <= CACHE_CHARS)
-        long = {p: v for p, v in extra.items() if len(p) > CACHE_CHARS}
-        known, out = self.ids, []
-        for text, ok, parts in zip(texts, plain, pieces, strict=True):
-            if not ok:
-                out.append(self._whole(text))
-            elif long:
-                out.append(b"".join([self._whole(parts[0]), *(known.get(p) or long[p] for p in parts[1:])]))
-            else:
-                out.append(self._whole(parts[0]) + b"".join(map(known.__getitem__, parts[1:])))
+        edges = [*starts.tolist(), len(ids)]
+        return {p: ids[edges[k] : edges[k + 1]] for k, p in enumerate(pieces)}
+
+    def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of " " + piece. Letters with marks after them are two tokens to the pre-tokenizer, so each part is encoded once."""
+        stems = [stem if (stem := p.rstrip(string.punctuation)).isalpha() else p for p in pieces]
+        plain = list(dict.fromkeys(stems))
+        found: dict[str, np.ndarray] = {}
+        for k in range(0, len(plain), 4000):
+            found |= self._learn(plain[k : k + 4000])
+        out = []
+        for p, stem in zip(pieces, stems, strict=True):
+            ids = found[stem]
+            if len(stem) < len(p):
+                tail = p[len(stem) :]
+                if tail not in self.marks:
+                    self.marks[tail] = self._whole(tail)
+                ids = np.concatenate([ids, self.marks[tail]])
+            out.append(ids)
         return out
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it is not in the table."""
+        mask = len(self.key) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        seen = self.key[slot]
+        out = np.where(seen == hashes, slot, -1)
+        todo = np.flatnonzero((seen != hashes) & (seen != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            seen = self.key[slot[todo]]
+            hit = seen == hashes[todo]
+            out[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit & (seen != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """Puts distinct hashes that are not in the table into free slots."""
+        mask = len(self.key) - 1
+        todo, slot = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.key[slot[todo]] == 0)
+            _, first = np.unique(slot[todo[free]], return_index=True)
+            won = todo[free[first]]
+            self.key[slot[won]], self.at[slot[won]], self.n[slot[won]] = hashes[won], at[won], n[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & mask
+        self.held += len(hashes)
+
+    def _store(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends ids to the pool: place and number of each part."""
+        n = np.fromiter((len(x) for x in parts), np.int64, len(parts))
+        at = self.used + np.cumsum(n) - n
+        end = self.used + int(n.sum())
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), end - len(self.pool)), np.int32)])
+        if parts:
+            self.pool[self.used : end] = np.concatenate(parts)
+        self.used = end
+        return at, n
+
+    def encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts whose bytes lie between each two edges, each text's end id last, and the number of ids of each."""
+        raw, edges = data[edges[0] : edges[-1]], edges - edges[0]
+        rows = len(edges) - 1
+        # A piece begins at each row's start and after each space.
+        spaces = np.flatnonzero(raw == 32)
+        begin = np.concatenate([edges[:-1], spaces + 1])
+        order = np.argsort(begin, kind="stable")  # a row that ends in a space: the empty piece after it, then the next row
+        space_row = np.searchsorted(edges, spaces, "right") - 1
+        row = np.concatenate([np.arange(rows), space_row])
+        order = order[np.argsort(row[order], kind="stable")]
+        begin, row, lead = begin[order], row[order], order >= rows
+        first = np.searchsorted(row, np.arange(rows))
+        finish = np.empty(len(begin), np.int64)
+        finish[:-1] = begin[1:] - 1
+        finish[np.append(first[1:], len(begin)) - 1] = edges[1:]
+        finish = np.maximum(finish, begin)
+        up, down = power_tables(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        size = (finish - begin).astype(np.uint64)
+        hashes = mix64(mix64((sums[finish] - sums[begin]) * down[begin]) + size * np.uint64(2) + lead)
+        hashes[hashes == 0] = 1
+        # White space after a space belongs together with it: such texts are encoded whole.
+        head = raw[np.minimum(begin, max(len(raw) - 1, 0))] if len(raw) else np.zeros(len(begin), np.uint8)
+        doubtful = np.unique(row[lead & ((size == 0) | _MAY_BE_SPACE[head])])
+        text = lambda a, b: raw[a:b].tobytes().decode()
+        whole = [r for r in doubtful if _SPACE_THEN_SPACE.search(text(edges[r], edges[r + 1]))]
+        skip = np.isin(row, whole) if whole else np.zeros(len(row), bool)
+
+        slot = self._find(hashes)
+        at, n = np.where(slot >= 0, self.at[slot], 0), np.where(slot >= 0, self.n[slot], 0)
+        missing = np.flatnonzero((slot < 0) & ~skip)
+        mark = self.used
+        if len(missing):
+            new, sample, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            sample = missing[sample]
+            texts = [text(begin[k], finish[k]) for k in sample]
+            leading = lead[sample]
+            ids: list = [None] * len(texts)
+            for k, x in zip(np.flatnonzero(leading), self._encode_pieces([texts[k] for k in np.flatnonzero(leading)]), strict=True):
+                ids[k] = x
+            for k in np.flatnonzero(~leading):
+                ids[k] = self._whole(texts[k])
+            keep = (len(self.key) * 6 // 10) - self.held >= len(new)
+            new_at, new_n = self._store(ids)
+            at[missing], n[missing] = new_at[back], new_n[back]
+            if keep:
+                self._insert(new, new_at, new_n)
+                mark = self.used
+        if whole:
+            whole_at, whole_n = self._store([self._whole(text(edges[r], edges[r + 1])) for r in whole])
+            n[skip] = 0
+            at[first[whole]], n[first[whole]] = whole_at, whole_n
+        at = np.insert(at, np.append(first[1:], len(at)), 0)  # the end id is the pool's first
+        n = np.insert(n, np.append(first[1:], len(n)), 1)
+        total = np.cumsum(n)
+        ids = self.pool[np.repeat(at - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        ends = total[np.append(first[1:], len(row)) + np.arange(rows)] if rows else np.zeros(0, np.int64)
+        self.used = mark
+        return ids, np.diff(ends, prepend=0)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > _GROUP_CHARS:
-            yield first, k
-            first, size = k, 0
-        size += len(t)
-    if texts:
-        yield first, len(texts)
+def worker_encoder(definition: str, end_id: int) -> Encoder:
+    """The worker's encoder for a tokenizer: what it has learned serves all tasks of the worker."""
+    if (definition, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[definition, end_id] = Encoder(definition, end_id)
+    return _encoders[definition, end_id]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
@@ -109,16 +217,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         definition = spark.sparkContext.broadcast(f.read())
 
     def kernel(batches):
-        encoder = Encoder(definition.value)
+        encoder = worker_encoder(definition.value, end_id)
         for batch in batches:
-            texts = batch.column(2).fill_null("").to_pylist()
-            for a, b in _groups(texts):
-                raw = encoder.encode(texts[a:b])
-                counts = np.fromiter((len(x) // 4 + 1 for x in raw), np.int64, len(raw))
-                end = np.array([end_id], "<u4").tobytes()
-                values = pa.array(np.frombuffer(b"".join(chain.from_iterable((x, end) for x in raw)), "<i4"))
+            data, edges = buffers(batch.column(2))
+            for a, b in chunks(edges, GROUP_BYTES):
+                ids, counts = encoder.encode(data, edges[a : b + 1])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(offsets, values)], ["doc_id", "text_hash", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "text_hash", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
