@@ -61,7 +61,7 @@ def word_errors(reference: str, spoken: str) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_errors_udf(reference: pd.Series, spoken: pd.Series) -> pd.Series:
     return pd.Series([word_errors(a or "", b or "") for a, b in zip(reference, spoken, strict=True)], dtype="int64")
 
@@ -73,7 +73,7 @@ def corpus_word_error_rate(df: DataFrame, reference: str, spoken: str, group: li
     return rows.groupBy(*group).agg((F.sum("_e") / F.greatest(F.sum("_n"), F.lit(1))).alias("pooled"), F.avg(F.col("_e") / F.greatest(F.col("_n"), F.lit(1))).alias("mean"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def align_form(words: pd.Series) -> pd.Series:
     """NFKC, lower case, and nothing but Latin letters and apostrophes."""
     return words.map(lambda w: None if w is None else "".join(c for c in unicodedata.normalize("NFKC", w).lower() if "a" <= c <= "z" or "À" <= c <= "ɏ" or c == "'"))
