@@ -82,7 +82,9 @@ def facet_coverage(t: Tables) -> DataFrame:
     return f.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("k") >= 4, 1)).alias("rich"), F.count(F.when(F.col("k") <= 1, 1)).alias("thin"), F.percentile("k", F.lit(0.5)).alias("p50"), F.percentile("k", F.lit(0.9)).alias("p90"))
 
 
-_RX = {"the": r"\bthe\b", "und": r"\bund\b", "les": r"\bles\b", "shout": r"[A-Z]{4,}!!"}
+#: Word edges are spelled out: engines differ in what letters beyond ASCII mean to a word edge.
+_WORD = r"(?:\A|[^\p{L}\p{N}_])%s(?:[^\p{L}\p{N}_]|\z)"
+_RX = {**{w: _WORD % w for w in ("the", "und", "les")}, "shout": r"[A-Z]{4,}!!"}
 
 
 @query("FLT-18 FLT-19 AGG-33", " UNION ALL ".join(f"""
