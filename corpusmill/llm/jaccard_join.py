@@ -41,6 +41,8 @@ TOLERANCE = 1e-9
 BUCKET_BLOCK = 4096
 SET_BLOCK = 400_000
 TEXT_BLOCK = 1500
+#: Ids of removed rows, with 16 bytes each besides, that keep_one broadcasts at most.
+MAX_BROADCAST_BYTES = 64 << 20
 
 _HASHES = BANDS * BAND_ROWS
 _rng = np.random.default_rng(20240607)
@@ -280,15 +282,24 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class: the one with the least id. Rows that repeat an id keep one of them."""
+    """docs with one row of each class: the one with the least id. Rows that repeat an id keep one of them.
+
+    The ids that go are fewer than those that stay. Up to MAX_BROADCAST_BYTES of them are broadcast, so that texts stay where
+    they are; beyond that, docs and ids meet in a shuffle.
+    """
     id_col = how.get("id_col", "doc_id")
-    classes = cut(near_duplicates(docs, **how).select(F.col(id_col).alias("_id"), "class_id"), "classes")
-    kept = classes.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("_id").agg(F.count(F.lit(1)).alias("_times"))
-    kept = cut(kept, "kept")
+    classes = near_duplicates(docs, **how).select(F.col(id_col).alias("_id"), "class_id")
+    stays = F.col("_id").eqNullSafe(F.col("class_id"))
+    verdict = cut(classes.groupBy("_id").agg(F.count(F.when(stays, 1)).alias("_times")), "verdict")
     key = fresh(docs.columns, "_id")
-    out = docs.join(kept.select(F.col("_id").alias(key)), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    repeated = kept.where("_times > 1 and _id is not null").limit(1).count()
-    if not repeated:
+    gone = verdict.where("_times = 0").select(F.col("_id").alias(key))
+    state = verdict.agg(
+        F.sum(F.when(F.col("_times") == 0, F.lit(16) + F.coalesce(F.octet_length(F.col("_id").cast("string")), F.lit(0)))).alias("bytes"),
+        F.count(F.when((F.col("_times") > 1) & F.col("_id").isNotNull(), 1)).alias("repeated"),
+    ).first()
+    small = (state["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    out = docs.join(F.broadcast(gone) if small else gone, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    if not state["repeated"]:
         return out
     single = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return single.union(out.where(F.col(id_col).isNull()))
