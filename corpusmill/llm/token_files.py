@@ -29,8 +29,8 @@ from corpusmill.llm._words import buffers, chunks, mix64, power_tables
 
 END_ID = 0
 #: Slots of a worker's table of known pieces (16 bytes each, filled to 60 %), and bytes of text encoded at once.
-SLOTS = 1 << 22
-GROUP_BYTES = 2 << 20
+SLOTS = 1 << 21
+GROUP_BYTES = 1 << 19
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 _MAY_BE_SPACE = np.zeros(256, bool)  # first bytes of white space: ASCII controls and spaces, and lead bytes of wider ones
