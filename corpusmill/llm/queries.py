@@ -58,7 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens-orc")
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, added_tokens=True)
     return token_files.describe_tokens(spark, path)
 
 

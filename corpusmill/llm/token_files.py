@@ -7,7 +7,8 @@ whole stripes and row groups, and stripes are read in parallel.
 
 Texts are cut before single spaces that stand between two other characters. The byte-level pre-tokenizer cuts there as well
 (the space belongs to the word after it), so pieces can be encoded apart and each distinct piece once; texts in which white
-space follows a space go to the tokenizer whole. Special tokens' strings in a text are ordinary text.
+space follows a space go to the tokenizer whole. Special tokens' strings in a text are ordinary text unless added_tokens is set:
+then they become their ids, as in the tokenizer's plain call, and texts that hold such a string go to the tokenizer whole.
 
 A null text is an empty one and has the end id alone. A null id sorts first. An empty table gives no rows.
 """
@@ -52,11 +53,12 @@ class Encoder:
     Once it is full, what it holds stays (frequent pieces come early) and other pieces are encoded again in each run.
     """
 
-    def __init__(self, definition: str, end_id: int = END_ID, slots: int = SLOTS):
+    def __init__(self, definition: str, end_id: int = END_ID, slots: int = SLOTS, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True  # tokens that begin with a space
@@ -96,6 +98,18 @@ class Encoder:
             out.append(ids)
         return out
 
+    def _with_added(self, raw: np.ndarray, edges: np.ndarray) -> set[int]:
+        """Rows that hold an added token's string."""
+        data, out = raw.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(edges, at, "right")) - 1
+                if at + len(token) <= edges[row + 1]:
+                    out.add(row)
+                at = data.find(token, at + 1)
+        return out
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 where it is not in the table."""
         mask = len(self.key) - 1
@@ -163,7 +177,7 @@ class Encoder:
         head = raw[np.minimum(begin, max(len(raw) - 1, 0))] if len(raw) else np.zeros(len(begin), np.uint8)
         doubtful = np.unique(row[lead & ((size == 0) | _MAY_BE_SPACE[head])])
         text = lambda a, b: raw[a:b].tobytes().decode()
-        whole = [r for r in doubtful if _SPACE_THEN_SPACE.search(text(edges[r], edges[r + 1]))]
+        whole = sorted({int(r) for r in doubtful if _SPACE_THEN_SPACE.search(text(edges[r], edges[r + 1]))} | self._with_added(raw, edges))
         skip = np.isin(row, whole) if whole else np.zeros(len(row), bool)
 
         slot = self._find(hashes)
@@ -199,25 +213,28 @@ class Encoder:
         return ids, np.diff(ends, prepend=0)
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def worker_encoder(definition: str, end_id: int) -> Encoder:
+def worker_encoder(definition: str, end_id: int, added_tokens: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer: what it has learned serves all tasks of the worker."""
-    if (definition, end_id) not in _encoders:
+    if (definition, end_id, added_tokens) not in _encoders:
         _encoders.clear()
-        _encoders[definition, end_id] = Encoder(definition, end_id)
-    return _encoders[definition, end_id]
+        _encoders[definition, end_id, added_tokens] = Encoder(definition, end_id, added_tokens=added_tokens)
+    return _encoders[definition, end_id, added_tokens]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
-    """Writes ORC files of (doc_id, text_hash, ids) in ascending id order under path. tokenizer: a tokenizers file."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, added_tokens: bool = False) -> None:
+    """Writes ORC files of (doc_id, text_hash, ids) in ascending id order under path. tokenizer: a tokenizers file.
+
+    added_tokens: strings of the tokenizer's added tokens become their ids, as encode does by default.
+    """
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
 
     def kernel(batches):
-        encoder = worker_encoder(definition.value, end_id)
+        encoder = worker_encoder(definition.value, end_id, added_tokens)
         for batch in batches:
             data, edges = buffers(batch.column(2))
             for a, b in chunks(edges, GROUP_BYTES):

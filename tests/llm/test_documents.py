@@ -249,6 +249,22 @@ def test_token_files(spark, awkward, empty, tmp_path):
     assert token_files.describe_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_query_equals_the_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = ["before it", f"don't {end} stop", end, f"a{end}b{end}", f"{end} two  spaces", "<|endoftext|", ">half", f"{end[:5]} {end[5:]}", *TEXTS]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op10_token_files(spark, str(tmp_path)).collect()
+    start = 0
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        ids = [*tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r
+        start += len(ids)
+    assert len(rows) == len(texts)
+
+
 def test_small_piece_table_encodes_alike():
     import pyarrow as pa
 
