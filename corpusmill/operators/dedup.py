@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.hashing import band_keys, hamming, with_splitmix64
 
 MAX_ROUNDS = 60
+#: Signatures or rows of a bucket that are compared with as many others at once.
+BLOCK = 2000
 
 
 def exact_duplicates(df: DataFrame, digest: Column, name: str, status: Column | None = None) -> DataFrame:
@@ -47,11 +49,89 @@ def oversized_buckets(signatures: DataFrame, name: str, sig: str, bands: int = 4
     return banded(signatures, name, sig, bands).groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > cap)
 
 
-def near_pairs(signatures: DataFrame, name: str, sig: str, bands: int = 4, most: int = 3, cap: int = 2000) -> DataFrame:
-    """(a, b), a < b: pairs within `most` bits that share a band's value in a bucket of up to cap members.
+def _rest(sig: Column, band: int, bands: int) -> Column:
+    """The bits of sig that are not the band's, as one number."""
+    width = 64 // bands
+    low = sig.bitwiseAND(F.lit((1 << band * width) - 1)) if band else F.lit(0).cast("long")
+    high = F.shiftrightunsigned(sig, (band + 1) * width) if (band + 1) * width < 64 else F.lit(0).cast("long")
+    return F.shiftleft(high, band * width).bitwiseOR(low)
 
-    The cap is part of this operator's meaning (a larger bucket is skipped; its members may still meet in another band).
+
+def _close_signatures(distinct: DataFrame, bands: int, most: int, block: int) -> DataFrame:
+    """(sa, sb), sa < sb: distinct signatures (_s) within `most` bits that share a band's value, each pair once.
+
+    A bucket of more than block signatures is dealt into sub-buckets: its other bits are cut into most + 1 parts, and two
+    signatures within `most` bits agree in one of them. What is still larger is compared block by block.
+    """
+    width, left_over = 64 // bands, 64 - 64 // bands
+    keys = ["_band", "_value", "_part", "_bits"]
+    value = lambda k: F.shiftrightunsigned("_s", k * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    placed = distinct.select("_s", F.explode(F.array(*[F.struct(F.lit(k).alias("_band"), value(k).alias("_value"), _rest(F.col("_s"), k, bands).alias("_rest")) for k in range(bands)])).alias("_b")).select("_s", "_b.*")
+    sizes = placed.groupBy("_band", "_value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    placed = placed.join(sizes, ["_band", "_value"])
+    alone = F.array(F.struct(F.lit(-1).alias("_part"), F.lit(0).cast("long").alias("_bits")))
+    parts = most + 1
+    if parts <= left_over:
+        wide = -(-left_over // parts)
+        cut = F.array(*[F.struct(F.lit(p).alias("_part"), F.shiftrightunsigned("_rest", p * wide).bitwiseAND(F.lit((1 << wide) - 1)).alias("_bits")) for p in range(parts) if p * wide < left_over])
+        alone = F.when(F.col("_n") > block, cut).otherwise(alone)
+    placed = placed.select("_s", "_band", "_value", F.explode(alone).alias("_p")).select("_s", "_band", "_value", "_p.*")
+    counted = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    placed = placed.join(counted, keys).withColumn("_own", F.pmod(F.xxhash64("_s"), blocks).cast("int"))
+    left = placed.select(*keys, F.col("_s").alias("sa"), F.col("_own").alias("_lo"), F.explode(F.sequence(F.col("_own"), blocks - 1)).alias("_hi"))
+    right = placed.select(*keys, F.col("_s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_lo"), F.col("_own").alias("_hi"))
+    met = left.join(right, [*keys, "_lo", "_hi"]).where((F.col("sa") != F.col("sb")) & (hamming(F.col("sa"), F.col("sb")) <= most))
+    return met.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")).distinct()
+
+
+def _by_signature(signatures: DataFrame, name: str, sig: str) -> tuple[DataFrame, DataFrame]:
+    """(_name, _s) of the rows that have a signature, and (_s, _first, _n): each signature with its least name."""
+    rows = _written(signatures.where(F.col(sig).isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("_name"), F.col(sig).alias("_s")).distinct())
+    return rows, rows.groupBy("_s").agg(F.min("_name").alias("_first"), F.count(F.lit(1)).alias("_n"))
+
+
+def near_pairs(signatures: DataFrame, name: str, sig: str, bands: int = 4, most: int = 3, cap: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: pairs within `most` bits that share a band's value.
+
+    Distinct signatures are compared; the rows of close or equal ones are then paired, block by block of rows. With a cap, the
+    reference's way: a bucket of more than cap members is skipped, so more copies than that have no pair at all.
     """
+    if cap is not None:
+        return _capped_pairs(signatures, name, sig, bands, most, cap)
+    rows, distinct = _by_signature(signatures, name, sig)
+    distinct = _written(distinct)
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    size = distinct.select("_s", blocks.alias("_blocks"))
+    same = distinct.where("_n > 1").select(F.col("_s").alias("sa"), F.col("_s").alias("sb"))
+    units = _close_signatures(distinct.select("_s"), bands, most, block).union(same)
+    units = units.join(size.withColumnRenamed("_s", "sa").withColumnRenamed("_blocks", "_na"), "sa").join(size.withColumnRenamed("_s", "sb").withColumnRenamed("_blocks", "_nb"), "sb")
+    units = units.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+    units = units.withColumn("_j", F.explode(F.sequence(F.when(F.col("sa") == F.col("sb"), F.col("_i")).otherwise(0), F.col("_nb") - 1)))
+    dealt = rows.join(size, "_s").select("_name", "_s", F.pmod(F.xxhash64("_name"), F.col("_blocks")).cast("int").alias("_k"))
+    left = dealt.select(F.col("_s").alias("sa"), F.col("_k").alias("_i"), F.col("_name").alias("_x"))
+    right = dealt.select(F.col("_s").alias("sb"), F.col("_k").alias("_j"), F.col("_name").alias("_y"))
+    met = units.select("sa", "_i", "sb", "_j").join(left, ["sa", "_i"]).join(right, ["sb", "_j"])
+    inside = (F.col("sa") == F.col("sb")) & (F.col("_i") == F.col("_j"))
+    met = met.where((F.col("_x") != F.col("_y")) & (~inside | (F.col("_x") < F.col("_y"))))
+    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+
+
+def near_links(signatures: DataFrame, name: str, sig: str, bands: int = 4, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b): links with the connected components of near_pairs, without a pair for each two copies.
+
+    The rows of a signature are linked to its least name, and the least names of close signatures to each other.
+    """
+    rows, distinct = _by_signature(signatures, name, sig)
+    distinct = _written(distinct)
+    first = distinct.select("_s", "_first")
+    copies = rows.join(first, "_s").where(F.col("_name") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_name").alias("b"))
+    close = _close_signatures(distinct.select("_s"), bands, most, block)
+    named = close.join(first.select(F.col("_s").alias("sa"), F.col("_first").alias("a")), "sa").join(first.select(F.col("_s").alias("sb"), F.col("_first").alias("b")), "sb")
+    return copies.union(named.where(F.col("a") != F.col("b")).select("a", "b"))
+
+
+def _capped_pairs(signatures: DataFrame, name: str, sig: str, bands: int, most: int, cap: int) -> DataFrame:
     members = banded(signatures, name, sig, bands)
     fit = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, cap)).drop("_n")
     members = members.join(fit, ["band", "value"])

@@ -127,13 +127,13 @@ _COMP = "WITH RECURSIVE " + _BAND.strip() + """,
 
 @query("JOIN-11 UDF-05", _COMP + " SELECT vertex, component FROM comp")
 def near_dup_components(t: Tables) -> DataFrame:
-    return dedup.components(dedup.near_pairs(_signatures(t), "doc_id", "sig"))
+    return dedup.components(dedup.near_links(_signatures(t), "doc_id", "sig"))
 
 
 @query("AGG-04", _COMP + """ SELECT d.doc_id, first_value(d.doc_id) OVER (PARTITION BY component ORDER BY n_chars DESC, d.doc_id) AS keeper,
     first_value(d.doc_id) OVER (PARTITION BY component ORDER BY n_chars DESC, d.doc_id) <> d.doc_id AS "drop" FROM comp JOIN documents d ON d.doc_id = vertex""")
 def near_dup_keeper(t: Tables) -> DataFrame:
-    groups = dedup.components(dedup.near_pairs(_signatures(t), "doc_id", "sig"))
+    groups = dedup.components(dedup.near_links(_signatures(t), "doc_id", "sig"))
     return dedup.near_duplicate_verdict(t.documents.select("doc_id", "n_chars"), groups, "doc_id", [F.col("n_chars").desc(), F.col("doc_id")]).select("doc_id", "keeper", "drop")
 
 

@@ -26,6 +26,45 @@ def test_oversized_buckets_are_skipped(spark):
     assert dedup.oversized_buckets(zeros, "name", "sig", cap=3).count() == 4
 
 
+def test_large_buckets_are_compared_exactly(spark):
+    import random
+
+    draw = random.Random(5)
+    base = [draw.getrandbits(64) for _ in range(6)]
+    sigs = [base[0]] * 25 + [base[1] & ~0xFFFF | k for k in range(40)]  # copies, and many signatures that share three bands
+    for s in base:
+        for _ in range(25):
+            for _ in range(draw.randrange(5)):
+                s ^= 1 << draw.randrange(64)
+            sigs.append(s)
+    rows = [(k, s - (1 << 64) if s >> 63 else s) for k, s in enumerate(sigs)]
+    df = spark.createDataFrame([*rows, (999, None)], "name long, sig long")
+    want = {(a, b) for a, x in enumerate(sigs) for b, y in enumerate(sigs) if a < b and bin(x ^ y).count("1") <= 3}
+    root = list(range(len(sigs)))
+    for a, b in sorted(want) * 10:
+        root[a] = root[b] = min(root[a], root[b])
+    linked = {v for p in want for v in p}
+    for block in (4, 2000):
+        pairs = [tuple(r) for r in dedup.near_pairs(df, "name", "sig", block=block).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+        assert {tuple(r) for r in dedup.components(dedup.near_links(df, "name", "sig", block=block)).collect()} == {(v, root[v]) for v in linked}
+
+
+def test_thousands_of_copies_have_one_keeper(spark):
+    copies = spark.range(2500).select(F.col("id").alias("name"), F.lit(7).cast("long").alias("sig"))
+    assert dedup.near_pairs(copies, "name", "sig").count() == 2500 * 2499 // 2
+    groups = dedup.components(dedup.near_links(copies, "name", "sig"))
+    assert groups.count() == 2500 and groups.where("component = 0").count() == 2500
+
+
+def test_copies_have_one_keeper_in_the_queries(spark, tmp_path):
+    from corpusmill.plans import CATALOG
+
+    rows = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("the same few words in every row").alias("text"), F.lit(31).cast("long").alias("n_chars"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    assert CATALOG["near_dup_keeper"](spark, str(tmp_path)).where("drop and keeper = 0").count() == 2499
+
+
 def test_simhash_golden(spark):
     rows = [("x", v) for v in (1, 2, 3, 4, 5, 999, 123456)]
     from corpusmill.functions.hashing import unsigned_text
