@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.dedup import _written
+
 
 def global_row_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Adds a row number over the whole table without sorting it in one task.
@@ -40,6 +42,44 @@ def contiguous_shards(df: DataFrame, order: list[str], value: str, per_shard: in
     return out.withColumn("offset", F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_rn")
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df dealt into ranges of the order, _part their number from low to high; written, so that it stays as dealt."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds out: the sum of value over all earlier rows of the table, range by range of the order. order must be unique."""
+    ranged = _ranged(df, order)
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row a range
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_part", "_before")
+
+
+def decayed_mean(df: DataFrame, group: str, order: list[str], value: str, keep: float, out: str) -> DataFrame:
+    """(group, out): exponential moving average, keep * average + (1 - keep) * value, from the first value on; null if a value is.
+
+    Rows are dealt into ranges of group and order, whatever a group's size. Each range of a group gives its decayed sum and
+    number of rows; a group's ranges (as many as partitions at most) are then combined, each decayed by the rows after it.
+    """
+    ranged = _ranged(df.select(group, *order, value), [group, *order])
+    newer = F.row_number().over(Window.partitionBy("_part", group).orderBy(*[F.col(c).desc() for c in order])) - 1
+    pieces = ranged.withColumn("_newer", newer).groupBy("_part", group).agg(
+        F.sum(F.col(value) * F.pow(F.lit(keep), F.col("_newer"))).alias("_sum"), F.max_by(value, "_newer").alias("_first"),
+        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"),
+    )
+    later = Window.partitionBy(group).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("_after", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    summed = placed.groupBy(group).agg(
+        F.sum(F.col("_sum") * F.pow(F.lit(keep), F.col("_after"))).alias("_sum"), F.min_by("_first", "_part").alias("_first"),
+        F.sum("_n").alias("_n"), F.sum("_known").alias("_known"),
+    )
+    total = (1 - keep) * F.col("_sum") + keep * F.pow(F.lit(keep), F.col("_n") - 1) * F.col("_first")
+    return summed.select(group, F.when(F.col("_n") == F.col("_known"), total).alias(out))
+
+
 def keeper(df: DataFrame, group: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """Rank of each row in its group; the keeper has 1."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -178,15 +178,16 @@ def delay_shift(t: Tables) -> DataFrame:
     SELECT conv_id, len(g) AS n, CAST(coalesce(sum(len(g)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM c""")
 def csr_offsets(t: Tables) -> DataFrame:
     c = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = windows.contiguous_shards(c, ["conv_id"], "n", 1 << 40)
-    return placed.select("conv_id", "n", "offset")
+    return windows.running_sum(c, ["conv_id"], "n", "offset").select("conv_id", "n", "offset")
 
 
 @query("ARR-02 ARR-03 ARR-09", """
     WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS g FROM conversations GROUP BY conv_id)
     SELECT conv_id, array_to_string(list_concat(g, [-1, -1, -1, -1, -1, -1])[1:6], ',') AS padded, CAST(least(len(g), 6) AS BIGINT) AS used FROM c""")
 def padded_rows(t: Tables) -> DataFrame:
-    g = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("g"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last()))
+    head = t.conversations.select("conv_id", "turn").withColumn("_place", place).where("_place <= 6")
+    g = head.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("g"))
     used = F.size(F.filter(A.mask(F.col("g"), 6), lambda m: m)).cast("long")
     return g.select("conv_id", F.array_join(A.force_length(F.col("g"), 6, -1), ",").alias("padded"), used.alias("used"))
 
@@ -249,9 +250,7 @@ def loudness(t: Tables) -> DataFrame:
     SELECT user_id, round(max_by(ema, i), 6) AS ema FROM r GROUP BY user_id""")
 def moving_average(t: Tables) -> DataFrame:
     """Exponential moving average of each user's values in order of time."""
-    v = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    fold = F.aggregate(F.slice("v", 2, F.size("v")), F.col("v")[0]["value"], lambda a, x: a * 0.9 + x["value"] * 0.1)
-    return v.select("user_id", F.round(fold, 6).alias("ema"))
+    return windows.decayed_mean(t.events, "user_id", ["ts", "event_id"], "value", 0.9, "ema").select("user_id", F.round("ema", 6).alias("ema"))
 
 
 @query("AGG-25 AGG-27", """

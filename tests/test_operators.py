@@ -65,6 +65,31 @@ def test_copies_have_one_keeper_in_the_queries(spark, tmp_path):
     assert CATALOG["near_dup_keeper"](spark, str(tmp_path)).where("drop and keeper = 0").count() == 2499
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_series_hold_no_unbounded_row(spark, sf_dir):
+    from corpusmill.plans import CATALOG
+
+    assert "collect_list" not in _plan(CATALOG["moving_average"](spark, sf_dir))
+    assert "[shard" not in _plan(CATALOG["csr_offsets"](spark, sf_dir))
+    assert "_place" in _plan(CATALOG["padded_rows"](spark, sf_dir))
+
+
+def test_decayed_mean_and_running_sum_over_ranges(spark):
+    values = [((k * 37) % 101) / 7 for k in range(3000)]
+    rows = [("big", k, v) for k, v in enumerate(values)] + [("one", 5, 2.0), ("two", 1, 3.0), ("two", 2, 5.0), ("null", 1, 1.0), ("null", 2, None)]
+    df = spark.createDataFrame(rows, "u string, k long, v double").repartition(5)
+    want = values[0]
+    for v in values[1:]:
+        want = 0.9 * want + 0.1 * v
+    got = {r["u"]: r["e"] for r in windows.decayed_mean(df, "u", ["k"], "v", 0.9, "e").collect()}
+    assert abs(got["big"] - want) < 1e-9 and abs(got["two"] - 3.2) < 1e-9 and got["one"] == 2.0 and got["null"] is None
+    sums = windows.running_sum(spark.range(1000).withColumn("n", F.col("id") % 7), ["id"], "n", "o").collect()
+    assert {r["id"]: r["o"] for r in sums} == {k: sum(x % 7 for x in range(k)) for k in range(1000)}
+
+
 def test_simhash_golden(spark):
     rows = [("x", v) for v in (1, 2, 3, 4, 5, 999, 123456)]
     from corpusmill.functions.hashing import unsigned_text
