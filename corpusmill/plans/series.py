@@ -25,11 +25,25 @@ def _timed(t: Tables) -> DataFrame:
     w AS (SELECT user_id, event_id AS w_id, us - 3600000000 AS lo, us + 3600000000 AS hi FROM e WHERE event_id % 50 = 0)
     SELECT w_id, count(*) AS n, min(s.event_id) AS first_event FROM w JOIN s ON s.user_id = w.user_id AND s.b > w.lo AND s.a < w.hi GROUP BY w_id""")
 def interval_overlap(t: Tables) -> DataFrame:
+    """Spans against the hours around every 50th event; interval_overlap_full has those around all events."""
+    return _overlaps(t, "event_id % 50 = 0")
+
+
+@query("JOIN-07", f"""
+    WITH e AS (SELECT user_id, event_id, {_US} AS us FROM events),
+    s AS (SELECT user_id, event_id, us AS a, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us + 1) AS b FROM e),
+    w AS (SELECT user_id, event_id AS w_id, us - 3600000000 AS lo, us + 3600000000 AS hi FROM e)
+    SELECT w_id, count(*) AS n, min(s.event_id) AS first_event FROM w JOIN s ON s.user_id = w.user_id AND s.b > w.lo AND s.a < w.hi GROUP BY w_id""")
+def interval_overlap_full(t: Tables) -> DataFrame:
+    return _overlaps(t, "true")
+
+
+def _overlaps(t: Tables, asked: str) -> DataFrame:
     e = _timed(t).select("user_id", "event_id", "us")
     nxt = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
     spans = e.select("user_id", "event_id", F.col("us").alias("a"), F.coalesce(nxt, F.col("us") + 1).alias("b"))
     hour = 3_600_000_000
-    wins = e.where("event_id % 50 = 0").select("user_id", F.col("event_id").alias("w_id"), (F.col("us") - hour).alias("lo"), (F.col("us") + hour).alias("hi"))
+    wins = e.where(asked).select("user_id", F.col("event_id").alias("w_id"), (F.col("us") - hour).alias("lo"), (F.col("us") + hour).alias("hi"))
     hit = joins.overlapping(spans, wins, ["user_id"], "a", "b", "lo", "hi", 24 * hour)
     return hit.groupBy("w_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
@@ -63,9 +77,26 @@ def forward_asof(t: Tables) -> DataFrame:
     SELECT o.source AS from_source, u.source AS to_source, CAST(least(coalesce(o.lo, 0) + o.k, coalesce(u.lo, 0) + u.k) - greatest(coalesce(o.lo, 0), coalesce(u.lo, 0)) AS BIGINT) AS moved
     FROM o JOIN u ON coalesce(o.lo, 0) < coalesce(u.lo, 0) + u.k AND coalesce(u.lo, 0) < coalesce(o.lo, 0) + o.k WHERE o.k > 0 AND u.k > 0""")
 def spill_allocation(t: Tables) -> DataFrame:
-    """Rows above 31 a source move to sources below it; tables of one row a source."""
+    """English rows above 31 a source move to sources below it; tables of one row a source. spill_allocation_full has all rows."""
     sizes = t.documents.where("lang = 'en'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    over, under = joins.allocate_spill(sizes, "source", "n", 31)
+    return _moves(sizes, 31)
+
+
+@query("JOIN-15 WIN-05", """
+    WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), c AS (SELECT source, n, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
+    o AS (SELECT source, sum(greatest(n - t, 0)) OVER (ORDER BY source) AS hi, greatest(n - t, 0) AS k FROM c),
+    u AS (SELECT source, sum(greatest(t - n, 0)) OVER (ORDER BY source) AS hi, greatest(t - n, 0) AS k FROM c)
+    SELECT o.source AS from_source, u.source AS to_source, CAST(least(o.hi, u.hi) - greatest(o.hi - o.k, u.hi - u.k) AS BIGINT) AS moved
+    FROM o JOIN u ON o.hi - o.k < u.hi AND u.hi - u.k < o.hi WHERE o.k > 0 AND u.k > 0""")
+def spill_allocation_full(t: Tables) -> DataFrame:
+    """Rows of all documents above the mean of the sources (whole rows) move to sources below it."""
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    mean = sizes.agg(F.floor(F.avg("n")).cast("long").alias("mean"))
+    return _moves(sizes.crossJoin(F.broadcast(mean)), F.col("mean"))
+
+
+def _moves(sizes: DataFrame, target) -> DataFrame:
+    over, under = joins.allocate_spill(sizes, "source", "n", target)
     o, u = over.select(F.col("source").alias("from_source"), "lo", "hi"), under.select(F.col("source").alias("to_source"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
     return o.join(u, (F.col("lo") < F.col("uhi")) & (F.col("ulo") < F.col("hi"))).select("from_source", "to_source", (F.least("hi", "uhi") - F.greatest("lo", "ulo")).alias("moved"))
 

@@ -112,6 +112,20 @@ def test_overlap_is_strict(spark):
     assert joins.overlapping(spans, wins, ["k"], "a", "b", "lo", "hi", 7).count() == 3
 
 
+def test_full_queries_ask_about_every_row(spark, sf_dir, tmp_path):
+    from corpusmill.plans import CATALOG
+
+    assert CATALOG["interval_overlap_full"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    from oracle import assert_same
+
+    rows = [(f"s{k}", lang) for k, n in enumerate((9, 1, 4, 7, 2)) for lang in ["fr"] * (n - 1) + ["en"]]
+    spark.createDataFrame(rows, "source string, lang string").coalesce(1).write.parquet(str(tmp_path / "all"))
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    full = CATALOG["spill_allocation_full"]
+    assert {tuple(r) for r in full(spark, str(tmp_path)).collect()} == {("s0", "s1", 3), ("s0", "s4", 2)}
+    assert_same(spark, str(tmp_path), full, full.sql)
+
+
 def test_active_segment_is_closed_open(spark):
     points = spark.createDataFrame([("k", t) for t in (0, 5, 9, 10, 12)], "k string, t long")
     segments = spark.createDataFrame([("k", 0, 5, "verse"), ("k", 10, 12, "chorus")], "k string, s long, e long, label string")
