@@ -3,7 +3,8 @@
 1. Each text becomes its set of hashed word n-grams (words as in _words; a text of fewer words is one n-gram) and a MinHash
    signature. Texts with equal sets are copies: one of them stands for all, with their number.
 2. Signatures are cut into bands; texts that agree in a band meet in a bucket. With 32 bands of 4, a pair at the threshold
-   of 0.8 misses every bucket with a probability of 5e-8, a closer pair with less. Buckets with the same members count once.
+   of 0.8 misses every bucket with a probability of 5e-8, a closer pair with less. Buckets with the same members count once
+   (told by their number and two sums of 64-bit hashes of their members).
 3. Pairs of a bucket compare their MinHash values 16 at a time and are dropped as soon as the posterior probability (uniform
    prior) that their similarity reaches the threshold is below TOLERANCE. Survivors are joined into candidate clusters.
    A large bucket is dealt into blocks and each pair of blocks is a unit of work of its own.
@@ -174,8 +175,8 @@ def _candidate_edges(reps: DataFrame) -> DataFrame:
     width = BAND_ROWS * 4
     bands = F.array(*[F.xxhash64(F.substring("sign", 1 + k * width, width), F.lit(k)) for k in range(BANDS)])
     placed = reps.select("key", F.explode(bands).alias("bucket"))
-    held = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.pmod(F.xxhash64("key"), F.lit(1 << 40))).alias("print"))
-    held = held.where("members > 1").groupBy("members", "print").agg(F.min("bucket").alias("bucket"))
+    held = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[F.sum(F.xxhash64(F.lit(salt), "key").cast("decimal(20,0)")).alias(f"print{salt}") for salt in (1, 2)])
+    held = held.where("members > 1").groupBy("members", "print1", "print2").agg(F.min("bucket").alias("bucket"))
     members = placed.join(held.select("bucket", "members"), "bucket").join(reps.select("key", "sign"), "key")
     blocks = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     dealt = _block_pairs(members, blocks, "key").select("bucket", "lo", "hi", "side", "key", "sign")

@@ -249,6 +249,22 @@ def test_token_files(spark, awkward, empty, tmp_path):
     assert token_files.describe_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_buckets_with_equal_small_sums_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    keys = [hashlib.md5(str(k).encode()).digest() for k in range(5000)]
+    small = spark.createDataFrame([(k,) for k in keys], "key binary").select("key", F.pmod(F.xxhash64("key"), F.lit(1 << 40)).alias("h")).collect()
+    h, names = np.array([r["h"] for r in small]), [bytes(r["key"]) for r in small]
+    i, j = np.triu_indices(len(h), 1)
+    sums = h[i] + h[j]
+    order = np.argsort(sums)
+    at = next(k for k in np.flatnonzero(np.diff(sums[order]) == 0) if len({i[order[k]], j[order[k]], i[order[k + 1]], j[order[k + 1]]}) == 4)
+    pairs = [(names[i[order[k]]], names[j[order[k]]]) for k in (at, at + 1)]
+    reps = spark.createDataFrame([(x, bytes([n + 1]) * 512) for n, p in enumerate(pairs) for x in p], "key binary, sign binary")
+    got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard_join._candidate_edges(reps).collect()}
+    assert got == {frozenset(p) for p in pairs}
+
+
 def test_token_query_equals_the_plain_call(spark, tmp_path):
     from tokenizers import Tokenizer
 
