@@ -1,7 +1,9 @@
 """HTML extraction, chat threads and the pipeline."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -109,3 +111,47 @@ def test_pipeline_against_plain_steps(spark):
     last = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["doc_id"] for r in last) == sorted(r["doc_id"] for r in four.collect())
     assert [len(corpus_pipeline.STAGES), {r["law"] for r in last}] == [5, {"bytes"}]
+
+
+ARTICLE = "<h1>A title of it</h1><p>Some words of the article that go on for a while and then stop right here.</p><p>A second part of it says a little more about the matter.</p>"
+ARTICLE_TEXT = "A title of it\nSome words of the article that go on for a while and then stop right here.\nA second part of it says a little more about the matter."
+FRAME = "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>News</a></li></ul></nav>{}<div class=ad>Buy this now</div><footer>&copy; 2020 All rights</footer></body></html>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar">{}</div>', '<div id="main" class="with-sidebar">{}</div>', '<section class="single-post share-enabled">{}</section>', '<div class="no-comments post-12">{}</div>',
+    '<div class="content-with-sidebar">{}</div>', '<div class="home social"><article>{}</article></div>', '<div class="social">{}</div>', '<form id=aspnet>{}</form>', '<div class="widget"><main>{}</main></div>',
+    '<article class="post">{}<div class="comments"><p>Nice one, thank you</p></div></article>', '<main>{}<section id="comments"><h3>Replies</h3><p>I liked it lots</p></section></main>',
+    '<div class=wrap>{}<section class=related-posts><article><h3>Another one</h3><p>Teaser of that</p></article></section></div>', '<article><div class="share-buttons">Share this</div>{}</article>',
+])
+def test_wrapper_names_do_not_empty_pages(wrapper):
+    assert html_extraction.extract_text(FRAME.format(wrapper.format(ARTICLE)), html_extraction.learn_weights()) == ARTICLE_TEXT
+
+
+def test_topics_as_ids_stay_in_the_article():
+    page = FRAME.format(f'<article>{ARTICLE}<section id="discussion"><h2 id="related-work">Related work</h2><p>Others say so too.</p></section></article>')
+    assert html_extraction.extract_text(page, html_extraction.learn_weights()) == f"{ARTICLE_TEXT}\nRelated work\nOthers say so too."
+
+
+def test_random_wrappers():
+    rng, weights = random.Random(4), html_extraction.learn_weights()
+    words = sorted({w for ws in html_extraction.FURNITURE_WORDS.values() for w in ws.split()} | html_extraction.CONTENT_WORDS | {"home", "page", "col", "inner"})
+    for _ in range(300):
+        names = " ".join(rng.choice(("has-", "with-", "no-", "")) + rng.choice(words) + rng.choice(("", "-enabled", "-layout", "-12")) for _ in range(rng.randint(1, 3)))
+        wrapper = rng.choice(('<div class="{}">{}</div>', '<div id="{}"><article>{}</article></div>', '<section class="{}"><div>{}</div></section>')).format(names, ARTICLE)
+        assert html_extraction.extract_text(FRAME.format(wrapper), weights) == ARTICLE_TEXT, names
+
+
+def test_best_run_is_the_best_of_all():
+    rng = random.Random(9)
+    for _ in range(400):
+        scores = [rng.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 14))]
+        a, b = html_extraction.best_run(scores)
+        assert sum(scores[a:b]) == max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 3 + "</span></p></b>" * 33_000, "<p><article>" + "<div>" * 30_000 + "</p>" * 100_000, "<script/>" * 50_000 + '<a b="c' * 50_000 + "<!--" * 50_000, "<div class=ad>" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extraction.extract_text(page + "some words here", html_extraction.learn_weights())
+    assert time.process_time() - began < 5
