@@ -1,7 +1,9 @@
 """Vectorised word and window hashing over Arrow text columns.
 
 A word is a run of ASCII letters and digits (A-Z lower-cased) or of any code points from U+0080 on, so words can be found on
-UTF-8 bytes. Hashes are 64-bit and only ever select candidates or stand for shingles within one pair of documents.
+UTF-8 bytes. A word's hash is the sum of scrambled (byte, place in the word) codes, so that no pattern in long words makes
+two of them alike. One 64-bit hash selects candidates; where a hash stands for a run of words itself, a second one beside it
+(wide) makes 128 bits.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class Words:
     row: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    more: np.ndarray | None = None  # a second hash
 
     @property
     def n_rows(self) -> int:
@@ -65,19 +68,20 @@ class Words:
         """Words i to i + n - 1, joined by a space."""
         return b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(i, i + n))
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Position of the first word, and hash, of every run of n words within one text."""
-        if len(self.hash) < n:
+    def windows(self, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Position of the first word, and hash (second: the other hash), of every run of n words within one text."""
+        hashes = self.more if second else self.hash
+        if len(hashes) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.row[: len(self.row) - n + 1] == self.row[n - 1 :])
-        total = np.zeros(len(self.hash) - n + 1, np.uint64)
+        total = np.zeros(len(hashes) - n + 1, np.uint64)
         for k in range(n):
-            total += self.hash[k : k + len(total)] * np.uint64(pow(_STEP, k, 1 << 64))
+            total += hashes[k : k + len(total)] * np.uint64(pow(_STEP, k, 1 << 64))
         return at, mix64(total[at])
 
-    def whole(self, row: int) -> np.uint64:
+    def whole(self, row: int, second: bool = False) -> np.uint64:
         """Hash of all words of one text as a single window."""
-        part = self.hash[self.first[row] : self.first[row + 1]]
+        part = (self.more if second else self.hash)[self.first[row] : self.first[row + 1]]
         factors = np.full(len(part), _STEP, np.uint64)
         factors[0] = 1
         return mix64(np.array([(part * np.multiply.accumulate(factors)).sum(dtype=np.uint64)], np.uint64))[0]
@@ -100,7 +104,7 @@ def chunks(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         row = stop
 
 
-def find_words(data: np.ndarray, at: np.ndarray) -> Words:
+def find_words(data: np.ndarray, at: np.ndarray, wide: bool = False) -> Words:
     """Words of the texts whose bytes are data[at[0]:at[1]], data[at[1]:at[2]] and so on."""
     raw, edges = _LOWER[data[at[0] : at[-1]]], at - at[0]
     inside = _IS_WORD[raw]
@@ -113,16 +117,22 @@ def find_words(data: np.ndarray, at: np.ndarray) -> Words:
         last = edges[1:][np.diff(edges) > 0] - 1
         closes[last] = inside[last]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    value = (sums[end] - sums[start]) * down[start]
+    place = np.arange(len(raw), dtype=np.uint64)
+    place[inside] -= np.repeat(start, end - start).astype(np.uint64)
+    codes = mix64(raw + (place << np.uint64(8)) + np.uint64(_BASE))
     first = np.searchsorted(start, edges)
-    return Words(raw, start, end, np.repeat(np.arange(len(first) - 1), np.diff(first)), first, mix64(value))
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return Words(raw, start, end, row, first, _sums(codes, start, end), _sums((codes ^ (codes >> np.uint64(29))) * np.uint64(_STEP), start, end) if wide else None)
 
 
-def each_words(column: pa.Array) -> Iterator[tuple[int, Words]]:
+def _sums(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes, out=sums[1:])
+    return mix64(sums[end] - sums[start])
+
+
+def each_words(column: pa.Array, wide: bool = False) -> Iterator[tuple[int, Words]]:
     """Words of a column, a bounded number of bytes at a time, each with the row it begins at."""
     data, at = buffers(column)
     for row, stop in chunks(at):
-        yield row, find_words(data, at[row : stop + 1])
+        yield row, find_words(data, at[row : stop + 1], wide)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._scratch import cut, drop
 
 MAX_ROUNDS = 60
 
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == seen or not state[0]:
             break
         seen = state
-        now = cut(_small_star(_large_star(now)), "edges")
+        before, now = now, cut(_small_star(_large_star(now)), "edges")
+        drop(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
