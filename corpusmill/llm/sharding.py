@@ -6,8 +6,8 @@ shard in which its middle byte falls when all bytes are cut at equal targets, wh
 row's size of the target. Sizes and order columns alone are shuffled; texts move only in write_shards.
 
 Null text counts as no bytes (each row still has a size of 1), a null id sorts first, equal ids are told apart by size and
-checksum, and rows equal in all of these are interchangeable. An empty table gives an empty result. A column named like one
-that is added is replaced.
+checksum, and rows equal in all of these are interchangeable. A text of any length is one row in one shard. An empty table gives
+an empty result. Only id_col and text_col are read; write_shards keeps all columns of docs and refuses one called shard.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm._order import global_prefix
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._scratch import cut, fresh
 
 LAW = "bytes"
 
@@ -25,6 +25,10 @@ def text_bytes(text: str = "text"):
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
+def text_crc(text: str = "text"):
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, size, text_crc32, shard (0 to n_shards - 1), slot (gapless from 0 in each shard), and the
     global rank and first byte. Shards are contiguous in the order (id, size, text_crc32)."""
@@ -34,7 +38,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
         docs.select(
             F.col(id_col).alias(id_col),
             (text_bytes(text_col) + 1).alias("size"),
-            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+            text_crc(text_col).alias("text_crc32"),
         ),
         "sizes",
     )
@@ -53,15 +57,19 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes all columns of docs as Parquet, one folder `shard=k` a shard, rows of a shard in slot order over its files.
+    """Writes all columns of docs as Parquet, one folder `shard=k` a shard, rows of a shard in order over its files.
 
-    Needs ids that are unique; each shard is cut into slot ranges so that no task holds a whole shard.
+    Rows find their place by id, size and checksum, nulls included. Rows equal in all three go where the first of them is, so
+    that none is written twice. Each shard is cut into ranges of the order, so that no task holds a whole shard.
     """
-    at = assign_shards(docs, n_shards, id_col, text_col).select(id_col, "shard", "slot", "rank")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clash = [c for c in docs.columns if c in ("shard", "slot", "rank")]
-    (
-        docs.drop(*clash).join(at, id_col)
-        .repartitionByRange(max(n, n_shards), "rank").sortWithinPartitions("rank").drop("rank")
-        .write.partitionBy("shard").parquet(path)
+    if "shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("a column of docs is called shard")
+    keys = [fresh(docs.columns, f"_{k}") for k in ("id", "size", "crc")]
+    rank, shard = fresh(docs.columns, "_rank"), "shard"
+    at = (
+        assign_shards(docs, n_shards, id_col, text_col)
+        .groupBy(F.col(id_col).alias(keys[0]), F.col("size").alias(keys[1]), F.col("text_crc32").alias(keys[2])).agg(F.min("rank").alias(rank), F.min("shard").alias(shard))
     )
+    match = F.col(id_col).eqNullSafe(F.col(keys[0])) & (text_bytes(text_col) + 1 == F.col(keys[1])) & (text_crc(text_col) == F.col(keys[2]))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs.join(at, match).repartitionByRange(max(n, n_shards), rank).sortWithinPartitions(rank).drop(*keys, rank).write.partitionBy(shard).parquet(path)
