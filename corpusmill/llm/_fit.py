@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm._scratch import cut, drop
+
 
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def sample(labelled: DataFrame, docs: DataFrame, id_col: str, label: str, text_col: str, per_class: int, max_bytes: int) -> list[tuple[str, object]]:
-    """(text, label) of up to per_class documents of each label, those with the least hash of their id, in the order of it.
+def sample(labelled: DataFrame, per_class: int, max_bytes: int) -> list[tuple[str, object]]:
+    """(text, label) of up to per_class documents of each label, those with the least hash of their id and text, in its order.
 
-    labelled: (id, label, _bytes) of the rows that may be used. Labels are counted, and rows whose hash is above about four
-    times the share that is wanted of their label are left out at once, so that what is ranked within a label is bounded
-    however many rows and partitions there are. Texts are fetched for the ranked ids alone. max_bytes: of text, over all
-    labels; rows beyond it, in hash order, are left out of the sample.
+    labelled: (_key, _text, _label) of the rows that may be used. Rows that agree in all three count once. Labels are counted,
+    and rows whose hash is above about four times the share that is wanted of their label are left out at once, so what the
+    driver gathers is bounded however many rows there are, and no label, however frequent, is ranked in one task. Texts are
+    fetched for the ranked rows alone. max_bytes: of text, over all labels; a text that would pass it is left out, and the next
+    ones are tried.
     """
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(99)), F.lit(1 << 40))
-    counts = labelled.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each label
-    near = labelled.join(counts, F.col(label) == F.col("_l")).where(place.cast("double") * F.col("_n") < F.lit(float((4 * per_class + 100) * (1 << 40))))
-    order = Window.partitionBy(label).orderBy(place, F.col(id_col))
-    ranked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class)
-    picked = sorted(ranked.select(id_col, label, "_rank", "_bytes").collect(), key=lambda r: (r["_rank"], str(r[label])))
-    total, ids = 0, {}
-    for r in picked:  # per_class rows a label at most
-        total += r["_bytes"] or 0
-        if total > max_bytes and ids:
-            break
-        ids.setdefault(r[id_col], (len(ids), r[label]))
-    if not ids:
+    texts = labelled.where(F.length("_text") > 0).withColumn("_place", F.pmod(F.xxhash64("_key", "_text", F.lit(99)), F.lit(1 << 40)))
+    rows = texts.select("_key", "_place", F.octet_length("_text").alias("_bytes"), "_label").distinct()
+    rows = cut(rows, "labelled")
+    counts = rows.groupBy(F.col("_label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each label
+    share = F.col("_place").cast("double") * F.col("_n") < F.lit(float((4 * per_class + 100) * (1 << 40)))
+    near = rows.join(counts, F.col("_label") == F.col("_l")).where(share).select("_key", "_place", "_bytes", "_label")
+    taken, ranked, total, order, picked = Counter(), Counter(), 0, [], []
+    for r in sorted(near.collect(), key=lambda r: (r["_place"], str(r["_key"]))):
+        order.append((ranked[r["_label"]], str(r["_label"]), r))
+        ranked[r["_label"]] += 1
+    for _, _, r in sorted(order, key=lambda x: x[:2]):  # the labels take turns
+        if taken[r["_label"]] < per_class and total + r["_bytes"] <= max_bytes:
+            taken[r["_label"]] += 1
+            total += r["_bytes"]
+            picked.append((r["_key"], r["_place"], r["_label"]))
+    if not picked:
         return []
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
-    wanted = spark.createDataFrame([(k, i) for k, (i, _) in ids.items()], T.StructType().add("_id", kind).add("_place", "integer"))
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(wanted), F.col("_key") == F.col("_id")).select("_key", "_place", "_text").collect()
-    return [(r["_text"], ids[r["_key"]][1]) for r in sorted(rows, key=lambda r: (r["_place"], r["_text"] or ""))]
+    kind = labelled.schema["_key"].dataType
+    wanted = labelled.sparkSession.createDataFrame([(k, p) for k, p, _ in picked], T.StructType().add("_k", kind).add("_p", "long")).distinct()
+    found = texts.join(F.broadcast(wanted), (F.col("_key") == F.col("_k")) & (F.col("_place") == F.col("_p"))).select("_key", "_place", "_text").dropDuplicates(["_key", "_place"]).collect()
+    by_row = {(r["_key"], r["_place"]): r["_text"] for r in found}
+    drop(rows)
+    return [(by_row[k, p], label) for k, p, label in picked]

@@ -6,10 +6,12 @@ of it, the last one padded; the languages' log-probabilities are averaged over i
 
 A trained filter's response to two neighbouring bytes is read from a table of all byte pairs, which is the same sum as the
 convolution and needs no multiplication. Training uses Adam on windows of a bounded sample: PER_LANGUAGE documents of each
-language and SAMPLE_BYTES of text at most. Scoring is one pass without a shuffle, a bounded number of windows at a time.
+language and SAMPLE_BYTES of text at most; the STEPS batches are drawn from all windows of that sample, each language as likely
+as the others. Scoring is one pass without a shuffle, a bounded number of windows at a time.
 
-A text that is null or has no letter is `und` with score 0. With no labelled rows everything is `und`. Repeated rows get
-equal results. An empty table gives an empty result.
+A text that is null or has no letter is `und` with score 0. Texts of any length are scored whole. With no labelled rows
+everything is `und`. Repeated rows get equal results. Columns called like the two that are added are replaced. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANGUAGE = 400
 SAMPLE_BYTES = 32 << 20
-WINDOWS_PER_LANGUAGE = 1500
 STEPS, BATCH, RATE = 320, 96, 0.02
 FOLDS, HELD_OUT_FOLD = 3, 1
 UNKNOWN = "und"
@@ -102,22 +103,18 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model | None:
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
-    rng, parts, y = np.random.default_rng(seed), [], []
-    for k, lang in enumerate(languages):
+    rng, parts = np.random.default_rng(seed), []
+    for lang in languages:
         data, at = buffers(pa.array([t for t, x in rows if x == lang], pa.string()))
-        windows, _, used = cut_windows(data, at, 0, len(at) - 1)
-        pick = rng.permutation(len(windows))[:WINDOWS_PER_LANGUAGE]
-        parts.append(windows[pick])
-        y.append(np.full(len(pick), k))
-    x, y = np.concatenate(parts), np.concatenate(y)
+        parts.append(cut_windows(data, at, 0, len(at) - 1)[0])
+    x, first = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
     n_all = len(WIDTHS) * FILTERS
     weights = [rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS] + [np.zeros(n_all), rng.normal(0, 0.3, (n_all, len(languages))), np.zeros(len(languages))]
     mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    balance = (len(y) / np.maximum(1, np.bincount(y, minlength=len(languages)))) ** 0.5
-    balance /= balance.mean()
     for step in range(1, STEPS + 1):
-        pick = rng.integers(0, len(y), min(BATCH, len(y)))
-        codes, target = x[pick].astype(np.int64), y[pick]
+        target = rng.integers(0, len(languages), BATCH)
+        pick = rng.integers(first[target], first[target + 1])
+        codes = x[pick].astype(np.int64)
         pooled, best = [], []
         for f, width in zip(weights, WIDTHS, strict=False):
             n = WINDOW - width + 1
@@ -131,7 +128,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model | None:
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(pick)), target] -= 1
-        p *= balance[target][:, None] / len(pick)
+        p /= len(pick)
         back = (p @ weights[-2].T) * (before > 0)
         grads = []
         for k, (width, top) in enumerate(zip(WIDTHS, best, strict=True)):
@@ -150,10 +147,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model | None:
 
 def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, held_out: bool = True) -> Model | None:
     """A model fitted on documents with a language outside the held-out fold (held_out False: on all of them)."""
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(lang_col).alias("_label"), F.octet_length(F.col(text_col)).alias("_bytes")).where("_bytes > 0")
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_label"))
     if held_out:
-        known = known.where(fold(id_col, FOLDS) != HELD_OUT_FOLD)
-    return fit(sample(known, docs, id_col, "_label", text_col, per_language, SAMPLE_BYTES))
+        known = known.where(fold("_key", FOLDS) != HELD_OUT_FOLD)
+    return fit(sample(known, per_language, SAMPLE_BYTES))
 
 
 def add_language(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -1,14 +1,15 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM) over n-gram indicators of whole texts.
 
-Features are indicators, hashed into WIDTH columns: runs of 1 to 3 token shapes (what a white-space token begins and ends
-with, its case, its length band, and whether it repeats the token before it) and runs of 3 bytes. Each indicator is scaled
-by the logarithm of the ratio of its smoothed document frequencies in the two classes; a linear model with hinge loss is
-then fitted by dual coordinate descent, and a logistic curve on held-back rows of the sample turns margins into scores.
-Its two parameters weigh the sample's classes by their share among all labelled rows.
+Features are indicators, hashed into WIDTH columns: runs of 1 to 3 tokens (white-space separated), runs of 1 to 3 token shapes
+(what a token begins and ends with, its case, its length band, and whether it repeats the token before it) and runs of 3 bytes.
+Each indicator is scaled by the logarithm of the ratio of its smoothed document frequencies in the two classes; a linear model
+with hinge loss (dual variables between 0 and COST) is then fitted by dual coordinate descent, and a logistic curve on held-back
+rows of the sample turns margins into scores. Its two parameters weigh the sample's classes by their share among all labelled
+rows.
 
 The model is fitted on the driver from a bounded sample: PER_CLASS rows of each class and SAMPLE_BYTES of text at most. Then
-every row is scored in one pass without a shuffle. A null or empty text has no features and gets the score of the
-intercept. With no labelled rows, or rows of one class only, scores are that class's share (0.5 with none). Repeated rows get
+every row is scored in one pass without a shuffle. Texts of any length are scored whole. A null or empty text has no features
+and gets the score of the intercept. A column called like the one that is added is replaced. With no labelled rows, or rows of one class only, scores are that class's share (0.5 with none). Repeated rows get
 equal scores. An empty table gives an empty result.
 """
 
@@ -82,17 +83,18 @@ def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
             same[first[:-1][first[:-1] < len(start)]] = False
         second = kind[np.minimum(start + 1, np.maximum(end - 1, 0))] if len(start) else kind[:0]
         shape = ((kind[start] * np.uint64(32) + second) * np.uint64(32) + kind[end - 1]) * np.uint64(16) + _LENGTHS[np.minimum(size, 65)] * np.uint64(2) + same
-        grams = [_slot(shape, 1)]
-        for n in (2, 3):
-            code = shape[: max(0, len(shape) - n + 1)].copy()
-            for k in range(1, n):
-                code = mix64(code) + shape[k : k + len(code)]
-            grams.append(_slot(code, n))
+        grams = []
+        for salt, tokens in ((0, shape), (4, value)):
+            for n in (1, 2, 3):
+                code = tokens[: max(0, len(tokens) - n + 1)].copy()
+                for k in range(1, n):
+                    code = mix64(code) + tokens[k : k + len(code)]
+                grams.append(_slot(code, salt + n))
         wide = raw.astype(np.uint64)
         triples = _slot(wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16), 9) if len(raw) > 2 else np.zeros(0, np.int64)
         for r in range(stop - row):
             a, b, x, y = first[r], first[r + 1], edges[r], edges[r + 1]
-            yield np.concatenate([*(g[a : max(a, b - k)] for k, g in enumerate(grams)), triples[x : max(x, y - 2)]])
+            yield np.concatenate([*(g[a : max(a, b - k % 3)] for k, g in enumerate(grams)), triples[x : max(x, y - 2)]])
 
 
 @dataclass
@@ -116,19 +118,19 @@ class Model:
 
 
 def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float, epochs: int, seed: int = 5) -> np.ndarray:
-    """Weights (the last is the intercept) of a linear model with squared hinge loss, fitted one dual variable at a time.
+    """Weights (the last is the intercept) of a linear model with hinge loss, fitted one dual variable at a time.
 
     rows: columns whose indicator is 1, each with the value ratio / root of their number; values are made as they are used.
     """
     w, alpha, rng = np.zeros(WIDTH + 1), np.zeros(len(y)), np.random.default_rng(seed)
-    soft, squares = 1 / (2 * cost), ratio * ratio
-    norms = np.array([squares[ids].sum() / max(1, len(ids)) + 1 for ids in rows]) + soft
+    squares = ratio * ratio
+    norms = np.array([squares[ids].sum() / max(1, len(ids)) + 1 for ids in rows])
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             ids = rows[i]
             v = ratio[ids] / np.sqrt(max(1, len(ids)))
-            slope = y[i] * (w[ids] @ v + w[-1]) - 1 + soft * alpha[i]
-            new = max(alpha[i] - slope / norms[i], 0.0)
+            slope = y[i] * (w[ids] @ v + w[-1]) - 1
+            new = min(max(alpha[i] - slope / norms[i], 0.0), cost)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 w[ids] += step * v
@@ -185,9 +187,9 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label")).where("_label in (0, 1)").distinct()
     if held_out:
         marks = marks.where(fold(id_col, FOLDS) != HELD_OUT_FOLD)
-    sized = docs.select(F.col(id_col), F.octet_length(F.col(text_col)).alias("_bytes")).where("_bytes > 0").join(marks, id_col)
     shares = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit(sample(sized, docs, id_col, "_label", text_col, per_class, SAMPLE_BYTES), shares)
+    labelled = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(marks.withColumnRenamed(id_col, "_id"), F.col("_key") == F.col("_id")).select("_key", "_text", "_label")
+    return fit(sample(labelled, per_class, SAMPLE_BYTES), shares)
 
 
 def add_scores(docs: DataFrame, model: Model, out: str = "score", text_col: str = "text") -> DataFrame:

@@ -140,6 +140,9 @@ def test_written_shards(spark, awkward, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and set(docs.columns) <= set(back.columns)
+    sharding.write_shards(awkward, str(tmp_path / "all"), 4)  # null and repeated ids
+    back = spark.read.parquet(str(tmp_path / "all"))
+    assert sorted(map(str, back.select(*awkward.columns).collect())) == sorted(map(str, awkward.collect()))
 
 
 def plain_classes(texts):
@@ -319,3 +322,135 @@ def test_quality_classifier(spark, awkward, empty):
     assert {r["score"] for r in odd} == {0.5}
     assert quality_classifier.classify(empty, labels).count() == 0
     assert quality_classifier.keep_good(awkward, labels).columns == awkward.columns
+
+
+def test_language_scores_equal_a_direct_convolution():
+    rng = np.random.default_rng(2)
+    words_of = {"x": ["abra", "kadi", "bram"], "y": ["zopf", "quex", "zuq"]}
+    model = language_id.fit([(" ".join(rng.choice(words_of[lang], 80)), lang) for lang in ("x", "y") for _ in range(8)])
+    windows = np.stack([np.frombuffer((" ".join(rng.choice(words_of[lang], 80)).encode() + bytes(256))[:256], np.uint8) for lang in ("x", "y", "x")])
+    got = language_id.log_probabilities(model, model.tables(), windows)
+    for window, logs in zip(windows, got, strict=True):
+        pooled = []
+        for width, filters in model.filters.items():
+            responses = [sum(filters[j, window[i + j]] for j in range(width)) for i in range(256 - width + 1)]
+            pooled.append(np.max(responses, 0))
+        hidden = np.maximum(np.concatenate(pooled) + model.bias, 0)
+        logits = hidden @ model.dense + model.shift
+        assert np.allclose(logs, logits - np.log(np.exp(logits).sum()), atol=1e-4)
+    assert [model.languages[k] for k in got.argmax(1)] == ["x", "y", "x"]
+
+
+def test_language_windows_cover_whole_texts():
+    import pyarrow as pa
+
+    from corpusmill.llm._words import buffers
+
+    data, at = buffers(pa.array(["A" * 600, "", "b" * 256]))
+    windows, row, used = language_id.cut_windows(data, at, 0, 3)
+    assert row.tolist() == [0, 0, 0, 2] and used.tolist() == [256, 256, 88, 256]
+    assert windows[0].tobytes() == b"a" * 256 and windows[2].tobytes() == b"a" * 88 + bytes(168)
+
+
+def test_dual_descent_finds_the_hinge_minimum():
+    """Against subgradient descent on the primal over a small table of indicators."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(60)]
+    y = np.array([1.0 if 3 in r or rng.random() < 0.2 else -1.0 for r in rows])
+    ratio = np.zeros(quality_classifier.WIDTH)
+    ratio[:12] = rng.normal(0, 1, 12)
+    x = np.zeros((60, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r] / np.sqrt(len(r)), 1
+    cost = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    w = quality_classifier.dual_descent(rows, ratio, y, 1.0, 400)
+    found = np.append(w[:12], w[-1])
+    plain = best = np.zeros(13)
+    for step in range(1, 20_000):
+        active = y * (x @ plain) < 1
+        plain = plain - (plain - (x[active] * y[active, None]).sum(0)) / (10 + step)
+        best = min(best, plain, key=cost)
+    assert cost(found) <= cost(best) + 1e-3
+
+
+def test_quality_features_equal_a_plain_reading():
+    """Word n-grams of a text are found wherever it stands, and a score is the bias and the mean weight of its indicators."""
+    import pyarrow as pa
+
+    texts = [None, "", "one two three", "zero one two three", LONG, "one two three"]
+    found = [set(ids.tolist()) for ids in quality_classifier.feature_rows(pa.array(texts))]
+    assert found[0] == found[1] == set() and found[2] == found[5] and len(found[2] - found[3]) < len(found[2]) / 2
+    weight = np.random.default_rng(1).normal(0, 1, quality_classifier.WIDTH)
+    model = quality_classifier.Model(weight, 0.25, 1.5, -0.5)
+    want = [1 / (1 + np.exp(-(1.5 * (0.25 + weight[sorted(f)].sum() / np.sqrt(max(1, len(f)))) - 0.5))) for f in found]
+    assert np.allclose(model.scores(pa.array(texts)), want)
+
+
+def test_fitted_scores_of_awkward_rows(spark, awkward):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit_from(docs, labels)
+    rows = quality_classifier.add_scores(awkward, model).collect()
+    assert len(rows) == len(TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in rows)
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(s) == 1 for s in by_text.values())
+
+
+def test_samples_pass_over_long_and_repeated_rows(spark):
+    from corpusmill.llm._fit import sample
+
+    rows = [(7, "same text", "a")] * 3000 + [(k, "x" * 5000 if k % 7 == 0 else f"text {k}", "a") for k in range(300)] + [(k, f"other {k}", "b") for k in range(300, 340)]
+    got = sample(spark.createDataFrame(rows, "_key long, _text string, _label string"), 50, 2000)
+    labels = Counter(label for _, label in got)
+    assert labels["a"] == 50 and labels["b"] == 40 and all(len(t) < 2000 for t, _ in got) and len(got) == len(set(got))
+
+
+def test_tiled_links_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(70):
+        own = base.copy() if rng.random() < 0.7 else rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+        own[rng.integers(0, 60, rng.integers(0, 8))] = rng.integers(0, 1 << 62, dtype=np.uint64)
+        own = np.unique(own)
+        sets.append((own, own ^ np.uint64(77)))
+    sets.append((sets[0][0], sets[0][1] ^ np.uint64(1)))  # equal in the first hash alone
+    names, copies = [f"{k:03}".encode() for k in range(71)], list(range(1, 72))
+    whole = [set(zip(a.tolist(), b.tolist(), strict=True)) for a, b in sets]
+    link = np.array([[i != j and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(whole)] for i, x in enumerate(whole)])
+    texts, rows, parent = Counter(), Counter(), list(range(71))
+    for tile in (3, 1500):
+        jaccard_join.TILE_TEXTS, kept = tile, jaccard_join.TILE_TEXTS
+        try:
+            one, two = jaccard_join.Held(names[:40], copies[:40], sets[:40], 0.8), jaccard_join.Held(names[40:], copies[40:], sets[40:], 0.8)
+            one.among()
+            two.among()
+            told = [one.result(), two.result()]
+            one = jaccard_join.Held(names[:40], copies[:40], sets[:40], 0.8)
+            for k in range(40, 71, 9):
+                told.append(one.against(names[k : k + 9][: 71 - k], copies[k : k + 9], sets[k : k + 9]))
+            told.append(one.result())
+        finally:
+            jaccard_join.TILE_TEXTS = kept
+        texts.clear()
+        rows.clear()
+        parent = {k: k for k in names}
+
+        def top(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for keys, roots, n, m in told:
+            for k, r, a, b in zip(keys, roots, n, m, strict=True):
+                texts[k] += int(a)
+                rows[k] += int(b)
+                a, b = top(k), top(r)
+                parent[max(a, b)] = min(a, b)
+        assert [texts[k] for k in names] == link.sum(1).tolist()
+        assert [rows[k] for k in names] == (link @ np.array(copies)).tolist()
+        reach = link | np.eye(71, dtype=bool)
+        for _ in range(7):
+            reach = reach @ reach
+        assert all((top(names[i]) == top(names[j])) == reach[i, j] for i in range(71) for j in range(71))
