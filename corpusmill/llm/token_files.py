@@ -10,7 +10,9 @@ Texts are cut before single spaces that stand between two other characters. The
 space follows a space go to the tokenizer whole. Special tokens' strings in a text are ordinary text unless added_tokens is set:
 then they become their ids, as in the tokenizer's plain call, and texts that hold such a string go to the tokenizer whole.
 
-A null text is an empty one and has the end id alone. A null id sorts first. An empty table gives no rows.
+A null text is an empty one and has the end id alone; texts of any length are one row. A null id sorts first. Rows that share an
+id are told apart by their texts, and rows equal in both are interchangeable. Only id_col and text_col are read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
 _MAY_BE_SPACE = np.zeros(256, bool)  # first bytes of white space: ASCII controls and spaces, and lead bytes of wider ones
 _MAY_BE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of a number's first bytes
 _SPACE_THEN_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -49,8 +52,10 @@ class Encoder:
     """Encodes texts with a byte-level tokenizer, remembering the ids of pieces.
 
     Pieces are found, hashed and looked up for a whole run of texts at once. The memory is an open-addressing table of 64-bit
-    hashes, with the place and number of each piece's ids in a pool; pieces that are not in it are encoded, all in one call.
-    Once it is full, what it holds stays (frequent pieces come early) and other pieces are encoded again in each run.
+    hashes, with each piece's bytes and the place and number of its ids in a pool. A piece found by its hash counts only if its
+    bytes are the same: the first 16 are compared as two numbers, longer ones as a whole. Pieces that are not in the table are
+    encoded, all in one call. Once it is full, what it holds stays (frequent pieces come early) and other pieces are encoded
+    again in each run.
     """
 
     def __init__(self, definition: str, end_id: int = END_ID, slots: int = SLOTS, added_tokens: bool = False):
@@ -64,6 +69,8 @@ class Encoder:
         self.opens[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True  # tokens that begin with a space
         self.marks: dict[str, np.ndarray] = {}
         self.key, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.head, self.next, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.long: dict[int, bytes] = {}  # pieces of more than 16 bytes, by slot
         self.held = 0
         self.pool, self.used = np.zeros(1 << 20, np.int32), 1
         self.pool[0] = end_id
@@ -125,8 +132,8 @@ class Encoder:
             todo = todo[~hit & (seen != 0)]
         return out
 
-    def _insert(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        """Puts distinct hashes that are not in the table into free slots."""
+    def _insert(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Puts distinct hashes that are not in the table into free slots; returns the slots."""
         mask = len(self.key) - 1
         todo, slot = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
         while len(todo):
@@ -137,6 +144,7 @@ class Encoder:
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & mask
         self.held += len(hashes)
+        return slot
 
     def _store(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Appends ids to the pool: place and number of each part."""
@@ -180,13 +188,30 @@ class Encoder:
         whole = sorted({int(r) for r in doubtful if _SPACE_THEN_SPACE.search(text(edges[r], edges[r + 1]))} | self._with_added(raw, edges))
         skip = np.isin(row, whole) if whole else np.zeros(len(row), bool)
 
+        # The pieces' own bytes: the first 16 as two numbers, and their number with the mark of a space before them.
+        eights = np.ndarray((len(raw) + 9,), "<u8", np.concatenate([raw, np.zeros(16, np.uint8)]), 0, (1,))
+        head, next_ = eights[begin] & _FIRST_BYTES[np.minimum(size, 8).astype(np.int64)], np.zeros(len(begin), np.uint64)
+        wide = np.flatnonzero(size > 8)
+        next_[wide] = eights[begin[wide] + 8] & _FIRST_BYTES[np.minimum(size[wide] - np.uint64(8), 8).astype(np.int64)]
+        marked = (size * np.uint64(2) + lead).astype(np.int32)
+        piece = lambda k: raw[begin[k] : finish[k]].tobytes()
+
         slot = self._find(hashes)
-        at, n = np.where(slot >= 0, self.at[slot], 0), np.where(slot >= 0, self.n[slot], 0)
+        same = (slot >= 0) & (self.head[slot] == head) & (self.next[slot] == next_) & (self.size[slot] == marked)
+        for k in np.flatnonzero(same & (size > 16)):
+            same[k] = self.long[int(slot[k])] == piece(k)
+        at, n = np.where(same, self.at[slot], 0), np.where(same, self.n[slot], 0)
+        other = (slot >= 0) & ~same & ~skip  # the hash of another piece
         missing = np.flatnonzero((slot < 0) & ~skip)
         mark = self.used
         if len(missing):
             new, sample, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             sample = missing[sample]
+            first_of = sample[back]
+            alike = (head[missing] == head[first_of]) & (next_[missing] == next_[first_of]) & (marked[missing] == marked[first_of])
+            for k in np.flatnonzero(alike & (size[missing] > 16)):
+                alike[k] = missing[k] == first_of[k] or piece(missing[k]) == piece(first_of[k])
+            other[missing[~alike]] = True
             texts = [text(begin[k], finish[k]) for k in sample]
             leading = lead[sample]
             ids: list = [None] * len(texts)
@@ -198,8 +223,14 @@ class Encoder:
             new_at, new_n = self._store(ids)
             at[missing], n[missing] = new_at[back], new_n[back]
             if keep:
-                self._insert(new, new_at, new_n)
+                put = self._insert(new, new_at, new_n)
+                self.head[put], self.next[put], self.size[put] = head[sample], next_[sample], marked[sample]
+                for k in np.flatnonzero(size[sample] > 16):
+                    self.long[int(put[k])] = piece(sample[k])
                 mark = self.used
+        if other.any():
+            alone = np.flatnonzero(other)
+            at[alone], n[alone] = self._store([self._whole(" " * int(lead[k]) + text(begin[k], finish[k])) for k in alone])
         if whole:
             whole_at, whole_n = self._store([self._whole(text(edges[r], edges[r + 1])) for r in whole])
             n[skip] = 0
