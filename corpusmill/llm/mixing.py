@@ -9,8 +9,12 @@ A source is sorted bucket by bucket (buckets are ranges of the key), so that a s
 Only ids, sources, sizes and keys are shuffled. Sources are totalled in Spark; that table (one row per source) is broadcast
 up to MAX_BROADCAST_SOURCES rows and joined on salted keys beyond.
 
-Null and empty texts have size 0, are part of whole passes and take nothing. A null source is a source of its own, last in
-order. Rows that agree in id, source, size and text are interchangeable. An empty table gives an empty result.
+u is drawn from id and text, so that rows that share an id, or have none, are spread as well.
+
+Null and empty texts have size 0, are part of whole passes and take nothing. Texts of any length are counted whole. A null
+source is a source of its own, last in order. Rows that agree in id, source and text are interchangeable and share a key. Only
+the three named columns are read (and those of weight), so other columns of any name are harmless. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,15 +33,14 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 
 def space_word_count(text: Column) -> Column:
-    """Words separated by ASCII white space; null has none."""
-    flat = F.translate(text, _SPACES, " " * len(_SPACES))
-    return F.coalesce(F.size(F.array_remove(F.split(flat, " "), "")), F.lit(0)).cast("long")
+    """Words separated by ASCII white space; null has none. Counted as the spaces after words, without an array of them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def quality_weight(text: Column) -> Column:
     """A weight in [0.05, 1]: the share of a text's characters that are not mark-up or list symbols, squared."""
     size = F.length(text)
-    marks = size - F.length(F.translate(text, "#*$%&|<>!{}", ""))
+    marks = F.regexp_count(text, F.lit(r"[#*$%&|<>!{}]"))
     return F.when(size > 0, F.greatest(F.lit(0.05), F.pow(1 - F.least(F.lit(1.0), 5.0 * marks / size), 2.0))).otherwise(F.lit(0.05))
 
 
@@ -82,6 +85,10 @@ def _with_targets(rows: DataFrame, targets: DataFrame, source: str) -> DataFrame
     return rows.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_s") == F.col("_salt"))).drop("_source", "_s", "_salt")
 
 
+def _tie(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col), F.col(id_col))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -95,19 +102,20 @@ def mix(
     weight: Column | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, passes (whole passes), part (words of the fractional
-    pass), taken (words in all) and copies (whole copies: passes, and one more if all of the row is in the fractional pass)."""
+    pass), taken (words in all), copies (whole copies: passes, and one more if all of the row is in the fractional pass) and
+    tie (a hash of id and text)."""
     if boundary not in ("cut", "nearest"):
         raise ValueError("boundary is 'cut' or 'nearest'")
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be above 0")
     text = F.col(text_col)
     w = quality_weight(text) if weight is None else weight
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 12)
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary")), 1, 12)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 48)  # md5, so that any engine can say the same
     rows = cut(
         docs.select(
             F.col(id_col), F.col(source_col), space_word_count(text).alias("size"),
-            (-F.log(u) / w).alias("_key"), F.xxhash64(text, F.col(id_col)).alias("_tie"),
+            (-F.log(u) / w).alias("_key"), _tie(id_col, text_col).alias("_tie"),
         ),
         "mix-rows",
     )
@@ -126,18 +134,27 @@ def mix(
         id_col, source_col, "size", "source_size", "target", "passes", "part",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
         (F.col("passes") + F.when((F.col("size") > 0) & (F.col("part") == F.col("size")), 1).otherwise(0)).alias("copies"),
+        F.col("_tie").alias("tie"),
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every column of docs, each row as often as the mix takes it whole (boundary rows go to the nearer side).
+def repeated(docs: DataFrame, picked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every column of docs, each row as often as picked (a mix of docs or of rows with their ids and texts) has copies of it.
 
-    Rows are matched by id; rows that repeat an id take the copies of that id's rows on average, which needs unique ids to be
-    exact. docs is joined to its own small (id, copies) table.
+    Rows are matched by id and a hash of the text, nulls included. Rows that agree in both share their copies evenly; what does
+    not divide goes to one of them, so that the mix has as many copies as it should. docs is joined to its own small table.
     """
-    id_col = how.get("id_col", "doc_id")
-    picked = mix(docs, boundary="nearest", **how).where("copies > 0")
-    key, times, copy = (fresh(docs.columns, c) for c in ("_id", "_copies", "_copy"))
-    picked = picked.groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
-    out = docs.join(picked, F.col(id_col).eqNullSafe(F.col(key)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    key, tie, times, rows, copy = (fresh(docs.columns, c) for c in ("_id", "_tie", "_copies", "_rows", "_copy"))
+    picked = cut(picked.groupBy(F.col(id_col).alias(key), F.col("tie").alias(tie)).agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(rows)).where(F.col(times) > 0), "copies")
+    joined = docs.join(picked, F.col(id_col).eqNullSafe(F.col(key)) & (_tie(id_col, text_col) == F.col(tie)))
+    again = lambda df, n: df.where(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*docs.columns)
+    out = again(joined, F.floor(F.col(times) / F.col(rows)))
+    if picked.where(F.col(times) % F.col(rows) > 0).isEmpty():
+        return out
+    rest = joined.where(F.col(times) % F.col(rows) > 0).dropDuplicates([key, tie])
+    return out.union(again(rest, F.col(times) % F.col(rows)))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: every column of docs, each row as often as the mix takes it whole (boundary rows go to the nearer side)."""
+    return repeated(docs, mix(docs, boundary="nearest", **how), how.get("id_col", "doc_id"), how.get("text_col", "text"))

@@ -11,7 +11,7 @@ _PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP1 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({_PLAIN}) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u,
+    (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u,
     CASE WHEN length(text) > 0 THEN greatest(0.05, (1 - least(1.0, 5.0 * (length(text) - length(translate(text, '#*$%&|<>!{{}}', ''))) / length(text))) ** 2) ELSE 0.05 END AS w
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -52,6 +52,28 @@ done AS (SELECT s.doc_id, class_id, CAST(coalesce(linked, 0) + rep.copies - 1 AS
   FROM s JOIN rep ON rep.gs = s.gs JOIN k ON k.rep = rep.rep JOIN z USING (class_id) LEFT JOIN l ON l.rep = rep.rep)
 SELECT * FROM done UNION ALL SELECT doc_id, doc_id, 0, 0, 1 FROM d WHERE len(w) = 0"""
 
+
+
+def _crc_table() -> str:
+    """The table of CRC-32, 8 hexadecimal digits for each byte."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(f"{value:08x}")
+    return "".join(out)
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_CRC = f"xor(list_reduce(list_concat([4294967295], {_BYTES}), lambda c, b: xor(c >> 8, CAST('0x' || substr('{_crc_table()}', 1 + 8 * (xor(c, b) & 255), 8) AS BIGINT))), 4294967295)"
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_CRC} AS text_crc32 FROM documents),
+r AS (SELECT *, CAST(coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS before, row_number() OVER o AS rn, CAST(sum(size) OVER () AS HUGEINT) AS total
+  FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+p AS (SELECT *, CAST(least((before * 2 + size) * 8 // (2 * total), 7) AS INT) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY rn) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p"""
+
 _LADDER = ", ".join(f"({k}, {a}, {b}, {c}, {d})" for k, (a, b, c, d) in enumerate(rules.LADDER))
 _RUNGS = len(rules.LADDER)
 
@@ -77,4 +99,4 @@ safe AS (SELECT lang, coalesce(min(rung) FILTER (NOT (k <= n * {rules.MAX_FALSE_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first_rung > coalesce(safe.rung, -1) AS kept
 FROM x LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM x.lang"""
 
-ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op8_jaccard_join": OP8, "op9_quality_rules": OP9}
+ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op7_shard": OP7, "op8_jaccard_join": OP8, "op9_quality_rules": OP9}

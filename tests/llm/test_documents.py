@@ -454,3 +454,43 @@ def test_tiled_links_equal_all_pairs():
         for _ in range(7):
             reach = reach @ reach
         assert all((top(names[i]) == top(names[j])) == reach[i, j] for i in range(71) for j in range(71))
+
+
+def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.llm._words import buffers
+
+    definition = open(token_files.default_tokenizer(), encoding="utf-8").read()
+    texts = ["alpha beta gamma", "beta alpha, beta", "a-rather-long-piece-of-text-here a-rather-long-piece-of-text-hers x", *[t or "" for t in TEXTS if t != LONG]]
+    data, edges = buffers(pa.array(texts))
+    right = token_files.Encoder(definition)
+    want = right.encode(data, edges)
+    monkeypatch.setattr(token_files, "mix64", lambda x: x * np.uint64(0) + np.uint64(5))  # every piece has the same hash
+    for _ in range(2):
+        poor = token_files.Encoder(definition)
+        for _ in range(2):
+            got = poor.encode(data, edges)
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_token_files_are_indexed(spark, tmp_path):
+    """Stripes, row index and Bloom filters are in the files, and a read of one id skips row groups."""
+    path = str(tmp_path / "orc")
+    docs = spark.range(20_000).selectExpr("id * 2 as doc_id", "concat('some words of text ', id, ' ', id % 97) as text")
+    token_files.write_tokens(docs, path, files=1)
+    file = next(str(p) for p in (tmp_path / "orc").glob("*.orc"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_files.ROW_INDEX_STRIDE and reader.getNumberOfRows() == 20_000
+    records = reader.rows()
+    kinds = {(s.getColumn(), str(s.getKind())) for s in records.readStripeFooter(reader.getStripes()[0]).getStreamsList()}
+    names = list(reader.getSchema().getFieldNames())
+    column = 1 + names.index("doc_id")
+    assert {(column, "ROW_INDEX"), (column, "BLOOM_FILTER_UTF8")} <= kinds
+    records.close()
+    found = token_files.read_tokens(spark, path, [7776])
+    assert [r["doc_id"] for r in found.collect()] == [7776] and token_files.read_tokens(spark, path, [7777]).count() == 0
+    plan = found._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= token_files.ROW_INDEX_STRIDE
