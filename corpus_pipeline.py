@@ -1,7 +1,12 @@
 """From raw documents to shards: good documents, one of each near-duplicate group, free of benchmark passages, mixed and sharded.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
-documents. run() writes each stage in the shared folder and hands it to the next one.
+documents. run() writes each stage in the shared folder and hands it to the next one; what a stage needed is deleted then.
+
+Null and empty texts have no words: they are kept or rejected by their score, are no near-duplicates of each other, hold no
+benchmark window, and the mix takes none of them. Rows with a null id are documents like others, rows that repeat an id or a
+text are near-duplicates or different documents by their texts. Texts of any length are worked on whole. Other columns, of any
+name, come through up to the last stage. Empty documents give an empty result; without labels all scores are 0.5, so none pass.
 """
 
 from __future__ import annotations
@@ -10,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, jaccard_join, mixing, quality_classifier, sharding
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._scratch import cut, drop, drop_since, mark
 
 SHARDS = 8
+LEAST_WEIGHT = 0.01
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: zero, one or two rows."""
-    return mixing.mixed_documents(docs)
+    """Each document as often as its source's target takes it: zero, one or two rows. A document weighs its quality score, by the
+    first stage's model."""
+    model = quality_classifier.fit_from(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.add_scores(docs.select("doc_id", "text", "source"), model, "score")
+    return mixing.repeated(docs, mixing.mix(scored, boundary="nearest", weight=F.greatest(F.lit(LEAST_WEIGHT), F.col("score"))))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result on documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, made = docs, mark()
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        drop_since(spark, made, docs)
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
