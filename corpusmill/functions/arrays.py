@@ -26,12 +26,6 @@ def undelay_row(row: Column, k: int, codebooks: int) -> Column:
     return F.slice(row, F.lit(k + 1), F.size(row) - codebooks + 1)
 
 
-def chunked(xs: Column, size: int, most: int) -> Column:
-    """Consecutive chunks of an array, at most `most`."""
-    n = F.ceil(F.size(xs) / size).cast("int")
-    return F.when(n > 0, F.slice(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(xs, i * size + 1, size)), 1, most)).otherwise(F.array().cast("array<array<string>>"))
-
-
 def ladder(values: list[float], n: int, whole: bool = False) -> list[float]:
     """A list stretched or shrunk to n values by linear interpolation."""
     if n == 1 or len(values) == 1:
@@ -63,21 +57,27 @@ def cosine(a: Column, b: Column, floor: float = 1e-9) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(floor))
 
 
-def clamp_spans(spans: Column, least: float = 0.001) -> Column:
+def clamp_spans(spans: Column, least: float = 0.001, own: Column | None = None) -> Column:
     """Start and end times made monotone: each span starts at or after the end of the one before and lasts least or more.
 
-    A true recurrence: an end that was raised moves the next start, so a running maximum would give other results.
-    spans: array<struct<start: double, end: double>>; a null span stays null and moves nothing.
+    A true recurrence: an end that was raised moves the next start, so a running maximum would give other results. Times are
+    rounded to milliseconds in the result only. spans: array<struct<start: double, end: double>>; a null span stays null, or is
+    own's span at its place, whose end moves the next start as well. If own has another length, the result is own.
     """
+    pairs = F.arrays_zip(spans.alias("x"), (spans if own is None else own).alias("y"))
     state = F.struct(F.lit(0.0).alias("cursor"), F.filter(spans, lambda x: F.lit(False)).alias("out"))
 
-    def step(acc, x):
-        start = F.round(F.greatest(x["start"], acc["cursor"]), 3)
-        end = F.round(F.greatest(x["end"], start + least), 3)
-        made = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(F.when(x.isNull(), acc["cursor"]).otherwise(end).alias("cursor"), F.concat(acc["out"], F.array(F.when(x.isNotNull(), made))).alias("out"))
+    def step(acc, p):
+        x, y = p["x"], p["y"]
+        start = F.greatest(x["start"], acc["cursor"], F.lit(0.0))
+        end = F.greatest(x["end"], start + least)
+        made = F.struct(F.round(start, 3).alias("start"), F.round(end, 3).alias("end"))
+        kept = F.struct(y["start"].alias("start"), y["end"].alias("end"))
+        cursor = F.when(x.isNotNull(), end).when(y.isNotNull(), F.greatest(acc["cursor"], y["end"])).otherwise(acc["cursor"])
+        return F.struct(cursor.alias("cursor"), F.concat(acc["out"], F.array(F.when(x.isNotNull(), made).when(y.isNotNull(), kept))).alias("out"))
 
-    return F.aggregate(spans, state, step, lambda acc: acc["out"])
+    clamped = F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    return clamped if own is None else F.when(F.size(spans) == F.size(own), clamped).otherwise(own)
 
 
 def infill_order(xs: Column, cut_a: Column, cut_b: Column, pre: int, suf: int, mid: int) -> Column:
@@ -99,3 +99,42 @@ def guided(base: Column, stages: Column, scales: Column) -> Column:
     """base + sum of scales[i] * (stages[i + 1] - stages[i])."""
     steps = F.zip_with(F.slice(stages, 2, F.size(stages)), F.slice(stages, F.lit(1), F.size(stages) - 1), lambda b, a: b - a)
     return base + F.aggregate(F.zip_with(steps, scales, lambda d, s: d * s), F.lit(0.0), lambda t, x: t + x)
+
+
+def normalised_z(xs: Column) -> Column:
+    """Values less their mean, over their population deviation; null if they hardly differ."""
+    n, total = F.size(xs), F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    centred = F.transform(xs, lambda x: x - total / n)
+    deviation = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda t, x: t + x * x) / n)
+    return F.when(deviation > 1e-6, F.transform(centred, lambda x: x / deviation))
+
+
+def l2_normalised(xs: Column, floor: float = 1e-9) -> Column:
+    size = F.greatest(F.sqrt(dot(xs, xs)), F.lit(floor))
+    return F.transform(xs, lambda x: x.cast("double") / size)
+
+
+def chunks_of(xs: Column, size: int, most: int) -> Column:
+    """Consecutive chunks of an array, at most `most`, an empty array for an empty one."""
+    n = F.least(F.ceil(F.size(xs) / size).cast("int"), F.lit(most))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(xs, i * size + 1, size))).otherwise(F.slice(F.array(xs), F.lit(1), F.lit(0)))
+
+
+def regrouped(flat: Column, offsets: Column) -> Column:
+    """Ragged groups of a flat array: group i is flat[offsets[i]] up to flat[offsets[i + 1]]."""
+    n = F.size(offsets) - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(flat, F.element_at(offsets, i) + 1, F.element_at(offsets, i + 1) - F.element_at(offsets, i)))).otherwise(F.slice(F.array(flat), F.lit(1), F.lit(0)))
+
+
+def group_offsets(groups: Column) -> Column:
+    """0 and the running sums of the groups' sizes, as ints."""
+    return F.aggregate(groups, F.array(F.lit(0)), lambda t, g: F.concat(t, F.array(F.element_at(t, -1) + F.size(g))))
+
+
+def crossfaded(a: Column, b: Column, fade: int) -> Column:
+    """Two arrays joined with an equal-power fade over `fade` values at most, fewer if one of them is shorter."""
+    n = F.least(F.lit(fade), F.size(a), F.size(b))
+    at = lambda i: F.when(n > 1, (i - 1) / (n - 1)).otherwise(F.lit(0.0)) * F.pi() / 2
+    seam = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(a, F.size(a) - n + i) * F.cos(at(i)) + F.element_at(b, i) * F.sin(at(i)))
+    joined = F.concat(F.slice(a, F.lit(1), F.size(a) - n), seam, F.slice(b, n + 1, F.size(b)))
+    return F.when(n > 0, joined).otherwise(F.concat(a, b))

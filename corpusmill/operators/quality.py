@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 MIN_SECONDS, MAX_SECONDS = 20, 330
 MAX_CLIPPED, MAX_SILENT, MIN_DBFS, MIN_BIT_RATE = 0.02, 0.60, -40.0, 96_000
-FRAME_SECONDS, SILENT_DBFS, CLIP_LEVEL = 0.05, -50.0, 0.999
+FRAME_SECONDS, SILENT_DBFS, CLIP_LEVEL = 0.05, -50.0, 0.992
+ENCODE_DBFS, ENCODE_CLIP_LEVEL, ENCODE_CLIPPED = -50.0, 0.9995, 0.20
+MAX_STEREO_SECONDS, MAX_MONO_SECONDS = 360, 420
+N_CHROMA, N_STEMS = 12, 4
 
 
 def duration_class(seconds: Column, low: float = MIN_SECONDS, high: float = MAX_SECONDS) -> Column:
@@ -19,37 +22,72 @@ def backfilled_status(status: Column, seconds: Column, high: float = MAX_SECONDS
     return F.when((status == "ok") & (seconds > high), F.lit("too_long")).otherwise(status)
 
 
+def _square_sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+
+
+def rms(samples: Column) -> Column:
+    return F.sqrt(_square_sum(samples) / F.greatest(F.size(samples), F.lit(1)))
+
+
+def dbfs(level: Column) -> Column:
+    return 20 * F.log10(F.greatest(level, F.lit(1e-10)))
+
+
+def frame_levels(samples: Column, width: Column) -> Column:
+    """Root mean square of each whole frame of width samples; what is left over at the end is dropped."""
+    frames = F.floor(F.size(samples) / width).cast("int")
+    return F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.sqrt(_square_sum(F.slice(samples, i * width + 1, width)) / width)))
+
+
 def signal_figures(samples: Column, rate: Column) -> dict[str, Column]:
-    """clip_ratio, silent_ratio and rms_dbfs of an array of samples; silence is judged by whole 50 ms frames."""
-    size = F.size(samples)
-    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    width = F.greatest(F.lit(1), F.floor(rate * FRAME_SECONDS).cast("int"))
-    frames = F.floor(size / width).cast("int")
-    levels = F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.sqrt(square(F.slice(samples, i * width + 1, width)) / width)))
-    floor = F.pow(F.lit(10.0), F.lit(SILENT_DBFS / 20))
+    """clip_ratio, silent_ratio and rms_dbfs of an array of samples, null for an empty one. Silence is judged by whole 50 ms
+    frames, by the whole recording if it is shorter than one."""
+    size, some = F.size(samples), F.size(samples) > 0
+    levels = frame_levels(samples, F.greatest(F.lit(1), F.floor(rate * FRAME_SECONDS).cast("int")))
+    whole = dbfs(rms(samples))
+    share = F.size(F.filter(levels, lambda x: dbfs(x) < SILENT_DBFS)) / F.size(levels)
     return {
-        "clip_ratio": F.size(F.filter(samples, lambda x: F.abs(x) >= CLIP_LEVEL)) / F.greatest(size, F.lit(1)),
-        "silent_ratio": F.coalesce(F.size(F.filter(levels, lambda x: x < floor)) / frames, F.lit(1.0)),
-        "rms_dbfs": 20 * F.log10(F.greatest(F.sqrt(square(samples) / F.greatest(size, F.lit(1))), F.lit(1e-10))),
+        "clip_ratio": F.when(some, F.size(F.filter(samples, lambda x: F.abs(x) >= CLIP_LEVEL)) / size),
+        "silent_ratio": F.when(some, F.coalesce(share, F.when(whole < SILENT_DBFS, 1.0).otherwise(0.0))),
+        "rms_dbfs": F.when(some, whole),
     }
 
 
-def signal_reasons(clip: Column, silent: Column, dbfs: Column, bit_rate: Column) -> Column:
-    """Reasons against a recording; none means ok."""
+def signal_reasons(clip: Column, silent: Column, level: Column, bit_rate: Column) -> Column:
+    """Reasons against a recording with their figures, such as "clipped(5.0%>2%)"; none means ok."""
+    percent = lambda x, digits: F.format_string(f"%.{digits}f%%", 100 * x)
     return F.array_compact(F.array(
-        F.when(clip > MAX_CLIPPED, F.lit("clipped")), F.when(silent > MAX_SILENT, F.lit("silent")), F.when(dbfs < MIN_DBFS, F.lit("quiet")),
-        F.when((bit_rate > 0) & (bit_rate < MIN_BIT_RATE), F.lit("low_bitrate")),
+        F.when(clip > MAX_CLIPPED, F.concat(F.lit("clipped("), percent(clip, 1), F.lit(f">{MAX_CLIPPED:.0%})"))),
+        F.when(silent > MAX_SILENT, F.concat(F.lit("silent("), percent(silent, 0), F.lit(f">{MAX_SILENT:.0%})"))),
+        F.when(level < MIN_DBFS, F.concat(F.lit("dead("), F.format_string("%.0f", level), F.lit(f"dBFS<{MIN_DBFS:.0f})"))),
+        F.when((bit_rate > 0) & (bit_rate < MIN_BIT_RATE), F.concat(F.lit("lowbitrate("), F.floor(bit_rate / 1000).cast("string"), F.lit(f"k<{MIN_BIT_RATE // 1000}k)"))),
     ))
 
 
+def encode_reason(samples: Column) -> Column:
+    """Why a recording is not worth encoding: silent (also if it is empty) or clipped; null if it is."""
+    level = rms(samples)
+    silent = (F.size(samples) == 0) | (level <= 0) | (20 * F.log10(level + 1e-12) < ENCODE_DBFS)
+    clipped = F.size(F.filter(samples, lambda x: F.abs(x) >= ENCODE_CLIP_LEVEL)) / F.greatest(F.size(samples), F.lit(1)) > ENCODE_CLIPPED
+    return F.when(silent, F.lit("silent")).when(clipped, F.lit("clipped"))
+
+
+def over_ceiling(seconds: Column, channels: Column) -> Column:
+    """Longer than the encoder takes: 360 s in stereo, 420 s in mono."""
+    return seconds > F.when(channels > 1, MAX_STEREO_SECONDS).otherwise(MAX_MONO_SECONDS)
+
+
 def trainable(n_frames: Column, segment: int, pad_short: bool = False) -> Column:
     """Long enough for a crop of segment frames and two more; with padding any song of a frame."""
     return n_frames >= (1 if pad_short else segment + 2)
 
 
-def pack_problems(meta: DataFrame, version: int = 2) -> DataFrame:
-    """(shard_id, problem) of packed shard metadata (format_version, n_codebooks, total_T, offsets, names, token_bytes)."""
-    o = F.col("offsets")
+def pack_problems(meta: DataFrame, version: int = 2, melody: bool = False, stems: bool = False, codebooks: int | None = None) -> DataFrame:
+    """(shard_id, problem) of packed shard metadata: format_version, n_codebooks, total_T, offsets, names and token_bytes; where
+    the table has them also committed, expected_names, has_melody, mel_bytes, has_stems, stem_present and stem_bytes, which
+    melody and stems ask for."""
+    o, has = F.col("offsets"), set(meta.columns)
     checks = [
         (F.col("format_version") != version, "version"),
         (F.size(o) != F.size("names") + 1, "offsets_size"),
@@ -59,6 +97,16 @@ def pack_problems(meta: DataFrame, version: int = 2) -> DataFrame:
         (F.size(F.array_distinct("names")) != F.size("names"), "repeated_name"),
         (F.col("token_bytes") != F.col("n_codebooks") * F.col("total_T") * 2, "bytes"),
     ]
+    if "committed" in has:
+        checks.append((~F.col("committed"), "uncommitted"))
+    if "expected_names" in has:
+        checks.append((~F.col("names").eqNullSafe(F.col("expected_names")), "membership"))
+    if codebooks is not None:
+        checks.append((F.col("n_codebooks") != codebooks, "codebooks"))
+    if melody:
+        checks.append((~F.col("has_melody") | (F.col("mel_bytes") != N_CHROMA * F.col("total_T") * 2), "melody"))
+    if stems:
+        checks.append((~F.col("has_stems") | (F.size("stem_present") != F.size("names")) | (F.col("stem_bytes") != N_STEMS * F.col("n_codebooks") * F.col("total_T") * 2), "stems"))
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in checks]))
     return meta.select("shard_id", F.explode(found).alias("problem"))
 

@@ -32,10 +32,12 @@ def fixed_blend(collapse: Column, clap: Column) -> Column:
     return collapse * (0.5 + 0.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(clap, F.lit(0.0)) / 0.5)))
 
 
-def rhythm_score(collapse: Column, beat: Column, rms: Column, low: float = 0.05, high: float = 0.2) -> Column:
-    """collapse * (0.6 * beat + 0.4 * how well the level sits in its band)."""
-    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rms / low, F.lit(2.0) - rms / high))
-    return collapse * (0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), beat)) + 0.4 * level)
+def rhythm_score(silent: Column, beat: Column, rms: Column) -> Column:
+    """A gate that closes at 30 % silence, times 0.6 * beat + 0.4 * level; the level's term is 1 at 0.10, falls to 0 at 0 and
+    0.20, and is 0 outside 0.02 to 0.35."""
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    level = F.when((rms < 0.02) | (rms > 0.35), F.lit(0.0)).otherwise(unit(1 - F.abs(rms - 0.10) / 0.10))
+    return unit(1 - silent / 0.30) * (0.60 * F.least(beat, F.lit(1.0)) + 0.40 * level)
 
 
 def composite(clap: Column, flat: Column, silent: Column, onset: Column) -> Column:

@@ -251,8 +251,9 @@ def label_fold(t: Tables) -> DataFrame:
 
 
 @query("STR-10", r"""
-    WITH s AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), '^["''“”]+|["''“”]+$', '', 'g'), ' ') AS s FROM documents)
-    SELECT doc_id, md5(CASE WHEN length(s) <= 300 THEN s WHEN regexp_replace(s[1:300], '\s+\S*$', '') = '' THEN s[1:300] ELSE regexp_replace(s[1:300], '\s+\S*$', '') END) AS digest FROM s""")
+    WITH w AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN length(w) >= 2 AND w[1] = w[-1] AND w[1] IN ('"', chr(39)) THEN trim(w[2:-2], ' ') ELSE w END AS s FROM w)
+    SELECT doc_id, md5(CASE WHEN length(s) <= 300 THEN s ELSE trim(regexp_replace(s[1:300], ' [^ ]*$', ''), ' ') END) AS digest FROM s""")
 def caption_clean(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.clean_caption(F.col("text"), 300).cast("binary")).alias("digest"))
 

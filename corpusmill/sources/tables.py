@@ -20,7 +20,7 @@ KEY = T.StructType().add("key", T.StringType())
 TEMPO = T.StructType().add("bpm", T.DoubleType())
 PHONEMES = T.ArrayType(T.ArrayType(T.IntegerType()))
 #: Widths of supported codecs: sample rate, codebooks, vocabulary, frames a second, samples a frame.
-CODECS = {"dac": (44_100, 9, 1024, 44_100 / 512, 512), "spectrostream": (48_000, 64, 1024, 25.0, 1920)}
+CODECS = {"dac": (44_100, 9, 1024, 86, 44_100 // 86), "spectrostream": (48_000, 32, 1024, 25, 1920)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,11 +95,15 @@ def ordered_segments(segments: Column) -> Column:
 
 
 def codecs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in CODECS.items()], "codec string, sample_rate int, n_codebooks int, vocab_size int, frame_rate_hz double, hop int")
-
-
-def excerpts(duration: Column, window: float = 30.0, most: int = 4) -> Column:
-    """Starts of up to `most` evenly spread windows between 5 % of a recording and 95 % less a window; one at 0 if it is short."""
-    low, high = 0.05 * duration, 0.95 * duration - window
-    n = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(duration / window).cast("int")))
-    return F.when(high <= low, F.array(F.lit(0.0))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: low + (high - low) * i / F.greatest(n - 1, F.lit(1))))
+    return spark.createDataFrame([(k, *v) for k, v in CODECS.items()], "codec string, sample_rate int, n_codebooks int, vocab_size int, frame_rate_hz int, hop int")
+
+
+def excerpts(total: Column, window: int, most: int = 4) -> Column:
+    """Starts of up to `most` windows in a recording, all in samples: 0 if one window holds it; a quarter in, or where it still
+    fits, if there is room for one; else evenly spread between 5 % and 95 % less a window."""
+    k = F.least(F.lit(most), F.floor(total / window)).cast("int")
+    low = F.floor(total * 0.05).cast("long")
+    high = F.greatest(low, total - window - low)
+    spread = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(low + (high - low) * (i / F.greatest(k - 1, F.lit(1)))).cast("long"))
+    single = F.least(F.floor(total * 0.25).cast("long"), total - window)
+    return F.when(total <= window, F.array(F.lit(0).cast("long"))).when(k <= 1, F.array(single.cast("long"))).otherwise(spread)

@@ -43,7 +43,7 @@ def test_parse_key(spark, text, want):
     assert one(spark, X.parse_key(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("text, want", [("120bpm", 120.0), ("120", 120.0), ("tempo:128", 128.0), (None, None), ("0", None), ("-5", None), ("fast", None)])
+@pytest.mark.parametrize("text, want", [("120bpm", 120.0), ("120", 120.0), ("tempo:128", 128.0), (None, None), ("0", None), ("-5", None), ("fast", 160.0), ("slow", 65.0), ("quick", None)])
 def test_parse_tempo(spark, text, want):
     assert one(spark, X.parse_tempo(F.lit(text))) == want
 
@@ -71,6 +71,52 @@ def test_captions(spark):
     assert one(spark, X.gender_tag(F.lit("gender-bending pop"))) is None
     assert one(spark, X.clean_caption(F.lit('"A  quoted\n caption"'))) == "A quoted caption"
     assert one(spark, X.clean_caption(F.lit("word " * 20), 12)) == "word word"
+    assert one(spark, X.clean_caption(F.lit("he said 'no'"))) == "he said 'no'" and one(spark, X.clean_caption(F.lit("''twice''"))) == "'twice'"
+    assert one(spark, X.gender_tag(F.lit("GENDER: woman. More prose"))) == "female" and one(spark, X.gender_tag(F.lit("gender: instrumental"))) is None
+    assert one(spark, X.before_gender_tag(F.lit("A song.\nGENDER: male"))) == "A song."
+    lines = "A song.\n- Drums: dry  kit\nBASS - none.\ndrums: again\n* Vocals: a choir\nGENDER: male"
+    assert one(spark, X.stem_captions(F.lit(lines))) == ["dry kit", "", "a choir", ""]
+
+
+@pytest.mark.parametrize("text, header, body", [
+    ("[male] [female] la", {"gender": "male", "vocals": "vocals"}, ["la"]), ("[120bpm] [Am] x", {"tempo": "120", "key": "a_minor", "vocals": "vocals"}, ["x"]),
+    ("[fast] [french] [instrumental]", {"tempo": "160", "language": "fr", "vocals": "instrumental"}, []), ("[f] [lang:de] [what] [verse] y", {"gender": "female", "language": "de", "vocals": "vocals"}, ["verse", "y"]),
+    ("a [male] b [] [[solo]] c", {"vocals": "vocals"}, ["a", "b", "solo", "c"]), (None, {}, []), ("[bridge]", {"section": "bridge"}, []), ("[mixed] z", {"vocals": "vocals"}, ["z"]),
+])
+def test_marker_headers(text, header, body):
+    got, rest = markers.parse_markers(text)
+    assert got == markers.DEFAULTS | header and [v for _, v in rest] == body
+
+
+def test_labels(spark):
+    ask = lambda f, *xs: [one(spark, f(F.lit(x).cast("string"))) for x in xs]
+    assert ask(X.gender_label, "Boy", "women", "mixed", None) == ["male", "female", "unknown_gender", "unknown_gender"]
+    assert ask(X.vocal_label, "no vocals", "Sung", "inst") == ["instrumental", "vocals", "unknown_vocals"]
+    assert ask(X.language_code, "lang:fr", "Mandarin", "language: German", "xx", None) == ["fr", "zh", None, None, None]
+    assert ask(X.parse_key, "g-flat minor", "c_sharp_minor", "♭h", "unknown_key") == ["f_sharp_minor", "c_sharp_minor", None, "unknown_key"]
+    assert ask(X.fingerprint, "DURATION=3\nFINGERPRINT=1,-2,3", "none") == [[1, -2, 3], []]
+    assert ask(X.stem_list, "Vox, drums,voice,") == [["vocals", "drums"]]
+    assert ask(X.sanitised, ' "a  b" ', "x " * 300)[0] == "a b"
+
+
+def test_crossfade(spark):
+    f = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    assert one(spark, A.crossfaded(f(1, 1, 1), f(2, 2), 2)) == pytest.approx([1, 1, 2]) and one(spark, A.crossfaded(f(1), f(2), 0)) == [1, 2]
+    assert one(spark, A.crossfaded(f(1, 1, 1, 1), f(3, 3, 3), 3))[2] == pytest.approx((1 + 3) / 2**0.5)
+
+
+def test_signal_gate(spark):
+    from corpusmill.operators import quality as Q
+
+    def verdict(xs, rate, bit_rate=None):
+        df = spark.createDataFrame([(xs, rate, bit_rate)], "x array<double>, r int, b int").withColumns(Q.signal_figures(F.col("x"), F.col("r")))
+        return df.select(Q.signal_reasons(F.col("clip_ratio"), F.col("silent_ratio"), F.col("rms_dbfs"), F.col("b"))).first()[0]
+
+    tone = [0.25 if k % 2 else -0.25 for k in range(400)]
+    assert verdict(tone, 100) == [] and verdict([], 100) == [] and verdict([0.5], 100) == []
+    assert verdict([1.0] * 400, 100) == ["clipped(100.0%>2%)"] and verdict([0.995] * 10 + [0.5] * 390, 100) == ["clipped(2.5%>2%)"]
+    assert verdict(tone[:100] + [0.0] * 300, 100) == ["silent(75%>60%)"] and verdict([0.001] * 400, 100)[-1] == "dead(-60dBFS<-40)"
+    assert verdict(tone, 100, 64_000) == ["lowbitrate(64k<96k)"]
 
 
 def test_clamped_spans(spark):
@@ -82,6 +128,13 @@ def test_clamped_spans(spark):
     assert clamp([(2.0, 3.0), None, (2.5, 2.6)]) == [(2.0, 3.0), None, (3.0, 3.001)]
     assert clamp([]) == []
 
+    def refine(spans, own):
+        df = spark.createDataFrame([(spans, own)], "s array<struct<start: double, end: double>>, o array<struct<start: double, end: double>>")
+        return [tuple(x) for x in df.select(A.clamp_spans(F.col("s"), own=F.col("o"))).first()[0]]
+
+    assert refine([None, (2.5, 3.8)], [(1.0, 3.0), (3.1, 3.9)]) == [(1.0, 3.0), (3.0, 3.8)]
+    assert refine([(0.0, 1.0)], [(1.0, 3.0), (3.1, 3.9)]) == [(1.0, 3.0), (3.1, 3.9)]
+
 
 def test_delay_pattern_has_an_inverse(spark):
     rows = [(k, list(range(k * 5, k * 5 + 5))) for k in range(9)]
@@ -103,7 +156,7 @@ def test_sequences(spark):
 def test_markers(spark):
     header, body = markers.parse_markers("[Tempo:120] [female] [Verse] hello world [chorus] yeah [nonsense] [brok en")
     assert header["tempo"] == "120" and header["gender"] == "female" and header["section"] == "verse" and header["key"] == "unknown_key"
-    assert body == [("word", "hello"), ("word", "world"), ("section", "chorus"), ("word", "yeah"), ("word", "brok"), ("word", "en")]
+    assert body == [("word", "hello"), ("word", "world"), ("section", "chorus"), ("word", "yeah"), ("section", "no_section"), ("word", "brok"), ("word", "en")]
     df = markers.with_markers(spark.createDataFrame([("[verse] a",), (None,)], "t string"), "t").collect()
     assert df[0]["body"][0]["value"] == "a" and df[1]["body"] == []
 
