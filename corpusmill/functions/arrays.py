@@ -138,3 +138,49 @@ def crossfaded(a: Column, b: Column, fade: int) -> Column:
     seam = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(a, F.size(a) - n + i) * F.cos(at(i)) + F.element_at(b, i) * F.sin(at(i)))
     joined = F.concat(F.slice(a, F.lit(1), F.size(a) - n), seam, F.slice(b, n + 1, F.size(b)))
     return F.when(n > 0, joined).otherwise(F.concat(a, b))
+
+
+def frame_count(samples: Column, hop: int) -> Column:
+    return F.ceil(samples / hop).cast("long")
+
+
+def bucketed_samples(samples: Column, hop: int, grid: int, most: int) -> Column:
+    """Samples padded so that their frames are a multiple of grid; as they are where that is not more, or more than `most`."""
+    target = (F.ceil(frame_count(samples, hop) / grid) * grid * hop).cast("long")
+    return F.when((target <= samples) | (target > most), samples).otherwise(target).cast("long")
+
+
+def frame_safe(samples: Column, hop: int, rate: int, frame_rate: float) -> Column:
+    """Samples moved on by half a frame where frames counted in floating point are not the frames there are (8 times at most)."""
+    out = samples
+    for _ in range(2):  # one half frame is enough wherever the two counts differ
+        off = F.ceil((out.cast("double") / F.lit(float(rate))) * F.lit(float(frame_rate))) != frame_count(out, hop)
+        out = F.when(off, out + hop // 2).otherwise(out)
+    return out.cast("long")
+
+
+def frames_to_seconds(start: Column, end: Column, n_frames: Column, seconds: Column) -> Column:
+    """start and end of a span of frames in seconds, a millisecond long at least; 0 and 0 if there is no recording."""
+    ok, each = (n_frames > 0) & (seconds > 0), seconds / n_frames
+    first = F.when(ok, F.greatest(F.lit(0.0), start * each)).otherwise(0.0)
+    return F.struct(first.alias("start"), F.when(ok, F.greatest(first + 0.001, end * each)).otherwise(0.0).alias("end"))
+
+
+def gender_of_pitch(f0: Column, least: int = 50, bound: float = 165.0) -> Column:
+    """female or male by the median pitch of voiced frames, null for fewer than `least` of them."""
+    xs = F.array_sort(F.filter(f0, lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = F.size(xs)
+    median = (F.try_element_at(xs, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(xs, F.floor(n / 2).cast("int") + 1)) / 2
+    return F.when(n >= least, F.when(median >= bound, F.lit("female")).otherwise(F.lit("male")))
+
+
+def cut_frame(seconds: Column, rate: int, n_frames: Column) -> Column:
+    """A time as a frame from 1 to the last one."""
+    return F.greatest(F.lit(1), F.least(F.floor(seconds * rate), n_frames)).cast("long")
+
+
+def context_split(head: Column, tail: Column, budget: Column) -> Column:
+    """Frames kept before and after a gap: all if they fit, else the tail gets half of the budget at most, the head the rest."""
+    over = head + tail > budget
+    kept = F.least(tail, F.floor(budget / 2))
+    return F.struct(F.when(over, F.least(head, budget - kept)).otherwise(head).cast("long").alias("head"), F.when(over, kept).otherwise(tail).cast("long").alias("tail"))

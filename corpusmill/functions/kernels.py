@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.hashing import SPLITMIX_A, SPLITMIX_B, SPLITMIX_STEP
+
 _BACKENDS: dict[str, Callable[[], Callable]] = {}
 
 
@@ -29,6 +35,16 @@ def _upper():
     return lambda x: x.upper()
 
 
+@backend("peak")
+def _peak():
+    return lambda x: str(np.abs(np.array(x.split(","), np.float64)).max())
+
+
+@backend("base64")
+def _base64():
+    return lambda x: base64.b64decode(x, validate=True).decode()
+
+
 def mapped(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """(key, result, error) of a backend over a column; a row that fails has its error and no result."""
     factory, kind = _BACKENDS[name], df.schema[key].dataType
@@ -73,6 +89,45 @@ def corpus_word_error_rate(df: DataFrame, reference: str, spoken: str, group: li
     return rows.groupBy(*group).agg((F.sum("_e") / F.greatest(F.sum("_n"), F.lit(1))).alias("pooled"), F.avg(F.col("_e") / F.greatest(F.col("_n"), F.lit(1))).alias("mean"))
 
 
+def _word_hash(word: str) -> int:
+    """SplitMix64 of the first 32 bits of sha1(word)."""
+    z = (int.from_bytes(hashlib.sha1(word.encode(), usedforsecurity=False).digest()[:4], "big") + SPLITMIX_STEP) & (1 << 64) - 1
+    for shift, factor in ((30, SPLITMIX_A), (27, SPLITMIX_B)):
+        z = (z ^ z >> shift) * factor & (1 << 64) - 1
+    return z ^ z >> 31
+
+
+def word_simhashes(df: DataFrame, key: str, words: str, out: str = "sig", held: int = 1_000_000) -> DataFrame:
+    """(key, out): 64-bit SimHash of each row's array of distinct words; a bit is 1 if more words have it than not. Rows without
+    words are left out.
+
+    One pass without a shuffle: a word is hashed once in a worker (which holds up to `held` hashes) and votes as 64 bits.
+    """
+    kind = df.schema[key].dataType
+
+    def kernel(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            column = batch.column(1)
+            flat, sizes = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            coded = flat.dictionary_encode()
+            if len(known) > held:
+                known.clear()
+            hashes = np.array([known.get(w) or known.setdefault(w, _word_hash(w)) for w in coded.dictionary.to_pylist()], np.uint64)
+            codes, ends = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            sums = np.zeros((len(sizes), 64), np.int64)
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+            for first in range(0, len(sizes), 64):  # some texts at a time
+                a, b = ends[first] - sizes[first], ends[min(first + 64, len(sizes)) - 1]
+                starts = ends[first : first + 64] - sizes[first : first + 64] - a
+                sums[first : first + 64] = np.add.reduceat(bits[codes[a:b]], starts, axis=0)
+            sig = np.packbits((sums > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig)], [key, out])
+
+    rows = df.select(key, F.col(words).alias("_words")).where(F.size("_words") > 0)
+    return rows.mapInArrow(kernel, T.StructType([T.StructField(key, kind), T.StructField(out, T.LongType())]))
+
+
 @F.pandas_udf(T.StringType())
 def align_form(words: pd.Series) -> pd.Series:
     """NFKC, lower case, and nothing but Latin letters and apostrophes."""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import band_keys, hamming, with_splitmix64
+from corpusmill.sources.scratch import written
 
 MAX_ROUNDS = 60
 #: Signatures or rows of a bucket that are compared with as many others at once.
@@ -18,9 +16,11 @@ BLOCK = 2000
 def exact_duplicates(df: DataFrame, digest: Column, name: str, status: Column | None = None) -> DataFrame:
     """df with keeper (the first name among equal digests) and status ok or duplicate; null digests are never duplicates.
 
+    Digests are computed once and written with df, which should be narrow for that.
+
     The keepers are a partial aggregate per digest; joining them back lets Spark split a digest that many rows share.
     """
-    marked = df.withColumn("_digest", digest)
+    marked = written(df.withColumn("_digest", digest), "digests")
     kept = marked.where("_digest is not null").groupBy("_digest").agg(F.min(name).alias("keeper"))
     out = marked.join(kept, "_digest", "left").withColumn("keeper", F.coalesce("keeper", F.col(name)))
     verdict = F.when(F.col(name) == F.col("keeper"), F.lit("ok")).otherwise(F.lit("duplicate"))
@@ -87,7 +87,7 @@ def _close_signatures(distinct: DataFrame, bands: int, most: int, block: int) ->
 
 def _by_signature(signatures: DataFrame, name: str, sig: str) -> tuple[DataFrame, DataFrame]:
     """(_name, _s) of the rows that have a signature, and (_s, _first, _n): each signature with its least name."""
-    rows = _written(signatures.where(F.col(sig).isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("_name"), F.col(sig).alias("_s")).distinct())
+    rows = written(signatures.where(F.col(sig).isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("_name"), F.col(sig).alias("_s")).distinct())
     return rows, rows.groupBy("_s").agg(F.min("_name").alias("_first"), F.count(F.lit(1)).alias("_n"))
 
 
@@ -100,7 +100,7 @@ def near_pairs(signatures: DataFrame, name: str, sig: str, bands: int = 4, most:
     if cap is not None:
         return _capped_pairs(signatures, name, sig, bands, most, cap)
     rows, distinct = _by_signature(signatures, name, sig)
-    distinct = _written(distinct)
+    distinct = written(distinct)
     blocks = F.ceil(F.col("_n") / block).cast("int")
     size = distinct.select("_s", blocks.alias("_blocks"))
     same = distinct.where("_n > 1").select(F.col("_s").alias("sa"), F.col("_s").alias("sb"))
@@ -123,7 +123,7 @@ def near_links(signatures: DataFrame, name: str, sig: str, bands: int = 4, most:
     The rows of a signature are linked to its least name, and the least names of close signatures to each other.
     """
     rows, distinct = _by_signature(signatures, name, sig)
-    distinct = _written(distinct)
+    distinct = written(distinct)
     first = distinct.select("_s", "_first")
     copies = rows.join(first, "_s").where(F.col("_name") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_name").alias("b"))
     close = _close_signatures(distinct.select("_s"), bands, most, block)
@@ -140,33 +140,19 @@ def _capped_pairs(signatures: DataFrame, name: str, sig: str, bands: int, most:
     return left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("_sa"), F.col("_sb")) <= most)).select("a", "b").distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the folder all executors share and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-            root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/corpusmill/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component): connected components named by their least vertex.
 
     Labels fall to the least label among neighbours and then to that label's own label, so chains halve each round.
     """
-    edges = _written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(b, a)).distinct())
-    labels = _written(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("vertex"), "label"))
+    edges = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(b, a)).distinct())
+    labels = written(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("vertex"), "label"))
     for _ in range(MAX_ROUNDS):
         near = edges.join(labels, F.col("y") == F.col("vertex")).groupBy("x").agg(F.min("label").alias("_near"))
         lower = labels.join(near, F.col("vertex") == F.col("x"), "left").select("vertex", F.least("label", F.coalesce("_near", "label")).alias("label"))
-        lower = _written(lower)
+        lower = written(lower)
         jump = lower.select(F.col("vertex").alias("_v"), F.col("label").alias("_l"))
-        new = _written(lower.join(jump, F.col("label") == F.col("_v"), "left").select("vertex", F.col("label").alias("_before"), F.least("label", F.coalesce("_l", "label")).alias("label")))
+        new = written(lower.join(jump, F.col("label") == F.col("_v"), "left").select("vertex", F.col("label").alias("_before"), F.least("label", F.coalesce("_l", "label")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "_old"), "vertex").where(F.col("label") != F.col("_old")).limit(1).count()
         labels = new.select("vertex", "label")
         if not changed:

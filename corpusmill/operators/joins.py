@@ -123,3 +123,18 @@ def encode_distinct(df: DataFrame, value: str, out: str) -> tuple[DataFrame, Dat
 
     words = global_row_number(df.select(value).where(F.col(value).isNotNull()).distinct(), [value], out)
     return words, df.join(words, value, "left").drop(value)
+
+
+def with_defaults(items: DataFrame, batch: DataFrame, fields: list[str]) -> DataFrame:
+    """items whose null fields are those of their batch, a table of one row."""
+    shared = batch.select(*[F.col(f).alias(f"_d_{f}") for f in fields])
+    kept = [F.coalesce(F.col(f), F.col(f"_d_{f}")).alias(f) if f in fields else F.col(f) for f in items.columns]
+    return items.crossJoin(F.broadcast(shared)).select(*kept)
+
+
+def looked_up(base: DataFrame, parts: DataFrame, key: str, value: str, measure: Column) -> DataFrame:
+    """base with n_chunks and the total of measure over its parts; measure is worked out once for each distinct value."""
+    known = parts.select(F.md5(F.col(value).cast("binary")).alias("_h"), value).dropDuplicates(["_h"]).select("_h", measure.alias("_m"))
+    marked = parts.select(key, F.md5(F.col(value).cast("binary")).alias("_h")).join(known, "_h")
+    totals = marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("_m").alias("total"))
+    return base.join(totals, key, "left").fillna(0, ["n_chunks", "total"])

@@ -115,3 +115,9 @@ def fail_if_nothing_worked(n_pending: int, n_done: int) -> None:
     """Pending work of which none succeeded is an error, not an empty result."""
     if n_pending > 0 and n_done <= 0:
         raise RuntimeError(f"none of {n_pending} pending items succeeded")
+
+
+def guarded(counts: DataFrame, pending: str, done: str) -> DataFrame:
+    """One row of counts, failing if work was pending and none succeeded."""
+    bad = (F.col(pending) > 0) & (F.col(done) <= 0)
+    return counts.where(F.when(bad, F.raise_error(F.lit("none of the pending items succeeded")).isNull()).otherwise(F.lit(True)))

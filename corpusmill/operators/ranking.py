@@ -64,11 +64,19 @@ def floor_verdict(count: Column, percent: Column, min_percent: float = 4.0, min_
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The floor(n * p)-th value from 0 of each group in rising order, for each named share."""
-    every = Window.partitionBy(*group)
-    rn, n = F.row_number().over(every.orderBy(value)), F.count(F.lit(1)).over(every)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_rn", rn).withColumn("_n", n)
-    pick = lambda p: F.max(F.when(F.col("_rn") == F.least(F.floor(F.col("_n") * p) + 1, F.col("_n")), F.col(value)))
+    """The floor(n * p)-th value from 0 of each group in rising order, for each named share.
+
+    Equal values are counted, and the counts summed along ranges of (group, value): a group of any size is spread over tasks.
+    """
+    from corpusmill.operators.windows import running_sum
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_sum(counts, [*group, value], "_c", "_earlier")
+    whole = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("_earlier").alias("_base"), F.sum("_c").alias("_n"))
+    match = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    rows = placed.join(whole, match).withColumn("_at", F.col("_earlier") - F.col("_base"))
+    wanted = lambda p: F.least(F.floor(F.col("_n") * p), F.col("_n") - 1)
+    pick = lambda p: F.max(F.when((wanted(p) >= F.col("_at")) & (wanted(p) < F.col("_at") + F.col("_c")), F.col(value)))
     return rows.groupBy(*group).agg(*[pick(p).alias(name) for name, p in shares.items()])
 
 
@@ -95,3 +103,20 @@ def survival(df: DataFrame, seconds: str, candidates: list[float]) -> DataFrame:
     counted = df.agg(F.count(F.lit(1)).alias("_all"), *[F.struct(F.count(F.when(F.col(seconds) >= c, 1)).alias("n"), F.coalesce(F.sum(F.when(F.col(seconds) >= c, F.col(seconds))), F.lit(0)).alias("s")).alias(f"_c{k}") for k, c in enumerate(candidates)])
     rows = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("seconds"), F.col(f"_c{k}.n").alias("survivors"), F.col(f"_c{k}.s").cast("double").alias("_s")) for k, c in enumerate(candidates)]))
     return counted.select("_all", rows.alias("_r")).select("_r.seconds", "_r.survivors", (F.col("_r.survivors") / F.greatest("_all", F.lit(1))).alias("kept"), (F.col("_r._s") / 3600).alias("hours"))
+
+
+def effective_epochs(steps: int, batch: int, seconds: float, audio: Column) -> Column:
+    """How often a run of steps x batch crops of some seconds sweeps the audio there is."""
+    return F.lit(steps * batch * seconds) / F.greatest(audio, F.lit(1.0))
+
+
+def epoch_verdict(epochs: Column) -> Column:
+    return F.when(epochs < 2, "under").when(epochs <= 15, "healthy").otherwise("over")
+
+
+def decoder_parameters(width: Column, layers: Column, inner: Column, text: Column, codebooks: int, vocab: int) -> Column:
+    """Parameters of a decoder: embeddings and heads of each codebook, and attention, perceptron and norms of each layer."""
+    tables = 2 * codebooks * vocab * width
+    attention = F.when(text, 8).otherwise(4) * width * width
+    norms = F.when(text, 3).otherwise(2) * width
+    return tables + layers * (attention + 2 * width * inner + norms) + width

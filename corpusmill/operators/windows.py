@@ -5,34 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.dedup import _written
+from corpusmill.sources.scratch import written
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df dealt into ranges of the order, _part their number from low to high; written, so that it stays as dealt."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def global_row_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Adds a row number over the whole table without sorting it in one task.
 
-    Rows are cut into ranges of the order (by hash of nothing but the sampled bounds of Spark's range partitioner), counted
-    per range, and numbered within their range plus the rows of earlier ranges. Ranges are found by value, so that a
-    recomputed task deals rows alike: bounds are quantiles of the first order column.
+    Rows are dealt into ranges of all order columns, so that neither a common beginning nor a frequent value of the first one
+    gathers them in one task; each range is counted, and rows are numbered within their range plus the rows of earlier ones.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = order[0]
-    kind = df.schema[first].dataType.simpleString()
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        bounds = df.agg(F.percentile_approx(first, [k / n for k in range(1, n)], 1000).alias("q")).first()["q"] if n > 1 else []
-        cuts = sorted(set(bounds or []))
-        place = F.lit(0)
-        if cuts:
-            place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(first)))
-        place = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(place)
-    else:  # strings and the rest: ranges by the first two characters, which keep code point order
-        place = F.coalesce(F.substring(F.col(first).cast("string"), 1, 2), F.lit(""))
-        place = F.when(F.col(first).isNull(), F.lit("")).otherwise(F.concat(F.lit("+"), place))
-    ranged = df.withColumn("_range", place)
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col("_range"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return numbered.join(before, "_range").withColumn(out, F.col("_before") + F.col("_local")).drop("_range", "_before", "_local")
+    ranged = _ranged(df, order)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
 
 
 def contiguous_shards(df: DataFrame, order: list[str], value: str, per_shard: int) -> DataFrame:
@@ -42,12 +34,6 @@ def contiguous_shards(df: DataFrame, order: list[str], value: str, per_shard: in
     return out.withColumn("offset", F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_rn")
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """df dealt into ranges of the order, _part their number from low to high; written, so that it stays as dealt."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-
-
 def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over all earlier rows of the table, range by range of the order. order must be unique."""
     ranged = _ranged(df, order)

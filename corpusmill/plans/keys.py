@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing as H
+from corpusmill.functions import kernels
 from corpusmill.functions import text as X
 from corpusmill.operators import dedup, joins, windows
 from corpusmill.plans.catalog import Tables, query
@@ -18,7 +19,8 @@ _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ')"
     WITH d AS (SELECT doc_id, sha256({_NORM}) AS h FROM documents)
     SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keeper, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY h) THEN 'ok' ELSE 'duplicate' END AS status FROM d""")
 def exact_dup_verdict(t: Tables) -> DataFrame:
-    return dedup.exact_duplicates(t.documents.select("doc_id", "text"), F.sha2(X.normalised(F.col("text")).cast("binary"), 256), "doc_id").select("doc_id", "keeper", "status")
+    digests = t.documents.select("doc_id", F.sha2(X.normalised(F.col("text")).cast("binary"), 256).alias("digest"))
+    return dedup.exact_duplicates(digests, F.col("digest"), "doc_id").select("doc_id", "keeper", "status")
 
 
 @query("AGG-11", f"""
@@ -32,7 +34,7 @@ def dup_collapse_top(t: Tables) -> DataFrame:
     SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_in_groups,
            CASE WHEN coalesce(sum(n) FILTER (n > 1), 0) > 0.2 * sum(n) THEN 'poor' WHEN coalesce(sum(n) FILTER (n > 1), 0) > 0.05 * sum(n) THEN 'fair' ELSE 'good' END AS health FROM g""")
 def dup_collapse_totals(t: Tables) -> DataFrame:
-    totals = dedup.collapse(t.documents, X.normalised(F.col("text")))[0]
+    totals = dedup.collapse(t.documents, F.md5(X.normalised(F.col("text")).cast("binary")))[0]
     return totals.withColumn("health", F.when(F.col("n_in_groups") > 0.2 * F.col("n_rows"), "poor").when(F.col("n_in_groups") > 0.05 * F.col("n_rows"), "fair").otherwise("good"))
 
 
@@ -58,7 +60,7 @@ def hash_sample_two_salts(t: Tables) -> DataFrame:
     return t.documents.groupBy(H.sampled(F.col("doc_id"), 30).alias("in_a"), H.sampled(F.col("doc_id"), 30, "stem-sample:").alias("in_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("MTH-01 SRC-03", f"SELECT {_H8.format('CAST(doc_id AS VARCHAR)')} % 256 AS shard, count(*) AS n FROM documents GROUP BY 1")
+@query("MTH-01", f"SELECT {_H8.format('CAST(doc_id AS VARCHAR)')} % 256 AS shard, count(*) AS n FROM documents GROUP BY 1")
 def shard_histogram(t: Tables) -> DataFrame:
     return t.documents.groupBy(H.shard_of(F.col("doc_id")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -76,14 +78,9 @@ def splitmix(t: Tables) -> DataFrame:
     return H.with_splitmix64(t.documents.select("doc_id"), "doc_id", "h").select("doc_id", H.unsigned_text(F.col("h")).alias("h"))
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, f): 32-bit hashes of the distinct words of each document, lower-cased."""
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.lower("text")))).alias("w"))
-    return words.select("doc_id", H.sha1_bucket(F.col("w"), 1 << 32).alias("f"))
-
-
 def _signatures(t: Tables) -> DataFrame:
-    return dedup.simhash(_shingles(t.documents), "doc_id", "f")
+    """SimHashes of the distinct words of each document, lower-cased."""
+    return kernels.word_simhashes(t.documents.select("doc_id", F.array_distinct(X.words(F.lower("text"))).alias("w")), "doc_id", "w")
 
 
 _SIM = r"""
@@ -125,7 +122,7 @@ _COMP = "WITH RECURSIVE " + _BAND.strip() + """,
     comp AS (SELECT v AS vertex, min(c) AS component FROM r GROUP BY v)"""
 
 
-@query("JOIN-11 UDF-05", _COMP + " SELECT vertex, component FROM comp")
+@query("JOIN-11", _COMP + " SELECT vertex, component FROM comp")
 def near_dup_components(t: Tables) -> DataFrame:
     return dedup.components(dedup.near_links(_signatures(t), "doc_id", "sig"))
 
@@ -144,7 +141,7 @@ def label_coverage(t: Tables) -> DataFrame:
     return marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("_m").alias("n_labelled"), F.round(F.count("_m") / F.count(F.lit(1)), 9).alias("share"))
 
 
-@query("JOIN-01 JOIN-22 SRC-23", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+@query("JOIN-01 JOIN-22", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def pending_unlabelled(t: Tables) -> DataFrame:
     return joins.pending(t.documents.select("doc_id"), t.labels, "doc_id")
 
@@ -164,7 +161,7 @@ def conditional_gate_open(t: Tables) -> DataFrame:
     return joins.gated(t.documents.select("doc_id"), t.labels.where("quality = 7"), "doc_id")
 
 
-@query("JOIN-05 JOIN-21", """
+@query("JOIN-05", """
     SELECT o_orderkey, c_name, c_mktsegment, n_name, r_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey
     LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
 def star_enrich(t: Tables) -> DataFrame:
@@ -180,7 +177,7 @@ def priority_merge(t: Tables) -> DataFrame:
     return joins.overlay([t.labels.select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("mark")), t.documents.select("doc_id", F.col("source").alias("mark"))], "doc_id", "mark")
 
 
-@query("JOIN-13 SET-06 FLT-25", """
+@query("JOIN-13 SET-06", """
     SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS side
     FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
 def orphans_full_outer(t: Tables) -> DataFrame:
@@ -196,7 +193,7 @@ def expected_vs_actual(t: Tables) -> DataFrame:
     return joins.differences(count(t.documents), count(t.documents.where("lang = 'en'")), "source", "n")
 
 
-@query("SET-01 SET-02 SET-05 SNK-08", """
+@query("SET-01 SET-02 SET-05", """
     SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
     UNION ALL SELECT 'minus', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
     UNION ALL SELECT 'union', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)""")
@@ -220,7 +217,7 @@ def rank_partition(t: Tables) -> DataFrame:
     return windows.rank_partition(t.documents.select("doc_id"), ["doc_id"], 7)
 
 
-@query("SNK-10 JOIN-20", """
+@query("SNK-10", """
     SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS request FROM documents ANTI JOIN labels USING (doc_id)""")
 def delete_plan(t: Tables) -> DataFrame:
     from corpusmill.sources.stores import delete_plan as plan
@@ -260,7 +257,7 @@ def dedup_group_stats(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_partkey").agg(n.alias("n"), sizes.alias("sizes"), ((n > 1) & (sizes == 1)).alias("identical"), (sizes > 1).alias("clash"))
 
 
-@query("AGG-19 WIN-03 WIN-05 JOIN-16", """
+@query("WIN-03", """
     WITH r AS (SELECT doc_id, source, (dense_rank() OVER (ORDER BY doc_id) - 1) // 100 AS wave FROM documents)
     SELECT wave, count(*) AS placed, count(*) FILTER (source <> 'src' || (wave % 20)) AS moves FROM r GROUP BY wave""")
 def wave_plan(t: Tables) -> DataFrame:

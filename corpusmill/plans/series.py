@@ -11,6 +11,8 @@ from corpusmill.operators import joins, ranking, windows
 from corpusmill.plans.catalog import Tables, query
 from corpusmill.sources import tables as S
 
+#: Vectors of 64 doubles that are broadcast at most: 5 MB.
+MAX_CENTERS = 10_000
 _US = "CAST(epoch_us(ts) AS BIGINT)"
 
 
@@ -70,7 +72,7 @@ def forward_asof(t: Tables) -> DataFrame:
     return joins.as_of(points, clicks, ["user_id"], "us", "next_click", [], forward=True).select("error_id", "next_click")
 
 
-@query("JOIN-15 WIN-05", """
+@query("JOIN-15", """
     WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL),
     o AS (SELECT source, sum(greatest(n - 31, 0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, greatest(n - 31, 0) AS k FROM c),
     u AS (SELECT source, sum(greatest(31 - n, 0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, greatest(31 - n, 0) AS k FROM c)
@@ -82,7 +84,7 @@ def spill_allocation(t: Tables) -> DataFrame:
     return _moves(sizes, 31)
 
 
-@query("JOIN-15 WIN-05", """
+@query("JOIN-15", """
     WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), c AS (SELECT source, n, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
     o AS (SELECT source, sum(greatest(n - t, 0)) OVER (ORDER BY source) AS hi, greatest(n - t, 0) AS k FROM c),
     u AS (SELECT source, sum(greatest(t - n, 0)) OVER (ORDER BY source) AS hi, greatest(t - n, 0) AS k FROM c)
@@ -101,14 +103,14 @@ def _moves(sizes: DataFrame, target) -> DataFrame:
     return o.join(u, (F.col("lo") < F.col("uhi")) & (F.col("ulo") < F.col("hi"))).select("from_source", "to_source", (F.least("hi", "uhi") - F.greatest("lo", "ulo")).alias("moved"))
 
 
-@query("WIN-01 WIN-02 SNK-05 SRC-09", """
+@query("WIN-01 WIN-02", """
     WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
     SELECT o_orderkey, i // 500 AS shard, i % 500 AS local_idx, CAST(coalesce(sum(o_custkey) OVER (PARTITION BY i // 500 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r""")
 def contiguous_shards(t: Tables) -> DataFrame:
     return windows.contiguous_shards(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], "o_custkey", 500).drop("o_custkey")
 
 
-@query("SNK-06 SNK-11", """
+@query("WIN-01", """
     WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderstatus = 'F')
     SELECT o_orderkey, 3 + i // 500 AS shard_id, i % 500 AS local_idx FROM r""")
 def appended_shards(t: Tables) -> DataFrame:
@@ -154,7 +156,7 @@ def max_n_tier(t: Tables) -> DataFrame:
     return ranking.ranked_settings(t.events, "event_type", "value").select("event_type", "n", F.round("robust", 6).alias("robust"), "eligible")
 
 
-@query("AGG-21 SRT-04 AGG-42", """
+@query("AGG-21 SRT-04", """
     WITH c AS (SELECT event_type, user_id, avg(value) AS ls, max(value) AS clap FROM events GROUP BY ALL),
     b AS (SELECT *, ls * (0.5 + 0.5 * (clap - min(clap) OVER ()) / greatest(max(clap) OVER () - min(clap) OVER (), 1e-9)) AS score FROM c)
     SELECT event_type, user_id, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY score DESC, user_id) <= 3""")
@@ -204,7 +206,7 @@ def delay_shift(t: Tables) -> DataFrame:
     return r.select("conv_id", F.explode(rows).alias("x")).select("conv_id", "x.*")
 
 
-@query("ARR-01 SRC-18 SRC-09", """
+@query("WIN-02", """
     WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS g FROM conversations GROUP BY conv_id)
     SELECT conv_id, len(g) AS n, CAST(coalesce(sum(len(g)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM c""")
 def csr_offsets(t: Tables) -> DataFrame:
@@ -231,7 +233,7 @@ def infill_order(t: Tables) -> DataFrame:
     return g.select("conv_id", F.array_join(A.infill_order(F.col("g"), F.lit(1), F.lit(2), -1, -2, -3), ",").alias("ordered"))
 
 
-@query("STR-05 MTH-08", """
+@query("STR-05", """
     SELECT event_id, CASE WHEN value > 0 THEN len(list_filter([60, 70, 80, 90, 100, 110, 120, 130, 140, 150, 160, 170, 180], lambda e: value >= e)) ELSE -1 END AS bucket FROM events""")
 def tempo_bucket(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.tempo_bucket(F.col("value")).cast("long").alias("bucket"))
@@ -257,8 +259,10 @@ def _centroids(t: Tables) -> DataFrame:
     r AS (SELECT vec_id, owner, sim, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, owner) AS rn, lead(sim) OVER (PARTITION BY vec_id ORDER BY sim DESC, owner) AS second FROM s)
     SELECT vec_id, owner, round(sim, 6) AS sim, round(sim - second, 6) AS margin, sim - second >= 0.05 AS clear FROM r WHERE rn = 1""")
 def cosine_argmax_margin(t: Tables) -> DataFrame:
-    """Vectors against the label centroids (a fixed few), all in one row's arrays: no pairs are shuffled."""
-    centers = _centroids(t).agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("cs"))  # one row, ten vectors
+    """Vectors against the label centroids, all in one row's arrays: no pairs are shuffled. At most MAX_CENTERS are broadcast."""
+    if (n := t.embeddings.select("label").distinct().count()) > MAX_CENTERS:
+        raise ValueError(f"{n} labels; compare them in blocks of {MAX_CENTERS}")
+    centers = _centroids(t).agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("cs"))  # one row
     sims = F.transform("cs", lambda c: F.struct(A.cosine(F.col("embedding"), c["center"]).alias("sim"), (-c["label"]).alias("neg")))
     best = t.embeddings.crossJoin(F.broadcast(centers)).select("vec_id", F.reverse(F.array_sort(sims)).alias("s"))
     margin = F.col("s")[0]["sim"] - F.col("s")[1]["sim"]
@@ -284,7 +288,7 @@ def moving_average(t: Tables) -> DataFrame:
     return windows.decayed_mean(t.events, "user_id", ["ts", "event_id"], "value", 0.9, "ema").select("user_id", F.round("ema", 6).alias("ema"))
 
 
-@query("AGG-25 AGG-27", """
+@query("AGG-25", """
     SELECT event_type, round(sum(value * (1 + (event_id % 3 = 0)::INT)) / sum(1 + (event_id % 3 = 0)::INT), 6) AS weighted FROM events GROUP BY event_type""")
 def weighted_means(t: Tables) -> DataFrame:
     w = 1 + (F.col("event_id") % 3 == 0).cast("int")

@@ -66,7 +66,7 @@ def ngram5(t: Tables) -> DataFrame:
 _FLAGS = {k: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in v) + ")" for k, v in FACETS.items()}
 
 
-@query("FLT-15 FLT-16", f"SELECT doc_id, {', '.join(f'{sql} AS {k}' for k, sql in _FLAGS.items())} FROM documents")
+@query("FLT-15", f"SELECT doc_id, {', '.join(f'{sql} AS {k}' for k, sql in _FLAGS.items())} FROM documents")
 def facet_flags(t: Tables) -> DataFrame:
     low = F.lower("text")
     return t.documents.select("doc_id", *[X.contains_any(low, v).alias(k) for k, v in FACETS.items()])
@@ -87,7 +87,7 @@ _WORD = r"(?:\A|[^\p{L}\p{N}_])%s(?:[^\p{L}\p{N}_]|\z)"
 _RX = {**{w: _WORD % w for w in ("the", "und", "les")}, "shout": r"[A-Z]{4,}!!"}
 
 
-@query("FLT-18 FLT-19 AGG-33", " UNION ALL ".join(f"""
+@query("FLT-18 AGG-33", " UNION ALL ".join(f"""
     SELECT '{k}' AS pattern, count(*) FILTER (regexp_matches(text, '{rx}')) AS hits, round(100.0 * count(*) FILTER (regexp_matches(text, '{rx}')) / count(*), 9) AS percent,
     CASE WHEN 100.0 * count(*) FILTER (regexp_matches(text, '{rx}')) / count(*) >= 4 AND count(*) FILTER (regexp_matches(text, '{rx}')) >= 200 THEN 'CLOSED' ELSE 'OPEN' END AS verdict FROM documents""" for k, rx in _RX.items()))
 def regex_floor_verdict(t: Tables) -> DataFrame:
@@ -97,7 +97,7 @@ def regex_floor_verdict(t: Tables) -> DataFrame:
     return rows.select("pattern", "hits", F.round(percent, 9).alias("percent"), ranking.floor_verdict(F.col("hits"), percent, 4.0, 200).alias("verdict"))
 
 
-@query("AGG-33 SNK-16", """
+@query("AGG-33", """
     WITH a AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
     SELECT source, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b USING (source)""")
 def run_over_run(t: Tables) -> DataFrame:
@@ -131,7 +131,7 @@ def upper_median(t: Tables) -> DataFrame:
 _STATUS = "CASE WHEN n_chars / 20.0 < 20 THEN 'too_short' WHEN n_chars / 20.0 > 330 THEN 'too_long' ELSE 'ok' END"
 
 
-@query("FLT-04 FLT-05 FLT-08", f"SELECT {_STATUS} AS status, count(*) AS n, round(sum(n_chars / 20.0) / 3600, 9) AS hours FROM documents GROUP BY 1")
+@query("FLT-04", f"SELECT {_STATUS} AS status, count(*) AS n, round(sum(n_chars / 20.0) / 3600, 9) AS hours FROM documents GROUP BY 1")
 def duration_classes(t: Tables) -> DataFrame:
     """Characters at 20 a second stand in for seconds."""
     seconds = F.col("n_chars") / 20.0
@@ -148,7 +148,7 @@ def trainable_lengths(t: Tables) -> DataFrame:
     return t.documents.groupBy(quality.trainable(F.col("n_chars"), 256).alias("long_enough"), quality.trainable(F.col("n_chars"), 256, True).alias("paddable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("AGG-09 WIN-08", f"""
+@query("AGG-09", f"""
     WITH d AS (SELECT {_N} AS n FROM documents)
     SELECT CAST(least(ceil(n / 72), 16) AS BIGINT) AS chunks, count(*) AS rows, count(*) FILTER (n > 72 * 16) AS over_cap FROM d GROUP BY 1""")
 def chunk_histogram(t: Tables) -> DataFrame:
@@ -258,7 +258,7 @@ def caption_clean(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.clean_caption(F.col("text"), 300).cast("binary")).alias("digest"))
 
 
-@query("STR-16 STR-13", f"SELECT doc_id, array_to_string(({_WORDS.format('text')})[1:12], ' ') AS head FROM documents")
+@query("STR-16", f"SELECT doc_id, array_to_string(({_WORDS.format('text')})[1:12], ' ') AS head FROM documents")
 def first_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.first_words(F.col("text"), 12).alias("head"))
 

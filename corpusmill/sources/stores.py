@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import shard_of
@@ -73,3 +73,37 @@ def guarded_count(deletes: DataFrame, most: int = 2000) -> int:
     if n > most:
         raise ValueError(f"{n} deletes planned, {most} allowed")
     return n
+
+
+def cleanup_plan(present: DataFrame, index: DataFrame) -> DataFrame:
+    """Files that may go; raises while the index that should hold them is empty. Nothing is deleted here."""
+    if index.isEmpty():
+        raise ValueError("the packed index is empty: nothing may be cleaned up")
+    return present
+
+
+def status_plan(present: DataFrame, manifest: DataFrame, key: str, bad: Column) -> DataFrame:
+    """Files that are there and whose status in the manifest is bad."""
+    return present.join(manifest.where(bad), key)
+
+
+def copy_missing(source: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends to the copy under path the rows whose keys it lacks and returns it; raises if a key is missing afterwards."""
+    spark = source.sparkSession
+    held = spark.read.parquet(path).select(key)
+    source.join(held, key, "left_anti").write.mode("append").parquet(path)
+    copy = spark.read.parquet(path)
+    if not source.join(copy.select(key), key, "left_anti").isEmpty():
+        raise RuntimeError("the copy lacks keys of its source")
+    return copy
+
+
+def snapshot(counts: DataFrame, path: str, run: str) -> None:
+    """Writes counts as the snapshot of a run; writing a run again replaces it."""
+    counts.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def changes(snapshots: DataFrame, key: str, value: str) -> DataFrame:
+    """snapshots with delta, the change of a key's value since the run before."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy("run"))
+    return snapshots.select("run", key, value, (F.col(value) - before).alias("delta"))

@@ -27,19 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_json(spark: SparkSession, path: str, value: T.DataType, torn: str = "skip") -> DataFrame:
-    """(key, value, present) of JSON files that each hold one object of keys; a null value is kept, with present true.
-
-    A file that isn't JSON is skipped ("skip") or raises ("fail"). A key in several files keeps the value of the last path.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.from_json("value", T.MapType(T.StringType(), value)).alias("_map"), F.col("value").alias("_raw"))
+def keyed_rows(files: DataFrame, value: T.DataType, torn: str = "skip") -> DataFrame:
+    """(key, value, present) of rows (path, value) that each hold one JSON object of keys; a null value is kept, with present
+    true. A row that isn't JSON is skipped ("skip") or raises ("fail"). A key in several keeps the value of the last path."""
+    parsed = files.select(F.col("path").alias("_path"), F.from_json("value", T.MapType(T.StringType(), value)).alias("_map"))
     if torn == "fail":
-        files = files.withColumn("_map", F.when(F.col("_map").isNull(), F.raise_error(F.concat(F.lit("torn JSON: "), F.col("_path")))).otherwise(F.col("_map")))
-    rows = files.select("_path", F.explode("_map").alias("key", "_value"))
+        parsed = parsed.withColumn("_map", F.when(F.col("_map").isNull(), F.raise_error(F.concat(F.lit("torn JSON: "), F.col("_path")))).otherwise(F.col("_map")))
+    rows = parsed.select("_path", F.explode("_map").alias("key", "_value"))
     latest = rows.groupBy("key").agg(F.max_by(F.struct("_value"), "_path").alias("_v"))
     return latest.select("key", F.col("_v._value").alias("value"), F.lit(True).alias("present"))
 
 
+def keyed_json(spark: SparkSession, path: str, value: T.DataType, torn: str = "skip") -> DataFrame:
+    """keyed_rows of JSON files, by their paths."""
+    return keyed_rows(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), value, torn)
+
+
 def torn_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths of files that hold no JSON object."""
     files = spark.read.text(path, wholetext=True)
@@ -79,6 +82,29 @@ def valid_word(w: Column) -> Column:
     return w.isNotNull() & w["word"].isNotNull() & w["start"].isNotNull() & w["end"].isNotNull()
 
 
+def valid_json_word(w: Column) -> Column:
+    """valid_word of loose JSON (a variant): booleans are no numbers, numbers no text."""
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(w, f"$.{k}", "variant"))
+    number = lambda k: F.coalesce(kind(k).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
+    return F.coalesce(kind("word") == "STRING", F.lit(False)) & number("start") & number("end")
+
+
+def conditioned(df: DataFrame, tags: str = "tags", tempo: str = "tempo") -> DataFrame:
+    """df with description and captioner (strings), gender (one of two) and bpm (numbers, and booleans as 1 and 0) of loose JSON
+    (variants); what is of another type is null."""
+    at = lambda c, k: F.try_variant_get(c, f"$.{k}", "variant")
+    text = lambda c, k: F.when(F.schema_of_variant(at(c, k)) == "STRING", F.try_variant_get(c, f"$.{k}", "string"))
+    kind = F.schema_of_variant(at(tempo, "bpm"))
+    bpm = F.when(kind == "BOOLEAN", F.try_variant_get(tempo, "$.bpm", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(tempo, "$.bpm", "double"))
+    gender = text(tags, "gender")
+    return df.withColumn("description", text(tags, "description")).withColumn("captioner", text(tags, "captioner")).withColumn("gender", F.when(gender.isin("male", "female"), gender)).withColumn("bpm", bpm)
+
+
+def first_with_rows(layers: list[DataFrame]) -> DataFrame:
+    """The first of several tables that is not empty, the last one if all are."""
+    return next((d for d in layers[:-1] if not d.isEmpty()), layers[-1])
+
+
 def lyrics_state(df: DataFrame, value: str = "value", present: str = "present") -> DataFrame:
     """df with words (the valid ones), n_dropped and vocals: vocals, instrumental (null or no valid word) or unknown_vocals
     (no entry at all; present is null or false)."""
@@ -88,12 +114,22 @@ def lyrics_state(df: DataFrame, value: str = "value", present: str = "present")
     return df.withColumn("words", good).withColumn("n_dropped", F.size(raw) - F.size(good)).withColumn("vocals", state)
 
 
+#: Labels of sections that an analysis may give.
+SECTION_LABELS = ("intro", "verse", "chorus", "bridge", "outro", "break", "inst", "solo")
+
+
 def ordered_segments(segments: Column) -> Column:
     """Segments without null, start and end labels, by start."""
     kept = F.filter(segments, lambda s: s["label"].isNotNull() & ~s["label"].isin("start", "end"))
     return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
 
+def section_segments(segments: Column) -> Column:
+    """Segments with a known label, times rounded to milliseconds, by start."""
+    kept = F.filter(segments, lambda s: F.coalesce(s["label"].isin(*SECTION_LABELS), F.lit(False)))
+    return ordered_segments(F.transform(kept, lambda s: F.struct(F.round(s["start"], 3).alias("start"), F.round(s["end"], 3).alias("end"), s["label"].alias("label"))))
+
+
 def codecs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in CODECS.items()], "codec string, sample_rate int, n_codebooks int, vocab_size int, frame_rate_hz int, hop int")
 
