@@ -5,11 +5,13 @@ stricter than the one before, rejects a document if any figure passes its cutoff
 (a language by default) each rung is tested in order: with k of n good documents rejected, the rung is safe if
 P(X <= k | n, MAX_FALSE_REJECTION) is at most ALPHA / number of strata, the exact (Clopper-Pearson) bound with Bonferroni's
 correction over strata; testing stops at the first rung that isn't safe (a fixed sequence needs no correction over rungs).
-The strictest safe rung is used. With probability 1 - ALPHA, no stratum loses more than MAX_FALSE_REJECTION of its good
-documents to the rules. A stratum with too few labels gets no cutoffs and loses none.
+The strictest safe rung is used. With probability 1 - ALPHA, no stratum loses more than MAX_FALSE_REJECTION of those of its
+good documents that pass the base rule to the cutoffs; the base rule itself is given, not fitted, and no bound is claimed for
+what it rejects. A stratum with too few labels (fewer than about 86 good ones, with four strata) gets no cutoffs and loses none.
 
-A null or empty text has no words, so it fails the base rule. A null stratum is a stratum of its own. Rows that share an id
-are judged one by one. An empty table gives an empty result.
+A null or empty text has no words, so it fails the base rule. Texts of any length are counted whole. A null stratum is a stratum
+of its own. Rows that share an id or a text are judged one by one. Only the columns named are read, so others of any name are
+harmless. An empty table gives an empty result.
 """
 
 from __future__ import annotations
