@@ -52,3 +52,23 @@ def grouped_before(df: DataFrame, group: list[str], bucket: Column, order: list[
     joined = with_bucket.join(renamed, match).drop(*[f"_o_{k}" for k in keys])
     here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("_offset") + F.sum(value).over(here) - F.col(value)).drop("_offset", "_bucket")
+
+
+def following(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds out: value of the next row of the same group in the order, null for the last one.
+
+    Rows are dealt into ranges of group and order, so that a group of any size is spread over tasks; the first row of each
+    range (one row a range) is handed to the last row of the one before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("_part").orderBy(*group, *order)
+    entry = F.struct(*[F.col(g).alias(f"g{k}") for k, g in enumerate(group)], F.col(value).alias("v"))
+    first = ranged.withColumn("_n", F.row_number().over(here)).where("_n = 1").select("_part", entry.alias("_e"))
+    handed = first.select(F.col("_part").alias("_p"), F.lead("_e").over(Window.orderBy("_part")).alias("_handed"))  # one row a range
+    led = ranged.withColumn("_next", F.lead(entry).over(here)).join(F.broadcast(handed), F.col("_part") == F.col("_p"))
+    led = led.withColumn("_next", F.coalesce("_next", "_handed"))
+    same = F.col("_next").isNotNull()
+    for k, g in enumerate(group):
+        same = same & F.col(f"_next.g{k}").eqNullSafe(F.col(g))
+    return led.withColumn(out, F.when(same, F.col("_next.v"))).drop("_part", "_p", "_next", "_handed")

@@ -8,12 +8,16 @@
    message is handed on to the next, so that no pair of messages is built and a hash of any frequency is spread over tasks.
 3. A message replies to the message found for its lowest quote level (the latest, if it quotes several there); without one,
    to the turn before it. A message that replies to another than the turn before opens a branch.
-4. Conversations are numbered in turn order, in which each message comes after the one it replies to; position is gapless
-   from 0 in each conversation, branch is the turn that opened the branch.
-
-A null or empty text has no passages and stays in place as "". A null conversation id is a conversation of its own; null turns
-sort first and are never quoted. Messages that repeat a conversation and turn each get a row, in order of role and text. An
-empty table gives an empty result.
+4. Conversations are numbered in turn order (position) and in reply order (reply_position), both gapless from 0. Reply order
+   walks the tree of replies: a message is followed by its replies, each with all that follows from it, before the next reply
+   of the same message; the turn right after it comes first. Since branches are runs of turns, their tree is walked instead: the
+   places of branches are found by ranking the list of a walk around it with doubling pointers, spread over tasks whatever a
+   conversation's size. branch is the turn that opened the branch.
+
+A null or empty text has no passages and stays in place as "". Texts of any length are parsed whole. A null conversation id is a
+conversation of its own; null turns sort first and are never quoted. Messages that repeat a conversation and turn each get a
+row, in order of role and text. Only the four columns named are read, so others of any name are harmless. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm._order import grouped_before
-from corpusmill.llm._scratch import cut
+from corpusmill.llm._order import following, grouped_before
+from corpusmill.llm._scratch import cut, drop
 
 #: Turns of a conversation that are sorted together.
 TURN_RANGE = 512
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-_ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.I)
+_ATTRIBUTION = re.compile(r"^.*\b(?:wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.I)
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -115,8 +119,8 @@ def _latest_before(events: DataFrame) -> DataFrame:
 
 
 def thread(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conversation, turn, role, text (without quotes), position, reply_to (a turn, null for the first
-    message), branch (a turn), n_quotes and n_linked (quoted passages, and those traced to a message)."""
+    """One row per message: conversation, turn, role, text (without quotes), position, reply_position, reply_to (a turn, null for
+    the first message), branch (a turn), n_quotes and n_linked (quoted passages, and those traced to a message)."""
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),
         F.xxhash64(F.col(conv_col), F.col(turn_col), F.col(role_col), F.col(text_col)).alias("tie"), F.col(text_col).alias("text"),
@@ -150,7 +154,51 @@ def thread(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     opened = opened.withColumn("_open", F.max("_o").over(back)).drop("_o")
     ranged = ranged.join(opened, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r"))).drop("_c", "_r")
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.select(
-        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), F.col("position").cast("long").alias("position"),
-        "reply_to", F.coalesce(F.max("_opens").over(upto), F.col("_open")).alias("branch"), "n_quotes", F.coalesce("_linked", F.lit(0)).cast("long").alias("n_linked"),
+    placed = ranged.withColumn("branch", F.coalesce(F.max("_opens").over(upto), F.col("_open"))).withColumn("position", F.col("position").cast("long"))
+    placed = cut(placed.select("conv", "turn", "role", "text", "position", "reply_to", "branch", "n_quotes", F.coalesce("_linked", F.lit(0)).cast("long").alias("n_linked")), "threads")
+    starts = _branch_places(placed)
+    if starts is None:
+        walked = placed.withColumn("reply_position", F.col("position"))
+    else:
+        match = F.col("conv").eqNullSafe(F.col("_c")) & F.col("branch").eqNullSafe(F.col("_b"))
+        walked = placed.join(starts, match, "left").withColumn("reply_position", F.coalesce(F.col("position") - F.col("_first") + F.col("_place"), F.col("position")))
+    return walked.select(
+        F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col), "position", "reply_position", "reply_to", "branch", "n_quotes", "n_linked"
     )
+
+
+def _branch_places(placed: DataFrame) -> DataFrame | None:
+    """_c, _b (conversation and branch), _first (its least position) and _place (that of its first message in reply order), of
+    conversations that have several branches; None if none has."""
+    opener = F.min_by("reply_to", "position")
+    branches = placed.groupBy("conv", "branch").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"), opener.alias("parent_turn"))
+    several = branches.groupBy(F.col("conv").alias("_c")).agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("total")).where("_k > 1")
+    branches = cut(branches.join(several, F.col("conv").eqNullSafe(F.col("_c"))).drop("_c", "_k"), "branches")
+    if branches.isEmpty():
+        return None
+    # The branch and position of the message that opens each branch; branches that answer none come last, below the first one.
+    # Positions are never negative, so -1 is free to mean "none".
+    asked = branches.where("parent_turn is not null").select(F.col("conv").alias("_c"), F.col("parent_turn").alias("_t")).distinct()
+    held = placed.join(asked, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t"))).groupBy("_c", "_t").agg(F.max(F.struct("position", "branch")).alias("_m"))
+    parents = branches.select(F.col("conv").alias("_pc"), F.col("branch").alias("_pb"), F.col("first").alias("_pf"))
+    known = branches.join(held, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("parent_turn") == F.col("_t")), "left").drop("_c", "_t")
+    known = known.join(parents, F.col("conv").eqNullSafe(F.col("_pc")) & F.col("_m.branch").eqNullSafe(F.col("_pb")) & F.col("_m").isNotNull(), "left").drop("_pc", "_pb")
+    known = known.withColumn("up", F.when(F.col("first") > 0, F.coalesce("_pf", F.lit(0)))).withColumn("at", -F.coalesce(F.col("_m.position"), F.lit(-1)))
+    known = cut(known.select("conv", "branch", "n", "first", "total", "up", "at"), "tree")
+    # Around the tree: 2 * first enters a branch, 2 * first + 1 leaves it.
+    order = F.struct("at", "first")
+    children = known.where("up is not null")
+    eldest = children.groupBy(F.col("conv").alias("_c"), F.col("up").alias("_u")).agg(F.min_by("first", order).alias("_child"))
+    after = following(children.select("conv", "up", "at", "first"), ["conv", "up"], ["at", "first"], "first", "sibling")
+    after = after.select(F.col("conv").alias("_sc"), F.col("first").alias("_sf"), "sibling")
+    enter = known.join(eldest, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("first") == F.col("_u")), "left").select("conv", (2 * F.col("first")).alias("e"), F.col("n").alias("sum"), F.coalesce(2 * F.col("_child"), 2 * F.col("first") + 1).alias("next"))
+    leave = known.join(after, F.col("conv").eqNullSafe(F.col("_sc")) & (F.col("first") == F.col("_sf")), "left").select("conv", (2 * F.col("first") + 1).alias("e"), F.lit(0).cast("long").alias("sum"), F.coalesce(2 * F.col("sibling"), 2 * F.col("up") + 1).alias("next"))
+    walk = cut(enter.union(leave), "walk")
+    while not walk.where("next is not null").isEmpty():  # rounds grow with the logarithm of the longest walk
+        ahead = walk.select(F.col("conv").alias("_c"), F.col("e").alias("_e"), F.col("sum").alias("_s"), F.col("next").alias("_n"))
+        joined = walk.join(ahead, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("next") == F.col("_e")), "left")
+        before, walk = walk, cut(joined.select("conv", "e", (F.col("sum") + F.coalesce("_s", F.lit(0))).alias("sum"), F.col("_n").alias("next")), "walk")
+        drop(before)
+    ends = walk.where("e % 2 = 0").select(F.col("conv").alias("_c"), (F.col("e") / 2).cast("long").alias("_e"), "sum")
+    ranked = known.join(ends, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("first") == F.col("_e")))
+    return ranked.select(F.col("conv").alias("_c"), F.col("branch").alias("_b"), F.col("first").alias("_first"), (F.col("total") - F.col("sum")).alias("_place"))

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import chat_threads, html_extraction
@@ -155,3 +156,53 @@ def test_broken_pages_take_linear_time(page):
     began = time.process_time()
     html_extraction.extract_text(page + "some words here", html_extraction.learn_weights())
     assert time.process_time() - began < 5
+
+
+def plain_walk(rows):
+    """reply_position of (turn, reply_to) rows of one conversation with unique turns, by a walk of the tree of replies."""
+    children = {}
+    for turn, reply in rows:
+        children.setdefault(reply, []).append(turn)
+    turns = sorted(t for t, _ in rows)
+    after = dict(zip(turns, turns[1:], strict=False))
+    out, stack = {}, sorted(children[None], reverse=True)
+    while stack:
+        turn = stack.pop()
+        out[turn] = len(out)
+        stack += sorted(children.get(turn, ()), key=lambda c: (c != after.get(turn), c), reverse=True)
+    return out
+
+
+def test_thousands_of_quotes_in_reply_order(spark, monkeypatch):
+    monkeypatch.setattr(chat_threads, "TURN_RANGE", 64)
+    rng, rows = random.Random(6), []
+    for conv, size in ((1, 1500), (2, 400), (3, 30), (None, 200)):
+        said = []
+        for turn in range(size):
+            own = f"message {turn} of {conv} says {rng.randint(0, 40)}"
+            quoted = ""
+            if turn and rng.random() < 0.6:
+                at = 3 if rng.random() < 0.3 and turn > 3 else rng.randrange(turn)  # message 3 is quoted hundreds of times
+                quoted = f"X wrote:\n> {said[at]}\n" + (f"> > {said[rng.randrange(turn)].upper()}\n" if rng.random() < 0.3 else "")
+            rows.append((conv, turn, "u", quoted + own))
+            said.append(own)
+    rows.append((3, 30, "u", "> nothing like it\n" + "long words " * 50_000))
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"branch": F.lit("x"), "tie": F.lit(1), "conv": F.lit(2)}).repartition(5)
+    got = {(r["conv_id"], r["turn"]): r for r in chat_threads.thread(chats).collect()}
+    assert len(got) == len(rows) and sum(r["n_linked"] for r in got.values()) > 1000
+    where = {}
+    for conv, turn, _, text in rows:
+        for h in chat_threads.own_passages(chat_threads.parse(text)[0]):
+            where.setdefault((conv, h), []).append(turn)
+    for conv, turn, _, text in rows:
+        own, quotes = chat_threads.parse(text)
+        found = [(-level, max(t for t in where.get((conv, chat_threads.passage_hash(p)), ()) if t < turn)) for level, p in quotes if any(t < turn for t in where.get((conv, chat_threads.passage_hash(p)), ()))]
+        r = got[conv, turn]
+        assert (r["text"], r["n_quotes"], r["n_linked"], r["reply_to"]) == (own, len(quotes), len(found), max(found)[1] if found else turn - 1 if turn else None)
+    for conv in {r[0] for r in rows}:
+        want = plain_walk([(t, got[c, t]["reply_to"]) for c, t in got if c == conv])
+        assert {t: got[c, t]["reply_position"] for c, t in got if c == conv} == want
+    awkward = chat_threads.thread(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")).collect()
+    for conv in {r["conv_id"] for r in awkward}:
+        own = [r for r in awkward if r["conv_id"] == conv]
+        assert sorted(r["reply_position"] for r in own) == list(range(len(own)))
