@@ -16,18 +16,21 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def sample(labelled: DataFrame, per_class: int, max_bytes: int) -> list[tuple[str, object]]:
+def sample(docs: DataFrame, per_class: int, max_bytes: int, marks: DataFrame | None = None) -> list[tuple[str, object]]:
     """(text, label) of up to per_class documents of each label, those with the least hash of their id and text, in its order.
 
-    labelled: (_key, _text, _label) of the rows that may be used. Rows that agree in all three count once. Labels are counted,
+    docs: (_key, _text, _label) of the rows that may be used, or (_key, _text) where marks has (_id, _label), the labels by _key;
+    texts are not shuffled for it. Rows that agree in all three count once. Labels are counted,
     and rows whose hash is above about four times the share that is wanted of their label are left out at once, so what the
     driver gathers is bounded however many rows there are, and no label, however frequent, is ranked in one task. Texts are
     fetched for the ranked rows alone. max_bytes: of text, over all labels; a text that would pass it is left out, and the next
     ones are tried.
     """
-    texts = labelled.where(F.length("_text") > 0).withColumn("_place", F.pmod(F.xxhash64("_key", "_text", F.lit(99)), F.lit(1 << 40)))
-    rows = texts.select("_key", "_place", F.octet_length("_text").alias("_bytes"), "_label").distinct()
-    rows = cut(rows, "labelled")
+    texts = docs.where(F.length("_text") > 0).withColumn("_place", F.pmod(F.xxhash64("_key", "_text", F.lit(99)), F.lit(1 << 40)))
+    rows = texts.select("_key", "_place", F.octet_length("_text").alias("_bytes"), *(["_label"] if marks is None else []))
+    if marks is not None:
+        rows = rows.join(marks.distinct(), F.col("_key") == F.col("_id")).drop("_id")
+    rows = cut(rows.distinct(), "labelled")
     counts = rows.groupBy(F.col("_label").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each label
     share = F.col("_place").cast("double") * F.col("_n") < F.lit(float((4 * per_class + 100) * (1 << 40)))
     near = rows.join(counts, F.col("_label") == F.col("_l")).where(share).select("_key", "_place", "_bytes", "_label")
@@ -42,8 +45,8 @@ def sample(labelled: DataFrame, per_class: int, max_bytes: int) -> list[tuple[st
             picked.append((r["_key"], r["_place"], r["_label"]))
     if not picked:
         return []
-    kind = labelled.schema["_key"].dataType
-    wanted = labelled.sparkSession.createDataFrame([(k, p) for k, p, _ in picked], T.StructType().add("_k", kind).add("_p", "long")).distinct()
+    kind = docs.schema["_key"].dataType
+    wanted = docs.sparkSession.createDataFrame([(k, p) for k, p, _ in picked], T.StructType().add("_k", kind).add("_p", "long")).distinct()
     found = texts.join(F.broadcast(wanted), (F.col("_key") == F.col("_k")) & (F.col("_place") == F.col("_p"))).select("_key", "_place", "_text").dropDuplicates(["_key", "_place"]).collect()
     by_row = {(r["_key"], r["_place"]): r["_text"] for r in found}
     drop(rows)

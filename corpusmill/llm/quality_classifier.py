@@ -188,8 +188,8 @@ def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if held_out:
         marks = marks.where(fold(id_col, FOLDS) != HELD_OUT_FOLD)
     shares = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    labelled = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(marks.withColumnRenamed(id_col, "_id"), F.col("_key") == F.col("_id")).select("_key", "_text", "_label")
-    return fit(sample(labelled, per_class, SAMPLE_BYTES), shares)
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    return fit(sample(texts, per_class, SAMPLE_BYTES, marks.withColumnRenamed(id_col, "_id")), shares)
 
 
 def add_scores(docs: DataFrame, model: Model, out: str = "score", text_col: str = "text") -> DataFrame:
