@@ -196,6 +196,26 @@ def bench_summary(t: Tables) -> DataFrame:
     return means.join(ranking.upper_median(d, ["lang"], "ms").withColumnRenamed("median", "median_ms"), "lang")
 
 
+# What a captioner that refuses says, and what shows that a caption is a list or a preamble.
+REFUSALS = ("i'm sorry", "i am sorry", "i cannot", "i can't", "i can not", "as an ai", "i'm unable", "i am unable", "unable to provide", "i do not have", "i don't have access", "sorry, i")
+ARTIFACTS = ("```", "\n- ", "\n* ", "\n1.", "\n2.", "•", "## ", "**genre", "here is", "here's a", "description:")
+
+
+def _any(words) -> str:
+    quoted = lambda w: "'" + w.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "(" + " OR ".join(f"contains(low, {quoted(w)})" for w in words) + ")"
+
+
+@query("FLT-16", f"""
+    WITH d AS (SELECT event_id, lower(CASE event_id % 4 WHEN 0 THEN 'I''m sorry, I can''t ' WHEN 1 THEN 'Here is a song' || chr(10) || '- of ' WHEN 2 THEN 'A calm ' ELSE '' END || event_type) AS low FROM events)
+    SELECT event_id, {_any(REFUSALS)} AS refusal, {_any(ARTIFACTS)} AS artifact FROM d""")
+def refusal_flags(t: Tables) -> DataFrame:
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.lit("I'm sorry, I can't ")).when(k == 1, F.lit("Here is a song\n- of ")).when(k == 2, F.lit("A calm ")).otherwise(F.lit(""))
+    d = t.events.select("event_id", F.lower(F.concat(said, "event_type")).alias("low"))
+    return d.select("event_id", X.contains_any(F.col("low"), REFUSALS).alias("refusal"), X.contains_any(F.col("low"), ARTIFACTS).alias("artifact"))
+
+
 @query("FLT-03", f"""
     WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text FROM documents), r AS (SELECT *, text IS NOT NULL AND {_N.format('text')} < 6 AS short FROM d)
     SELECT count(*) FILTER (text IS NOT NULL) AS checked, count(*) FILTER (short) AS flagged, count(*) FILTER (text IS NULL) AS already_null, count(*) FILTER (text IS NOT NULL AND NOT short) AS vocal_ready, count(*) AS total,

@@ -321,3 +321,44 @@ def guarded_run(t: Tables) -> DataFrame:
     pending = joins.pending(t.documents.select("doc_id"), t.labels, "doc_id").agg(F.count(F.lit(1)).alias("n_pending"))
     done = t.labels.agg(F.count(F.lit(1)).alias("n_done"))
     return quality.guarded(pending.crossJoin(F.broadcast(done)), "n_pending", "n_done")
+
+
+@query("SRC-01", "SELECT table_name AS stem FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'documents', 'events')")
+def table_files(t: Tables) -> DataFrame:
+    """Files of a folder by name, without reading what is in them."""
+    found = S.wave_listing(t.spark, t.sf_dir, "", "*.parquet")
+    return found.select("stem").where(F.col("stem").isin("region", "nation", "documents", "events")).distinct()
+
+
+@query("STM-01 STM-12 UDF-03", """
+    SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE source END AS value FROM documents""")
+def streamed_upserts(t: Tables) -> DataFrame:
+    """Two waves of files, streamed into a store as they come; the second one brings some keys again."""
+    from corpusmill.streaming import waves
+
+    root = shared_path(t.spark, "ingest")
+    schema = T.StructType().add("key", T.StringType()).add("value", T.StringType())
+    key = F.col("doc_id").cast("string").alias("key")
+    t.documents.select(key, F.col("source").alias("value")).write.parquet(f"{root}/in/wave_1")
+    waves.ingest_upserts(t.spark, f"{root}/in/wave_*", schema, f"{root}/state", f"{root}/store", shards=4)
+    t.documents.where("doc_id % 3 = 0").select(key, F.lit("again").alias("value")).write.parquet(f"{root}/in/wave_2")
+    waves.ingest_upserts(t.spark, f"{root}/in/wave_*", schema, f"{root}/state", f"{root}/store", shards=4)
+    return t.spark.read.parquet(f"{root}/store").select("key", "value")
+
+
+@query("STM-02 STM-09", "SELECT * FROM (VALUES ('w1', 'listed', 'done'), ('w1', 'counted', 'done'), ('w2', 'listed', 'done'), ('w2', 'counted', 'done'), ('w3', 'listed', 'done')) v(wave, stage, status)")
+def wave_statuses(t: Tables) -> DataFrame:
+    """Three waves through two stages; the last wave's second stage fails, and a second run works on that stage alone."""
+    from corpusmill.streaming import waves
+
+    status = waves.StageStatus(t.spark, shared_path(t.spark, "status"))
+
+    def counted(_, rows: DataFrame) -> None:
+        if rows.count() == 0:
+            raise RuntimeError("an empty wave")
+
+    stages = [("listed", lambda spark, rows: rows.limit(1).count()), ("counted", counted)]
+    inventory = {"w1": t.documents, "w2": t.labels, "w3": t.documents.where("doc_id is null")}
+    for _ in range(2):
+        waves.run_waves(t.spark, inventory, stages, status)
+    return t.spark.read.parquet(status.path)
