@@ -178,11 +178,11 @@ def priority_merge(t: Tables) -> DataFrame:
 
 
 @query("JOIN-13 SET-06", """
-    SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN d.doc_id IS NULL THEN 'right' ELSE 'both' END AS side
-    FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+    SELECT coalesce(l.doc_id, c.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left' WHEN c.doc_id IS NULL THEN 'right' ELSE 'both' END AS side
+    FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) c FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = c.doc_id""")
 def orphans_full_outer(t: Tables) -> DataFrame:
-    """One side holds the ids that aren't multiples of three, so that each side has orphans."""
-    return joins.sides(t.documents.where("doc_id % 3 <> 0"), t.labels, "doc_id")
+    """Ids of conversations against those of labels: each side has orphans."""
+    return joins.sides(t.conversations.select(F.col("conv_id").alias("doc_id")), t.labels, "doc_id")
 
 
 @query("SET-06", """

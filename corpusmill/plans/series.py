@@ -13,6 +13,7 @@ from corpusmill.sources import tables as S
 
 #: Vectors of 64 doubles that are broadcast at most: 5 MB.
 MAX_CENTERS = 10_000
+_HOUR = 3_600_000_000
 _US = "CAST(epoch_us(ts) AS BIGINT)"
 
 
@@ -21,33 +22,35 @@ def _timed(t: Tables) -> DataFrame:
     return t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-@query("JOIN-07", f"""
+_SPANS = f"""
     WITH e AS (SELECT user_id, event_id, {_US} AS us FROM events),
-    s AS (SELECT user_id, event_id, us AS a, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us + 1) AS b FROM e),
-    w AS (SELECT user_id, event_id AS w_id, us - 3600000000 AS lo, us + 3600000000 AS hi FROM e WHERE event_id % 50 = 0)
-    SELECT w_id, count(*) AS n, min(s.event_id) AS first_event FROM w JOIN s ON s.user_id = w.user_id AND s.b > w.lo AND s.a < w.hi GROUP BY w_id""")
+    s AS (SELECT user_id, event_id, us AS a, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us + 1) AS b FROM e)"""
+
+
+@query("JOIN-07", f"""{_SPANS}, w AS (SELECT DISTINCT user_id, us // 3600000000 AS hour FROM e)
+    SELECT w.user_id, hour, count(*) AS n, min(s.event_id) AS first_event FROM w JOIN s ON s.user_id = w.user_id AND s.b > hour * 3600000000 AND s.a < (hour + 1) * 3600000000 GROUP BY ALL""")
 def interval_overlap(t: Tables) -> DataFrame:
-    """Spans against the hours around every 50th event; interval_overlap_full has those around all events."""
-    return _overlaps(t, "event_id % 50 = 0")
+    """Each user's spans between events against the clock hours in which the user has any."""
+    e = _timed(t).select("user_id", "event_id", "us")
+    hours = e.select("user_id", F.floor(F.col("us") / _HOUR).alias("hour")).distinct()
+    wins = hours.withColumn("lo", F.col("hour") * _HOUR).withColumn("hi", (F.col("hour") + 1) * _HOUR)
+    hit = joins.overlapping(_spans(e), wins, ["user_id"], "a", "b", "lo", "hi", 24 * _HOUR)
+    return hit.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("JOIN-07", f"""
-    WITH e AS (SELECT user_id, event_id, {_US} AS us FROM events),
-    s AS (SELECT user_id, event_id, us AS a, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us + 1) AS b FROM e),
-    w AS (SELECT user_id, event_id AS w_id, us - 3600000000 AS lo, us + 3600000000 AS hi FROM e)
+@query("JOIN-07", f"""{_SPANS}, w AS (SELECT user_id, event_id AS w_id, us - 3600000000 AS lo, us + 3600000000 AS hi FROM e)
     SELECT w_id, count(*) AS n, min(s.event_id) AS first_event FROM w JOIN s ON s.user_id = w.user_id AND s.b > w.lo AND s.a < w.hi GROUP BY w_id""")
 def interval_overlap_full(t: Tables) -> DataFrame:
-    return _overlaps(t, "true")
+    """Each user's spans against the hours around each event."""
+    e = _timed(t).select("user_id", "event_id", "us")
+    wins = e.select("user_id", F.col("event_id").alias("w_id"), (F.col("us") - _HOUR).alias("lo"), (F.col("us") + _HOUR).alias("hi"))
+    hit = joins.overlapping(_spans(e), wins, ["user_id"], "a", "b", "lo", "hi", 24 * _HOUR)
+    return hit.groupBy("w_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
 
 
-def _overlaps(t: Tables, asked: str) -> DataFrame:
-    e = _timed(t).select("user_id", "event_id", "us")
+def _spans(e: DataFrame) -> DataFrame:
     nxt = F.lead("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
-    spans = e.select("user_id", "event_id", F.col("us").alias("a"), F.coalesce(nxt, F.col("us") + 1).alias("b"))
-    hour = 3_600_000_000
-    wins = e.where(asked).select("user_id", F.col("event_id").alias("w_id"), (F.col("us") - hour).alias("lo"), (F.col("us") + hour).alias("hi"))
-    hit = joins.overlapping(spans, wins, ["user_id"], "a", "b", "lo", "hi", 24 * hour)
-    return hit.groupBy("w_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    return e.select("user_id", "event_id", F.col("us").alias("a"), F.coalesce(nxt, F.col("us") + 1).alias("b"))
 
 
 @query("JOIN-08", f"""
@@ -72,35 +75,32 @@ def forward_asof(t: Tables) -> DataFrame:
     return joins.as_of(points, clicks, ["user_id"], "us", "next_click", [], forward=True).select("error_id", "next_click")
 
 
-@query("JOIN-15", """
-    WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY ALL),
-    o AS (SELECT source, sum(greatest(n - 31, 0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, greatest(n - 31, 0) AS k FROM c),
-    u AS (SELECT source, sum(greatest(31 - n, 0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo, greatest(31 - n, 0) AS k FROM c)
-    SELECT o.source AS from_source, u.source AS to_source, CAST(least(coalesce(o.lo, 0) + o.k, coalesce(u.lo, 0) + u.k) - greatest(coalesce(o.lo, 0), coalesce(u.lo, 0)) AS BIGINT) AS moved
-    FROM o JOIN u ON coalesce(o.lo, 0) < coalesce(u.lo, 0) + u.k AND coalesce(u.lo, 0) < coalesce(o.lo, 0) + o.k WHERE o.k > 0 AND u.k > 0""")
+_MOVES = """
+    WITH n AS (SELECT {g} AS g, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT g, n, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
+    o AS (SELECT g, sum(greatest(n - t, 0)) OVER (ORDER BY g) AS hi, greatest(n - t, 0) AS k FROM c), u AS (SELECT g, sum(greatest(t - n, 0)) OVER (ORDER BY g) AS hi, greatest(t - n, 0) AS k FROM c)
+    SELECT o.g AS from_{g}, u.g AS to_{g}, CAST(least(o.hi, u.hi) - greatest(o.hi - o.k, u.hi - u.k) AS BIGINT) AS moved
+    FROM o JOIN u ON o.hi - o.k < u.hi AND u.hi - u.k < o.hi WHERE o.k > 0 AND u.k > 0"""
+
+
+@query("JOIN-15", _MOVES.format(g="lang"))
 def spill_allocation(t: Tables) -> DataFrame:
-    """English rows above 31 a source move to sources below it; tables of one row a source. spill_allocation_full has all rows."""
-    sizes = t.documents.where("lang = 'en'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return _moves(sizes, 31)
+    """Rows of languages above their mean (whole rows) move to languages below it; tables of one row a language."""
+    return _moves(t, "lang")
 
 
-@query("JOIN-15", """
-    WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), c AS (SELECT source, n, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
-    o AS (SELECT source, sum(greatest(n - t, 0)) OVER (ORDER BY source) AS hi, greatest(n - t, 0) AS k FROM c),
-    u AS (SELECT source, sum(greatest(t - n, 0)) OVER (ORDER BY source) AS hi, greatest(t - n, 0) AS k FROM c)
-    SELECT o.source AS from_source, u.source AS to_source, CAST(least(o.hi, u.hi) - greatest(o.hi - o.k, u.hi - u.k) AS BIGINT) AS moved
-    FROM o JOIN u ON o.hi - o.k < u.hi AND u.hi - u.k < o.hi WHERE o.k > 0 AND u.k > 0""")
+@query("JOIN-15", _MOVES.format(g="source"))
 def spill_allocation_full(t: Tables) -> DataFrame:
-    """Rows of all documents above the mean of the sources (whole rows) move to sources below it."""
-    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    mean = sizes.agg(F.floor(F.avg("n")).cast("long").alias("mean"))
-    return _moves(sizes.crossJoin(F.broadcast(mean)), F.col("mean"))
+    """The same for sources."""
+    return _moves(t, "source")
 
 
-def _moves(sizes: DataFrame, target) -> DataFrame:
-    over, under = joins.allocate_spill(sizes, "source", "n", target)
-    o, u = over.select(F.col("source").alias("from_source"), "lo", "hi"), under.select(F.col("source").alias("to_source"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
-    return o.join(u, (F.col("lo") < F.col("uhi")) & (F.col("ulo") < F.col("hi"))).select("from_source", "to_source", (F.least("hi", "uhi") - F.greatest("lo", "ulo")).alias("moved"))
+def _moves(t: Tables, group: str) -> DataFrame:
+    sizes = t.documents.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    mean = sizes.agg(F.floor(F.avg("n")).cast("long").alias("mean"))
+    over, under = joins.allocate_spill(sizes.crossJoin(F.broadcast(mean)), group, "n", F.col("mean"))
+    o, u = over.select(F.col(group).alias(f"from_{group}"), "lo", "hi"), under.select(F.col(group).alias(f"to_{group}"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
+    met = o.join(u, (F.col("lo") < F.col("uhi")) & (F.col("ulo") < F.col("hi")))
+    return met.select(f"from_{group}", f"to_{group}", (F.least("hi", "uhi") - F.greatest("lo", "ulo")).alias("moved"))
 
 
 @query("WIN-01 WIN-02", """
@@ -111,12 +111,12 @@ def contiguous_shards(t: Tables) -> DataFrame:
 
 
 @query("WIN-01", """
-    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderstatus = 'F')
+    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
     SELECT o_orderkey, 3 + i // 500 AS shard_id, i % 500 AS local_idx FROM r""")
 def appended_shards(t: Tables) -> DataFrame:
     from corpusmill.sources.stores import append_shards
 
-    return append_shards(t.orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(1).alias("frames")), "o_orderkey", "frames", 500, 3).select("o_orderkey", "shard_id", "local_idx")
+    return append_shards(t.orders.select("o_orderkey", F.lit(1).alias("frames")), "o_orderkey", "frames", 500, 3).select("o_orderkey", "shard_id", "local_idx")
 
 
 @query("WIN-07", r"""
@@ -324,8 +324,9 @@ def seeded_sample(t: Tables) -> DataFrame:
     return t.events.where("value > 10").select("event_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("event_id")).cast("binary")), "event_id").limit(25)
 
 
-@query("SRC-02", "SELECT 'wave_' || (p_partkey % 7) AS folder, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
+@query("SRC-02", "SELECT 'wave_' || (p_partkey % 7) AS folder, count(*) AS n FROM part GROUP BY 1")
 def split_listing(t: Tables) -> DataFrame:
-    """Keys of three parts are accepted; every third part's key is one."""
-    key = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("waves/wave_"), F.col("p_partkey") % 7, F.lit("/"), F.col("p_partkey"), F.lit(".mp3"))).otherwise(F.concat(F.lit("waves/"), F.col("p_partkey"), F.lit(".mp3")))
-    return S.split_keys(t.part.select(key.alias("key"))).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    """Each part has a key of three pieces, which is accepted, and one of two, which isn't."""
+    good = F.concat(F.lit("waves/wave_"), F.col("p_partkey") % 7, F.lit("/"), F.col("p_partkey"), F.lit(".mp3"))
+    keys = t.part.select(F.explode(F.array(good, F.concat(F.lit("waves/"), F.col("p_partkey"), F.lit(".mp3")))).alias("key"))
+    return S.split_keys(keys).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))

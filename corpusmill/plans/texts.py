@@ -98,11 +98,13 @@ def regex_floor_verdict(t: Tables) -> DataFrame:
 
 
 @query("AGG-33", """
-    WITH a AS (SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+    WITH a AS (SELECT source, count(*) AS n FROM documents SEMI JOIN labels USING (doc_id) GROUP BY 1), b AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
     SELECT source, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS now, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b USING (source)""")
 def run_over_run(t: Tables) -> DataFrame:
+    """Labelled documents, the state of an earlier run, against all of them."""
     count = lambda d, c: d.groupBy("source").agg(F.count(F.lit(1)).alias(c))
-    both = count(t.documents.where("doc_id % 2 = 0"), "before").join(count(t.documents, "now"), "source", "full_outer").fillna(0, ["before", "now"])
+    earlier = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    both = count(earlier, "before").join(count(t.documents, "now"), "source", "full_outer").fillna(0, ["before", "now"])
     return both.withColumn("delta", F.col("now") - F.col("before"))
 
 
