@@ -494,3 +494,11 @@ def test_token_files_are_indexed(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan()
     scan = plan.collectLeaves().head()
     assert scan.metrics().apply("numOutputRows").value() <= token_files.ROW_INDEX_STRIDE
+
+
+def test_repeated_and_long_rows_get_equal_languages(spark, awkward):
+    model = language_id.fit([("the and of to in that is was he for it with as " * 4, "en"), ("und der die das nicht ein ich ist mit sich auf " * 4, "de")])
+    by_text = {}
+    for r in language_id.add_language(awkward, model).collect():
+        by_text.setdefault(r["text"], set()).add((r["lang_pred"], r["score"]))
+    assert all(len(found) == 1 for found in by_text.values()) and by_text[None] == {("und", 0.0)} and len(by_text) == len(set(TEXTS)) + 1
