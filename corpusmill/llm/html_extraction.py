@@ -104,7 +104,7 @@ def _hints(name: str, attributes: str, in_article: bool) -> int:
         if key in ("class", "id", "role"):
             if key == "id" and in_article and name in HEADED and (name != "section" or not TOPICS.isdisjoint(_SPLIT.split(value.lower()))):
                 continue
-            for label in value.split()[:64]:
+            for label in value.split():
                 words = [w for w in _SPLIT.split(_CAMEL.sub("-", label).lower()) if w and not w.isdigit()]
                 if len(words) > 3 or not STATE_WORDS.isdisjoint(words):
                     continue
@@ -205,7 +205,7 @@ def read(page: str) -> tuple[list[Token], list[int]]:
                     end = _RAW_END[name].search(page, at)
                     at = end.end() if end else n
             elif name not in VOID and not alone:
-                mask, element = _hints(name, m[3], articles > 0), 0
+                mask, element = (_hints if len(m[3]) < 1000 else _hints.__wrapped__)(name, m[3], articles > 0), 0  # long ones are not remembered
                 if name in ("article", "main"):
                     articles += 1
                     read_articles += 1
