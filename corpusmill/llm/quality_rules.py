@@ -44,7 +44,7 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 
 def space_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]++"), "")
 
 
 def _repeated_window_words(df: DataFrame) -> DataFrame:
@@ -72,12 +72,12 @@ def _repeated_window_words(df: DataFrame) -> DataFrame:
 def figures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in keep and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(
         *keep,
         space_words(text).alias("_words"),
         F.length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
     out = out.select(
