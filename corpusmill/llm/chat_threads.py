@@ -16,7 +16,7 @@
 
 A null or empty text has no passages and stays in place as "". Texts of any length are parsed whole. A null conversation id is a
 conversation of its own; null turns sort first and are never quoted. Messages that repeat a conversation and turn each get a
-row, in order of role and text. Only the four columns named are read, so others of any name are harmless. An empty table gives
+row, in order of role and text; those of TURN_RANGE turns of a conversation, and those without a turn, are sorted in one task. Only the four columns named are read, so others of any name are harmless. An empty table gives
 an empty result.
 """
 
