@@ -99,4 +99,16 @@ safe AS (SELECT lang, coalesce(min(rung) FILTER (NOT (k <= n * {rules.MAX_FALSE_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first_rung > coalesce(safe.rung, -1) AS kept
 FROM x LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM x.lang"""
 
-ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op7_shard": OP7, "op8_jaccard_join": OP8, "op9_quality_rules": OP9}
+_DRAW = "CAST('0x' || substr(d, {}, 8) AS BIGINT)"
+
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_DRAW.format(1)} % (len(u) + 1) AS a, {_DRAW.format(9)} % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_DRAW.format(17)} % 100 >= 90 THEN 'plain'
+      WHEN {_DRAW.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(u[1 : least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1 :], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op7_shard": OP7, "op8_jaccard_join": OP8, "op9_quality_rules": OP9, "op11_fill_in_middle": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_threads, decontamination, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
+from corpusmill.llm import chat_threads, decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
 from corpusmill.llm._scratch import new_path
 from corpusmill.llm.oracles import ORACLES
 
@@ -62,10 +62,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.describe_tokens(spark, path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_extract_html, op3_decontaminate, op4_language_id, op5_quality_classifier, op6_thread_chats, op7_shard, op8_jaccard_join, op9_quality_rules,
-        op10_token_files,
+        op10_token_files, op11_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
