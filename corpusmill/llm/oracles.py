@@ -111,4 +111,30 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGIN
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(text) AS restored_sha256 FROM p"""
 
-ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op7_shard": OP7, "op8_jaccard_join": OP8, "op9_quality_rules": OP9, "op11_fill_in_middle": OP11}
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_ID_CRC = _CRC.replace("coalesce(text, '')", "CAST(doc_id AS VARCHAR)")
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format('text')}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_ID_CRC} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")}) END AS found FROM documents),
+l AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM d),
+t(g, level, i, n, h) AS (SELECT g, 0, i, n, leaf FROM l UNION ALL SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, level, i // 3, n),
+s AS (SELECT g, h AS subroot, max(level) OVER (PARTITION BY g) AS top FROM t WHERE n = 1),
+u(level, i, n, h) AS (SELECT 0, g, (SELECT count(*) FROM s), subroot FROM s UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+f(g, level, i, n, h) AS (SELECT g, level, i, n, h FROM t WHERE n > 1 UNION ALL SELECT -1, level, i, n, h FROM u WHERE n > 1),
+ps AS (SELECT a.g, a.level, a.i, a.i % 3 AS place, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> a.i), '') AS siblings
+  FROM f a JOIN f b ON a.g = b.g AND a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY a.g, a.level, a.i),
+st AS (SELECT rid, level AS k, place, siblings FROM (SELECT rid, l.g, x.level, l.i // CAST(3 ** x.level AS BIGINT) AS at FROM l JOIN (SELECT DISTINCT g, level FROM f) x ON x.g = l.g) y
+    JOIN ps ON ps.g = y.g AND ps.level = y.level AND ps.i = y.at
+  UNION ALL SELECT rid, s.top + z.level, place, siblings FROM l JOIN s ON s.g = l.g JOIN (SELECT DISTINCT level FROM f WHERE g = -1) z ON true
+    JOIN ps ON ps.g = -1 AND ps.level = z.level AND ps.i = l.g // CAST(3 ** z.level AS BIGINT)),
+o(rid, k, h) AS (SELECT rid, CAST(0 AS BIGINT), coalesce(found, leaf) FROM l
+  UNION ALL SELECT o.rid, o.k + 1, sha256(substr(siblings, 1, 64 * place) || o.h || substr(siblings, 64 * place + 1)) FROM o JOIN st ON st.rid = o.rid AND st.k = o.k),
+e AS (SELECT rid, arg_max(h, k) AS folded_root FROM o GROUP BY rid),
+q AS (SELECT rid, string_agg(siblings, '' ORDER BY k) AS proof FROM st GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM l JOIN s ON s.g = l.g JOIN e USING (rid) LEFT JOIN q USING (rid)"""
+
+ORACLES = {"op1_mix_sources": OP1, "op3_decontaminate": OP3, "op7_shard": OP7, "op8_jaccard_join": OP8, "op9_quality_rules": OP9, "op11_fill_in_middle": OP11, "op12_merkle_manifest": OP12}

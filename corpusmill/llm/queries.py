@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_threads, decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, mixing, quality_classifier, quality_rules, sharding, token_files
+from corpusmill.llm import chat_threads, decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, merkle_manifest, mixing, quality_classifier, quality_rules, sharding, token_files
 from corpusmill.llm._scratch import new_path
 from corpusmill.llm.oracles import ORACLES
 
@@ -69,10 +69,20 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    others = [F.col(c) for c in merkle_manifest.COLUMNS[:-1]]
+    # What a reader finds where someone has deleted the line breaks of half of the documents.
+    found = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, merkle_manifest.leaf_digest(*others, F.translate("text", "\n", "")))
+    rows = merkle_manifest.manifest(docs, carry={"found": found})
+    rows = rows.withColumn("folded_root", merkle_manifest.folded(F.coalesce("found", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_extract_html, op3_decontaminate, op4_language_id, op5_quality_classifier, op6_thread_chats, op7_shard, op8_jaccard_join, op9_quality_rules,
-        op10_token_files, op11_fill_in_middle,
+        op10_token_files, op11_fill_in_middle, op12_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
