@@ -126,7 +126,7 @@ u(level, i, n, h) AS (SELECT 0, g, (SELECT count(*) FROM s), subroot FROM s UNIO
 f(g, level, i, n, h) AS (SELECT g, level, i, n, h FROM t WHERE n > 1 UNION ALL SELECT -1, level, i, n, h FROM u WHERE n > 1),
 ps AS (SELECT a.g, a.level, a.i, a.i % 3 AS place, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i <> a.i), '') AS siblings
   FROM f a JOIN f b ON a.g = b.g AND a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY a.g, a.level, a.i),
-st AS (SELECT rid, level AS k, place, siblings FROM (SELECT rid, l.g, x.level, l.i // CAST(3 ** x.level AS BIGINT) AS at FROM l JOIN (SELECT DISTINCT g, level FROM f) x ON x.g = l.g) y
+st AS (SELECT rid, y.level AS k, place, siblings FROM (SELECT rid, l.g, x.level, l.i // CAST(3 ** x.level AS BIGINT) AS at FROM l JOIN (SELECT DISTINCT g, level FROM f) x ON x.g = l.g) y
     JOIN ps ON ps.g = y.g AND ps.level = y.level AND ps.i = y.at
   UNION ALL SELECT rid, s.top + z.level, place, siblings FROM l JOIN s ON s.g = l.g JOIN (SELECT DISTINCT level FROM f WHERE g = -1) z ON true
     JOIN ps ON ps.g = -1 AND ps.level = z.level AND ps.i = l.g // CAST(3 ** z.level AS BIGINT)),
