@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_threads, decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, merkle_manifest, mixing, quality_classifier, quality_rules, sharding, token_files
+from corpusmill.llm import chat_threads, decontamination, fill_in_middle, html_extraction, jaccard_join, language_id, language_model, merkle_manifest, mixing, quality_classifier, quality_rules, sharding, token_files
 from corpusmill.llm._scratch import new_path
 from corpusmill.llm.oracles import ORACLES
 
@@ -79,10 +79,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_mix_sources, op2_extract_html, op3_decontaminate, op4_language_id, op5_quality_classifier, op6_thread_chats, op7_shard, op8_jaccard_join, op9_quality_rules,
-        op10_token_files, op11_fill_in_middle, op12_merkle_manifest,
+        op10_token_files, op11_fill_in_middle, op12_merkle_manifest, op13_language_model,
     )
     return {f.__name__: f for f in found}
 
