@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.windows import grouped_row_number
+
 BIAS = 0.9
 
 
@@ -54,7 +56,7 @@ def injected(words: DataFrame, bounds: DataFrame, key: str, start: str, word: st
     events = words.select(key, F.col(start).alias("_at"), F.lit(1).alias("_side"), F.col(word).cast("string").alias("value")).union(
         bounds.select(key, F.col(bound).alias("_at"), F.lit(0).alias("_side"), F.col(label).cast("string").alias("value"))
     )
-    order = Window.partitionBy(key).orderBy("_at", "_side", "value")
-    follows = F.max("_side").over(order.rowsBetween(0, Window.unboundedFollowing))
-    kept = events.withColumn("_follows", follows).where("_follows = 1")
-    return kept.select(key, F.row_number().over(order).cast("long").alias("place"), F.when(F.col("_side") == 1, "word").otherwise("section").alias("kind"), "value")
+    last = words.groupBy(F.col(key).alias("_k")).agg(F.max(start).alias("_last"))
+    kept = events.join(last, F.col(key).eqNullSafe(F.col("_k"))).where(F.col("_at") <= F.col("_last")).drop("_k", "_last")
+    numbered = grouped_row_number(kept, [key], ["_at", "_side", "value"], "place")
+    return numbered.select(key, F.col("place").cast("long").alias("place"), F.when(F.col("_side") == 1, "word").otherwise("section").alias("kind"), "value")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import band_keys, hamming, with_splitmix64
-from corpusmill.sources.scratch import written
+from corpusmill.sources.scratch import drop, drop_since, mark, written
 
 MAX_ROUNDS = 60
 #: Signatures or rows of a bucket that are compared with as many others at once.
@@ -118,17 +118,19 @@ def near_pairs(signatures: DataFrame, name: str, sig: str, bands: int = 4, most:
 
 
 def near_links(signatures: DataFrame, name: str, sig: str, bands: int = 4, most: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links with the connected components of near_pairs, without a pair for each two copies.
+    """(a, b, bits): links with the connected components of near_pairs, without a pair for each two copies.
 
-    The rows of a signature are linked to its least name, and the least names of close signatures to each other.
+    A signature's representative is its least name. The other rows of a signature are its members: b is a member of a, bits 0.
+    Representatives of close signatures are pairs, with the bits in which they differ.
     """
     rows, distinct = _by_signature(signatures, name, sig)
     distinct = written(distinct)
     first = distinct.select("_s", "_first")
-    copies = rows.join(first, "_s").where(F.col("_name") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_name").alias("b"))
+    copies = rows.join(first, "_s").where(F.col("_name") != F.col("_first")).select(F.col("_first").alias("a"), F.col("_name").alias("b"), F.lit(0).alias("bits"))
     close = _close_signatures(distinct.select("_s"), bands, most, block)
     named = close.join(first.select(F.col("_s").alias("sa"), F.col("_first").alias("a")), "sa").join(first.select(F.col("_s").alias("sb"), F.col("_first").alias("b")), "sb")
-    return copies.union(named.where(F.col("a") != F.col("b")).select("a", "b"))
+    pairs = named.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("sa"), F.col("sb")).cast("int").alias("bits"))
+    return copies.union(pairs)
 
 
 def _capped_pairs(signatures: DataFrame, name: str, sig: str, bands: int, most: int, cap: int) -> DataFrame:
@@ -145,6 +147,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Labels fall to the least label among neighbours and then to that label's own label, so chains halve each round.
     """
+    before = mark()
     edges = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(b, a)).distinct())
     labels = written(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("vertex"), "label"))
     for _ in range(MAX_ROUNDS):
@@ -154,9 +157,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = lower.select(F.col("vertex").alias("_v"), F.col("label").alias("_l"))
         new = written(lower.join(jump, F.col("label") == F.col("_v"), "left").select("vertex", F.col("label").alias("_before"), F.least("label", F.coalesce("_l", "label")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "_old"), "vertex").where(F.col("label") != F.col("_old")).limit(1).count()
-        labels = new.select("vertex", "label")
+        drop(labels, lower)
+        labels = new
         if not changed:
-            return labels.select("vertex", F.col("label").alias("component"))
+            drop_since(edges.sparkSession, before, new)
+            return new.select("vertex", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
 
 

@@ -57,20 +57,19 @@ def overlapping(spans: DataFrame, windows: DataFrame, key: list[str], start: str
 def as_of(points: DataFrame, events: DataFrame, key: list[str], at: str, event_at: str, values: list[str], forward: bool = False, inclusive: bool = True) -> DataFrame:
     """points with the values of the last event at or before (forward: the first at or after) each point of its key.
 
-    One sort of the union of both sides, no pairs. inclusive False leaves out events at the very time of the point.
+    The union of both sides is dealt into ranges of key and time, however many rows a key has, and each range is gone through
+    once in the direction in which events are handed on; no pairs. The last event of a range is handed to the ranges after it
+    that begin with the same key (a row for each range). inclusive False leaves out events at the very time of the point.
     """
+    from corpusmill.operators.windows import handed_on
+
     payload = F.struct(*[F.col(v) for v in [event_at, *values]])
     extra = [c for c in points.columns if c not in (*key, at)]
     p = points.select(*key, F.col(at).alias("_at"), F.struct(*extra).alias("_point") if extra else F.lit(True).alias("_point"), F.lit(1).alias("_side"))
     e = events.select(*key, F.col(event_at).alias("_at"), payload.alias("_event"), F.lit(0).alias("_side"))
-    both = p.unionByName(e, allowMissingColumns=True)
-    first = F.col("_side") if inclusive != forward else -F.col("_side")
-    order = Window.partitionBy(*key).orderBy("_at", first)
-    if forward:
-        found = F.first("_event", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        found = F.last("_event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    out = both.withColumn("_found", found).where("_side = 1")
+    both = p.unionByName(e, allowMissingColumns=True).withColumn("_first", F.col("_side") if inclusive else -F.col("_side"))
+    order = [F.col("_at").desc() if forward else F.col("_at").asc(), F.col("_first").asc()]
+    out = handed_on(both, key, order, "_event", "_found").where("_side = 1")
     return out.select(*key, F.col("_at").alias(at), *([F.col(f"_point.{c}").alias(c) for c in extra]), *[F.col(f"_found.{v}").alias(v if v not in (at, *extra) else f"event_{v}") for v in [event_at, *values]])
 
 
@@ -95,22 +94,42 @@ def stale(derived: DataFrame, source: DataFrame, key: str, n_derived: str, n_sou
     return source.join(d, key, "left").withColumn("status", status).drop("_n")
 
 
+def folder_number(folder: Column) -> Column:
+    """The number that a folder's name ends in, as wave_2 and wave_10 do; without one it is null."""
+    return F.try_to_number(F.nullif(F.regexp_extract(folder, r"([0-9]{1,18})$", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+
+
 def allocate_spill(sizes: DataFrame, group: str, n: str, target: int) -> tuple[DataFrame, DataFrame]:
-    """Ranges of spilled rows and of free places: (group, lo, hi) counted over all groups in order of group.
+    """Ranges of spilled rows and of free places: (group, lo, hi) counted over all groups in order of their numbers (folder_number;
+    those without one come last), then of their names.
 
-    The i-th spilled row (from 0) goes to the group whose free range holds i. Tables of one row a group.
+    The i-th spilled row (from 0) goes to the group whose free range holds i.
     """
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+    from corpusmill.operators.windows import running_sum
+
     over, under = F.greatest(F.col(n) - target, F.lit(0)), F.greatest(target - F.col(n), F.lit(0))
 
     def ranges(count: Column) -> DataFrame:
-        rows = sizes.select(group, count.alias("_c")).where("_c > 0")
-        lo = F.coalesce(F.sum("_c").over(before), F.lit(0))
-        return rows.select(group, lo.alias("lo"), (lo + F.col("_c")).alias("hi"))
+        rows = sizes.select(group, F.coalesce(folder_number(F.col(group)), F.lit((1 << 63) - 1)).alias("_w"), count.alias("_c")).where("_c > 0")
+        return running_sum(rows, ["_w", group], "_c", "lo").select(group, "lo", (F.col("lo") + F.col("_c")).alias("hi"))
 
     return ranges(over), ranges(under)
 
 
+def range_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Where ranges [lo, hi) of a meet ranges of b; those of one side do not overlap. a's and b's columns, with a and b put before
+    their names, and n, how much they share.
+
+    Each meeting begins at the lo of one of the two, so every lo looks up the last range of either side that begins there or
+    earlier: no pairs are compared.
+    """
+    side = lambda d, name: d.select(F.struct(*d.columns).alias(f"_{name}"), F.col("lo").alias(f"_{name}_lo"))
+    starts = a.select(F.col("lo").alias("at")).union(b.select(F.col("lo").alias("at"))).distinct()
+    held = as_of(as_of(starts, side(a, "a"), [], "at", "_a_lo", ["_a"]), side(b, "b"), [], "at", "_b_lo", ["_b"])
+    met = held.withColumn("n", F.least("_a.hi", "_b.hi") - F.col("at")).where("n > 0")
+    return met.select(*[F.col(f"_a.{c}").alias(f"a_{c}") for c in a.columns], *[F.col(f"_b.{c}").alias(f"b_{c}") for c in b.columns], "n")
+
+
 def differences(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose values differ, or that only one side has."""
     a, b = expected.select(key, F.col(value).alias("expected")), actual.select(key, F.col(value).alias("actual"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.sources.scratch import written
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str] | list[Column]) -> DataFrame:
     """df dealt into ranges of the order, _part their number from low to high; written, so that it stays as dealt."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
@@ -27,6 +27,37 @@ def global_row_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return numbered.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
 
 
+def handed_on(df: DataFrame, key: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds out: the last value that is not null among the earlier rows of the same key in the order.
+
+    Rows are dealt into ranges of key and order, so that a key of any size is spread over tasks. What a range's last key has
+    last (a row for each range) is handed to the next range; a range without a value of that key hands on what it got.
+    """
+    whole = [*[F.col(k).asc_nulls_first() for k in key], *order]
+    own = F.struct(F.lit(0).alias("_0"), *key)
+    ranged = _ranged(df, whole).withColumn("_pos", F.row_number().over(Window.partitionBy("_part").orderBy(*whole)))
+    ends = ranged.groupBy("_part").agg(
+        F.max_by(own, "_pos").alias("_key"), F.max_by(F.struct(own.alias("k"), F.col(value).alias("v")), F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_last")
+    )
+    held = F.when(F.col("_last.k").eqNullSafe(F.col("_key")), F.col("_last.v"))
+    carried = ends.select(
+        F.lead("_part").over(Window.orderBy("_part")).alias("_to"), F.col("_key").alias("_of"),  # one row a range
+        F.last(held, ignorenulls=True).over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)).alias("_carry"),
+    ).where("_to is not null and _carry is not null")
+    here = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("_here", F.last(value, ignorenulls=True).over(here))
+    joined = found.join(F.broadcast(carried), (F.col("_part") == F.col("_to")) & own.eqNullSafe(F.col("_of")), "left")
+    return joined.withColumn(out, F.coalesce("_here", "_carry")).drop("_part", "_pos", "_here", "_to", "_of", "_carry")
+
+
+def grouped_row_number(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds the row number (from 1) within each group, by a numbering of the whole table: a group of any size is spread over tasks."""
+    numbered = global_row_number(df, [*group, *order], "_rn")
+    first = numbered.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("_rn").alias("_first"))
+    match = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return numbered.join(first, match).withColumn(out, F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first", *[f"_g_{g}" for g in group])
+
+
 def contiguous_shards(df: DataFrame, order: list[str], value: str, per_shard: int) -> DataFrame:
     """shard, local_idx and offset: rows in order, per_shard to a shard, with the values of the shard's earlier rows summed."""
     out = global_row_number(df, order, "_rn").withColumn("shard", F.floor((F.col("_rn") - 1) / per_shard).cast("long")).withColumn("local_idx", F.pmod(F.col("_rn") - 1, F.lit(per_shard)))

@@ -159,12 +159,12 @@ def checkpoint_inventory(t: Tables) -> DataFrame:
 
 
 @query("AGG-35", """
-    SELECT p_size AS layers, 64 * p_size AS width, text, 2 * 9 * 1024 * 64 * p_size + p_size * (4 * (64 * p_size) * (64 * p_size) + CASE WHEN text THEN 4 ELSE 0 END * (64 * p_size) * (64 * p_size) + 2 * (64 * p_size) * (256 * p_size)
+    SELECT p_size AS layers, 64 * p_size AS width, text, 2 * 9 * 1025 * 64 * p_size + p_size * (4 * (64 * p_size) * (64 * p_size) + CASE WHEN text THEN 4 ELSE 0 END * (64 * p_size) * (64 * p_size) + 2 * (64 * p_size) * (256 * p_size)
         + CASE WHEN text THEN 3 ELSE 2 END * 64 * p_size) + 64 * p_size AS params FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS p_size FROM part), (SELECT unnest([true, false]) AS text)""")
 def parameter_counts(t: Tables) -> DataFrame:
-    """Parameters of decoders by width, depth and whether they attend to text."""
+    """Parameters of decoders by width, depth and whether they attend to text; 1024 entries a table and one of padding."""
     sizes = t.part.select(F.col("p_size").cast("long").alias("layers")).distinct().select("layers", (64 * F.col("layers")).alias("width"), F.explode(F.array(F.lit(True), F.lit(False))).alias("text"))
-    return sizes.withColumn("params", ranking.decoder_parameters(F.col("width"), F.col("layers"), 4 * F.col("width"), F.col("text"), 9, 1024))
+    return sizes.withColumn("params", ranking.decoder_parameters(F.col("width"), F.col("layers"), 4 * F.col("width"), F.col("text"), 9, 1025))
 
 
 @query("AGG-37", "SELECT lang, count(DISTINCT source) AS sources, true AS close FROM documents GROUP BY lang")

@@ -101,14 +101,15 @@ def simhash_signatures(t: Tables) -> DataFrame:
 
 _BAND = _SIM + """,
     k AS (SELECT doc_id, sig, i AS band, (sig >> (16 * i)::UBIGINT) & 65535 AS value FROM sig, range(4) r(i)),
-    ok AS (SELECT band, value FROM k GROUP BY ALL HAVING count(*) BETWEEN 2 AND 2000),
-    p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id
-          JOIN ok ON ok.band = x.band AND ok.value = x.value WHERE bit_count(xor(x.sig, y.sig)) <= 3)"""
+    p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.band = y.band AND x.value = y.value AND x.doc_id < y.doc_id WHERE bit_count(xor(x.sig, y.sig)) <= 3)"""
 
 
-@query("JOIN-10 MTH-05 MTH-06", f"WITH {_BAND} SELECT a, b FROM p")
+@query("JOIN-10 MTH-05 MTH-06", f"""WITH {_BAND}, rep AS (SELECT sig, min(doc_id) AS rep FROM sig GROUP BY sig)
+    SELECT rep AS a, doc_id AS b, 0 AS bits FROM sig JOIN rep USING (sig) WHERE doc_id <> rep
+    UNION ALL SELECT a, b, CAST(bit_count(xor(x.sig, y.sig)) AS INT) FROM p JOIN rep x ON x.rep = a JOIN rep y ON y.rep = b""")
 def band_candidates(t: Tables) -> DataFrame:
-    return dedup.near_pairs(_signatures(t), "doc_id", "sig")
+    """Pairs of representatives of close signatures, and each representative's members: no pair for each two copies."""
+    return dedup.near_links(_signatures(t), "doc_id", "sig")
 
 
 @query("AGG-05", f"WITH {_BAND} SELECT band, CAST(value AS BIGINT) AS value, count(*) AS members FROM k GROUP BY ALL HAVING count(*) > 4")

@@ -283,10 +283,10 @@ def run_snapshots(t: Tables) -> DataFrame:
 
 _TARGET = 31
 _SPILL = f"""
-    n AS (SELECT source, count(*) AS c FROM documents GROUP BY 1),
+    n AS (SELECT source, count(*) AS c, TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) AS w FROM documents GROUP BY 1),
     r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-    pool AS (SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS i FROM r WHERE rn > {_TARGET}),
-    free AS (SELECT source AS dst, greatest({_TARGET} - c, 0) AS k, coalesce(sum(greatest({_TARGET} - c, 0)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM n WHERE source <> 'zz'),
+    pool AS (SELECT source, doc_id, row_number() OVER (ORDER BY w NULLS LAST, source, doc_id) - 1 AS i FROM r JOIN n USING (source) WHERE rn > {_TARGET}),
+    free AS (SELECT source AS dst, greatest({_TARGET} - c, 0) AS k, coalesce(sum(greatest({_TARGET} - c, 0)) OVER (ORDER BY w NULLS LAST, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM n WHERE source <> 'zz'),
     mv AS (SELECT pool.source AS src, coalesce(dst, 'zz') AS dst, doc_id AS name, i FROM pool LEFT JOIN free ON i >= lo AND i < lo + k)"""
 
 

@@ -76,8 +76,8 @@ def forward_asof(t: Tables) -> DataFrame:
 
 
 _MOVES = """
-    WITH n AS (SELECT {g} AS g, count(*) AS n FROM documents GROUP BY 1), c AS (SELECT g, n, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
-    o AS (SELECT g, sum(greatest(n - t, 0)) OVER (ORDER BY g) AS hi, greatest(n - t, 0) AS k FROM c), u AS (SELECT g, sum(greatest(t - n, 0)) OVER (ORDER BY g) AS hi, greatest(t - n, 0) AS k FROM c)
+    WITH n AS (SELECT {g} AS g, count(*) AS n, TRY_CAST(nullif(regexp_extract({g}, '([0-9]+)$', 1), '') AS BIGINT) AS w FROM documents GROUP BY 1), c AS (SELECT *, CAST(floor(avg(n) OVER ()) AS BIGINT) AS t FROM n),
+    o AS (SELECT g, sum(greatest(n - t, 0)) OVER (ORDER BY w NULLS LAST, g) AS hi, greatest(n - t, 0) AS k FROM c), u AS (SELECT g, sum(greatest(t - n, 0)) OVER (ORDER BY w NULLS LAST, g) AS hi, greatest(t - n, 0) AS k FROM c)
     SELECT o.g AS from_{g}, u.g AS to_{g}, CAST(least(o.hi, u.hi) - greatest(o.hi - o.k, u.hi - u.k) AS BIGINT) AS moved
     FROM o JOIN u ON o.hi - o.k < u.hi AND u.hi - u.k < o.hi WHERE o.k > 0 AND u.k > 0"""
 
@@ -98,9 +98,8 @@ def _moves(t: Tables, group: str) -> DataFrame:
     sizes = t.documents.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     mean = sizes.agg(F.floor(F.avg("n")).cast("long").alias("mean"))
     over, under = joins.allocate_spill(sizes.crossJoin(F.broadcast(mean)), group, "n", F.col("mean"))
-    o, u = over.select(F.col(group).alias(f"from_{group}"), "lo", "hi"), under.select(F.col(group).alias(f"to_{group}"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
-    met = o.join(u, (F.col("lo") < F.col("uhi")) & (F.col("ulo") < F.col("hi")))
-    return met.select(f"from_{group}", f"to_{group}", (F.least("hi", "uhi") - F.greatest("lo", "ulo")).alias("moved"))
+    met = joins.range_overlaps(over, under)
+    return met.select(F.col(f"a_{group}").alias(f"from_{group}"), F.col(f"b_{group}").alias(f"to_{group}"), F.col("n").alias("moved"))
 
 
 @query("WIN-01 WIN-02", """

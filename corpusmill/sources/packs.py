@@ -72,20 +72,23 @@ def required(songs: DataFrame, flag: str) -> DataFrame:
 
 
 def move_plan(members: DataFrame, folder: str, name: str, target: int, overflow: str) -> DataFrame:
-    """(src, dst, name, i): the i-th row beyond `target` of its folder, in order of folder and name, goes to the folder whose
-    free places, counted on from folder to folder, hold i, or to overflow once none is left."""
-    from corpusmill.operators.joins import allocate_spill
-    from corpusmill.operators.windows import global_row_number
+    """(src, dst, name, i): the i-th row beyond `target` of its folder, in order of the folder's number and name, goes to the
+    folder whose free places, counted on from folder to folder, hold i, or to overflow once none is left.
 
+    A row finds its folder as the last one whose free places begin at or before i.
+    """
+    from corpusmill.operators.joins import allocate_spill, as_of, folder_number
+    from corpusmill.operators.windows import global_row_number, grouped_row_number
+
+    number = F.coalesce(folder_number(F.col(folder)), F.lit((1 << 63) - 1))
     sizes = members.groupBy(folder).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = global_row_number(members.select(folder, name), [folder, name], "_rn")
-    first = numbered.groupBy(F.col(folder).alias("_f")).agg(F.min("_rn").alias("_first"))  # one row a folder
-    spilled = numbered.join(first, F.col(folder) == F.col("_f")).where(F.col("_rn") - F.col("_first") >= target).drop("_f", "_first", "_rn")
-    pool = global_row_number(spilled, [folder, name], "_i").withColumn("i", F.col("_i") - 1)
+    numbered = grouped_row_number(members.select(folder, name), [folder], [name], "_rn")
+    spilled = numbered.where(F.col("_rn") > target).select(folder, name, number.alias("_w"))
+    pool = global_row_number(spilled, ["_w", folder, name], "_i").select(folder, name, (F.col("_i") - 1).alias("i"))
     _, free = allocate_spill(sizes.where(F.col(folder) != overflow), folder, "_n", target)
-    free = free.select(F.col(folder).alias("_to"), "lo", "hi")  # one row a folder
-    held = pool.join(F.broadcast(free), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi")), "left")
-    return held.select(F.col(folder).alias("src"), F.coalesce("_to", F.lit(overflow)).alias("dst"), F.col(name).alias("name"), "i")
+    held = as_of(pool, free.select(F.col(folder).alias("_to"), "lo", "hi"), [], "i", "lo", ["_to", "hi"])
+    dst = F.when(F.col("i") < F.col("hi"), F.col("_to")).otherwise(F.lit(overflow))
+    return held.select(F.col(folder).alias("src"), dst.alias("dst"), F.col(name).alias("name"), "i")
 
 
 def collisions(moves: DataFrame, members: DataFrame, folder: str, name: str) -> DataFrame:
