@@ -31,3 +31,9 @@ def with_key(df: DataFrame, chroma: Column, out: str) -> DataFrame:
     z = F.when(F.aggregate(xs, F.lit(0.0), lambda t, x: t + x) > 1e-6, A.normalised_z(xs))
     fits = F.array(*[F.struct(A.dot(F.col("_z"), F.array(*[F.lit(v) for v in shape])).alias("fit"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, shape) in enumerate(profiles())])
     return df.withColumn("_z", z).withColumn(out, F.when(F.col("_z").isNotNull(), F.array_max(fits)["name"])).drop("_z")
+
+
+def folded_chroma(semitones: Column, classes: int = 12) -> Column:
+    """Energy of pitch classes: the absolute values of all semitones of a class, in whatever octave, summed."""
+    every = F.transform(semitones, lambda x, i: F.struct(F.abs(x.cast("double")).alias("x"), (i % classes).alias("k")))
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.aggregate(F.filter(every, lambda e: e["k"] == k), F.lit(0.0), lambda a, e: a + e["x"]))

@@ -121,3 +121,16 @@ def guarded(counts: DataFrame, pending: str, done: str) -> DataFrame:
     """One row of counts, failing if work was pending and none succeeded."""
     bad = (F.col(pending) > 0) & (F.col(done) <= 0)
     return counts.where(F.when(bad, F.raise_error(F.lit("none of the pending items succeeded")).isNull()).otherwise(F.lit(True)))
+
+
+def stem_content(codes: Column, frames: Column, vocab: int = 1024) -> dict[str, Column]:
+    """What an array of a stem's codes shows: out_of_range (a value below 0 or beyond the pad, which is vocab), misaligned (another
+    number of frames than its song), dead (all values alike) and pads, the share of padding. A null array is misaligned; all of an
+    empty one's are false and its pads 0."""
+    some = F.coalesce(F.size(codes), F.lit(0)) > 0
+    return {
+        "out_of_range": some & F.exists(codes, lambda x: (x < 0) | (x > vocab)),
+        "misaligned": ~F.coalesce(F.size(codes) == frames, F.lit(False)),
+        "dead": some & (F.array_min(codes) == F.array_max(codes)),
+        "pads": F.when(some, F.size(F.filter(codes, lambda x: x == vocab)) / F.size(codes)).otherwise(0.0),
+    }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import arrays as A
+from corpusmill.functions import folds
 from corpusmill.operators import crops, keys, quality
 from corpusmill.plans.catalog import Tables, query
 from corpusmill.streaming import frames
@@ -83,41 +84,41 @@ def section_injection(t: Tables) -> DataFrame:
 
 @query("WIN-06 UDF-06", """
     WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value / 10 AS v, event_id % 4 = 0 AS missing FROM events WHERE value IS NOT NULL),
-    x AS (SELECT user_id, i, missing, i * 5.0 + v AS s, i * 5.0 + v + 4 AS t, i * 6.0 AS os, i * 6.0 + 3 AS oe FROM e WHERE i <= 12),
+    x AS (SELECT user_id, i, missing, i * 5.0 + v AS s, i * 5.0 + v + 4 AS t, i * 6.0 AS os, i * 6.0 + 3 AS oe FROM e),
     r(user_id, i, cur, a, b) AS (
         SELECT user_id, i, CASE WHEN missing THEN greatest(0.0, oe) ELSE greatest(t, greatest(s, 0.0) + 0.001) END, CASE WHEN missing THEN os ELSE greatest(s, 0.0) END, CASE WHEN missing THEN oe ELSE greatest(t, greatest(s, 0.0) + 0.001) END FROM x WHERE i = 1
         UNION ALL SELECT x.user_id, x.i, CASE WHEN missing THEN greatest(cur, oe) ELSE greatest(t, greatest(s, cur) + 0.001) END, CASE WHEN missing THEN os ELSE greatest(s, cur) END,
             CASE WHEN missing THEN oe ELSE greatest(t, greatest(s, cur) + 0.001) END FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1)
     SELECT user_id, i, round(a, 3) AS a, round(b, 3) AS b FROM r""")
 def monotone_clamp(t: Tables) -> DataFrame:
-    """A user's first twelve events as words, with refined spans of which every fourth is missing."""
-    e = t.events.where("value is not null").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("i <= 12")
-    v = F.col("value") / 10
-    span = lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end"))
-    refined = F.when(F.col("event_id") % 4 != 0, span(F.col("i") * 5.0 + v, F.col("i") * 5.0 + v + 4))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", refined.alias("r"), span(F.col("i") * 6.0, F.col("i") * 6.0 + 3).alias("o")))).alias("x"))
-    made = rows.select("user_id", A.clamp_spans(F.col("x.r"), own=F.col("x.o")).alias("c")).select("user_id", F.posexplode("c").alias("k", "s"))
-    return made.select("user_id", (F.col("k") + 1).cast("long").alias("i"), F.round("s.start", 3).alias("a"), F.round("s.end", 3).alias("b"))
+    """All events of a user as words with refined spans, of which every fourth is missing, streamed in order through a fold."""
+    e = t.events.where("value is not null").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
+    v, refined = F.col("value") / 10, F.col("event_id") % 4 != 0
+    spans = e.select(
+        "user_id", "i", F.when(refined, F.col("i") * 5.0 + v).alias("start"), F.when(refined, F.col("i") * 5.0 + v + 4).alias("end"),
+        (F.col("i") * 6.0).alias("own_start"), (F.col("i") * 6.0 + 3).alias("own_end"),
+    )
+    return folds.clamped(spans, ["user_id"], ["i"]).select("user_id", "i", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
 
 
 _KEY_VALUES = ", ".join(f"({k}, '{name}', [{', '.join(map(repr, shape))}])" for k, (name, shape) in enumerate(keys.profiles()))
 
 
 @query("JOIN-18", f"""
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)) AS c FROM embeddings),
+    WITH e AS (SELECT vec_id, list_transform(range(12), lambda k: list_sum(list_transform(range(k + 1, 65, 12), lambda i: abs(embedding[i]::DOUBLE)))) AS c FROM embeddings),
     z AS (SELECT vec_id, list_transform(c, lambda x: (x - list_avg(c)) / list_stddev_pop(c)) AS z FROM e),
     k(k, name, p) AS (VALUES {_KEY_VALUES}), f AS (SELECT vec_id, k, name, list_dot_product(z, p::DOUBLE[]) AS fit FROM z, k)
     SELECT vec_id, name AS key FROM f QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, k) = 1""")
 def key_estimate(t: Tables) -> DataFrame:
-    """The key of the first twelve values of each vector, taken for mean chroma."""
-    chroma = F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))
+    """The key of each vector: its values, taken for semitones, folded into twelve pitch classes."""
+    chroma = keys.folded_chroma(F.col("embedding"))
     return keys.with_key(t.embeddings.select("vec_id", chroma.alias("c")), F.col("c"), "key").select("vec_id", "key")
 
 
 @query("AGG-29", """
-    WITH x AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(12)) AS i, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY ALL) SELECT label, i, round(m, 6) AS mean FROM x""")
+    WITH x AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL) SELECT label, i, round(m, 6) AS mean FROM x""")
 def mean_chroma(t: Tables) -> DataFrame:
-    cells = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 12)).alias("i", "x"))
+    cells = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
     return cells.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean")).select("label", F.col("i").cast("long").alias("i"), "mean")
 
 
@@ -155,17 +156,18 @@ def length_ceiling(t: Tables) -> DataFrame:
 
 
 @query("FLT-23", """
-    WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 1000) AS BIGINT)) AS c, label FROM embeddings)
-    SELECT vec_id, list_max(c) > 1024 AS out_of_range, label = 4 AS misaligned, label = 6 AS dead, round(list_avg(list_transform(c, lambda x: CASE WHEN x = 1024 THEN 1.0 ELSE 0.0 END)), 6) AS pads FROM s""")
+    WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 1000) AS BIGINT)) AS c FROM embeddings),
+    s AS (SELECT vec_id, CASE label WHEN 4 THEN c[1:60] WHEN 6 THEN list_transform(c, lambda x: 7::BIGINT) WHEN 8 THEN list_transform(c, lambda x: CASE WHEN x > 100 THEN 1024 ELSE x END) ELSE c END AS c FROM e)
+    SELECT vec_id, list_max(c) > 1024 OR list_min(c) < 0 AS out_of_range, len(c) <> 64 AS misaligned, len(list_distinct(c)) = 1 AS dead, round(list_avg(list_transform(c, lambda x: CASE WHEN x = 1024 THEN 1.0 ELSE 0.0 END)), 6) AS pads FROM s""")
 def stem_sidecars(t: Tables) -> DataFrame:
-    """Content checks of stems: values in range, as many frames as tokens, not all alike, share of padding."""
+    """Content checks of stems, of which some are cut short, some constant and some padded: each is told from its array alone."""
     c = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000))
-    made = t.embeddings.select("vec_id", "label", c.alias("c"), F.when(F.col("label") == 4, 60).otherwise(64).alias("frames"))
-    stem = F.when(F.col("label") == 6, F.array_repeat(F.lit(7).cast("long"), 64)).otherwise(F.col("c"))
-    return made.select(
-        "vec_id", (F.array_max("c") > 1024).alias("out_of_range"), (F.size("c") != F.col("frames")).alias("misaligned"), (F.size(F.array_distinct(stem)) == 1).alias("dead"),
-        F.round(F.size(F.filter("c", lambda x: x == 1024)) / F.size("c"), 6).alias("pads"),
-    )
+    label = F.col("label")
+    padded = F.transform("c", lambda x: F.when(x > 100, F.lit(1024).cast("long")).otherwise(x))
+    stem = F.when(label == 4, F.slice("c", 1, 60)).when(label == 6, F.transform("c", lambda x: F.lit(7).cast("long"))).when(label == 8, padded).otherwise(F.col("c"))
+    made = t.embeddings.select("vec_id", "label", c.alias("c")).select("vec_id", stem.alias("codes"), F.lit(64).alias("frames"))
+    told = quality.stem_content(F.col("codes"), F.col("frames"))
+    return made.select("vec_id", told["out_of_range"].alias("out_of_range"), told["misaligned"].alias("misaligned"), told["dead"].alias("dead"), F.round(told["pads"], 6).alias("pads"))
 
 
 @query("WIN-08 UDF-04", r"""
@@ -179,22 +181,23 @@ def word_chunks(t: Tables) -> DataFrame:
 
 
 @query("WIN-18 WIN-19", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS x FROM embeddings),
-    r AS (SELECT vec_id, list_transform(range(5), lambda i: x[1 + CAST(floor(i * 7 / 4.0) AS BIGINT)] + (i * 7 / 4.0 - floor(i * 7 / 4.0)) * (x[1 + least(CAST(floor(i * 7 / 4.0) AS BIGINT) + 1, 7)] - x[1 + CAST(floor(i * 7 / 4.0) AS BIGINT)])) AS y FROM e)
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+    r AS (SELECT vec_id, list_transform(range(40), lambda i: x[1 + CAST(floor(i * 63 / 39.0) AS BIGINT)] + (i * 63 / 39.0 - floor(i * 63 / 39.0)) * (x[1 + least(CAST(floor(i * 63 / 39.0) AS BIGINT) + 1, 63)] - x[1 + CAST(floor(i * 63 / 39.0) AS BIGINT)])) AS y FROM e)
     SELECT vec_id, array_to_string(list_transform(y, lambda v: printf('%.4f', v / greatest(sqrt(list_sum(list_transform(y, lambda u: u * u))), 1e-9) + 0.00000001)), ',') AS y FROM r""")
 def resampled(t: Tables) -> DataFrame:
-    """Eight values stretched over five places by linear interpolation, then scaled to length one."""
-    y = A.l2_normalised(A.resample(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")), 5))
-    return t.embeddings.select("vec_id", y.alias("y")).select("vec_id", F.array_join(F.transform("y", lambda v: F.format_string("%.4f", v + 0.00000001)), ",").alias("y"))
+    """64 values brought to 40 places by linear interpolation, then scaled to length one."""
+    made = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    made = made.select("vec_id", A.resample(F.col("x"), 40).alias("y")).select("vec_id", A.l2_normalised(F.col("y")).alias("y"))  # each a column of its own, computed once
+    return made.select("vec_id", F.array_join(F.transform("y", lambda v: F.format_string("%.4f", v + 0.00000001)), ",").alias("y"))
 
 
 @query("WIN-20", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: x::DOUBLE) AS a, list_transform(embedding[7:12], lambda x: x::DOUBLE) AS b FROM embeddings)
-    SELECT vec_id, round(list_sum(a[1:3]) + list_sum(b[4:6]) + list_sum(list_transform(range(3), lambda i: a[4 + i] * cos(i * pi() / 4) + b[1 + i] * sin(i * pi() / 4))), 6) AS total, 9 AS n FROM e""")
+    WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings)
+    SELECT vec_id, round(list_sum(a[1:24]) + list_sum(b[9:32]) + list_sum(list_transform(range(8), lambda i: a[25 + i] * cos(i * pi() / 14) + b[1 + i] * sin(i * pi() / 14))), 6) AS total, 56 AS n FROM e""")
 def crossfade(t: Tables) -> DataFrame:
-    """Two halves of a vector joined by an equal-power fade over three values."""
-    half = lambda k: F.transform(F.slice("embedding", k, 6), lambda x: x.cast("double"))
-    made = t.embeddings.select("vec_id", half(1).alias("a"), half(7).alias("b")).select("vec_id", A.crossfaded(F.col("a"), F.col("b"), 3).alias("x"))
+    """Two halves of a vector joined by an equal-power fade over eight values."""
+    half = lambda k: F.transform(F.slice("embedding", k, 32), lambda x: x.cast("double"))
+    made = t.embeddings.select("vec_id", half(1).alias("a"), half(33).alias("b")).select("vec_id", A.crossfaded(F.col("a"), F.col("b"), 8).alias("x"))
     return made.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.size("x").alias("n"))
 
 
@@ -210,12 +213,15 @@ def frame_arithmetic(t: Tables) -> DataFrame:
 
 
 @query("MTH-13 MTH-18", """
-    WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS s, list_transform(embedding[5:8], lambda x: x::DOUBLE) AS o FROM embeddings)
-    SELECT vec_id, round(s[1] + 2.0 * (s[2] - s[1]) + 3.0 * (s[3] - s[2]) + 0.5 * (s[4] - s[3]), 6) AS guided, round(list_dot_product(s, o) / greatest(sqrt(list_dot_product(s, s)) * sqrt(list_dot_product(o, o)), 1e-9), 6) AS cosine FROM e""")
+    WITH e AS (SELECT vec_id, list_transform(range(4), lambda k: list_sum(list_transform(embedding[16 * k + 1 : 16 * k + 16], lambda x: x::DOUBLE))) AS m, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS s,
+        list_transform(embedding[33:64], lambda x: x::DOUBLE) AS o FROM embeddings)
+    SELECT vec_id, round(m[1] + 2.0 * (m[2] - m[1]) + 3.0 * (m[3] - m[2]) + 0.5 * (m[4] - m[3]), 6) AS guided, round(list_dot_product(s, o) / greatest(sqrt(list_dot_product(s, s)) * sqrt(list_dot_product(o, o)), 1e-9), 6) AS cosine FROM e""")
 def guidance(t: Tables) -> DataFrame:
-    part = lambda k: F.transform(F.slice("embedding", k, 4), lambda x: x.cast("double"))
-    made = t.embeddings.select("vec_id", part(1).alias("s"), part(5).alias("o"))
-    blend = A.guided(F.element_at("s", 1), F.col("s"), F.array(F.lit(2.0), F.lit(3.0), F.lit(0.5)))
+    """Sums of the quarters of a vector blended as four conditions, and the cosine of its halves."""
+    part = lambda k, n: F.transform(F.slice("embedding", k, n), lambda x: x.cast("double"))
+    quarters = F.array(*[F.aggregate(part(16 * k + 1, 16), F.lit(0.0), lambda a, x: a + x) for k in range(4)])
+    made = t.embeddings.select("vec_id", quarters.alias("m"), part(1, 32).alias("s"), part(33, 32).alias("o"))
+    blend = A.guided(F.element_at("m", 1), F.col("m"), F.array(F.lit(2.0), F.lit(3.0), F.lit(0.5)))
     return made.select("vec_id", F.round(blend, 6).alias("guided"), F.round(A.cosine(F.col("s"), F.col("o")), 6).alias("cosine"))
 
 
