@@ -151,9 +151,14 @@ def with_defaults(items: DataFrame, batch: DataFrame, fields: list[str]) -> Data
     return items.crossJoin(F.broadcast(shared)).select(*kept)
 
 
-def looked_up(base: DataFrame, parts: DataFrame, key: str, value: str, measure: Column) -> DataFrame:
-    """base with n_chunks and the total of measure over its parts; measure is worked out once for each distinct value."""
-    known = parts.select(F.md5(F.col(value).cast("binary")).alias("_h"), value).dropDuplicates(["_h"]).select("_h", measure.alias("_m"))
-    marked = parts.select(key, F.md5(F.col(value).cast("binary")).alias("_h")).join(known, "_h")
-    totals = marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("_m").alias("total"))
-    return base.join(totals, key, "left").fillna(0, ["n_chunks", "total"])
+def embedded(base: DataFrame, parts: DataFrame, key: str, value: str, vector: Column, size: int) -> DataFrame:
+    """base with n_chunks and vector, the mean of its parts' vectors, zero for a row without parts.
+
+    vector (on value's column) is worked out once for each distinct value, which 128 bits of hash tell apart.
+    """
+    marked = parts.select(key, F.md5(F.col(value).cast("binary")).alias("_h"), value)
+    known = marked.groupBy("_h").agg(F.first(value).alias(value)).select("_h", vector.alias("_v"))
+    sums = [F.sum(F.col("_v")[k]).alias(f"_s{k}") for k in range(size)]
+    totals = marked.select(key, "_h").join(known, "_h").groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), *sums)
+    mean = F.array(*[F.coalesce(F.col(f"_s{k}") / F.col("n_chunks"), F.lit(0.0)) for k in range(size)])
+    return base.join(totals, key, "left").withColumn("vector", mean).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0))).drop(*[f"_s{k}" for k in range(size)])

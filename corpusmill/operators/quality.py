@@ -134,3 +134,19 @@ def stem_content(codes: Column, frames: Column, vocab: int = 1024) -> dict[str,
         "dead": some & (F.array_min(codes) == F.array_max(codes)),
         "pads": F.when(some, F.size(F.filter(codes, lambda x: x == vocab)) / F.size(codes)).otherwise(0.0),
     }
+
+
+def nulled(df: DataFrame, text: str, logprob: str | None = None, dry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """df with reason, and text null where there is one (dry: as it was); and a row of counters: texts checked and flagged, rows that
+    were null already, texts that are left as fit to sing, all rows, and the flagged ones by kind of reason."""
+    from corpusmill.functions.text import junk_reason, word_count
+
+    at = F.col(text)
+    reason = F.when(at.isNotNull(), junk_reason(at, word_count(at), F.col(logprob) if logprob else None))
+    judged = df.withColumn("reason", reason)
+    n = lambda c: F.count(F.when(c, 1))
+    counters = judged.agg(
+        F.count(text).alias("checked"), F.count("reason").alias("flagged"), n(at.isNull()).alias("already_null"), n(at.isNotNull() & F.col("reason").isNull()).alias("vocal_ready"), F.count(F.lit(1)).alias("total"),
+        n(F.col("reason") == "short").alias("short"), n(F.col("reason").startswith("junk:")).alias("junk"), n(F.col("reason") == "low_confidence").alias("low_confidence"),
+    )
+    return (judged if dry else judged.withColumn(text, F.when(F.col("reason").isNull(), at))), counters

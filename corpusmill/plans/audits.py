@@ -116,13 +116,16 @@ def marker_compare(t: Tables) -> DataFrame:
 
 
 @query("AGG-26 UDF-05", """
-    WITH p AS (SELECT conv_id, turn, 10 + turn % 7 AS n, turn % 3 AS dropped FROM conversations)
-    SELECT conv_id, round(sum(dropped) / sum(n), 9) AS pooled, round(avg(dropped / n), 9) AS mean FROM p GROUP BY conv_id""")
+    WITH p AS (SELECT conv_id, turn, 10 + turn % 7 AS n, turn % 3 AS dropped, (turn // 3) % 3 AS put, (turn // 2) % 4 AS changed FROM conversations)
+    SELECT conv_id, round(sum(dropped + put + changed) / sum(n), 9) AS pooled, round(avg((dropped + put + changed) / n), 9) AS mean FROM p GROUP BY conv_id""")
 def word_error_rates(t: Tables) -> DataFrame:
-    """References of 10 to 16 different words against the same with up to two dropped: pooled and mean error rates."""
-    n = (10 + F.col("turn") % 7).cast("int")
+    """References of 10 to 16 different words against the same with some dropped at the end, some inserted in front and some replaced
+    by unknown ones in the middle: pooled and mean error rates."""
+    n, at = (10 + F.col("turn") % 7).cast("int"), F.col("turn")
     words = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("w"), i.cast("string")))
-    spoken = F.slice(words, F.lit(1), n - (F.col("turn") % 3).cast("int"))
+    dropped, put, changed = (at % 3).cast("int"), (F.floor(at / 3) % 3).cast("int"), (F.floor(at / 2) % 4).cast("int")
+    replaced = F.transform(words, lambda w, i: F.when((i >= 3) & (i < 3 + changed), F.concat(F.lit("x"), i.cast("string"))).otherwise(w))
+    spoken = F.concat(F.array_repeat(F.lit("uh"), put), F.slice(replaced, F.lit(1), n - dropped))
     made = t.conversations.select("conv_id", F.array_join(words, " ").alias("r"), F.array_join(spoken, " ").alias("s"))
     got = kernels.corpus_word_error_rate(made, "r", "s", ["conv_id"])
     return got.select("conv_id", F.round("pooled", 9).alias("pooled"), F.round("mean", 9).alias("mean"))
@@ -216,19 +219,47 @@ def refusal_flags(t: Tables) -> DataFrame:
     return d.select("event_id", X.contains_any(F.col("low"), REFUSALS).alias("refusal"), X.contains_any(F.col("low"), ARTIFACTS).alias("artifact"))
 
 
+def _junk_sql(text: str, n: str) -> str:
+    """The reason by the fixed phrases and limits."""
+    quoted = [p.replace("'", "''") for p in X.JUNK_PHRASES]
+    hit = "CASE " + " ".join(f"WHEN contains(lower({text}), '{p}') THEN 'junk:{p}'" for p in quoted) + " END"
+    return f"CASE WHEN {n} < {X.MIN_WORDS} THEN 'short' WHEN {n} < {X.JUNK_MAX_WORDS} AND {hit} IS NOT NULL THEN {hit} END"
+
+
+_SAID = """CASE WHEN (conv_id + turn) % 11 = 0 THEN NULL ELSE text || CASE (conv_id + turn) % 7 WHEN 0 THEN ' Thanks for Watching' WHEN 1 THEN ' ' || role || '.com' WHEN 2 THEN ' Subtitles by ' || role
+    WHEN 3 THEN ' Please SUBSCRIBE and see you next time' ELSE '' END END"""
+
+
+@query("FLT-02", f"""
+    WITH s AS (SELECT conv_id, turn, {_SAID} AS text FROM conversations), n AS (SELECT *, {_N.format('text')} AS n FROM s) SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN {_junk_sql('text', 'n')} END AS reason FROM n""")
+def junk_transcripts(t: Tables) -> DataFrame:
+    """Turns as transcripts, some with what speech recognition makes up on silence, by the fixed phrases and limits."""
+    said = _transcripts(t)
+    return said.select("conv_id", "turn", F.when(F.col("text").isNotNull(), X.junk_reason(F.col("text"), X.word_count(F.col("text")))).alias("reason"))
+
+
+def _transcripts(t: Tables) -> DataFrame:
+    d = F.col("conv_id") + F.col("turn")
+    tail = F.when(d % 7 == 0, F.lit(" Thanks for Watching")).when(d % 7 == 1, F.concat(F.lit(" "), "role", F.lit(".com"))).when(d % 7 == 2, F.concat(F.lit(" Subtitles by "), "role"))
+    tail = tail.when(d % 7 == 3, F.lit(" Please SUBSCRIBE and see you next time")).otherwise(F.lit(""))
+    return t.conversations.select("conv_id", "turn", F.when(d % 11 != 0, F.concat("text", tail)).alias("text"))
+
+
 @query("FLT-03", f"""
-    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS text FROM documents), r AS (SELECT *, text IS NOT NULL AND {_N.format('text')} < 6 AS short FROM d)
-    SELECT count(*) FILTER (text IS NOT NULL) AS checked, count(*) FILTER (short) AS flagged, count(*) FILTER (text IS NULL) AS already_null, count(*) FILTER (text IS NOT NULL AND NOT short) AS vocal_ready, count(*) AS total,
-        0 AS flagged_again FROM r""")
+    WITH s AS (SELECT {_SAID} AS text FROM conversations), r AS (SELECT text, CASE WHEN text IS NOT NULL THEN {_junk_sql('text', 'n')} END AS reason FROM (SELECT *, {_N.format('text')} AS n FROM s)),
+    m AS (SELECT unnest(['dry run', 'write']) AS mode), x AS (SELECT mode, text, reason, CASE WHEN mode = 'dry run' OR reason IS NULL THEN text END AS left_over FROM m, r)
+    SELECT mode, count(text) AS checked, count(reason) AS flagged, count(*) FILTER (text IS NULL) AS already_null, count(*) FILTER (text IS NOT NULL AND reason IS NULL) AS vocal_ready, count(*) AS total, count(left_over) AS left_over,
+        count(CASE WHEN left_over IS NOT NULL THEN reason END) AS flagged_again, count(*) FILTER (reason = 'short') AS short, count(*) FILTER (reason LIKE 'junk:%') AS junk FROM x GROUP BY mode""")
 def junk_nulled(t: Tables) -> DataFrame:
-    """Counters of a pass that nulls made-up texts, and what a second pass finds."""
-    d = t.documents.select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("text"))
-    reason = lambda c: F.when(c.isNotNull(), X.junk_reason(c, X.word_count(c), phrases=()))
-    first = d.withColumn("reason", reason(F.col("text"))).withColumn("nulled", F.when(F.col("reason").isNull(), F.col("text")))
-    return first.agg(
-        F.count("text").alias("checked"), F.count("reason").alias("flagged"), _n_if(F.col("text").isNull()).alias("already_null"), F.count("nulled").alias("vocal_ready"), F.count(F.lit(1)).alias("total"),
-        F.count(reason(F.col("nulled"))).cast("int").alias("flagged_again"),
-    )
+    """Counters of a pass that nulls made-up transcripts, as a dry run and written, and what a second pass over its result finds."""
+    found = []
+    for mode, dry in (("dry run", True), ("write", False)):
+        first, counters = quality.nulled(_transcripts(t), "text", dry=dry)
+        again = quality.nulled(first.select("text"), "text", dry=True)[1]
+        left = first.agg(F.count("text").alias("left_over"))
+        both = counters.crossJoin(F.broadcast(again.select(F.col("flagged").alias("flagged_again")))).crossJoin(F.broadcast(left))  # a row each
+        found.append(both.withColumn("mode", F.lit(mode)))
+    return found[0].unionByName(found[1]).select("mode", "checked", "flagged", "already_null", "vocal_ready", "total", "left_over", "flagged_again", "short", "junk")
 
 
 @query("JOIN-12 AGG-36", """
@@ -252,15 +283,24 @@ def shared_defaults(t: Tables) -> DataFrame:
     return joins.with_defaults(items, batch, ["cfg", "mode"])
 
 
-@query("JOIN-23", r"""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-    k AS (SELECT doc_id, i, array_to_string(w[i * 72 + 1 : i * 72 + 72], ' ') AS c FROM (SELECT doc_id, w, unnest(range(CAST(least(ceil(len(w) / 72.0), 3) AS BIGINT))) AS i FROM w)),
-    v AS (SELECT doc_id, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS total FROM k GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_chunks, coalesce(total, 0) AS total FROM documents LEFT JOIN v USING (doc_id)""")
+_BYTE = "CAST('0x' || substr(md5(c), {}, 2) AS BIGINT)"
+
+
+@query("JOIN-23", rf"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+    k AS (SELECT doc_id, array_to_string(w[i * 72 + 1 : i * 72 + 72], ' ') AS c FROM (SELECT doc_id, w, unnest(range(CAST(least(ceil(len(w) / 72.0), 16) AS BIGINT))) AS i FROM w)),
+    v AS (SELECT doc_id, count(*) AS n, sum({_BYTE.format(1)}) AS a, sum({_BYTE.format(3)}) AS b, sum({_BYTE.format(5)}) AS d FROM k GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_chunks, CAST(greatest(ceil(len(w) / 72.0) - 16, 0) AS BIGINT) AS n_dropped, coalesce(round(a / n, 6), 0.0)::DOUBLE AS v0, coalesce(round(b / n, 6), 0.0)::DOUBLE AS v1, coalesce(round(d / n, 6), 0.0)::DOUBLE AS v2
+    FROM w LEFT JOIN v USING (doc_id)""")
 def chunk_dictionary(t: Tables) -> DataFrame:
-    """Texts in up to three chunks; each distinct chunk is measured once (a model would embed it) and looked up; none is 0."""
-    w = X.words(F.col("text"))
-    chunks = t.documents.select("doc_id", w.alias("w")).select("doc_id", F.posexplode(A.chunks_of(F.col("w"), 72, 3)).alias("i", "c")).select("doc_id", "i", F.array_join("c", " ").alias("c"))
-    return joins.looked_up(t.documents.select("doc_id"), chunks, "doc_id", "c", F.length("c").cast("long"))
+    """Texts in up to 16 chunks, the surveyed bound, with the number beyond it. Each distinct chunk is embedded once (here by bytes
+    of its digest) and looked up; a text's vector is the mean of its chunks', that of one without any is zero."""
+    d = t.documents.select("doc_id", X.words(F.col("text")).alias("w"))
+    chunks = d.select("doc_id", F.posexplode(A.chunks_of(F.col("w"), 72, 16)).alias("i", "c")).select("doc_id", F.array_join("c", " ").alias("c"))
+    byte = lambda k: F.conv(F.substring(F.md5(F.col("c").cast("binary")), 2 * k + 1, 2), 16, 10).cast("double")
+    base = d.select("doc_id", F.greatest(F.ceil(F.size("w") / 72) - 16, F.lit(0)).cast("long").alias("n_dropped"))
+    found = joins.embedded(base, chunks, "doc_id", "c", F.array(*[byte(k) for k in range(3)]), 3)
+    return found.select("doc_id", "n_chunks", "n_dropped", *[F.round(F.col("vector")[k], 6).alias(f"v{k}") for k in range(3)])
 
 
 @query("WIN-15", r"""

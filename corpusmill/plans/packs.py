@@ -195,10 +195,10 @@ def codec_table(t: Tables) -> DataFrame:
     return S.codecs(t.spark)
 
 
-@query("SRC-20", "SELECT doc_id, md5(lower(coalesce(text, ''))) AS digest FROM documents WHERE lang = 'fr'")
+@query("SRC-20", "SELECT doc_id, md5(lower(coalesce(text, ''))) AS digest FROM documents")
 def tags_fallback(t: Tables) -> DataFrame:
-    """The first of three sources that has rows: the latest one is empty, the cache is French."""
-    layers = [t.documents.where("lang = 'xx'"), t.documents.where("lang = 'fr'"), t.documents]
+    """The first of three sources that has rows: the latest one is empty, the cache is whole, the labels are not asked."""
+    layers = [t.documents.where("lang = 'xx'"), t.documents, t.labels]
     return S.first_with_rows(layers).select("doc_id", F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
 
 
@@ -238,10 +238,10 @@ def quarantine_union(t: Tables) -> DataFrame:
     return stores.quarantine(t.documents.where("doc_id % 10 = 0").select("doc_id"), t.documents.where("doc_id % 15 = 0").select("doc_id"))
 
 
-@query("SNK-12", "SELECT doc_id, n_chars FROM documents WHERE source = 'src1' AND EXISTS (SELECT 1 FROM labels)")
+@query("SNK-12", "SELECT source, doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def wave_cleanup(t: Tables) -> DataFrame:
-    """What a cleanup would delete of a wave; it refuses to plan while the packed index is empty."""
-    return stores.cleanup_plan(t.documents.where("source = 'src1'").select("doc_id", "n_chars"), t.labels)
+    """What a cleanup would delete of each wave: files that the packed index holds. It refuses to plan while that is empty."""
+    return stores.cleanup_plan(t.documents.select("source", "doc_id", "n_chars"), t.labels, "doc_id")
 
 
 @query("SNK-13 JOIN-20", "SELECT d.doc_id, l.quality, n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0")

@@ -75,11 +75,12 @@ def guarded_count(deletes: DataFrame, most: int = 2000) -> int:
     return n
 
 
-def cleanup_plan(present: DataFrame, index: DataFrame) -> DataFrame:
-    """Files that may go; raises while the index that should hold them is empty. Nothing is deleted here."""
+def cleanup_plan(present: DataFrame, index: DataFrame, key: str | None = None) -> DataFrame:
+    """Files that may go: those whose key the index of what is packed holds (all of them without a key); raises while the index is
+    empty. Nothing is deleted here."""
     if index.isEmpty():
         raise ValueError("the packed index is empty: nothing may be cleaned up")
-    return present
+    return present if key is None else present.join(index.select(key).distinct(), key, "left_semi")
 
 
 def status_plan(present: DataFrame, manifest: DataFrame, key: str, bad: Column) -> DataFrame:
