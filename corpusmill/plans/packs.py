@@ -11,7 +11,7 @@ from corpusmill.functions import hashing as H
 from corpusmill.operators import joins, quality
 from corpusmill.plans.catalog import Tables, query
 from corpusmill.sources import packs as P
-from corpusmill.sources import stores
+from corpusmill.sources import rawpack, stores
 from corpusmill.sources import tables as S
 from corpusmill.sources.scratch import shared_path
 
@@ -48,13 +48,24 @@ def pack_roundtrip(t: Tables) -> DataFrame:
     return S.packed_songs(index).select("name", F.col("shard_id").cast("long").alias("shard_id"), F.col("local_idx").cast("long").alias("local_idx"), "offset", "n_frames")
 
 
-@query("SRC-10 ARR-04", f"WITH {_PLACED} SELECT name, array_to_string(list_transform(range(n), lambda x: CAST(o_custkey * 7 % 1024 AS VARCHAR)), ',') AS row FROM o WHERE shard_id % 2 = 0")
+@query("SRC-08 SRC-09 SRC-10 ARR-04 SNK-05", f"""
+    WITH {_PLACED} SELECT name, shard_id, CAST(local_idx AS INT) AS local_idx, "offset", CAST(n AS INT) AS n_frames, array_to_string(list_transform(range(n), lambda x: CAST(o_custkey % 1024 AS VARCHAR)), ',') AS row0,
+        array_to_string(list_transform(range(n), lambda x: CAST(o_custkey * 7 % 1024 AS VARCHAR)), ',') AS row1 FROM o""")
+def raw_pack(t: Tables) -> DataFrame:
+    """Songs written as int16 blobs with an index, appended to, and read back by their byte ranges."""
+    path = shared_path(t.spark, "rawpack")
+    rawpack.write(_songs(t, "o_orderstatus = 'F'"), path, 500)
+    rawpack.write(_songs(t, "o_orderstatus <> 'F'"), path, 500, append=True)
+    row = lambda k: F.array_join(F.transform(F.element_at("codes", k + 1), lambda x: x.cast("string")), ",").alias(f"row{k}")
+    return rawpack.read(t.spark, path).select("name", "shard_id", "local_idx", "offset", "n_frames", row(0), row(1))
+
+
+@query("SRC-10 ARR-04", f"WITH {_PLACED} SELECT name, array_to_string(list_transform(range(n), lambda x: CAST(o_custkey * 7 % 1024 AS VARCHAR)), ',') AS row FROM o")
 def pack_slices(t: Tables) -> DataFrame:
-    """The second codebook of songs, cut out of their shard's flat row; of every second shard."""
-    songs = _packed(t).where("shard_id % 2 = 0")
-    flat = P.flat_shards(songs).where("k = 1").select(F.col("shard_id").alias("_s"), "flat")
-    cut = songs.select("name", "shard_id", "offset", "n_frames").join(flat, F.col("shard_id") == F.col("_s"))
-    return cut.select("name", F.array_join(P.sliced(F.col("flat"), F.col("offset"), F.col("n_frames")), ",").alias("row"))
+    """The second codebook of songs, cut out of their shard's blob by byte range."""
+    path = shared_path(t.spark, "rawpack")
+    rawpack.write(_songs(t, "true"), path, 500)
+    return rawpack.read(t.spark, path).select("name", F.array_join(F.element_at("codes", 2), ",").alias("row"))
 
 
 @query("FLT-20", f"""

@@ -49,17 +49,6 @@ def pack_index(songs: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
-def flat_shards(songs: DataFrame, codes: str = "codes") -> DataFrame:
-    """(shard_id, k, flat): codebook k of a whole shard as one array, as it lies in a memory map."""
-    rows = songs.select("shard_id", "local_idx", F.posexplode(codes).alias("k", "row"))
-    return rows.groupBy("shard_id", "k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("local_idx", "row"))), lambda s: s["row"])).alias("flat"))
-
-
-def sliced(flat: Column, offset: Column, n: Column) -> Column:
-    """One song's part of a flat array."""
-    return F.slice(flat, (offset + 1).cast("int"), n.cast("int"))
-
-
 def or_zeros(xs: Column, n: int) -> tuple[Column, Column]:
     """A sidecar's values and whether they are there: an array that is missing or has another length is n zeros."""
     good = F.coalesce(F.size(xs) == n, F.lit(False)) & xs.isNotNull()
