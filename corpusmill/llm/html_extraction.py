@@ -4,11 +4,20 @@ A page is read as a sequence of tags and words. What stands around a word gives
 (navigation, advert, notice, side bar, comments, footer, header, sharing, form, hidden; from element names, classes, ids and
 roles), whether it is in an article or a container named as content, and whether it is in a link. Each feature, the plain word
 and each tag has a weight, the logarithm of how much likelier it is inside the content of labelled pages than outside; a word's
-score is the sum over its features. No name decides by itself. The contiguous run of tokens with the highest sum is the content
+score is the sum over its features. The contiguous run of tokens with the highest sum is the content
 region; it is widened to whole blocks, and words in it whose own score is below 0 because of furniture are left out. Furniture
 inside an article or a content container counts neither way, so that a long advert there does not cut the article in two.
 Weights come from labelled_pages(), or from any (html, content flags) the caller gives.
 
+Names of some families (side, notice, form, head) stand for parts of an article as often as for what surrounds it. Inside an
+article or a content container such an element is weighed by what it holds: sentences, links, form controls, words of offers,
+hardly any words. Each of these and each family has a weight, learned from the elements of the same labelled pages, in which such
+names stand on both sides; at a sum above 0 the name says nothing. Names of navigation, adverts, comments, sharing and footers are
+furniture everywhere: the labelled pages have them on one side only.
+
+Where no name helps, a section's own heading does ("Comments", "Readers say", "Most read"), as a name of the element around it
+would; and a short block of copyright is left out. A header named after the article (class "article-header") is content.
+
 A hint says nothing where it can't be about a part of the page: in names such as "has-sidebar", "with-sidebar", "no-comments" or
 "share-enabled", in names of more than three words, and on an element that holds half of the page's words and all its
 articles, or three quarters of its words while no article or content container stands outside. Inside articles, ids of headings
@@ -68,6 +77,28 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong small cite q code blo
 HEADED = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd td th".split())
 #: Words that are topics of an article as well: as ids of sections they are no hints.
 TOPICS = frozenset("discussion related recommended recommendations notice notices alert follow social reply replies form search overlay foot promotion".split())
+#: Families that are weighed by what an element holds inside an article.
+SOFT = frozenset(("side", "notice", "form", "head"))
+#: Words that name the article itself: a header so named is its head.
+ARTICLE_WORDS = frozenset("article post entry story".split())
+# Headings of sections that are not the article, words of offers, and lines of copyright.
+HEADINGS = {
+    "comments": r"(?:\d+ |all |reader |readers' |user )?comments?(?: \(?\d+\)?)?|(?:our |what )?readers? (?:say|said|write)|leave a (?:reply|comment)|(?:\d+ )?(?:replies|responses)|join the (?:discussion|conversation)|your comments",
+    "side": r"popular|most (?:read|popular|viewed|shared)|(?:popular|related|recommended|recent|latest|top) (?:posts?|stories|articles|news|reading)|related|recommended(?: for you)?|you (?:may|might) also like|more (?:stories|news|articles)|"
+    r"more (?:from|in|on) [\w ]{1,30}|read (?:also|next|more)|trending(?: now)?|editor'?s picks",
+    "share": r"share(?: this(?: [a-z]+)?)?|follow us|share on",
+    "ad": r"advertisements?|sponsored(?: content| links)?|promoted",
+    "form": r"(?:subscribe|newsletter|sign up|log ?in|search)(?: [a-z]+){0,3}",
+}
+OFFER = re.compile(r"\b(?:cookies?|subscrib\w+|newsletter|sign(?:ed)? up|log ?in|advertis\w+|sponsored|buy now|free trial|read (?:also|next)|see also|follow us|share this|click here|special offer)\b", re.I)
+LEGAL = re.compile(r"\s*(?:©|\(c\) ?\d{4}|copyright (?:©|\(c\)|\d{4})|copyright by\b)|.*\ball rights reserved\b", re.I | re.S)
+LEGAL_WORDS = 20
+#: A piece of text of so many words, or that ends a sentence and has so many, is prose; an element with fewer words is short.
+PROSE_WORDS, SENTENCE_WORDS, SHORT_WORDS = 12, 5, 6
+_HEADING = {family: re.compile(rf"\s*(?:{pattern})\s*[:…]?\s*", re.I) for family, pattern in HEADINGS.items()}
+_MAY_HEAD = frozenset("h1 h2 h3 h4 h5 h6 p strong b legend summary dt".split())
+_SENTENCE_END = re.compile(r"[.!?…][\"'”’)]*\s*\Z")
+_CONTROLS = frozenset("input button select textarea".split())
 #: Shares of a page's words (those in links left out) from which an element is taken for the page.
 MOST_OF_PAGE, HALF_OF_PAGE = 0.75, 0.5
 
@@ -76,6 +107,7 @@ BIT = {name: 1 << k for k, name in enumerate(_FEATURES)}
 _FAMILY = {word: family for family, words in FURNITURE_WORDS.items() for word in words.split()}
 _INSIDE = BIT["article"] | BIT["content"]
 _FURNITURE = BIT["article"] - 1
+_SOFT = sum(BIT[f] for f in SOFT)
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -94,6 +126,7 @@ def _hints(name: str, attributes: str, in_article: bool) -> int:
     if name in ("html", "body"):
         return 0
     out = BIT["article"] if name in ("article", "main") else 0
+    about_article = False
     family = FURNITURE_TAGS.get(name)
     if family and not (family == "head" and in_article):
         out |= BIT[family]
@@ -108,6 +141,7 @@ def _hints(name: str, attributes: str, in_article: bool) -> int:
                 words = [w for w in _SPLIT.split(_CAMEL.sub("-", label).lower()) if w and not w.isdigit()]
                 if len(words) > 3 or not STATE_WORDS.isdisjoint(words):
                     continue
+                about_article = about_article or not ARTICLE_WORDS.isdisjoint(words)
                 found = {_FAMILY[w] for w in words if w in _FAMILY}
                 allowed = (CLEAR if name in FLOW else IN_ARTICLE if in_article else BIT.keys()) if found else ()
                 for f in found:
@@ -117,40 +151,51 @@ def _hints(name: str, attributes: str, in_article: bool) -> int:
                     out |= BIT["content"]
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDING.search(value):
             out |= BIT["hidden"]
-    return out
+    return out & ~BIT["head"] | BIT["content"] if about_article and out & BIT["head"] else out
 
 
 class Element:
-    """An element with hints: its features, the one around it, and what had been read when it began and ended."""
+    """An element with hints: its features, the one around it, and what had been read when it began and ended: words outside links,
+    articles, words in articles, words in links, words of prose, form controls, offers."""
 
     __slots__ = ("around", "began", "ended", "mask")
 
-    def __init__(self, around: int, mask: int, began: tuple[int, int, int]):
+    def __init__(self, around: int, mask: int, began: tuple[int, ...]):
         self.around, self.mask, self.began, self.ended = around, mask, began, began
 
+    def held(self) -> list[int]:
+        return [b - a for a, b in zip(self.began, self.ended, strict=True)]
+
+    def evidence(self) -> list[str]:
+        """What an element of a soft family says for and against being part of an article."""
+        words, _, _, linked, prose, controls, offers = self.held()
+        every = max(words + linked, 1)
+        told = {"links": linked > 0.4 * every, "prose": prose >= 0.5 * every, "controls": controls > 0, "offer": offers > 0, "short": words + linked < SHORT_WORDS}
+        return [f"held:{k if on else 'no ' + k}" for k, on in told.items()] + [f"held:{f}" for f in SOFT if self.mask & BIT[f]]
+
 
 class Token:
     """A tag (text "" or, for br, " ") or the text between two tags, with the innermost hinted element around it."""
 
-    __slots__ = ("at", "block", "element", "kind", "linked", "text", "words")
+    __slots__ = ("at", "block", "element", "kind", "legal", "linked", "text", "words")
 
     def __init__(self, kind: str, at: int, element: int, text: str = "", words: int = 0, linked: bool = False, block: bool = False):
-        self.kind, self.at, self.element, self.text, self.words, self.linked, self.block = kind, at, element, text, words, linked, block
+        self.kind, self.at, self.element, self.text, self.words, self.linked, self.block, self.legal = kind, at, element, text, words, linked, block, False
 
 
-def read(page: str) -> tuple[list[Token], list[int]]:
-    """Tokens in order, and the features of each hinted element (the first stands for the page itself).
+def read(page: str) -> tuple[list[Token], list[Element]]:
+    """Tokens in order, and the hinted elements (the first stands for the page itself).
 
     An element stays open up to its end tag or that of one around it. Open elements are counted by name, so that an end tag
     without a start costs nothing, however many there are.
     """
     tokens: list[Token] = []
-    elements = [Element(0, 0, (0, 0, 0))]
+    elements = [Element(0, 0, (0,) * 7)]
     stack: list[tuple[str, int]] = []  # name, hinted element that it is or 0
     places: dict[str, list[int]] = defaultdict(list)
     barriers: list[int] = []
     inner = [0]  # hinted elements open now
-    read_words = read_articles = read_content = articles = 0
+    read_words = read_articles = read_content = articles = link_words = prose_words = controls = offers = 0
     at, n = 0, len(page)
 
     def close(depth: int) -> None:
@@ -162,19 +207,43 @@ def read(page: str) -> tuple[list[Token], list[int]]:
                 barriers.pop()
             articles -= name in ("article", "main")
             if element:
-                elements[element].ended = (read_words, read_articles, read_content)
+                elements[element].ended = (read_words, read_articles, read_content, link_words, prose_words, controls, offers)
                 inner.pop()
 
     def text(a: int, b: int) -> None:
-        nonlocal read_words, read_content
+        nonlocal read_words, read_content, link_words, prose_words, offers
         piece = entities.unescape(page[a:b])
         if piece:
             words, linked = len(piece.split()), bool(places["a"])
+            if words <= 6 and not linked and len(stack) > 1 and stack[-1][0] in _MAY_HEAD and not stack[-1][1]:
+                heads(piece)
             tokens.append(Token("word", a, inner[-1], piece, words, linked))
-            if not linked:
+            tokens[-1].legal = 0 < words <= LEGAL_WORDS and LEGAL.match(piece) is not None
+            if linked:
+                link_words += words
+            else:
                 read_words += words
+                if words >= PROSE_WORDS or words >= SENTENCE_WORDS and _SENTENCE_END.search(piece):
+                    prose_words += words
                 if elements[inner[-1]].mask & _INSIDE:
                     read_content += words
+            if words and OFFER.search(piece):
+                offers += 1
+
+    def heads(piece: str) -> None:
+        """Gives the element around a heading the features that its words name, unless it is the page or an article."""
+        name, element = stack[-2]
+        if name in ("html", "body", "article", "main"):
+            return
+        for family, pattern in _HEADING.items():
+            if pattern.fullmatch(piece):
+                if element:
+                    elements[element].mask |= BIT[family]
+                else:
+                    stack[-2] = (name, len(elements))
+                    inner.append(len(elements))
+                    elements.append(Element(inner[-2], BIT[family], (read_words, read_articles, read_content, link_words, prose_words, controls, offers)))
+                return
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -200,6 +269,7 @@ def read(page: str) -> tuple[list[Token], list[int]]:
             if name == "a" and places["a"]:
                 close(places["a"][-1])
             alone = m[3].rstrip().endswith("/")
+            controls += name in _CONTROLS
             if name in RAW:
                 if not alone:
                     end = _RAW_END[name].search(page, at)
@@ -211,7 +281,7 @@ def read(page: str) -> tuple[list[Token], list[int]]:
                     read_articles += 1
                 if mask:
                     element = len(elements)
-                    elements.append(Element(inner[-1], mask, (read_words, read_articles - (name in ("article", "main")), read_content)))
+                    elements.append(Element(inner[-1], mask, (read_words, read_articles - (name in ("article", "main")), read_content, link_words, prose_words, controls, offers)))
                     inner.append(element)
                 if name in _BARRIER:
                     barriers.append(len(stack))
@@ -221,16 +291,30 @@ def read(page: str) -> tuple[list[Token], list[int]]:
     if at < n:
         text(at, n)
     close(0)
+    elements[0].ended = (read_words, read_articles, read_content, link_words, prose_words, controls, offers)
+    return tokens, elements
+
+
+def weighed(e: Element, around: int) -> bool:
+    """Whether an element's names are weighed by what it holds: soft ones in an article or a content container."""
+    return bool(e.mask & _SOFT) and not e.mask & _FURNITURE & ~_SOFT and bool(around & _INSIDE) and not around & _FURNITURE
+
+
+def features(elements: list[Element], weights: dict[str, float]) -> list[int]:
+    """The features of each hinted element, those of the elements around it included."""
+    read_words, read_articles, read_content = elements[0].ended[:3]
     masks = [0]
     for e in elements[1:]:
-        mask = e.mask
+        mask, around = e.mask, masks[e.around]
         if mask & _FURNITURE:
-            words, held, content = (b - a for a, b in zip(e.began, e.ended, strict=True))
+            words, held, content = e.held()[:3]
             outside = read_articles - held
             if held and not outside and words >= HALF_OF_PAGE * read_words and not mask & BIT["article"] or words >= MOST_OF_PAGE * read_words and not outside and read_content == content:
                 mask &= ~_FURNITURE
-        masks.append(masks[e.around] | mask)
-    return tokens, masks
+            elif weighed(e, around) and sum(weights.get(x, 0.0) for x in e.evidence()) > 0:
+                mask &= ~_SOFT
+        masks.append(around | mask)
+    return masks
 
 
 def labelled_pages() -> Iterator[tuple[tuple[str, int], ...]]:
@@ -256,10 +340,29 @@ def labelled_pages() -> Iterator[tuple[tuple[str, int], ...]]:
         '<div class="share-buttons">Share: <a href=i>Mail</a> <a href=j>Print</a></div><div class="related sidebar"><p>Ten walks for the summer</p></div><div hidden>Loading</div>',
         "<div><a href=g>Previous</a> <a href=h>Next</a></div><p class=copyright>All rights reserved by us</p>",
     )
+    # Parts of articles whose names could be those of furniture, and furniture of the same names that stands in an article.
+    parts = (
+        '<section class="related-work"><h2>Earlier studies</h2><p>Two earlier surveys of the valley came to other numbers, as they counted barns as farms.</p></section>',
+        '<div class="widget"><p>The table shows how many people lived in each house before the war.</p><p>None of them came back.</p></div>',
+        '<div class="alert">Never leave the hot pan alone while the oil is on the fire, not even for a moment.</div>', "<aside><p>We had nothing but the walls and the land, said the last farmer of the valley.</p></aside>",
+        "<fieldset><legend>Facts</legend><p>The wall is two miles long and was built in nine years.</p></fieldset>", '<div class="notice">The names of two people in this story have been changed at their own wish.</div>',
+    )
+    intruders = (
+        f'<aside class="related"><h3>More stories</h3><ul>{links}</ul></aside>', '<div class="widget"><a href=k>Ten walks</a> <a href=l>Five lakes</a></div>', '<div class="notice">This site uses cookies. <a href=m>Accept</a></div>',
+        '<aside>Subscribe to our newsletter and never miss a story again.</aside>', "<fieldset><label>Mail</label><input><button>Sign up</button></fieldset>", '<div class="alert">Subscribe now</div>',
+        '<div class="sidebar"><p>Weather</p><p>Sunny, 21</p></div>', "<aside>Advertisement</aside>", '<form class="search"><label>Find</label><input><button>Go</button></form>', f'<div class="recommended">{links}</div>',
+        '<div class="widget">Sign up now for our weekly letter, it is free for all who read us.</div>', '<div class="notice">We use cookies to make this site better for you and for our partners.</div>',
+        "<aside>Read also how the old harbour was built.</aside>",
+    )
+    count = 0
     for k, (begin, end) in enumerate(wrappers):
         for j, top in enumerate(tops):
             body, tail = bodies[(k + j) % len(bodies)], tails[(k // 2 + j) % len(tails)]
-            yield (f"<html><head><title>Page</title><style>p{{}}</style></head><body>{top}", 0), (begin + body + end, 1), (f"{tail}</body></html>", 0)
+            count += 1
+            inside = begin not in ("<div>", "<section>") and "<td" not in begin  # where names are weighed
+            part, intruder = (parts[count % len(parts)], intruders[count % len(intruders)]) if inside else ("", "")
+            cut = body.index("</p>") + 4
+            yield (f"<html><head><title>Page</title><style>p{{}}</style></head><body>{top}", 0), (begin + body[:cut] + part, 1), (intruder, 0), (body[cut:] + end, 1), (f"{tail}</body></html>", 0)
 
 
 def learn_weights(pages: Iterable[tuple[tuple[str, int], ...]] | None = None) -> dict[str, float]:
@@ -268,13 +371,30 @@ def learn_weights(pages: Iterable[tuple[tuple[str, int], ...]] | None = None) ->
     Furniture, links and tags are held below 0, the plain word and the two kinds of content container above it.
     """
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    totals, tag_totals = [0, 0], [0, 0]
+    totals, tag_totals, held_totals = [0, 0], [0, 0], [0, 0]
+    held: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    ready = []
     for page in labelled_pages() if pages is None else pages:
         whole, edge, edges = "".join(p for p, _ in page), 0, []
         for piece, flag in page:
             edge += len(piece)
             edges.append((edge, flag))
-        found, masks = read(whole)
+        found, elements = read(whole)
+        ready.append((found, elements, edges))
+        # Which side the words of an element stand on, for elements that are weighed by what they hold.
+        masks, sides = features(elements, {}), defaultdict(lambda: [0, 0])
+        for t in found:
+            if t.kind == "word":
+                sides[t.element][next(flag for edge, flag in edges if t.at < edge)] += t.words
+        for k, e in enumerate(elements):
+            if k and weighed(e, masks[e.around]) and sum(sides[k]):
+                side = int(sides[k][1] > sides[k][0])
+                held_totals[side] += 1
+                for x in e.evidence():
+                    held[x][side] += 1
+    evidence = {x: math.log((c[1] + 0.5) / (held_totals[1] + 1)) - math.log((c[0] + 0.5) / (held_totals[0] + 1)) for x, c in held.items()}
+    for found, elements, edges in ready:
+        masks = features(elements, evidence)
         for t in found:
             flag = next(flag for edge, flag in edges if t.at < edge)
             if t.kind != "word":
@@ -291,7 +411,7 @@ def learn_weights(pages: Iterable[tuple[tuple[str, int], ...]] | None = None) ->
         w = odds(counts[f], totals) if f in counts else 0.0
         weights[f] = max(0.0, w) if BIT[f] & _INSIDE else min(-0.5, w)
     tags: Counter = Counter({k: min(-0.05, odds(c, tag_totals)) for k, c in counts.items() if k.startswith("tag:")})
-    return weights | dict(tags) | {"tag": min(-0.05, sum(tags.values()) / max(1, len(tags)))}
+    return weights | evidence | dict(tags) | {"tag": min(-0.05, sum(tags.values()) / max(1, len(tags)))}
 
 
 def scores(tokens: list[Token], masks: list[int], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
@@ -307,8 +427,11 @@ def scores(tokens: list[Token], masks: list[int], weights: dict[str, float]) ->
     link, unknown = weights["link"], weights["tag"]
     for t in tokens:
         word, tag, furniture = known[masks[t.element]]
-        marked.append(furniture)
-        if t.kind == "word":
+        legal = t.legal and not masks[t.element] & _INSIDE  # in an article such a line is its own
+        marked.append(furniture or legal)
+        if legal:
+            out.append(min(-0.5, word) * t.words)
+        elif t.kind == "word":
             out.append(t.words * (min(-0.05, weights["word"] + link) if t.linked and word > 0 else word))
         else:
             out.append(tag * weights.get(f"tag:{t.kind}", unknown))
@@ -331,8 +454,8 @@ def extract_text(page: str | None, weights: dict[str, float]) -> str:
     """Main text of a page."""
     if not page:
         return ""
-    found, masks = read(page)
-    values, marked = scores(found, masks, weights)
+    found, elements = read(page)
+    values, marked = scores(found, features(elements, weights), weights)
     a, b = best_run(values)
     if a == b:
         return ""
