@@ -151,7 +151,7 @@ def bucketed_samples(samples: Column, hop: int, grid: int, most: int) -> Column:
 
 
 def frame_safe(samples: Column, hop: int, rate: int, frame_rate: float) -> Column:
-    """Samples moved on by half a frame where frames counted in floating point are not the frames there are (8 times at most)."""
+    """Samples moved on by half a frame where frames counted in floating point are not the frames there are, twice at most."""
     out = samples
     for _ in range(2):  # one half frame is enough wherever the two counts differ
         off = F.ceil((out.cast("double") / F.lit(float(rate))) * F.lit(float(frame_rate))) != frame_count(out, hop)

@@ -66,6 +66,18 @@ def mapped(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return df.select(key, value).mapInPandas(kernel, schema)
 
 
+def codepoint_counts(df: DataFrame, text: str) -> DataFrame:
+    """(ch, n): how often each code point occurs in a batch of texts, a row for each batch and code point."""
+
+    def kernel(batches):
+        for batch in batches:
+            joined = "".join(x for x in batch.column(0).to_pylist() if x)
+            points, n = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(p) for p in points], pa.string()), pa.array(n, pa.int64())], ["ch", "n"])
+
+    return df.select(text).mapInArrow(kernel, "ch string, n long")
+
+
 def word_errors(reference: str, spoken: str) -> int:
     """Least number of words inserted, deleted and replaced."""
     a, b = reference.split(), spoken.split()

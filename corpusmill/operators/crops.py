@@ -60,3 +60,33 @@ def injected(words: DataFrame, bounds: DataFrame, key: str, start: str, word: st
     kept = events.join(last, F.col(key).eqNullSafe(F.col("_k"))).where(F.col("_at") <= F.col("_last")).drop("_k", "_last")
     numbered = grouped_row_number(kept, [key], ["_at", "_side", "value"], "place")
     return numbered.select(key, F.col("place").cast("long").alias("place"), F.when(F.col("_side") == 1, "word").otherwise("section").alias("kind"), "value")
+
+
+def wordless_share(songs: DataFrame, words: DataFrame, key: str, frames: str, start: str, end: str, segment: int, rate: float) -> DataFrame:
+    """(key, n_starts, n_wordless): how many frames a crop can start at, and from how many of them it holds no word, exactly.
+
+    A word lies in the crops that start in one range of frames; the union of a song's ranges is swept in order of where they begin,
+    each adding what lies beyond the furthest end so far. A song shorter than a crop has one start; one without words is wordless.
+    """
+    last = F.greatest(F.col(frames) - segment, F.lit(0)).cast("long")
+    tops = songs.select(key, last.alias("_last"))
+    # A crop from s holds a word if s / rate < end and (s + segment) / rate > start, asked of the frames around either bound.
+    a, b = F.floor(F.col(start) * rate - segment), F.ceil(F.col(end) * rate)
+    first = F.coalesce(*[F.when((a + k + segment) / rate > F.col(start), a + k) for k in (-1, 0, 1, 2)])
+    stop = F.coalesce(*[F.when((b + k) / rate < F.col(end), b + k) for k in (1, 0, -1, -2)])
+    spans = words.join(tops, key).select(key, F.greatest(first, F.lit(0)).alias("_a"), F.least(stop, F.col("_last")).alias("_b")).where("_a <= _b")
+    before = F.max("_b").over(Window.partitionBy(key).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    added = F.greatest(F.col("_b") - F.greatest(F.col("_a") - 1, F.coalesce(before, F.lit(-1))), F.lit(0))
+    held = spans.withColumn("_n", added).groupBy(key).agg(F.sum("_n").alias("_held"))
+    return tops.join(held, key, "left").select(key, (F.col("_last") + 1).alias("n_starts"), (F.col("_last") + 1 - F.coalesce("_held", F.lit(0))).alias("n_wordless"))
+
+
+def drawn_wordless(songs: DataFrame, words: DataFrame, key: str, frames: str, start: str, end: str, segment: int, rate: float, draws: int) -> DataFrame:
+    """(key, n_draws, n_empty): crops drawn with seeds 0 to draws - 1 anywhere in each song, and how many hold no word."""
+    last = F.greatest(F.col(frames) - segment, F.lit(0))
+    every = songs.select(key, last.alias("_last"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"))
+    digits = F.substring(F.md5(F.concat(F.lit("draw:"), F.col("_d").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary")), 1, 12)
+    at = F.floor(F.conv(digits, 16, 10).cast("long") / float(1 << 48) * (F.col("_last") + 1)).cast("long")
+    drawn_at = every.select(key, "_d", at.alias("_s"))
+    hits = drawn_at.join(words.select(F.col(key).alias("_k"), F.col(start).alias("_a"), F.col(end).alias("_b")), (F.col(key) == F.col("_k")) & (F.col("_b") > F.col("_s") / rate) & (F.col("_a") < (F.col("_s") + segment) / rate), "left")
+    return hits.groupBy(key, "_d").agg(F.count("_k").alias("_n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_draws"), F.count(F.when(F.col("_n") == 0, 1)).alias("n_empty"))

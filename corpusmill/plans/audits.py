@@ -93,10 +93,10 @@ def lang_totals(t: Tables) -> DataFrame:
 @query("AGG-17", """
     WITH c AS (SELECT unnest(string_split(lower(text), '')) AS ch FROM documents) SELECT ch, count(*) AS n FROM c WHERE ch <> '' AND NOT ch BETWEEN 'a' AND 'z' GROUP BY ch ORDER BY n DESC, ch LIMIT 30""")
 def uncovered_codepoints(t: Tables) -> DataFrame:
-    """The 30 most frequent code points outside a vocabulary (a to z), counted per text before they are summed."""
-    rest = F.split(F.regexp_replace(F.lower("text"), "[a-z]", ""), "")
-    chars = t.documents.select(F.explode(rest).alias("ch")).where("ch <> ''")
-    return chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "ch").limit(30)
+    """The 30 most frequent code points outside a vocabulary (a to z), counted in Arrow batches before they are shuffled."""
+    rest = t.documents.select(F.regexp_replace(F.lower("text"), "[a-z]", "").alias("text"))
+    counts = kernels.codepoint_counts(rest, "text")
+    return counts.groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "ch").limit(30)
 
 
 _DEFAULT, _HEDGE = r"(?i)license,?\s+text|the\s+the[^a-z0-9_]", r"(?i)(example|sample)\.(com|org)|there\s+(may|might)"
@@ -373,7 +373,7 @@ def prompt_memo(t: Tables) -> DataFrame:
     return t.events.select("event_id", "event_type").join(memo, "event_type").select("event_id", "prompt")
 
 
-@query("MTH-11 MTH-17 MTH-09 SRC-14 SRC-22", """
+@query("SRC-14", """
     SELECT vec_id, round(greatest(list_max(embedding), -list_min(embedding))::DOUBLE, 5) AS peak, label = 9 AS failed FROM embeddings WHERE label <> 9 UNION ALL SELECT vec_id, NULL, true FROM embeddings WHERE label = 9""")
 def signal_backends(t: Tables) -> DataFrame:
     """A signal backend (a decoder, loudness or tempo model in its place) by name, with errors caught row by row."""

@@ -54,7 +54,7 @@ def aligned_crops(t: Tables) -> DataFrame:
     h AS (SELECT u.conv_id, count(w.conv_id) FILTER (w.b > plain / {_RATE} AND w.a < (plain + {_SEG}) / {_RATE}) AS n_plain, count(w.conv_id) FILTER (w.b > crop_start / {_RATE} AND w.a < (crop_start + {_SEG}) / {_RATE}) AS n_biased
         FROM u LEFT JOIN w USING (conv_id) GROUP BY u.conv_id)
     SELECT count(*) AS n, count(*) FILTER (n_plain = 0) AS zero_uniform, count(*) FILTER (n_biased = 0) AS zero_biased, quantile_cont(6 + 2 * n_biased, 0.5)::DOUBLE AS p50, quantile_cont(6 + 2 * n_biased, 0.95)::DOUBLE AS p95,
-        CAST(max(6 + 2 * n_biased) AS BIGINT) AS most, count(*) FILTER (6 + 2 * n_biased > 12) AS over_cap FROM h""")
+        CAST(max(6 + 2 * n_biased) AS BIGINT) AS most, count(*) FILTER (6 + 2 * n_biased > 256) AS over_256, count(*) FILTER (6 + 2 * n_biased > 512) AS over_512 FROM h""")
 def crop_supervision(t: Tables) -> DataFrame:
     """Crops without a word under both ways to draw them, and lengths of their streams."""
     songs, words = _songs(t)
@@ -66,10 +66,28 @@ def crop_supervision(t: Tables) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     return both.agg(
         F.count(F.lit(1)).alias("n"), n(F.col("a") == 0).alias("zero_uniform"), n(F.col("b") == 0).alias("zero_biased"), F.percentile("size", F.lit(0.5)).alias("p50"),
-        F.percentile("size", F.lit(0.95)).alias("p95"), F.max("size").alias("most"), n(F.col("size") > 12).alias("over_cap"),
+        F.percentile("size", F.lit(0.95)).alias("p95"), F.max("size").alias("most"), n(F.col("size") > 256).alias("over_256"), n(F.col("size") > 512).alias("over_512"),
     )
 
 
+_DRAWS = 32
+
+
+@query("AGG-30", f"""
+    WITH s AS (SELECT conv_id, greatest(count(*) * 7 + 40 - {_SEG}, 0) AS top FROM conversations GROUP BY 1), w AS (SELECT conv_id, turn * 0.7::DOUBLE AS a, turn * 0.7::DOUBLE + 0.4 AS b FROM conversations WHERE turn % 3 <> 2),
+    x AS (SELECT s.conv_id, unnest(range(top + 1)) AS f FROM s),
+    h AS (SELECT x.conv_id, f, EXISTS (SELECT 1 FROM w WHERE w.conv_id = x.conv_id AND b > f / {_RATE} AND a < (f + {_SEG}) / {_RATE}) AS word FROM x),
+    g AS (SELECT conv_id, count(*) AS n_starts, count(*) FILTER (NOT word) AS n_wordless FROM h GROUP BY 1),
+    d AS (SELECT conv_id, CAST(floor(CAST('0x' || substr(md5('draw:' || k || ':' || conv_id), 1, 12) AS BIGINT) / 281474976710656.0 * (top + 1)) AS BIGINT) AS f FROM s, range({_DRAWS}) r(k)),
+    e AS (SELECT d.conv_id, count(*) AS n_draws, count(*) FILTER (NOT word) AS n_empty FROM d JOIN h ON h.conv_id = d.conv_id AND h.f = d.f GROUP BY 1)
+    SELECT conv_id, n_starts, n_wordless, n_draws, n_empty FROM g JOIN e USING (conv_id)""")
+def wordless_crops(t: Tables) -> DataFrame:
+    """From how many frames of each song a crop holds no word, by a sweep over the words, beside seeded draws."""
+    songs, words = _songs(t)
+    exact = crops.wordless_share(songs, words, "conv_id", "frames", "start", "end", _SEG, _RATE)
+    return exact.join(crops.drawn_wordless(songs, words, "conv_id", "frames", "start", "end", _SEG, _RATE, _DRAWS), "conv_id")
+
+
 @query("JOIN-09", """
     WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
     x AS (SELECT user_id, pos, event_type IN ('view', 'click', 'error') AS word, event_type AS value FROM e),

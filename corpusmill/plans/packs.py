@@ -95,25 +95,38 @@ def tripwire(t: Tables) -> DataFrame:
     return joins.differences(recorded, now, "source", "n")
 
 
-@query("SRC-03 SNK-11", f"SELECT doc_id, quality FROM labels WHERE {_H8.format('CAST(doc_id AS VARCHAR)')} % 16 <> 7")
+_LABEL = T.StructType().add("quality", T.IntegerType()).add("toxic", T.IntegerType())
+
+
+def _label_shards(t: Tables, shards: int) -> str:
+    """The folder of JSON files into which the labels are written."""
+    path = shared_path(t.spark, "labels-json")
+    stores.write_keyed_json(t.labels.withColumn("v", F.struct("quality", "toxic")), path, "doc_id", "v", shards)
+    return path
+
+
+@query("SRC-03 SNK-11", f"SELECT doc_id, quality, toxic FROM labels WHERE {_H8.format('CAST(doc_id AS VARCHAR)')} % 16 <> 7")
 def keyed_json_shards(t: Tables) -> DataFrame:
-    """Labels exploded into 16 JSON shards and read again; one of them is torn and left out."""
-    shard = H.shard_of(F.col("doc_id"), 16)
-    entry = F.struct(F.col("doc_id").cast("string").alias("k"), F.struct("quality", "toxic").alias("v"))
-    files = t.labels.groupBy(shard.alias("shard")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    files = files.select(F.format_string("labels_%03d.json", "shard").alias("path"), F.when(F.col("shard") == 7, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value")).alias("value"))
-    rows = S.keyed_rows(files, T.StructType().add("quality", T.IntegerType()).add("toxic", T.IntegerType()))
-    return rows.select(F.col("key").cast("long").alias("doc_id"), F.col("value.quality").alias("quality"))
+    """Labels written as 16 JSON files on disk and read again; one of them is torn (its end is missing) and left out."""
+    path = _label_shards(t, 16)
+    torn = t.spark.read.text(f"{path}/shard=7")
+    torn.where("value <> '}'").coalesce(1).write.mode("overwrite").text(f"{path}-torn/shard=7")  # one shard
+    files = [f"{path}/shard={k}" for k in range(16) if k != 7 and k in _shards_of(t, 16)]
+    rows = S.keyed_json(t.spark, [*files, f"{path}-torn/shard=7"], _LABEL)
+    return rows.select(F.col("key").cast("long").alias("doc_id"), F.col("value.quality").alias("quality"), F.col("value.toxic").alias("toxic"))
+
+
+def _shards_of(t: Tables, shards: int) -> set[int]:
+    """Shards that have a label; a row for each."""
+    return {r[0] for r in t.labels.select(H.shard_of(F.col("doc_id"), shards).cast("int")).distinct().collect()}
 
 
-@query("SRC-04", "SELECT doc_id, toxic FROM labels")
+@query("SRC-04", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 9 ELSE toxic END AS toxic FROM labels")
 def keyed_json_strict(t: Tables) -> DataFrame:
-    """Shards that must all be whole: a torn one would fail the query. The last shard wins a key that two have."""
-    entry = F.struct(F.col("doc_id").cast("string").alias("k"), F.struct("toxic").alias("v"))
-    files = t.labels.groupBy((F.col("doc_id") % 8).alias("shard")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    files = files.select(F.format_string("lyrics_%03d.json", "shard").alias("path"), "value")
-    early = t.labels.agg(F.min("doc_id").alias("d")).select(F.lit("a.json").alias("path"), F.concat(F.lit('{"'), "d", F.lit('": {"toxic": 9}}')).alias("value"))
-    rows = S.keyed_rows(files.union(early), T.StructType().add("toxic", T.IntegerType()), torn="fail")
+    """Files that must all be whole: a torn one would fail the query. Every tenth key is in a later folder too, which wins it."""
+    path, later = _label_shards(t, 8), shared_path(t.spark, "labels-json")
+    stores.write_keyed_json(t.labels.where("doc_id % 10 = 0").withColumn("v", F.struct("quality", F.lit(9).alias("toxic"))), f"{later}/z", "doc_id", "v", 4)
+    rows = S.keyed_json(t.spark, [f"{path}/*", f"{later}/z/*"], _LABEL, torn="fail", rank=F.col("_metadata.file_path").contains("/z/").cast("int"))
     return rows.select(F.col("key").cast("long").alias("doc_id"), F.col("value.toxic").alias("toxic"))
 
 
@@ -237,10 +250,10 @@ def sample_wave(t: Tables) -> DataFrame:
 def upsert_shards(t: Tables) -> DataFrame:
     """A store of eight shards, three of which are upserted into; a null of the new rows wins as well."""
     path, key = shared_path(t.spark, "store"), F.col("doc_id").cast("string").alias("key")
-    stores.upsert(t.spark, path, t.documents.select(key, F.col("source").alias("value")), shards=8)
+    stores.put(t.documents.select(key, F.col("source").alias("value")), path, shards=8)
     new = t.documents.where(H.shard_of(F.col("doc_id"), 8) < 3).select(key, F.when(F.col("doc_id") % 3 != 0, "new").alias("value"))
-    stores.upsert(t.spark, path, new, shards=8)
-    return t.spark.read.parquet(path).select("key", "value")
+    stores.put(new, path, shards=8)
+    return stores.current(t.spark, path).select("key", "value")
 
 
 @query("SNK-08 STM-12", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 OR doc_id % 15 = 0")

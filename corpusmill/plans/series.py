@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import arrays as A
 from corpusmill.functions import text as X
-from corpusmill.operators import joins, ranking, windows
+from corpusmill.operators import joins, ranking, similarity, windows
 from corpusmill.plans.catalog import Tables, query
 from corpusmill.sources import tables as S
 
-#: Vectors of 64 doubles that are broadcast at most: 5 MB.
-MAX_CENTERS = 10_000
 _HOUR = 3_600_000_000
 _US = "CAST(epoch_us(ts) AS BIGINT)"
 
@@ -258,14 +256,10 @@ def _centroids(t: Tables) -> DataFrame:
     r AS (SELECT vec_id, owner, sim, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, owner) AS rn, lead(sim) OVER (PARTITION BY vec_id ORDER BY sim DESC, owner) AS second FROM s)
     SELECT vec_id, owner, round(sim, 6) AS sim, round(sim - second, 6) AS margin, sim - second >= 0.05 AS clear FROM r WHERE rn = 1""")
 def cosine_argmax_margin(t: Tables) -> DataFrame:
-    """Vectors against the label centroids, all in one row's arrays: no pairs are shuffled. At most MAX_CENTERS are broadcast."""
-    if (n := t.embeddings.select("label").distinct().count()) > MAX_CENTERS:
-        raise ValueError(f"{n} labels; compare them in blocks of {MAX_CENTERS}")
-    centers = _centroids(t).agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("cs"))  # one row
-    sims = F.transform("cs", lambda c: F.struct(A.cosine(F.col("embedding"), c["center"]).alias("sim"), (-c["label"]).alias("neg")))
-    best = t.embeddings.crossJoin(F.broadcast(centers)).select("vec_id", F.reverse(F.array_sort(sims)).alias("s"))
-    margin = F.col("s")[0]["sim"] - F.col("s")[1]["sim"]
-    return best.select("vec_id", (-F.col("s")[0]["neg"]).alias("owner"), F.round(F.col("s")[0]["sim"], 6).alias("sim"), F.round(margin, 6).alias("margin"), (margin >= 0.05).alias("clear"))
+    """Vectors against the label centroids, of which there may be any number: the nearest one and by how much."""
+    found = similarity.nearest(t.embeddings, "vec_id", "embedding", _centroids(t), "label", "center", 2)
+    sim, margin = F.col("nearest")[0]["sim"], F.col("nearest")[0]["sim"] - F.try_element_at("nearest", F.lit(2))["sim"]
+    return found.select("vec_id", F.col("nearest")[0]["id"].alias("owner"), F.round(sim, 6).alias("sim"), F.round(margin, 6).alias("margin"), (margin >= 0.05).alias("clear"))
 
 
 @query("MTH-12", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.001 * (event_id + 1) / 100 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 4900.0))) END, 9) AS rate FROM events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,9 @@ def merged(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 def upsert(spark, path: str, new: DataFrame, key: str = "key", value: str = "value", shards: int = 256) -> None:
     """Merges new rows into a store of Parquet folders shard=k and rewrites the shards they fall in, others stay as they are.
 
-    The merged rows are written beside the store first, since a folder can't be overwritten while it is read. Doing it again
-    changes nothing.
+    The merged rows are written beside the store first, in a folder of this run alone, since a folder can't be overwritten while it
+    is read. Doing it again changes nothing. Readers may see some shards new and others old while folders are put in place; put()
+    and current() have no such moment.
     """
     new = new.withColumn("shard", shard_of(F.col(key), shards).cast("int"))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -31,10 +34,78 @@ def upsert(spark, path: str, new: DataFrame, key: str = "key", value: str = "val
         rows = merged(old, new, key, value).withColumn("shard", shard_of(F.col(key), shards).cast("int"))
     else:
         rows = new.select(key, value, "shard")
-    staged = f"{path}.staged"
-    rows.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(staged)
+        spark.read.parquet(staged).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    finally:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def _versions(spark, path: str) -> list[tuple[str, bool, list[str]]]:
+    """(name, whether it is committed, its shard folders) of a store's versions, oldest first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    out = []
+    for v in fs.listStatus(root):
+        if v.getPath().getName().startswith("version="):
+            names = [f.getPath().getName() for f in fs.listStatus(v.getPath())]
+            out.append((v.getPath().getName(), "_SUCCESS" in names, [n for n in names if n.startswith("shard=")]))
+    return sorted(out)
+
+
+def current(spark, path: str, schema=None) -> DataFrame:
+    """The rows of a versioned store: each shard as the latest committed version that holds it has it. Without one, an empty table
+    of the schema."""
+    latest = {shard: name for name, committed, held in _versions(spark, path) if committed for shard in held}
+    if not latest:
+        return spark.createDataFrame([], schema or "key string, value string")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{name}/{shard}" for shard, name in sorted(latest.items())]).drop("version", "shard")
+
+
+def put(new: DataFrame, path: str, key: str = "key", value: str = "value", shards: int = 256) -> None:
+    """Merges new rows into a versioned store: the shards they fall in are written anew as a version of their own.
+
+    Nothing that is there is touched, and readers take a version once Spark has put its _SUCCESS down, so a write that fails
+    leaves the store as it was. A null of a new row wins as well. One writer at a time; vacuum() frees what is superseded.
+    """
+    spark = new.sparkSession
+    number = 1 + max((int(name[8:16]) for name, _, _ in _versions(spark, path)), default=0)
+    placed = new.select(key, value).withColumn("shard", shard_of(F.col(key), shards).cast("int"))
+    touched = placed.select("shard").distinct()
+    old = current(spark, path, new.select(key, value).schema)
+    old = old.withColumn("shard", shard_of(F.col(key), shards).cast("int")).join(F.broadcast(touched), "shard", "left_semi")  # shards rows at most
+    rows = merged(old, placed, key, value).withColumn("shard", shard_of(F.col(key), shards).cast("int"))
+    rows.repartition("shard").write.partitionBy("shard").parquet(f"{path}/version={number:08d}-{uuid.uuid4().hex[:8]}")
+
+
+def vacuum(spark, path: str) -> int:
+    """Deletes shard folders that a later version has, and versions that were never committed; how many folders went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    versions, gone = _versions(spark, path), 0
+    latest = {shard: name for name, committed, held in versions if committed for shard in held}
+    for name, committed, held in versions:
+        for shard in held if committed else [""]:
+            if not committed or latest[shard] != name:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/{shard}".rstrip("/")), True)
+                gone += 1
+    return gone
+
+
+def write_keyed_json(rows: DataFrame, path: str, key: str, value: str, shards: int) -> None:
+    """Writes rows as keyed JSON shards, one object of keys a file: shard=<k>/part-*.txt. Each entry is a line, so a shard of any
+    size is written row by row; a shard is one file, so one task writes it. Null values are written as null."""
+    entry = F.concat(F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2), F.lit(": "), F.coalesce(F.to_json(F.col(value)), F.lit("null")))
+    placed = rows.select(shard_of(F.col(key), shards).cast("int").alias("shard"), F.col(key).cast("string").alias("_k"), entry.alias("_e"), F.lit(1).alias("_o"))
+    first = placed.groupBy("shard").agg(F.min("_k").alias("_first"))  # a row a shard
+    lines = placed.join(F.broadcast(first), "shard").select("shard", "_o", "_k", F.concat(F.when(F.col("_k") == F.col("_first"), F.lit("")).otherwise(F.lit(",")), "_e").alias("value"))
+    ends = first.select("shard", F.explode(F.array(F.struct(F.lit(0).alias("_o"), F.lit("{").alias("value")), F.struct(F.lit(2).alias("_o"), F.lit("}").alias("value")))).alias("_x"))
+    every = lines.unionByName(ends.select("shard", "_x._o", F.lit("").alias("_k"), "_x.value"))
+    every.repartition("shard").sortWithinPartitions("shard", "_o", "_k").select("shard", "value").write.partitionBy("shard").text(path)
 
 
 def append_shards(songs: DataFrame, name: str, frames: str, per_shard: int, first_shard: int = 0) -> DataFrame:

@@ -30,17 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed_rows(files: DataFrame, value: T.DataType, torn: str = "skip") -> DataFrame:
     """(key, value, present) of rows (path, value) that each hold one JSON object of keys; a null value is kept, with present
     true. A row that isn't JSON is skipped ("skip") or raises ("fail"). A key in several keeps the value of the last path."""
-    parsed = files.select(F.col("path").alias("_path"), F.from_json("value", T.MapType(T.StringType(), value)).alias("_map"))
+    parsed = files.select((F.struct("rank", "path") if "rank" in files.columns else F.col("path")).alias("_path"), F.from_json("value", T.MapType(T.StringType(), value)).alias("_map"))
     if torn == "fail":
-        parsed = parsed.withColumn("_map", F.when(F.col("_map").isNull(), F.raise_error(F.concat(F.lit("torn JSON: "), F.col("_path")))).otherwise(F.col("_map")))
+        parsed = parsed.withColumn("_map", F.when(F.col("_map").isNull(), F.raise_error(F.concat(F.lit("torn JSON: "), F.col("_path").cast("string")))).otherwise(F.col("_map")))
     rows = parsed.select("_path", F.explode("_map").alias("key", "_value"))
     latest = rows.groupBy("key").agg(F.max_by(F.struct("_value"), "_path").alias("_v"))
     return latest.select("key", F.col("_v._value").alias("value"), F.lit(True).alias("present"))
 
 
-def keyed_json(spark: SparkSession, path: str, value: T.DataType, torn: str = "skip") -> DataFrame:
-    """keyed_rows of JSON files, by their paths."""
-    return keyed_rows(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), value, torn)
+def keyed_json(spark: SparkSession, path: str | list[str], value: T.DataType, torn: str = "skip", rank: Column | None = None) -> DataFrame:
+    """keyed_rows of JSON files, by their paths; rank (on the files) goes before the path in saying which file wins a key."""
+    files = spark.read.text(path, wholetext=True)
+    columns = [F.col("_metadata.file_path").alias("path"), *([rank.alias("rank")] if rank is not None else []), "value"]
+    return keyed_rows(files.select(*columns), value, torn)
 
 
 def torn_files(spark: SparkSession, path: str) -> DataFrame:
