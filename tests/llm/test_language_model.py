@@ -53,7 +53,7 @@ def slow_log_probability(tables, symbols, i, target):
     s = i % m.STRIDE  # place in its window
     seen = [inputs[k] if k >= 0 else m.START for k in range(i - s - (m.WINDOW - m.STRIDE), i + 1)]
     e = np.exp([query[inputs[i]] @ key[x] + distance[s, j] for j, x in enumerate(seen)])
-    hidden = np.maximum(own[inputs[i]] + (e / e.sum()) @ value[seen], 0)
+    hidden = np.maximum(own[inputs[i]] + np.pad((e / e.sum()) @ value[seen], (0, m.WIDTH - m.VALUE_WIDTH)), 0)
     logits = hidden @ weights + bias
     kind, member = divmod(target, m.MEMBERS)
     out = logits[kind] - np.log(np.exp(logits).sum())
@@ -85,7 +85,7 @@ def test_probabilities_of_what_can_follow_add_up(model):
 
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    shapes = [(m.OTHER + 2, m.WIDTH), (m.OTHER + 2, m.KEY_WIDTH), (m.OTHER + 2, m.KEY_WIDTH), (m.OTHER + 2, m.WIDTH), (m.STRIDE, m.WINDOW), (m.WIDTH, m.CLASSES + 1), (m.CLASSES + 1,),
+    shapes = [(m.OTHER + 2, m.WIDTH), (m.OTHER + 2, m.KEY_WIDTH), (m.OTHER + 2, m.KEY_WIDTH), (m.OTHER + 2, m.VALUE_WIDTH), (m.STRIDE, m.WINDOW), (m.WIDTH, m.CLASSES + 1), (m.CLASSES + 1,),
               (m.CLASSES, m.WIDTH, m.MEMBERS), (m.CLASSES, m.MEMBERS)]
     tables = [rng.normal(0, 0.3, s) for s in shapes]
     x, y = rng.integers(0, 6, (3, m.WINDOW)), rng.integers(0, 6, (3, m.STRIDE))
