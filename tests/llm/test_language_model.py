@@ -32,16 +32,15 @@ def plain_scores(rows):
 
 @pytest.fixture(scope="module")
 def subwords():
-    with open(default_tokenizer(), encoding="utf-8") as f:
-        return m.Subwords(f.read())
+    return m.Subwords(*m.read_ranks()[:2])
 
 
 @pytest.fixture(scope="module")
 def model(subwords):
     texts = ["the cat sat on the mat", "a dog and a cat", "the end of the day " * 9]
-    ids = Counter(int(i) for x in subwords.ids(" ".join(texts).split()) for i in x)
+    ids = Counter(subwords.encode(" ".join(texts).split())[0].tolist())
     steps, m.STEPS = m.STEPS, 60
-    made = m.fit(texts, list(ids.items()), len(texts), subwords, subwords.encoder.tokenizer.get_vocab_size())
+    made = m.fit(texts, list(ids.items()), len(texts), subwords)
     m.STEPS = steps
     return made
 
@@ -65,16 +64,39 @@ def slow_log_probability(tables, symbols, i, target):
 
 def test_windows_score_each_id_once_as_the_definition_says(model, subwords):
     texts = ["", "the cat", None, "the dog sat on a mat and the day \u00e9nd zxq " * 6, "cat"]
-    symbols, sizes, rest, _ = m._symbols(model, subwords, pa.array(texts, pa.string()))
+    symbols, sizes, rest, _ = m.Lexicon(model, subwords).symbols(*m.split(pa.array(texts, pa.string())))
     found, at = m.score_texts(model, symbols, sizes, rest), 0
     for k, size in enumerate(sizes):
         own = symbols[at : at + size]
-        slow = sum(slow_log_probability(model.tables, own, i, own[i]) for i in range(size)) + rest[at : at + size].sum()
+        slow = sum(slow_log_probability(model.tables, own, i, own[i]) for i in range(size)) + rest[k]
         assert found[k] == pytest.approx(slow / np.log(10), rel=1e-4)
         at += size
     assert sizes[0] == sizes[2] == 1 and found[0] == pytest.approx(found[2], rel=1e-5)
 
 
+def test_ids_are_those_of_the_public_tokenizer(subwords):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer())
+    plain.encode_special_tokens = True
+    words = ["the", "and,", "zxq", "d'accord", "'s", "\u00c9nd", "a\u2003b", "\u00a0x", "12.5", "<|endoftext|>", "\u65e5\u672c", "x" * 300] * 3
+    ids, sizes = subwords.encode(words)
+    want = [plain.encode(f" {w}", add_special_tokens=False).ids for w in words]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+
+
+def test_words_beyond_memory_are_encoded_again(model, subwords, monkeypatch):
+    texts = pa.array(["one two three four five", "five four three two one", "one six"], pa.string())
+    want = m.Lexicon(model, subwords).symbols(*m.split(texts))
+    monkeypatch.setattr(m, "REMEMBERED", 2)
+    small = m.Lexicon(model, subwords)
+    for k in range(3):
+        got = small.symbols(*m.split(texts[k : k + 1]))
+        first = int(want[1][:k].sum())
+        assert got[0].tolist() == want[0][first : first + want[1][k]].tolist() and got[2][0] == pytest.approx(want[2][k])
+    assert len(small.slot) <= 2
+
+
 def test_probabilities_of_what_can_follow_add_up(model):
     symbols = [3, 5, m.OTHER, 7]
     total = sum(np.exp(slow_log_probability(model.tables, symbols, 4, t)) for t in range(m.OTHER + 1))
