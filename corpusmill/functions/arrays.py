@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def force_length(xs: Column, n: int, pad) -> Column:
@@ -120,6 +123,11 @@ def chunks_of(xs: Column, size: int, most: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(xs, i * size + 1, size))).otherwise(F.slice(F.array(xs), F.lit(1), F.lit(0)))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _running_sums(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda x: None if x is None else np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+
+
 def regrouped(flat: Column, offsets: Column) -> Column:
     """Ragged groups of a flat array: group i is flat[offsets[i]] up to flat[offsets[i + 1]]."""
     n = F.size(offsets) - 1
@@ -127,8 +135,8 @@ def regrouped(flat: Column, offsets: Column) -> Column:
 
 
 def group_offsets(groups: Column) -> Column:
-    """0 and the running sums of the groups' sizes, as ints."""
-    return F.aggregate(groups, F.array(F.lit(0)), lambda t, g: F.concat(t, F.array(F.element_at(t, -1) + F.size(g))))
+    """0 and the running sums of the groups' sizes, as ints; null for a null array. Sums run once over the sizes, whatever their number."""
+    return _running_sums(F.transform(groups, lambda g: F.size(g)))
 
 
 def crossfaded(a: Column, b: Column, fade: int) -> Column:

@@ -99,18 +99,22 @@ def uncovered_codepoints(t: Tables) -> DataFrame:
     return counts.groupBy("ch").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "ch").limit(30)
 
 
-_DEFAULT, _HEDGE = r"(?i)license,?\s+text|the\s+the[^a-z0-9_]", r"(?i)(example|sample)\.(com|org)|there\s+(may|might)"
+_CAPTION = """text || CASE doc_id % 6 WHEN 0 THEN ' Electronic,  folk and IDM by ' || source WHEN 1 THEN ' the vocals are sparse in ' || lang WHEN 2 THEN ' There might be VOCALS of ' || source WHEN 3 THEN ' folk and idm, some' || lang || 'vocals' ELSE '' END"""
 
 
 @query("AGG-22 FLT-19", f"""
-    WITH m AS (SELECT 'v' || (1 + doc_id % 3) AS marker, text, {_N.format('text')} AS n FROM documents)
-    SELECT marker, count(*) AS n, round(avg(n), 6) AS mean_words, count(*) FILTER (regexp_matches(text, '{_DEFAULT}')) AS defaults, count(*) FILTER (regexp_matches(text, '{_HEDGE}')) AS hedges,
-        marker = max(marker) OVER () AS newest FROM m GROUP BY marker""")
+    WITH m AS (SELECT 'v' || (1 + doc_id % 3) AS marker, {_CAPTION} AS text FROM documents), k AS (SELECT *, {_N.format('text')} AS n FROM m)
+    SELECT marker, count(*) AS n, round(avg(n), 6) AS mean_words, count(*) FILTER (regexp_matches(text, '{X.GENRE_DEFAULT}')) AS defaults, count(*) FILTER (regexp_matches(text, '{X.VOCAL_HEDGE}')) AS hedges,
+        marker = max(marker) OVER () AS newest FROM k GROUP BY marker""")
 def marker_compare(t: Tables) -> DataFrame:
-    """Captions of each version: number, length and two failure patterns; the newest is the greatest marker."""
-    m = t.documents.select(F.concat(F.lit("v"), 1 + F.col("doc_id") % 3).alias("marker"), "text")
+    """Captions of each version, some with a phrase of either kind: number, length and two failure patterns; the newest is the greatest
+    marker."""
+    d = F.col("doc_id") % 6
+    tail = F.when(d == 0, F.concat(F.lit(" Electronic,  folk and IDM by "), "source")).when(d == 1, F.concat(F.lit(" the vocals are sparse in "), "lang"))
+    tail = tail.when(d == 2, F.concat(F.lit(" There might be VOCALS of "), "source")).when(d == 3, F.concat(F.lit(" folk and idm, some"), "lang", F.lit("vocals"))).otherwise(F.lit(""))
+    m = t.documents.select(F.concat(F.lit("v"), 1 + F.col("doc_id") % 3).alias("marker"), F.concat("text", tail).alias("text"))
     c = m.groupBy("marker").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(X.word_count(F.col("text"))), 6).alias("mean_words"), _n_if(F.col("text").rlike(_DEFAULT)).alias("defaults"), _n_if(F.col("text").rlike(_HEDGE)).alias("hedges")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(X.word_count(F.col("text"))), 6).alias("mean_words"), _n_if(F.col("text").rlike(X.GENRE_DEFAULT)).alias("defaults"), _n_if(F.col("text").rlike(X.VOCAL_HEDGE)).alias("hedges")
     )
     return c.withColumn("newest", F.col("marker") == F.max("marker").over(Window.partitionBy()))  # one row a marker
 
@@ -209,13 +213,18 @@ def _any(words) -> str:
     return "(" + " OR ".join(f"contains(low, {quoted(w)})" for w in words) + ")"
 
 
+_PHRASES = (*REFUSALS, *ARTIFACTS, "a calm song", "")
+_SAYS = ", ".join("'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for p in _PHRASES)
+
+
 @query("FLT-16", f"""
-    WITH d AS (SELECT event_id, lower(CASE event_id % 4 WHEN 0 THEN 'I''m sorry, I can''t ' WHEN 1 THEN 'Here is a song' || chr(10) || '- of ' WHEN 2 THEN 'A calm ' ELSE '' END || event_type) AS low FROM events)
+    WITH d AS (SELECT event_id, lower(event_type || ' ' || ([{_SAYS}])[1 + (event_id * 7 + user_id) % {len(_PHRASES)}] || ' ' || user_id) AS low FROM events)
     SELECT event_id, {_any(REFUSALS)} AS refusal, {_any(ARTIFACTS)} AS artifact FROM d""")
 def refusal_flags(t: Tables) -> DataFrame:
-    k = F.col("event_id") % 4
-    said = F.when(k == 0, F.lit("I'm sorry, I can't ")).when(k == 1, F.lit("Here is a song\n- of ")).when(k == 2, F.lit("A calm ")).otherwise(F.lit(""))
-    d = t.events.select("event_id", F.lower(F.concat(said, "event_type")).alias("low"))
+    """Captions with each of the phrases in some place, in whatever case."""
+    said = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), ((F.col("event_id") * 7 + F.col("user_id")) % len(_PHRASES) + 1).cast("int"))
+    text = F.concat("event_type", F.lit(" "), F.when(F.col("event_id") % 2 == 0, F.upper(said)).otherwise(said), F.lit(" "), F.col("user_id").cast("string"))
+    d = t.events.select("event_id", F.lower(text).alias("low"))
     return d.select("event_id", X.contains_any(F.col("low"), REFUSALS).alias("refusal"), X.contains_any(F.col("low"), ARTIFACTS).alias("artifact"))
 
 

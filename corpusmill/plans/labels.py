@@ -17,26 +17,40 @@ def picked(values, by: Column) -> Column:
 
 
 def _pick(values, by: str) -> str:
-    listed = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    listed = ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values)
     return f"([{listed}])[1 + {by} % {len(values)}]"
 
 
-_GENDERS = ("Male", "m", "Woman", "girl", "boy", "mixed", " unknown ", "men", None)
-_GENDER_OUT = ("male", "male", "female", "female", "male", "unknown_gender", "unknown_gender", "male", "unknown_gender")
+_WHICH = "(event_id * 7 + user_id)"
 
 
-@query("STR-04", f"SELECT event_id, {_pick(_GENDER_OUT, 'event_id')} AS gender FROM events")
+def _alias(values, by: str = _WHICH) -> Column:
+    """One of some spellings for each event, with its case and the white space around it changed from event to event."""
+    x, k = picked(values, F.expr(by)), F.col("event_id") % 4
+    return F.when(k == 0, F.upper(x)).when(k == 1, F.concat(F.lit("  "), F.initcap(x))).when(k == 2, F.concat(x, F.lit(" "))).otherwise(x)
+
+
+#: Every alias, and what is none.
+_GENDERS = (*X.GENDERS, "mixed", "robot", "males", None)
+
+
+@query("STR-04", f"""
+    WITH a AS (SELECT event_id, {_pick(_GENDERS, _WHICH)} AS x FROM events)
+    SELECT event_id, CASE WHEN x IN ('male', 'm', 'man', 'men', 'boy', 'guy') THEN 'male' WHEN x IN ('female', 'f', 'woman', 'women', 'girl') THEN 'female' ELSE 'unknown_gender' END AS gender FROM a""")
 def gender_fold(t: Tables) -> DataFrame:
-    return t.events.select("event_id", X.gender_label(picked(_GENDERS, F.col("event_id"))).alias("gender"))
+    return t.events.select("event_id", X.gender_label(_alias(_GENDERS)).alias("gender"))
 
 
-_VOCALS = ("Vocals", "no vocals", "sung", "inst", "No-Vocal", "voice", None)
-_VOCALS_OUT = ("vocals", "instrumental", "vocals", "unknown_vocals", "instrumental", "vocals", "unknown_vocals")
+_VOCALS = (*X.VOCALS, "inst", "choir", "no voice", None)
 
 
-@query("STR-07", f"SELECT event_id, {_pick(_VOCALS_OUT, 'event_id')} AS vocals FROM events")
+@query("STR-07", f"""
+    WITH a AS (SELECT event_id, {_pick(_VOCALS, _WHICH)} AS x FROM events)
+    SELECT event_id, CASE WHEN x IN ('vocals', 'vocal', 'voice', 'sung') THEN 'vocals' WHEN x IN ('instrumental', 'no_vocals', 'no_vocal') THEN 'instrumental' ELSE 'unknown_vocals' END AS vocals FROM a""")
 def vocal_fold(t: Tables) -> DataFrame:
-    return t.events.select("event_id", X.vocal_label(picked(_VOCALS, F.col("event_id"))).alias("vocals"))
+    """Spellings with hyphens and spaces for underscores among them."""
+    said = _alias(_VOCALS)
+    return t.events.select("event_id", X.vocal_label(F.when(F.col("user_id") % 2 == 0, F.replace(said, F.lit("_"), F.lit("-"))).otherwise(F.replace(said, F.lit("_"), F.lit(" ")))).alias("vocals"))
 
 
 @query("STR-08", "SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang END AS code FROM documents")
@@ -58,13 +72,18 @@ def tempo_parse(t: Tables) -> DataFrame:
     return t.events.select("event_id", bpm.alias("bpm")).select("event_id", "bpm", X.tempo_bucket(F.col("bpm")).cast("long").alias("bucket"))
 
 
-_KEYS = ("Am", "F# major", "key:Db minor", "Bb", "e#", "c-flat", "H major", "A Minor", None)
-_KEYS_OUT = ("a_minor", "f_sharp_major", "c_sharp_minor", "a_sharp_major", "f_major", "b_major", None, "a_minor", None)
+_SIGNS, _MODES = ("", "#", "b", "♯", "♭", " sharp", "-flat", "_sharp"), ("", " major", "maj", " Maj", "_minor", "min", "m", " blues")
 
 
-@query("STR-06", f"SELECT event_id, {_pick(_KEYS_OUT, 'event_id')} AS key FROM events")
+@query("STR-06", f"""
+    WITH k AS (SELECT event_id, event_id % 8 AS letter, {_pick((0, 1, -1, 1, -1, 1, -1, 1), 'user_id')} AS shift, {_pick((0, 0, 0, 0, 1, 1, 1, 2), '(event_id // 8)')} AS mode FROM events)
+    SELECT event_id, CASE WHEN letter < 7 AND mode < 2 THEN (['c', 'c_sharp', 'd', 'd_sharp', 'e', 'f', 'f_sharp', 'g', 'g_sharp', 'a', 'a_sharp', 'b'])[1 + (([9, 11, 0, 2, 4, 5, 7, 0])[1 + letter] + shift + 12) % 12]
+        || CASE mode WHEN 1 THEN '_minor' ELSE '_major' END END AS key FROM k""")
 def key_parse(t: Tables) -> DataFrame:
-    return t.events.select("event_id", X.parse_key(picked(_KEYS, F.col("event_id"))).alias("key"))
+    """Keys written as letter, sign and mode in every way, with and without "key:" before them; h and blues are no keys."""
+    letter = F.char((F.col("event_id") % 8 + 97).cast("int"))
+    said = F.concat(F.when(F.col("event_id") % 5 == 0, F.lit("Key: ")).otherwise(F.lit("")), F.when(F.col("user_id") % 3 == 0, F.upper(letter)).otherwise(letter), picked(_SIGNS, F.col("user_id")), picked(_MODES, F.floor(F.col("event_id") / 8)))
+    return t.events.select("event_id", X.parse_key(said).alias("key"))
 
 
 _MARKED = ("[female] [{bpm}bpm] [verse] ", "[Am] [bridge] [chorus] ", "[french] [m] [male] ", "[] [nonsense] ", "[instrumental] ", "")
@@ -85,14 +104,19 @@ def marker_parse(t: Tables) -> DataFrame:
     return M.with_markers(made, "text").select("event_id", *[F.col("header")[f].alias(f) for f in M.FAMILIES], body.alias("body"))
 
 
-_CAPTION = "concat('A calm ', event_type, ' song. ', CASE event_id % 5 WHEN 0 THEN 'GENDER: male' WHEN 1 THEN 'gender - Woman' WHEN 2 THEN 'GENDER: instrumental' WHEN 3 THEN 'gender-bending' ELSE '' END)"
+#: What a tag may say, and what makes it none.
+_TAGS = ("male", "female", "man", "woman", "boy", "girl", "instrumental", "none", "unknown", "m", "f", "malet", "band")
 
 
-@query("STR-11", """
-    SELECT event_id, 'A calm ' || event_type || ' song.' || CASE WHEN event_id % 5 = 3 THEN ' gender-bending' WHEN event_id % 5 = 4 THEN ' ' ELSE '' END AS caption,
-        CASE event_id % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender FROM events""")
+@query("STR-11", f"""
+    WITH e AS (SELECT event_id, event_type, {_pick(_TAGS, _WHICH)} AS x FROM events)
+    SELECT event_id, 'A calm ' || event_type || ' song.' || CASE WHEN x IN ('malet', 'band') THEN ' ' || CASE WHEN event_id % 2 = 0 THEN 'GENDER: ' ELSE 'gender - ' END || CASE event_id % 4 WHEN 0 THEN upper(x) ELSE x END ELSE '' END AS caption,
+        CASE WHEN x IN ('male', 'man', 'boy', 'm') THEN 'male' WHEN x IN ('female', 'woman', 'girl', 'f') THEN 'female' END AS gender FROM e""")
 def gender_split(t: Tables) -> DataFrame:
-    made = t.events.select("event_id", F.expr(_CAPTION).alias("c"))
+    """Captions that end in a tag, in either spelling; a tag that says something else belongs to the caption."""
+    label = picked(_TAGS, F.expr(_WHICH))
+    tag = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("GENDER: ")).otherwise(F.lit("gender - ")), F.when(F.col("event_id") % 4 == 0, F.upper(label)).otherwise(label))
+    made = t.events.select("event_id", F.concat(F.lit("A calm "), "event_type", F.lit(" song. "), tag).alias("c"))
     return made.select("event_id", X.before_gender_tag(F.col("c")).alias("caption"), X.gender_tag(F.col("c")).alias("gender"))
 
 

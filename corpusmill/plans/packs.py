@@ -147,11 +147,14 @@ def conditioning_loaders(t: Tables) -> DataFrame:
 
 
 @query("FLT-01 SRC-07", """
-    SELECT user_id, count(*) FILTER (k = 0) AS valid, count(*) FILTER (k <> 0) AS dropped FROM (SELECT user_id, event_id % 5 AS k FROM events) GROUP BY user_id""")
+    SELECT user_id, count(*) FILTER (event_id % 5 = 0 AND user_id % 4 = 0 AND event_id // 5 % 4 = 0) AS valid, count(*) FILTER (NOT (event_id % 5 = 0 AND user_id % 4 = 0 AND event_id // 5 % 4 = 0)) AS dropped FROM events GROUP BY user_id""")
 def word_validity(t: Tables) -> DataFrame:
-    """Words as loose JSON: a text and two numbers; booleans are no numbers and numbers no text."""
-    kinds = ('{"word": "a", "start": 1, "end": 2.5}', '{"word": "a", "start": true, "end": 2}', '{"word": 7, "start": 1, "end": 2}', '{"word": "a", "start": 1, "end": null}', '{"word": "a", "start": "1", "end": 2}')
-    raw = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % 5 + 1).cast("int"))
+    """Words as loose JSON made of the columns: a text and two numbers are a word; booleans are no numbers and numbers no text."""
+    kind, d = (lambda k, *values: F.element_at(F.array(*[F.coalesce(v.cast("string"), F.lit("0")) for v in values]), (k + 1).cast("int"))), F.col("event_id")
+    number = lambda k, x: kind(k, x, F.concat(F.lit('"'), x.cast("string"), F.lit('"')), F.lit("true"), F.lit("null"))
+    word = kind(d % 5, F.to_json(F.array("event_type")).substr(F.lit(2), F.length("event_type") + 2), d, F.lit("null"), F.lit("false"), F.lit("[]"))
+    start, end = number(F.col("user_id") % 4, F.coalesce(F.col("value"), F.lit(0.0))), number(F.floor(d / 5) % 4, d)
+    raw = F.concat(F.lit('{"word": '), word, F.lit(', "start": '), start, F.lit(', "end": '), end, F.lit("}"))
     ok = S.valid_json_word(F.parse_json(raw))
     return t.events.groupBy("user_id").agg(F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(~ok, 1)).alias("dropped"))
 
@@ -386,3 +389,83 @@ def wave_statuses(t: Tables) -> DataFrame:
     for _ in range(2):
         waves.run_waves(t.spark, inventory, stages, status)
     return t.spark.read.parquet(status.path)
+
+
+_OBJECTS = """
+    b AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.mp3' AS base FROM documents),
+    k AS (SELECT base, base AS key FROM b WHERE doc_id % 3 <> 0 UNION ALL SELECT base, 'waves/wave_' || (doc_id // 150) || '/' || base FROM b WHERE doc_id % 3 = 0 OR doc_id % 4 = 0
+        UNION ALL SELECT base, 'waves/wave_' || (doc_id % 5) || '/' || base FROM b WHERE doc_id % 7 = 0 UNION ALL SELECT base, 'old/' || base FROM b WHERE doc_id % 11 = 0)"""
+
+
+def _objects(t: Tables) -> DataFrame:
+    """Keys of files: flat, in waves of which some are the right ones, and in another folder, some more than once."""
+    d = F.col("doc_id")
+    base = F.concat(F.lpad(d.cast("string"), 9, "0"), F.lit(".mp3"))
+    inside = lambda k: F.concat(F.lit("waves/wave_"), F.floor(k).cast("string"), F.lit("/"), base)
+    keys = F.array(
+        F.when(d % 3 != 0, base), F.when((d % 3 == 0) | (d % 4 == 0), inside(d / 150)), F.when(d % 7 == 0, inside(d % 5)), F.when(d % 11 == 0, F.concat(F.lit("old/"), base)),
+    )
+    return t.documents.select(F.explode(F.array_compact(keys)).alias("key"))
+
+
+@query("AGG-19 WIN-03", f"""
+    WITH {_OBJECTS}, r AS (SELECT base, key, (dense_rank() OVER (ORDER BY base) - 1) // 100 AS wave FROM k),
+    p AS (SELECT base, wave, min(key) AS source, bool_or(key = 'waves/wave_' || wave || '/' || base) AS there, count(*) AS n_copies FROM r GROUP BY base, wave)
+    SELECT base, wave, CASE WHEN there THEN 'already' WHEN contains(source, '/') THEN 'from folder' ELSE 'from flat' END AS status, source, n_copies FROM p""")
+def wave_placement(t: Tables) -> DataFrame:
+    """Every file's wave by the rank of its name, whether it is there, and which of its copies moves."""
+    return P.wave_moves(_objects(t), "key", 100)
+
+
+@query("AGG-19", f"""
+    WITH {_OBJECTS}, r AS (SELECT base, key, (dense_rank() OVER (ORDER BY base) - 1) // 100 AS wave FROM k),
+    p AS (SELECT base, wave, min(key) AS source, bool_or(key = 'waves/wave_' || wave || '/' || base) AS there, count(*) AS n_copies FROM r GROUP BY base, wave)
+    SELECT wave, count(*) AS placed, count(*) FILTER (there) AS already, count(*) FILTER (NOT there AND NOT contains(source, '/')) AS from_flat, count(*) FILTER (NOT there AND contains(source, '/')) AS from_folder,
+        CAST(sum(n_copies - 1) AS BIGINT) AS duplicates FROM p GROUP BY wave""")
+def wave_counts(t: Tables) -> DataFrame:
+    """The same plan counted by wave, with the copies that are left in place."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return P.wave_moves(_objects(t), "key", 100).groupBy("wave").agg(
+        F.count(F.lit(1)).alias("placed"), n("already").alias("already"), n("from flat").alias("from_flat"), n("from folder").alias("from_folder"), F.sum(F.col("n_copies") - 1).alias("duplicates")
+    )
+
+
+@query("SRC-01", """
+    WITH f AS (SELECT DISTINCT regexp_extract(source, '[0-9]+$') AS wave FROM documents)
+    SELECT 'all' AS scope, wave, count(*) AS n FROM f GROUP BY wave UNION ALL SELECT 'one', wave, count(*) FROM f WHERE wave = '3' GROUP BY wave UNION ALL SELECT 'flat', NULL, 1""")
+def wave_scopes(t: Tables) -> DataFrame:
+    """Files listed in all waves, in one of them, and beside the waves; contents are not read. Each wave has a file with its number of
+    texts, and one file lies beside the waves."""
+    root = shared_path(t.spark, "waves")
+    sizes = t.documents.groupBy(F.concat(F.lit("wave_"), F.regexp_extract("source", "[0-9]+$", 0)).alias("folder")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    sizes.repartition("folder").write.partitionBy("folder").text(f"{root}/written")
+    stores.renamed(t.spark, f"{root}/written", "folder=", f"{root}/waves")
+    t.documents.agg(F.count(F.lit(1)).cast("string").alias("value")).coalesce(1).write.text(f"{root}/flat")
+    scopes = {"all": (root, "all"), "one": (root, "3"), "flat": (f"{root}/flat", "")}
+    found = None
+    for scope, (where, which) in scopes.items():
+        listed = S.wave_listing(t.spark, where, which, "part-*.txt").groupBy("wave").agg(F.count(F.lit(1)).alias("n")).select(F.lit(scope).alias("scope"), "wave", "n")
+        found = listed if found is None else found.union(listed)
+    return found
+
+
+_FAILED = "SELECT CAST(doc_id AS VARCHAR) AS item FROM documents WHERE {}"
+
+
+@query("SNK-08 STM-12 UDF-01", f"SELECT 'union' AS mode, item FROM ({_FAILED.format('doc_id % 9 = 0 OR doc_id % 15 = 0')}) UNION ALL SELECT 'overwrite', item FROM ({_FAILED.format('doc_id % 15 = 0')})")
+def failed_items(t: Tables) -> DataFrame:
+    """Texts decoded in two runs, in which different ones are broken: the manifest of failed items that the second run unites with the
+    first one's, and the one that it writes in its place."""
+    from corpusmill.functions import kernels
+
+    def decoded(broken: str) -> DataFrame:
+        coded = F.when(F.expr(broken), F.lit("%broken%")).otherwise(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
+        return kernels.mapped(t.documents.select("doc_id", coded.alias("content")), "doc_id", "content", "base64")
+
+    found = None
+    for mode in ("union", "overwrite"):
+        path = shared_path(t.spark, "failed")
+        stores.record_failures(decoded("doc_id % 9 = 0"), path, "doc_id")
+        rows = stores.record_failures(decoded("doc_id % 15 = 0"), path, "doc_id", union=mode == "union").select(F.lit(mode).alias("mode"), F.col("key").alias("item"))
+        found = rows if found is None else found.union(rows)
+    return found

@@ -11,9 +11,9 @@ from corpusmill.plans.catalog import Tables, query
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '\s+'), lambda x: x <> '')"
 _N = f"CAST(len({_WORDS.format('text')}) AS BIGINT)"
-#: Phrases and facets that occur in the tables' invented languages.
+#: Phrases that occur in the tables' invented languages.
 PHRASES = ("license", "example.com", "the and", "que de", "worthless")
-FACETS = {"legal": ("license", "copyright"), "contact": ("@", "http"), "english": (" the ", " and "), "french": (" les ", " une "), "german": (" und ", " der "), "spanish": (" los ", " una ")}
+FACETS = X.CAPTION_FACETS
 
 
 def _phrase_case(low: str) -> str:

@@ -86,3 +86,17 @@ def collisions(moves: DataFrame, members: DataFrame, folder: str, name: str) ->
     exists = moves.select("dst", "name").join(there, ["dst", "name"], "left_semi").distinct().withColumn("problem", F.lit("exists"))
     twice = moves.groupBy("dst", "name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("dst", "name", F.lit("repeated").alias("problem"))
     return exists.union(twice)
+
+
+def wave_moves(objects: DataFrame, key: str, size: int, prefix: str = "waves/wave_") -> DataFrame:
+    """(base, wave, status, source, n_copies): where each file belongs, by the name that its key ends in. Names in order fill waves of
+    size; a name is already placed if one of its copies lies in its wave, else its first key moves there, from flat or from another
+    folder. Other copies are left where they are."""
+    from corpusmill.operators.windows import global_row_number
+
+    named = objects.select(F.col(key).alias("_key"), F.element_at(F.split(key, "/"), -1).alias("base"))
+    bases = global_row_number(named.select("base").distinct(), ["base"], "_rn").select("base", F.floor((F.col("_rn") - 1) / size).cast("long").alias("wave"))
+    target = F.concat(F.lit(prefix), F.col("wave").cast("string"), F.lit("/"), F.col("base"))
+    placed = named.join(bases, "base").groupBy("base", "wave").agg(F.min("_key").alias("source"), F.max(F.col("_key") == target).alias("_there"), F.count(F.lit(1)).alias("n_copies"))
+    status = F.when(F.col("_there"), "already").when(F.contains("source", F.lit("/")), "from folder").otherwise("from flat")
+    return placed.select("base", "wave", status.alias("status"), "source", "n_copies")

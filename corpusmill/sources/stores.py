@@ -66,11 +66,12 @@ def current(spark, path: str, schema=None) -> DataFrame:
     return spark.read.option("basePath", path).parquet(*[f"{path}/{name}/{shard}" for shard, name in sorted(latest.items())]).drop("version", "shard")
 
 
-def put(new: DataFrame, path: str, key: str = "key", value: str = "value", shards: int = 256) -> None:
+def put(new: DataFrame, path: str, key: str = "key", value: str = "value", shards: int = 256, merge: bool = True) -> None:
     """Merges new rows into a versioned store: the shards they fall in are written anew as a version of their own.
 
     Nothing that is there is touched, and readers take a version once Spark has put its _SUCCESS down, so a write that fails
-    leaves the store as it was. A null of a new row wins as well. One writer at a time; vacuum() frees what is superseded.
+    leaves the store as it was. A null of a new row wins as well. One writer at a time; vacuum() frees what is superseded. merge False
+    writes the new rows without those that their shards had.
     """
     spark = new.sparkSession
     number = 1 + max((int(name[8:16]) for name, _, _ in _versions(spark, path)), default=0)
@@ -78,8 +79,8 @@ def put(new: DataFrame, path: str, key: str = "key", value: str = "value", shard
     touched = placed.select("shard").distinct()
     old = current(spark, path, new.select(key, value).schema)
     old = old.withColumn("shard", shard_of(F.col(key), shards).cast("int")).join(F.broadcast(touched), "shard", "left_semi")  # shards rows at most
-    rows = merged(old, placed, key, value).withColumn("shard", shard_of(F.col(key), shards).cast("int"))
-    rows.repartition("shard").write.partitionBy("shard").parquet(f"{path}/version={number:08d}-{uuid.uuid4().hex[:8]}")
+    rows = merged(old, placed, key, value) if merge else new.select(key, value)
+    rows.withColumn("shard", shard_of(F.col(key), shards).cast("int")).repartition("shard").write.partitionBy("shard").parquet(f"{path}/version={number:08d}-{uuid.uuid4().hex[:8]}")
 
 
 def vacuum(spark, path: str) -> int:
@@ -96,6 +97,18 @@ def vacuum(spark, path: str) -> int:
     return gone
 
 
+def renamed(spark, path: str, prefix: str, to: str) -> None:
+    """Moves the folders of a partitioned write to another folder, without the column's name before their own. A folder for each
+    value."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = root.getFileSystem(conf)
+    fs.mkdirs(target)
+    for f in fs.listStatus(root):
+        if f.getPath().getName().startswith(prefix):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(target, f.getPath().getName()[len(prefix) :]))
+
+
 def write_keyed_json(rows: DataFrame, path: str, key: str, value: str, shards: int) -> None:
     """Writes rows as keyed JSON shards, one object of keys a file: shard=<k>/part-*.txt. Each entry is a line, so a shard of any
     size is written row by row; a shard is one file, so one task writes it. Null values are written as null."""
@@ -125,6 +138,22 @@ def quarantine(previous: DataFrame, bad: DataFrame) -> DataFrame:
     return previous.union(bad).distinct()
 
 
+def record_failures(results: DataFrame, path: str, key: str, error: str = "error", union: bool = True, shards: int = 16) -> DataFrame:
+    """Writes the rows that have an error into the manifest of failed items under path and returns it as it is then: united with what
+    earlier runs left, whose errors are replaced where an item fails again (union), or this run's alone in place of it."""
+    spark = results.sparkSession
+    failed = results.where(F.col(error).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(error).alias("value"))
+    if not union and (earlier := _versions(spark, path)):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+        put(failed, path, shards=shards, merge=False)
+        for name, _, _ in earlier:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    else:
+        put(failed, path, shards=shards)
+    return current(spark, path)
+
+
 def delete_plan(rows: DataFrame, key: str, per_request: int = 1000) -> DataFrame:
     """Keys to delete with the request each goes in; nothing is deleted here."""
     from corpusmill.operators.windows import global_row_number

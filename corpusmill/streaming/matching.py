@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
+UTC = ("UTC", "Etc/UTC", "UCT", "Etc/UCT", "GMT", "Etc/GMT", "Zulu", "Z", "+00:00")
+
+
 def timed(df: DataFrame, time: str, late: str) -> DataFrame:
     """df with its time as a timestamp under a watermark."""
-    if dict(df.dtypes)[time] == "timestamp_ntz" and df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
+    if dict(df.dtypes)[time] == "timestamp_ntz" and df.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC:
         raise ValueError("times without a zone need a session in UTC")
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
