@@ -69,11 +69,10 @@ def move_plan(members: DataFrame, folder: str, name: str, target: int, overflow:
     from corpusmill.operators.joins import allocate_spill, as_of, folder_number
     from corpusmill.operators.windows import global_row_number, grouped_row_number
 
-    number = F.coalesce(folder_number(F.col(folder)), F.lit((1 << 63) - 1))
     sizes = members.groupBy(folder).agg(F.count(F.lit(1)).alias("_n"))
     numbered = grouped_row_number(members.select(folder, name), [folder], [name], "_rn")
-    spilled = numbered.where(F.col("_rn") > target).select(folder, name, number.alias("_w"))
-    pool = global_row_number(spilled, ["_w", folder, name], "_i").select(folder, name, (F.col("_i") - 1).alias("i"))
+    spilled = numbered.where(F.col("_rn") > target).select(folder, name, folder_number(F.col(folder)).alias("_w"))
+    pool = global_row_number(spilled, [F.col("_w").asc_nulls_last(), F.col(folder).asc_nulls_last(), F.col(name)], "_i").select(folder, name, (F.col("_i") - 1).alias("i"))
     _, free = allocate_spill(sizes.where(F.col(folder) != overflow), folder, "_n", target)
     held = as_of(pool, free.select(F.col(folder).alias("_to"), "lo", "hi"), [], "i", "lo", ["_to", "hi"])
     dst = F.when(F.col("i") < F.col("hi"), F.col("_to")).otherwise(F.lit(overflow))

@@ -324,3 +324,17 @@ def test_key_estimates(spark):
     rows = [(1, chroma((0, 4, 7))), (2, chroma((9, 0, 4))), (3, chroma((6, 10, 1))), (4, [0.0] * 12), (5, [0.5] * 12), (6, [float("nan")] * 12), (7, chroma((0, 4, 7)) + [0.0]), (8, None)]
     got = {r["k"]: r["key"] for r in keys.with_key(spark.createDataFrame(rows, "k int, c array<double>"), F.col("c"), "key").collect()}
     assert got == {1: "c_major", 2: "a_minor", 3: "f_sharp_major", 4: None, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_folders_of_odd_names_are_ordered_as_in_sql(spark, tmp_path):
+    from oracle import assert_same
+
+    from corpusmill.plans import CATALOG
+
+    names = ["w10", "w2", "w02", None, "", "zz", "a", "x" + "1" * 19, "x" + "9" * 19, "y" + "1" * 25, "z" + "0" * 20 + "3", "v4\n", "w9223372036854775807", "-5"]
+    rows = [(name, k * 100 + i) for k, name in enumerate(names) for i in range(1 + (7 * k) % 13)]
+    spark.createDataFrame(rows, "source string, doc_id long").coalesce(1).write.parquet(str(tmp_path / "all"))
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    full = CATALOG["spill_allocation_full"]
+    assert full(spark, str(tmp_path)).count() > 6
+    assert_same(spark, str(tmp_path), full, full.sql)
