@@ -338,3 +338,18 @@ def test_folders_of_odd_names_are_ordered_as_in_sql(spark, tmp_path):
     full = CATALOG["spill_allocation_full"]
     assert full(spark, str(tmp_path)).count() > 6
     assert_same(spark, str(tmp_path), full, full.sql)
+
+
+def test_candidates_keep_links_between_texts_of_one_signature(spark, tmp_path):
+    from oracle import assert_same
+
+    from corpusmill.plans import CATALOG
+
+    texts = ["one two three four", "four three two one", "one two three four", "four three two one", "One two  three four", "something else altogether here", None, ""]
+    rows = [(k, x) for k, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "all"))
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    query = CATALOG["band_candidates"]
+    got = {tuple(r) for r in query(spark, str(tmp_path)).select("a", "b", "bits", "copy").collect()}
+    assert got == {(0, 2, 0, True), (1, 3, 0, True), (0, 1, 0, False), (0, 4, 0, False), (1, 4, 0, False)}
+    assert_same(spark, str(tmp_path), query, query.sql)
