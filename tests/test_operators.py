@@ -353,3 +353,14 @@ def test_candidates_keep_links_between_texts_of_one_signature(spark, tmp_path):
     got = {tuple(r) for r in query(spark, str(tmp_path)).select("a", "b", "bits", "copy").collect()}
     assert got == {(0, 2, 0, True), (1, 3, 0, True), (0, 1, 0, False), (0, 4, 0, False), (1, 4, 0, False)}
     assert_same(spark, str(tmp_path), query, query.sql)
+
+
+def test_simhashes_do_not_depend_on_what_is_laid_out_at_once(spark):
+    from corpusmill.functions import kernels
+
+    rows = [(k, [f"w{(k * 31 + i) % 997}" for i in range(1 + k * 7 % 90)]) for k in range(60)] + [(60, [])]
+    df = spark.createDataFrame(rows, "k long, w array<string>").coalesce(1)
+    features = df.select("k", F.explode("w").alias("_x")).select("k", F.conv(F.substring(F.sha1(F.col("_x").cast("binary")), 1, 8), 16, 10).cast("long").alias("h"))
+    expected = {tuple(r) for r in dedup.simhash(features, "k", "h").collect()}
+    for most, held in ((1, 1), (16, 40), (1 << 17, 200_000)):
+        assert {tuple(r) for r in kernels.word_simhashes(df, "k", "w", held=held, most=most).collect()} == expected
