@@ -364,3 +364,14 @@ def test_simhashes_do_not_depend_on_what_is_laid_out_at_once(spark):
     expected = {tuple(r) for r in dedup.simhash(features, "k", "h").collect()}
     for most, held in ((1, 1), (16, 40), (1 << 17, 200_000)):
         assert {tuple(r) for r in kernels.word_simhashes(df, "k", "w", held=held, most=most).collect()} == expected
+
+
+def test_backends_work_on_bounded_slices(spark):
+    from corpusmill.functions import kernels
+
+    df = spark.createDataFrame([(k, None if k == 3 else "YQ==" * k if k != 5 else "%") for k in range(9)], "k long, v string").coalesce(1)
+    expected = {(k, None if k in (3, 5) else "a" * k if k < 2 else None) for k in range(9)}
+    for most in (1, 4 << 20):
+        got = kernels.mapped(df, "k", "v", "base64", most=most).collect()
+        assert {r["k"] for r in got if r["error"] is None} >= {k for k, v in expected if v is not None} and len(got) == 9
+        assert all((r["result"] is None) != (r["error"] is None) for r in got)
