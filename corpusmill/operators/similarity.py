@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from corpusmill.operators.windows import global_row_number
 from corpusmill.sources.scratch import written
 
-#: Centres in a tile, and tiles that are gone through between two writes.
-TILE, PASSES = 16_384, 16
+#: Centres in a tile, tiles that are sent and gone through in one pass, and cosines that are laid out at once.
+TILE, TILES, CELLS = 16_384, 4, 1 << 20
 
 
 def _matrix(column: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,8 +28,9 @@ def nearest(vectors: DataFrame, key: str, vector: str, centers: DataFrame, cente
     """(key, nearest): the k centres of greatest cosine of each vector, as structs (sim, id), the first one nearest; of equal ones
     that with the least id. A null vector has none; all vectors and centres have as many values.
 
-    Centres are dealt into tiles, which bounds what is broadcast at once; each tile is one more pass of matrix products over the
-    blocks of vectors, which carry their best k along, so vectors are neither shuffled nor paired with centres.
+    Centres are dealt into tiles, a few of which are broadcast at once: each pass is one kernel that multiplies blocks of vectors by
+    its tiles and carries the best k along, so vectors are neither shuffled nor paired with centres. A block has as many vectors as
+    give CELLS cosines with a tile, and what a pass has found is written before the next one, so a task has one worker at a time.
     """
     spark = vectors.sparkSession
     placed = written(global_row_number(centers.select(F.col(center).alias("id"), F.col(center_vector).cast("array<double>").alias("v")), ["id"], "_rn"), "centres")
@@ -38,26 +39,29 @@ def nearest(vectors: DataFrame, key: str, vector: str, centers: DataFrame, cente
     best = T.ArrayType(T.StructType().add("sim", T.DoubleType()).add("id", kind))
     schema = T.StructType([vectors.schema[key], T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("nearest", best)])
     held = vectors.select(key, F.col(vector).cast("array<double>").alias("_v"), F.array().cast(best).alias("nearest"))
-    for number in range(-(-n // tile)):
-        rows = placed.where(f"_rn > {number * tile} and _rn <= {(number + 1) * tile}").orderBy("_rn").collect()  # at most `tile`
+    in_pass = TILES * tile
+    for start in range(0, n, in_pass):
+        rows = placed.where(f"_rn > {start} and _rn <= {start + in_pass}").orderBy("_rn").collect()  # at most TILES tiles
         ids, matrix = [r["id"] for r in rows], np.array([r["v"] for r in rows], np.float64)
-        norms = np.sqrt((matrix**2).sum(1))
-        sent = spark.sparkContext.broadcast((ids, matrix, norms))
+        sent = spark.sparkContext.broadcast((ids, matrix, np.sqrt((matrix**2).sum(1))))
 
         def kernel(batches, sent=sent):
-            names, tile_matrix, tile_norms = sent.value
-            dims = tile_matrix.shape[1]
+            names, centres, norms = sent.value
+            step = max(1, CELLS // min(tile, len(names)))
             for batch in batches:
-                own, there = _matrix(batch.column(1), dims)
-                sims = (own @ tile_matrix.T) / np.maximum(np.sqrt((own**2).sum(1))[:, None] * tile_norms[None, :], floor)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                before, out = batch.column(2).to_pylist(), []
-                for i in range(len(own)):
-                    new = [{"sim": float(sims[i, j]), "id": names[j]} for j in top[i]] if there[i] else []
-                    out.append(sorted(before[i] + new, key=lambda s: -s["sim"])[:k])  # stable: earlier ids first
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.schema.field("nearest").type)], [key, "_v", "nearest"])
+                for first in range(0, batch.num_rows, step):
+                    part = batch.slice(first, step)
+                    own, there = _matrix(part.column(1), centres.shape[1])
+                    lengths, found = np.sqrt((own**2).sum(1))[:, None], part.column(2).to_pylist()
+                    for a in range(0, len(names), tile):
+                        sims = (own @ centres[a : a + tile].T) / np.maximum(lengths * norms[None, a : a + tile], floor)
+                        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                        for i in np.flatnonzero(there):
+                            new = [{"sim": float(sims[i, j]), "id": names[a + j]} for j in top[i]]
+                            found[i] = sorted(found[i] + new, key=lambda s: -s["sim"])[:k]  # stable: earlier ids first
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, part.schema.field("nearest").type)], [key, "_v", "nearest"])
 
         held = held.mapInArrow(kernel, schema)
-        if number % PASSES == PASSES - 1:
+        if start + in_pass < n:
             held = written(held, "nearest")
     return held.select(key, "nearest")

@@ -375,3 +375,13 @@ def test_backends_work_on_bounded_slices(spark):
         got = kernels.mapped(df, "k", "v", "base64", most=most).collect()
         assert {r["k"] for r in got if r["error"] is None} >= {k for k, v in expected if v is not None} and len(got) == 9
         assert all((r["result"] is None) != (r["error"] is None) for r in got)
+
+
+def test_tiles_of_a_pass_share_one_worker(spark):
+    from corpusmill.operators import similarity
+
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5) - 2, 1.0]) for k in range(50)], "id long, v array<double>")
+    found = similarity.nearest(v, "id", "v", v, "id", "v", 3, tile=20)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    whole = similarity.nearest(v, "id", "v", v, "id", "v", 3, tile=1000)
+    assert sorted(found.collect()) == sorted(whole.collect())
