@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.scratch import written
+
 
 def robust(df: DataFrame, group: list[str], score: str, penalty: float = 0.5) -> DataFrame:
     """n, mean, std (population), low (minimum) and robust = mean - penalty * std of each group."""
@@ -49,6 +51,24 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def most_frequent(df: DataFrame, group: str, value: str, k: int, hashed: Column | None = None) -> DataFrame:
+    """(group, value, n): the k most frequent values of each group, of equal ones the least value; for values that are long and mostly
+    rare.
+
+    Hashes (64 bits, or what hashed says) are counted first, so that only they are shuffled. The values of the k most frequent hashes
+    of each group, with ties, are then counted themselves in a second pass over df. Where two of them share a hash, hashes say too
+    little, and all values are counted.
+    """
+    marked = df.select(group, value, (F.xxhash64(value) if hashed is None else hashed).alias("_h"))
+    counts = marked.groupBy(group, "_h").agg(F.count(F.lit(1)).alias("_c"))
+    near = written(counts.withColumn("_r", F.rank().over(Window.partitionBy(group).orderBy(F.col("_c").desc()))).where(F.col("_r") <= k).select(F.col(group).alias("_g"), F.col("_h").alias("_k"), "_c"), "frequent")
+    held = marked.join(near, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_h") == F.col("_k")))
+    exact = written(held.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"), F.first("_c").alias("_c")), "counted")
+    if not exact.where(F.col("n") != F.col("_c")).isEmpty():
+        exact = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    return top_per_group(exact.select(group, value, "n"), group, [F.col("n").desc(), F.col(value)], k).drop("rank")
+
+
 def trend(n: Column, slope: Column, band: float = 0.01) -> Column:
     """falling, rising or flat by a regression's slope; "" for fewer than three points."""
     return F.when(n < 3, "").when(slope < -band, "falling").when(slope > band, "rising").otherwise("flat")

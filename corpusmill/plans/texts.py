@@ -59,8 +59,7 @@ def repetition_loop(t: Tables) -> DataFrame:
 def ngram5(t: Tables) -> DataFrame:
     d = t.documents.select("lang", X.words(F.lower("text")).alias("w")).where(F.size("w") >= 5)
     grams = d.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    return ranking.top_per_group(counts, "lang", [F.col("n").desc(), F.col("gram")], 3).drop("rank")
+    return ranking.most_frequent(grams, "lang", "gram", 3)
 
 
 _FLAGS = {k: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in v) + ")" for k, v in FACETS.items()}

@@ -385,3 +385,13 @@ def test_tiles_of_a_pass_share_one_worker(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     whole = similarity.nearest(v, "id", "v", v, "id", "v", 3, tile=1000)
     assert sorted(found.collect()) == sorted(whole.collect())
+
+
+def test_most_frequent_counts_values_whatever_their_hashes(spark):
+    rows = [("a", f"x{k}") for k in range(40) for _ in range(1 + k % 5)] + [(None, "y"), (None, "y"), (None, "z"), ("b", "q")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    expected = {("a", "x14", 5), ("a", "x19", 5), ("a", "x24", 5), (None, "y", 2), (None, "z", 1), ("b", "q", 1)}
+    for hashed in (None, F.pmod(F.xxhash64("v"), F.lit(5)), F.lit(0)):
+        assert {tuple(r) for r in ranking.most_frequent(df, "g", "v", 3, hashed).collect()} == expected
+    shuffled = ranking.most_frequent(df, "g", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in shuffled  # what is left reads the few values that were counted
