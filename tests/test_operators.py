@@ -395,3 +395,11 @@ def test_most_frequent_counts_values_whatever_their_hashes(spark):
         assert {tuple(r) for r in ranking.most_frequent(df, "g", "v", 3, hashed).collect()} == expected
     shuffled = ranking.most_frequent(df, "g", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" not in shuffled  # what is left reads the few values that were counted
+
+
+def test_sketches_are_not_kept_for_each_distinct_text(spark, sf_dir):
+    from corpusmill.plans import CATALOG
+
+    plan = CATALOG["approximate_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert all("approx_count_distinct" not in line or "_t" not in line.split("functions=")[0] for line in plan.splitlines())
+    assert not any("approx_count_distinct" in line and "md5" in line for line in plan.splitlines())
