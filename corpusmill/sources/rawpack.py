@@ -34,6 +34,8 @@ FORMAT, FORMAT_VERSION = "rawpack", 2
 SCHEMA = "name string, shard_id long, local_idx int, offset long, n_frames int, codes array<array<smallint>>"
 #: Bytes of codes in one batch of rows, and moved at once when a blob is put together.
 BATCH_BYTES, COPY_BYTES = 8 << 20, 4 << 20
+#: Bytes of codes and songs of the shards that one task reads, at most, if it reads more than one.
+TASK_BYTES, TASK_SONGS = 32 << 20, 100_000
 
 
 def _files(path: str):
@@ -70,9 +72,9 @@ def shards(path: str) -> list[dict]:
 # Reading ------------------------------------------------------------------------------------------------------------------
 
 
-class Shard(InputPartition):
-    def __init__(self, shard: dict, names: frozenset | None):
-        self.shard, self.names = shard, names
+class Shards(InputPartition):
+    def __init__(self, shards: list[dict], names: frozenset | None):
+        self.shards, self.names = shards, names
 
 
 class Reader(DataSourceReader):
@@ -92,19 +94,29 @@ class Reader(DataSourceReader):
             self.names = found if self.names is None else self.names & found
 
     def partitions(self) -> list[InputPartition]:
-        """A partition for each shard, with the names that it may hold if names were asked for; shards without one are left out."""
-        out = []
-        for shard in shards(self.path):
-            inside = None if self.names is None else frozenset(x for x in self.names if shard["first"] <= x <= shard["last"])
-            if inside is None or inside:
-                out.append(Shard(shard, inside))
-        return out
-
-    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, Shard):  # what Spark asks for where there are no partitions
+        """If names were asked for, a partition for each shard that may hold some, with these; else neighbouring shards share one as
+        long as they are small."""
+        if self.names is not None:
+            inside = [(s, frozenset(x for x in self.names if s["first"] <= x <= s["last"])) for s in shards(self.path)]
+            return [Shards([s], names) for s, names in inside if names]
+        out, size, songs = [], 0, 0
+        for s in shards(self.path):
+            size, songs = size + s["bytes"], songs + s["n_songs"]
+            if not out or size > TASK_BYTES or songs > TASK_SONGS:
+                out.append([])
+                size, songs = s["bytes"], s["n_songs"]
+            out[-1].append({"shard_id": s["shard_id"]})
+        return [Shards(some, None) for some in out]
+
+    def read(self, partition: Shards) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, Shards):  # what Spark asks for where there are no partitions
             return
         files, root = _files(self.path)
-        meta = _load(files, f"{root}/shard_{partition.shard['shard_id']}.json")
+        for shard in partition.shards:
+            yield from self._songs(files, root, shard["shard_id"], partition.names)
+
+    def _songs(self, files, root: str, shard_id: int, names: frozenset | None) -> Iterator[pa.RecordBatch]:
+        meta = _load(files, f"{root}/shard_{shard_id}.json")
         if meta["format_version"] != FORMAT_VERSION:
             raise ValueError(f"shard {meta['shard_id']}: format_version must be {FORMAT_VERSION}")
         info = files.get_file_info(f"{root}/shard_{meta['shard_id']}.codes")
@@ -113,7 +125,7 @@ class Reader(DataSourceReader):
         with files.open_input_file(info.path) as blob:
             rows, size = [], 0
             for i, name in enumerate(meta["names"]):
-                if partition.names is None or name in partition.names:
+                if names is None or name in names:
                     begin, end = meta["offsets"][i], meta["offsets"][i + 1]
                     parts = [blob.read_at(2 * (end - begin), 2 * (k * meta["total_T"] + begin)) if end > begin else b"" for k in range(meta["n_codebooks"])]
                     rows.append((name, i, begin, end - begin, b"".join(parts)))

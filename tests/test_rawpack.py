@@ -99,3 +99,15 @@ def test_empty_writes_and_packs(spark, tmp_path):
     assert rawpack.read(spark, path).count() == 0 and rawpack.shards(path) == []
     rawpack.write(songs(spark, ["a"])[1], path, 2, append=True)
     assert rawpack.read(spark, path).count() == 1
+
+
+def test_small_shards_share_a_task(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "pack")
+    made, df = songs(spark, [f"s{k:03d}" for k in range(60)])
+    rawpack.write(df, path, 2)
+    assert rawpack.read(spark, path).rdd.getNumPartitions() == 1 and back(rawpack.read(spark, path)) == made
+    monkeypatch.setattr(rawpack, "TASK_SONGS", 20)
+    found = rawpack.Reader(path).partitions()
+    assert [len(p.shards) for p in found] == [10, 10, 10] and sum(([s["shard_id"] for s in p.shards] for p in found), []) == list(range(30))
+    monkeypatch.setattr(rawpack, "TASK_BYTES", 1)
+    assert len(rawpack.Reader(path).partitions()) >= 24  # a shard without frames joins its neighbour
