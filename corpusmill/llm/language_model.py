@@ -11,8 +11,10 @@ Model. Each word, with a space before it, becomes ids of a public byte-level tok
 value and own vector; a position attends to itself and to what stands before it in its window, with a learned bias for the
 distance; the own vector, with the attended values added to its first VALUE_WIDTH places, goes through a rectifier into a softmax over CLASSES classes and one over the
 MEMBERS ids of a class. Ids beyond CLASSES * MEMBERS share one more class, within which they have add-one probabilities. Which
-ids are kept, the class they are in and the output biases come from the ids' counts over all training texts. The rest is trained in
-numpy with Adam on STEPS batches of windows of a bounded sample: SAMPLE_DOCS documents and SAMPLE_BYTES of text at most.
+ids are kept, the class they are in and the output biases come from the ids' counts over all training texts. The rest is trained on
+every window of every training text, in up to ROUNDS rounds: each takes the texts of one hash, each task goes through its own of them
+with Adam from the same tables, and the tables of all tasks, weighted by their targets, are averaged for the next round. Few texts are
+gone through again until a task has made STEPS steps. The result depends on how the input is dealt over partitions.
 
 Scoring cuts a text's ids into windows of WINDOW inputs that overlap, so that each id is scored once, with the last
 WINDOW - STRIDE to WINDOW - 1 ids before it in sight. Windows of many texts go through masked attention as one batch.
@@ -27,7 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm._fit import fold, sample
+from corpusmill.llm._fit import fold
 from corpusmill.llm._scratch import cut
 from corpusmill.llm._words import buffers, chunks
 
@@ -45,11 +47,12 @@ HEAD_SHARE = 1_000_000
 LONG_WORD = 64
 #: Bytes of text whose words are counted, and that are scored, at once.
 CHUNK, SCORE_CHUNK = 4 << 20, 4 << 20
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 12 << 20
 CLASSES, MEMBERS = 32, 32
 WINDOW, STRIDE = 24, 16
 WIDTH, KEY_WIDTH, VALUE_WIDTH = 48, 16, 32
 STEPS, BATCH, RATE, DECAY = 1500, 192, 0.02, 0.1
+#: Rounds of training at most, symbols at least that a task learns from in one where there are enough, places of averaged tables.
+ROUNDS, TASK_SYMBOLS, FIXED = 8, 800_000, float(1 << 20)
 CLIP = 30.0
 #: Windows scored as one batch, and words whose ids a worker remembers.
 GROUP, REMEMBERED = 1024, 300_000
@@ -184,6 +187,7 @@ class Model:
     symbol: np.ndarray  # of each id of the tokenizer, the end's after them: its place among those that are kept, or CLASSES * MEMBERS
     rest: np.ndarray  # log-probability of each id within the class of those that are not kept
     tables: list[np.ndarray]  # own, query, key, value [symbols + 2, width]; bias by distance; class weights, bias; member weights, bias
+    name: str = ""  # of its symbols, for what a worker remembers
 
     @property
     def end(self) -> int:
@@ -260,9 +264,9 @@ def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x, y, real, row
 
 
-def fit(texts: list[str], counts: list[tuple[int, int]], n_docs: int, subwords: Subwords, seed: int = 5) -> Model:
-    """A model of texts. counts: how often each id of the tokenizer occurs in all training texts; n_docs: how many these are."""
-    vocabulary = subwords.size
+def untrained(counts: list[tuple[int, int]], n_docs: int, vocabulary: int, seed: int = 5) -> Model:
+    """A model whose symbols and biases are there. counts: how often each id of the tokenizer occurs in all training texts; n_docs: how
+    many these are."""
     total = np.ones(vocabulary + 1)
     for i, n in counts:
         total[i] += n
@@ -285,56 +289,115 @@ def fit(texts: list[str], counts: list[tuple[int, int]], n_docs: int, subwords:
         draw(WIDTH, CLASSES + 1), np.log(np.append(share.sum(1), max(others.sum(), 1)) / (total.sum() + 1)).astype(np.float32),
         draw(CLASSES, WIDTH, MEMBERS), np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
     ]
-    model = Model(symbol, rest, tables)
+    return Model(symbol, rest, tables, uuid.uuid4().hex)
+
+
+def fit(texts: list[str], counts: list[tuple[int, int]], n_docs: int, subwords: Subwords, seed: int = 5) -> Model:
+    """A model of texts that are all at hand."""
+    model = untrained(counts, n_docs, subwords.size, seed)
     if texts:
         symbols, sizes = Lexicon(model, subwords).symbols(*split(pa.array(texts, pa.string())))[:2]
-        _train(tables, *windows(symbols, sizes)[:3], rng)
+        learn(model.tables, blocks([(symbols, sizes)]), _passes(len(symbols), 1), 0, 1, seed)
     return model
 
 
-def _train(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, rng: np.random.Generator) -> None:
-    mean, square = [np.zeros_like(w) for w in tables], [np.zeros_like(w) for w in tables]
-    for step in range(1, STEPS + 1):
-        pick = rng.integers(0, len(x), BATCH)
-        grads = gradients(tables, x[pick], y[pick], real[pick])
-        rate = RATE * (1 - 0.95 * step / STEPS)
-        for k, (w, m, s, g) in enumerate(zip(tables, mean, square, grads, strict=True)):
-            if k in (0, 1, 2, 3, 5):  # vectors of ids and class weights
-                w *= 1 - rate * DECAY
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+def _passes(symbols: int, tasks: int) -> int:
+    """How often texts of so many symbols, dealt over tasks, are gone through for STEPS steps of each task."""
+    return max(1, -(-STEPS * STRIDE * BATCH * tasks // max(symbols, STRIDE * BATCH * tasks)))
+
+
+def blocks(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts' symbols and how many each has, put together or cut into whole texts of about GROUP * 64 windows."""
+    held, count = [], 0
+    for symbols, sizes in parts:
+        ends, edges, a = np.cumsum(sizes), np.concatenate([[0], np.cumsum(-(-sizes // STRIDE))]), 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + GROUP * 64 - count, "right")) - 1)
+            held.append((symbols[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]))
+            count, a = count + edges[b] - edges[a], b
+            if count >= GROUP * 60:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
+                held, count = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
+
+
+def learn(tables: list[np.ndarray], texts: Iterator[tuple[np.ndarray, np.ndarray]], passes: int, done: float, share: float, seed: int) -> int:
+    """Trains tables in place on every window of blocks of texts; how many targets these have. done and share: how much of all training
+    lies before this, and is this. Blocks are kept if they are gone through again."""
+    rng, mean, square = np.random.default_rng(seed), [np.zeros_like(w) for w in tables], [np.zeros_like(w) for w in tables]
+    kept, step, targets = [], 0, 0
+    for n in range(passes):
+        rate = RATE * (1 - 0.95 * (done + share * (n + 0.5) / passes))
+        for block in kept if n else texts:
+            if n == 0:
+                targets += len(block[0])
+                if passes > 1:
+                    kept.append(block)
+            x, y, real = windows(*block)[:3]
+            for pick in np.array_split(rng.permutation(len(x)), -(-len(x) // BATCH)):
+                step += 1
+                _descend(tables, mean, square, gradients(tables, x[pick], y[pick], real[pick]), rate, step)
+    return targets
+
+
+def _descend(tables: list[np.ndarray], mean: list[np.ndarray], square: list[np.ndarray], grads: list[np.ndarray], rate: float, step: int) -> None:
+    for k, (w, m, s, g) in enumerate(zip(tables, mean, square, grads, strict=True)):
+        if k in (0, 1, 2, 3, 5):  # vectors of ids and class weights
+            w *= 1 - rate * DECAY
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows that go to the same place."""
+    at, rows = at.ravel(), rows.reshape(at.size, -1)
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    place = at[order]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[place[first]] = np.add.reduceat(rows[order], first)
+    return out
 
 
 def gradients(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log-probability of the real targets, by each table."""
     weights, bias, member_weights, member_bias = tables[5:]
     shaped, q, k, v, e = attend(tables, x)
-    hidden, target, used = shaped.reshape(-1, WIDTH), y.ravel(), real.ravel().astype(np.float32)[:, None] / max(real.sum(), 1)
-    kind, member = target // MEMBERS, target % MEMBERS
-    p = hidden @ weights + bias
-    p /= _soft(p)[:, None]
-    p[np.arange(len(target)), kind] -= 1
-    p *= used
+    target = y.ravel()
+    order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")  # by class
+    kind, member = np.divmod(target[order], MEMBERS)
+    hidden, used = shaped.reshape(-1, WIDTH)[order], real.ravel()[order].astype(np.float32) / max(real.sum(), 1)
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+    p = hidden @ weights
+    p += bias
+    total = _soft(p)
+    p *= (used / total)[:, None]
+    p[np.arange(len(kind)), kind] -= used
     back = p @ weights.T
     out = [None] * 5 + [hidden.T @ p, p.sum(0), np.zeros_like(member_weights), np.zeros_like(member_bias)]
-    for c in np.unique(kind[kind < CLASSES]):
-        own = np.flatnonzero(kind == c)
-        p = hidden[own] @ member_weights[c] + member_bias[c]
-        p /= _soft(p)[:, None]
-        p[np.arange(len(own)), member[own]] -= 1
-        p *= used[own]
-        back[own] += p @ member_weights[c].T
-        out[7][c], out[8][c] = hidden[own].T @ p, p.sum(0)
-    back = (back * (hidden > 0)).reshape(shaped.shape)
-    last = x[:, WINDOW - STRIDE :]
-    attended = back[:, :, :VALUE_WIDTH]
-    d_e = attended @ v.transpose(0, 2, 1)
-    d_scores = e * (d_e - (d_e * e).sum(-1, keepdims=True))
-    parts = (back, last), (d_scores @ k, last), (d_scores.transpose(0, 2, 1) @ q, x), (e.transpose(0, 2, 1) @ attended, x)
-    for j, (g, at) in enumerate(parts):
-        out[j] = np.zeros_like(tables[j])
-        np.add.at(out[j], at, g)
+    for c in range(CLASSES):
+        a, b = bounds[c], bounds[c + 1]
+        if a < b:
+            p = hidden[a:b] @ member_weights[c]
+            p += member_bias[c]
+            total = _soft(p)
+            p *= (used[a:b] / total)[:, None]
+            p[np.arange(b - a), member[a:b]] -= used[a:b]
+            back[a:b] += p @ member_weights[c].T
+            out[7][c], out[8][c] = hidden[a:b].T @ p, p.sum(0)
+    back *= hidden > 0
+    placed = np.empty_like(back)
+    placed[order] = back
+    placed = placed.reshape(shaped.shape)
+    attended = placed[:, :, :VALUE_WIDTH]
+    d_scores = attended @ v.transpose(0, 2, 1)
+    d_scores -= (d_scores * e).sum(-1, keepdims=True)
+    d_scores *= e
+    last = _sums(x[:, WINDOW - STRIDE :], np.concatenate([placed, d_scores @ k], axis=2), len(tables[0]))
+    every = _sums(x, np.concatenate([d_scores.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ attended], axis=2), len(tables[0]))
+    out[0], out[1], out[2], out[3] = last[:, :WIDTH], last[:, WIDTH:], every[:, :KEY_WIDTH], every[:, KEY_WIDTH:]
     out[4] = d_scores.sum(0)
     return out
 
@@ -429,12 +492,51 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", held_out.alias("held_out"), "text")
 
 
+def train(texts: DataFrame, model: Model, definition, symbols: int) -> int:
+    """Trains model's tables on all rows of texts (id, text), which have about so many symbols; returns how many they have."""
+    rounds = min(ROUNDS, max(1, symbols // TASK_SYMBOLS))
+    tasks = max(1, symbols // (rounds * TASK_SYMBOLS))
+    passes = _passes(symbols // rounds, tasks) if rounds == 1 else _passes(symbols, tasks)
+    spark, learnt = texts.sparkSession, 0
+    for k in range(rounds):
+        known = spark.sparkContext.broadcast(model)
+
+        def kernel(batches, k=k, known=known):
+            net = known.value
+            tables = [w.copy() for w in net.tables]
+
+            def parts():
+                lexicon = worker_lexicon(net.name, net, definition.value)
+                for batch in batches:
+                    for part in _parts(batch, 0, CHUNK):
+                        yield lexicon.symbols(*split(part.column(0)))[:2]
+
+            targets = learn(tables, blocks(parts()), passes, k / rounds, 1 / rounds, k)
+            # Whole numbers, whose sum doesn't depend on the order of tasks.
+            flat = np.rint(np.concatenate([w.ravel() for w in tables]).astype(np.float64) * FIXED).astype(np.int64) * targets
+            yield pa.RecordBatch.from_arrays([pa.array([targets]), pa.array([flat.tobytes()], pa.binary())], ["targets", "tables"])
+
+        own = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == k).select("text").coalesce(tasks)
+        found = own.mapInArrow(kernel, "targets long, tables binary").where("targets > 0").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.int64)))
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+        targets, flat = found.treeAggregate((0, 0), add, add)
+        if targets:
+            learnt += targets
+            ends = np.cumsum([w.size for w in model.tables])[:-1]
+            mean = (flat / (targets * FIXED)).astype(np.float32)
+            model.tables = [part.reshape(w.shape) for w, part in zip(model.tables, np.split(mean, ends), strict=True)]
+        known.unpersist()
+    return learnt
+
+
 def fit_from(marked: DataFrame, counts: DataFrame, n_docs: int, tokenizer: str | None = None, pattern: str | None = None) -> tuple[Model, object]:
-    """The model of the documents that are not held out, and the tokenizer's definition as a broadcast variable."""
+    """The model of all documents that are not held out, and the tokenizer's definition as a broadcast variable."""
     definition = marked.sparkSession.sparkContext.broadcast(read_ranks(tokenizer, pattern))
-    known = marked.where("not held_out").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_key"), F.col("text").alias("_text"), F.lit("text").alias("_label"))
-    texts = [t for t, _ in sample(known, SAMPLE_DOCS, SAMPLE_BYTES)]
-    return fit(texts, subword_counts(counts, definition), n_docs, Subwords(*definition.value[:2])), definition
+    ids = subword_counts(counts, definition)
+    model = untrained(ids, n_docs, max(definition.value[0].values()) + 1)
+    if n_docs:
+        train(marked.where("not held_out").select("id", "text"), model, definition, sum(n for _, n in ids) + n_docs)
+    return model, definition
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -446,7 +548,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     tokens, all_tokens, distinct, n_docs = (x or 0 for x in sums)
     model, definition = fit_from(marked, counts, n_docs, tokenizer, pattern)
     head = counts.where(F.col("n_all") * HEAD_SHARE >= all_tokens).toArrow()  # at most HEAD_SHARE words
-    run = uuid.uuid4().hex
     known = spark.sparkContext.broadcast((model, head.column("word").combine_chunks(), head.column("n_train").to_numpy()))
 
     def kernel(batches):
@@ -457,7 +558,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
         for batch in batches:
             for part in _parts(batch, 2, SCORE_CHUNK):
                 words, n = split(part.column(2))
-                symbols, sizes, rest, coded = worker_lexicon(run, net, definition.value).symbols(words, n)
+                symbols, sizes, rest, coded = worker_lexicon(net.name, net, definition.value).symbols(words, n)
                 scores = score_texts(net, symbols, sizes, rest)
                 place = pc.index_in(keys(coded.dictionary), value_set=frequent).fill_null(len(frequent)).to_numpy()
                 index = coded.indices.to_numpy()

@@ -153,3 +153,21 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark, sf_dir):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
     # Half of them at this size, give or take what rounding makes of training; four in five on ten times as many documents.
     assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.4
+
+
+@pytest.mark.parametrize("share", [1, 7])
+def test_the_model_learns_from_every_training_text(spark, monkeypatch, share):
+    rows = [(k, f"text {k} of many" if k % 5 else None) for k in range(6000)] + [(None, "word " * 70_000)] * 2
+    docs = m._marked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text")
+    seen, train = [], m.train
+    monkeypatch.setattr(m, "STEPS", 1)
+    monkeypatch.setattr(m, "TASK_SYMBOLS", 160_000 // share)
+    monkeypatch.setattr(m, "train", lambda *a: seen.append((train(*a), a[3])))
+    counts = m.word_counts(docs.select("held_out", "text"))
+    n_docs = sum(not held(key) for key, _ in rows)
+    model, definition = m.fit_from(docs, counts, n_docs)
+    words = Counter(t for key, text in rows if not held(key) for t in tokens(text) if t)
+    pieces = m.Subwords(*definition.value[:2]).encode(list(words))[1]
+    every = int((pieces * np.array(list(words.values()))).sum()) + n_docs
+    assert seen == [(every, every)]
+    assert all(np.isfinite(w).all() for w in model.tables) and model.tables[4].any()
