@@ -1,4 +1,8 @@
-"""Packs: songs in contiguous shards with running offsets, written, appended to and read back."""
+"""Packs: songs in contiguous shards with running offsets, written, appended to and read back.
+
+A pack is a Parquet table in which shard_id is a column: neighbouring shards lie together in one file, each shard in one piece and in
+order, so the number of files follows the tasks of a write, not the shards, and a filter on shard_id skips by the files' statistics.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill.sources.stores import append_shards
 
 FORMAT_VERSION = 2
+#: Songs of neighbouring shards that lie together, unless one shard has more.
+TOGETHER = 32_000
 
 
 def int16(codes: Column) -> Column:
@@ -25,10 +31,11 @@ def write_pack(songs: DataFrame, path: str, per_shard: int, name: str = "name",
         old = spark.read.parquet(path)
         if set(old.columns) - {"shard_id", "local_idx", "offset", "n_frames"} != set(songs.columns):
             raise ValueError("the pack has other columns than the songs that are appended")
-        first = old.agg(F.max("shard_id")).first()[0] + 1
+        last = old.agg(F.max("shard_id")).first()[0]
+        first = 0 if last is None else last + 1
     rows = songs.withColumn(codes, int16(F.col(codes))).withColumn("n_frames", F.coalesce(F.size(F.try_element_at(codes, F.lit(1))), F.lit(0)))
-    placed = append_shards(rows, name, "n_frames", per_shard, first)
-    placed.repartition("shard_id").sortWithinPartitions("shard_id", "local_idx").write.mode("append" if append else "errorifexists").partitionBy("shard_id").parquet(path)
+    placed = append_shards(rows, name, "n_frames", per_shard, first, max(1, TOGETHER // per_shard))
+    placed.write.mode("append" if append else "errorifexists").parquet(path)
 
 
 def read_pack(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:

@@ -121,15 +121,17 @@ def write_keyed_json(rows: DataFrame, path: str, key: str, value: str, shards: i
     every.repartition("shard").sortWithinPartitions("shard", "_o", "_k").select("shard", "value").write.partitionBy("shard").text(path)
 
 
-def append_shards(songs: DataFrame, name: str, frames: str, per_shard: int, first_shard: int = 0) -> DataFrame:
-    """songs with shard_id (from first_shard, per_shard songs each in order of name), local_idx and offset (frames before it)."""
+def append_shards(songs: DataFrame, name: str, frames: str, per_shard: int, first_shard: int = 0, together: int = 1) -> DataFrame:
+    """songs with shard_id (from first_shard, per_shard songs each in order of name), local_idx and offset (frames before it). Songs of
+    `together` neighbouring shards come to one task, in order."""
     from corpusmill.operators.windows import global_row_number
 
     placed = global_row_number(songs, [name], "_rn").withColumn("shard_id", (F.lit(first_shard) + F.floor((F.col("_rn") - 1) / per_shard)).cast("long"))
-    here = Window.partitionBy("shard_id").orderBy("_rn")
+    dealt = placed.withColumn("_run", F.floor(F.col("shard_id") / together)).repartition("_run")
+    here = Window.partitionBy("_run", "shard_id").orderBy("_rn")
     return (
-        placed.withColumn("local_idx", F.pmod(F.col("_rn") - 1, F.lit(per_shard)))
-        .withColumn("offset", F.coalesce(F.sum(frames).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rn")
+        dealt.withColumn("local_idx", F.pmod(F.col("_rn") - 1, F.lit(per_shard)))
+        .withColumn("offset", F.coalesce(F.sum(frames).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rn", "_run")
     )
 
 

@@ -317,6 +317,20 @@ def test_packs_refuse_other_columns(spark, tmp_path):
         spark.createDataFrame([([[40_000]],)], "codes array<array<int>>").select(packs.int16(F.col("codes"))).collect()
 
 
+def test_files_of_a_pack_do_not_follow_its_shards(spark, tmp_path):
+    from corpusmill.sources import packs
+
+    songs = lambda a, b: spark.range(a, b).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("name"), F.array(F.array(F.col("id").cast("int")), F.array(F.lit(1))).alias("codes"))
+    path = str(tmp_path / "pack")
+    packs.write_pack(songs(0, 0), path, 3)  # shards are numbered from 0 after an empty write
+    packs.write_pack(songs(0, 400), path, 3, append=True)
+    packs.write_pack(songs(400, 1000), path, 3, append=True)
+    assert len([f for f in (tmp_path / "pack").rglob("*.parquet")]) <= 12
+    got = sorted((r["name"], r["shard_id"], r["local_idx"], r["offset"], r["codes"]) for r in packs.read_pack(spark, path).collect())
+    place = lambda k: divmod(k, 3) if k < 400 else (134 + (k - 400) // 3, (k - 400) % 3)
+    assert got == [(f"{k:06d}", place(k)[0], place(k)[1], place(k)[1], [[k], [1]]) for k in range(1000)]
+
+
 def test_key_estimates(spark):
     from corpusmill.operators import keys
 
