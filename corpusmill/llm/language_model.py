@@ -56,6 +56,7 @@ ROUNDS, TASK_SYMBOLS, FIXED = 8, 800_000, float(1 << 20)
 CLIP = 30.0
 #: Windows scored as one batch, and words whose ids a worker remembers.
 GROUP, REMEMBERED = 1024, 300_000
+FEW = 8  # rows of a place that are summed beside those of other places
 END = ""  # the end of a text among words
 
 
@@ -205,46 +206,56 @@ def _soft(logits: np.ndarray) -> np.ndarray:
     return logits @ np.ones(logits.shape[-1], logits.dtype)
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of one place in each row; logits are used up."""
-    own = np.minimum(logits[np.arange(len(at)), at], CLIP)
-    return own - np.log(_soft(logits))
-
-
 def attend(tables: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden vectors [n, STRIDE, WIDTH] of the last STRIDE positions of windows of symbols [n, WINDOW], and what led to them."""
-    own, query, key, value, distance = tables[:5]
-    last = x[:, WINDOW - STRIDE :]
-    q, k, v = query[last], key[x], value[x]
+    """Attended values [n, STRIDE, VALUE_WIDTH] of the last STRIDE positions of windows of symbols [n, WINDOW], and what led to them."""
+    query, key, value, distance = tables[1:5]
+    q, k, v = query.take(x[:, WINDOW - STRIDE :], 0), key.take(x, 0), value.take(x, 0)
     scores = q @ k.transpose(0, 2, 1)
     np.minimum(scores, CLIP, out=scores)
     scores += distance + _AHEAD
-    total = _soft(scores)
-    scores /= total[:, :, None]
-    hidden = own[last]
-    hidden[:, :, :VALUE_WIDTH] += scores @ v
-    np.maximum(hidden, 0, out=hidden)
-    return hidden, q, k, v, scores
+    scores *= (1 / _soft(scores))[:, :, None]
+    return scores @ v, q, k, v, scores
 
 
-def log_probabilities(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log-probability of symbols y [n, STRIDE] in windows x [n, WINDOW]."""
-    hidden = attend(tables, x)[0].reshape(-1, WIDTH)
+def _output(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray, attended: np.ndarray) -> tuple[np.ndarray, ...]:
+    """With targets y sorted by class: their order, classes and members, where each class begins, hidden vectors with a 1 behind them,
+    each class's weights beside those of its members (biases below, none for the last class) and logits, CLIP at most."""
     weights, bias, member_weights, member_bias = tables[5:]
     target = y.ravel()
-    kind, member = target // MEMBERS, target % MEMBERS
-    logits = hidden @ weights
-    logits += bias
-    out = _log_share(logits, kind)
-    order = np.argsort(kind.astype(np.int8), kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
-    sorted_hidden = hidden[order]
-    for c in range(CLASSES):
+    order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")
+    kind, member = np.divmod(target.take(order), MEMBERS)
+    bounds = np.searchsorted(kind, np.arange(CLASSES + 2)).tolist()
+    hidden = np.append(tables[0], np.ones((len(tables[0]), 1), weights.dtype), 1).take(x[:, WINDOW - STRIDE :].ravel().take(order), 0)
+    hidden[:, :VALUE_WIDTH] += attended.reshape(-1, VALUE_WIDTH).take(order, 0)
+    np.maximum(hidden, 0, out=hidden)
+    both = np.zeros((CLASSES + 1, WIDTH + 1, CLASSES + 1 + MEMBERS), weights.dtype)
+    both[:, :WIDTH, : CLASSES + 1], both[:, WIDTH, : CLASSES + 1] = weights, bias
+    both[:CLASSES, :WIDTH, CLASSES + 1 :], both[:CLASSES, WIDTH, CLASSES + 1 :] = member_weights, member_bias
+    logits = np.empty((len(target), both.shape[2]), weights.dtype)
+    for c in range(CLASSES + 1):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            logits = sorted_hidden[a:b] @ member_weights[c]
-            logits += member_bias[c]
-            out[order[a:b]] += _log_share(logits, member[order[a:b]])
+            np.matmul(hidden[a:b], both[c], out=logits[a:b])
+    np.minimum(logits, CLIP, out=logits)
+    return order, kind, member, bounds, hidden, both, logits
+
+
+#: Which of a position's logits are of classes, which of members.
+_PARTS = np.repeat(np.eye(2, dtype=np.float32), [CLASSES + 1, MEMBERS], 0)
+
+
+def log_probabilities(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log-probability of symbols y [n, STRIDE] in windows x [n, WINDOW]."""
+    order, kind, member, bounds, _, _, logits = _output(tables, x, y, attend(tables, x)[0])
+    row, rest = np.arange(len(kind)), bounds[CLASSES]
+    found = logits[row, kind]
+    found[:rest] += logits[row[:rest], CLASSES + 1 + member[:rest]]
+    np.exp(logits, out=logits)
+    total = logits @ _PARTS.astype(logits.dtype)
+    total[rest:, 1] = 1
+    found -= np.log(total).sum(1)
+    out = np.empty_like(found)
+    out[order] = found
     return out.reshape(y.shape)
 
 
@@ -325,7 +336,10 @@ def blocks(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.
 def learn(tables: list[np.ndarray], texts: Iterator[tuple[np.ndarray, np.ndarray]], passes: int, done: float, share: float, seed: int) -> int:
     """Trains tables in place on every window of blocks of texts; how many targets these have. done and share: how much of all training
     lies before this, and is this. Blocks are kept if they are gone through again."""
-    rng, mean, square = np.random.default_rng(seed), [np.zeros_like(w) for w in tables], [np.zeros_like(w) for w in tables]
+    rng, flat, ends = np.random.default_rng(seed), np.concatenate([w.ravel() for w in tables]), np.cumsum([w.size for w in tables])
+    own = [part.reshape(w.shape) for w, part in zip(tables, np.split(flat, ends[:-1]), strict=True)]
+    shrinks = (flat[: ends[3]], flat[ends[4] : ends[5]])  # vectors of ids and class weights
+    mean, square, grad, spare = (np.zeros_like(flat) for _ in range(4))
     kept, step, targets = [], 0, 0
     for n in range(passes):
         rate = RATE * (1 - 0.95 * (done + share * (n + 0.5) / passes))
@@ -337,69 +351,84 @@ def learn(tables: list[np.ndarray], texts: Iterator[tuple[np.ndarray, np.ndarray
             x, y, real = windows(*block)[:3]
             for pick in np.array_split(rng.permutation(len(x)), -(-len(x) // BATCH)):
                 step += 1
-                _descend(tables, mean, square, gradients(tables, x[pick], y[pick], real[pick]), rate, step)
+                np.concatenate([g.ravel() for g in gradients(own, x[pick], y[pick], real[pick])], out=grad)
+                for w in shrinks:
+                    w *= 1 - rate * DECAY
+                _descend(flat, mean, square, grad, spare, rate, step)
+    for w, part in zip(tables, own, strict=True):
+        w[...] = part
     return targets
 
 
-def _descend(tables: list[np.ndarray], mean: list[np.ndarray], square: list[np.ndarray], grads: list[np.ndarray], rate: float, step: int) -> None:
-    for k, (w, m, s, g) in enumerate(zip(tables, mean, square, grads, strict=True)):
-        if k in (0, 1, 2, 3, 5):  # vectors of ids and class weights
-            w *= 1 - rate * DECAY
-        m += 0.1 * (g - m)
-        s += 0.01 * (g * g - s)
-        w -= (rate / (1 - 0.9**step)) * m / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
+def _descend(flat: np.ndarray, mean: np.ndarray, square: np.ndarray, grad: np.ndarray, spare: np.ndarray, rate: float, step: int) -> None:
+    """A step of Adam; spare is written over."""
+    np.subtract(grad, mean, out=spare)
+    spare *= 0.1
+    mean += spare
+    np.multiply(grad, grad, out=spare)
+    spare -= square
+    spare *= 0.01
+    square += spare
+    np.multiply(square, 1 / (1 - 0.99**step), out=spare)
+    np.sqrt(spare, out=spare)
+    spare += 1e-7
+    np.divide(mean, spare, out=spare)
+    spare *= rate / (1 - 0.9**step)
+    flat -= spare
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows that go to the same place."""
-    at, rows = at.ravel(), rows.reshape(at.size, -1)
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    place = at[order]
-    first = np.flatnonzero(np.diff(place, prepend=-1))
+    """Sums of rows that go to the same place: the first FEW of every place, a row of each at a time, then what more some places have."""
+    at = at.ravel()
+    order, count = np.argsort(at.astype(np.int16), kind="stable"), np.bincount(at, minlength=size)
+    rows = rows.reshape(at.size, -1).take(order, 0)
+    places = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]  # those with most rows come first
+    count, first = count[places], (np.cumsum(count) - count)[places]
+    more = np.searchsorted(-count, -np.arange(FEW + 1)).tolist()  # how many places have more than 0, 1, 2 .. rows
+    found = rows.take(first, 0)
+    for k in range(1, FEW):
+        found[: more[k]] += rows.take(first[: more[k]] + k, 0)
+    ones = np.ones(count[0], rows.dtype)
+    for k, (a, n) in enumerate(zip(first[: more[FEW]].tolist(), count[: more[FEW]].tolist(), strict=True)):
+        found[k] += ones[FEW:n] @ rows[a + FEW : a + n]
     out = np.zeros((size, rows.shape[1]), rows.dtype)
-    out[place[first]] = np.add.reduceat(rows[order], first)
+    out[places] = found
     return out
 
 
 def gradients(tables: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log-probability of the real targets, by each table."""
-    weights, bias, member_weights, member_bias = tables[5:]
-    shaped, q, k, v, e = attend(tables, x)
-    target = y.ravel()
-    order = np.argsort((target // MEMBERS).astype(np.int8), kind="stable")  # by class
-    kind, member = np.divmod(target[order], MEMBERS)
-    hidden, used = shaped.reshape(-1, WIDTH)[order], real.ravel()[order].astype(np.float32) / max(real.sum(), 1)
-    bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
-    p = hidden @ weights
-    p += bias
-    total = _soft(p)
-    p *= (used / total)[:, None]
-    p[np.arange(len(kind)), kind] -= used
-    back = p @ weights.T
-    out = [None] * 5 + [hidden.T @ p, p.sum(0), np.zeros_like(member_weights), np.zeros_like(member_bias)]
-    for c in range(CLASSES):
+    values, q, k, v, e = attend(tables, x)
+    order, kind, member, bounds, hidden, both, p = _output(tables, x, y, values)
+    row, rest = np.arange(len(kind)), bounds[CLASSES]
+    used = real.ravel().take(order).astype(np.float32) / max(real.sum(), 1)
+    np.exp(p, out=p)
+    scale = used[:, None] / (p @ _PARTS.astype(p.dtype))
+    scale[rest:, 1] = 0
+    p[:, : CLASSES + 1] *= scale[:, :1]
+    p[:, CLASSES + 1 :] *= scale[:, 1:]
+    p[row, kind] -= used
+    p[row[:rest], CLASSES + 1 + member[:rest]] -= used[:rest]
+    back, by_class = np.empty_like(hidden), np.zeros_like(both)
+    for c in range(CLASSES + 1):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            p = hidden[a:b] @ member_weights[c]
-            p += member_bias[c]
-            total = _soft(p)
-            p *= (used[a:b] / total)[:, None]
-            p[np.arange(b - a), member[a:b]] -= used[a:b]
-            back[a:b] += p @ member_weights[c].T
-            out[7][c], out[8][c] = hidden[a:b].T @ p, p.sum(0)
+            np.matmul(p[a:b], both[c].T, out=back[a:b])
+            np.matmul(hidden[a:b].T, p[a:b], out=by_class[c])
     back *= hidden > 0
-    placed = np.empty_like(back)
-    placed[order] = back
-    placed = placed.reshape(shaped.shape)
-    attended = placed[:, :, :VALUE_WIDTH]
+    last = np.empty((*y.shape, WIDTH + KEY_WIDTH), back.dtype)
+    last.reshape(-1, WIDTH + KEY_WIDTH)[order, :WIDTH] = back[:, :WIDTH]
+    attended = np.ascontiguousarray(last[:, :, :VALUE_WIDTH])
     d_scores = attended @ v.transpose(0, 2, 1)
-    d_scores -= (d_scores * e).sum(-1, keepdims=True)
+    d_scores -= np.einsum("nsv,nsv->ns", attended, values)[:, :, None]
     d_scores *= e
-    last = _sums(x[:, WINDOW - STRIDE :], np.concatenate([placed, d_scores @ k], axis=2), len(tables[0]))
-    every = _sums(x, np.concatenate([d_scores.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ attended], axis=2), len(tables[0]))
-    out[0], out[1], out[2], out[3] = last[:, :WIDTH], last[:, WIDTH:], every[:, :KEY_WIDTH], every[:, KEY_WIDTH:]
-    out[4] = d_scores.sum(0)
-    return out
+    np.matmul(d_scores, k, out=last[:, :, WIDTH:])
+    every = np.empty((*x.shape, KEY_WIDTH + VALUE_WIDTH), back.dtype)
+    np.matmul(d_scores.transpose(0, 2, 1), q, out=every[:, :, :KEY_WIDTH])
+    np.matmul(e.transpose(0, 2, 1), attended, out=every[:, :, KEY_WIDTH:])
+    last, every = _sums(x[:, WINDOW - STRIDE :], last, len(tables[0])), _sums(x, every, len(tables[0]))
+    classes, members = by_class[:, :, : CLASSES + 1].sum(0), by_class[:CLASSES, :, CLASSES + 1 :]
+    return [last[:, :WIDTH], last[:, WIDTH:], every[:, :KEY_WIDTH], every[:, KEY_WIDTH:], d_scores.sum(0), classes[:WIDTH], classes[WIDTH], members[:, :WIDTH], members[:, WIDTH]]
 
 
 class Lexicon:

@@ -124,6 +124,25 @@ def test_gradients_are_those_of_the_loss():
             table.flat[at] = old
 
 
+def test_all_classes_go_through_one_exponential(model, monkeypatch):
+    rng, calls, exp = np.random.default_rng(1), [], np.exp
+    x, y = rng.integers(0, m.OTHER + 2, (40, m.WINDOW)), rng.integers(0, m.OTHER + 1, (40, m.STRIDE))
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    m.log_probabilities(model.tables, x, y)
+    assert len(calls) <= 2  # of attention and of the logits
+    m.gradients(model.tables, x, y, np.ones(y.shape, bool))
+    assert len(calls) <= 4
+
+
+def test_sums_of_rows_of_few_and_of_many():
+    rng = np.random.default_rng(2)
+    at = rng.permutation(np.repeat([0, 3, 4, 5, 8, 9], [500, m.FEW, m.FEW + 1, m.FEW - 1, 1, 40]))
+    rows, want = rng.normal(size=(len(at), 5)), np.zeros((10, 5))
+    np.add.at(want, at, rows)
+    assert np.allclose(m._sums(at, rows, 10), want, rtol=1e-12) and not want[[1, 2, 6, 7]].any()
+    assert np.allclose(m._sums(at[:1], rows[:1], 10)[at[0]], rows[0])
+
+
 @pytest.mark.parametrize("share", [m.HEAD_SHARE, 20, 1])
 def test_base_scores_equal_plain_counts(spark, monkeypatch, share):
     monkeypatch.setattr(m, "HEAD_SHARE", share)
